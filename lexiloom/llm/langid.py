@@ -112,28 +112,29 @@ def learn_prototypes(labelled: DataFrame, text_col: str = "text", lang_col: str
     return langs, unit(proto - mean).astype(np.float32), mean.astype(np.float32)
 
 
-def _predict_batches(model):
+def _predict_batches(model, keep_text):
     def run(batches):
         langs, proto, mean = model.value
         for batch in batches:
             n = batch.num_rows
-            best, score, closest = [UNKNOWN] * n, np.zeros(n), np.zeros(n)
+            best, score, letters_of = [UNKNOWN] * n, np.zeros(n), np.zeros(n, np.int64)
             buf, off = K.text_bytes(batch.column(batch.num_columns - 1))
             for i, j in K.slices(off) if langs else ():
                 three, of, doc, letters = _trigrams(buf[off[i] : off[j]], off[i : j + 1] - off[i])
                 vectors = _vectors(three)
+                letters_of[i:j] = letters
                 edges = np.searchsorted(doc, np.arange(j - i + 1))
                 for d in np.flatnonzero(letters):
                     counts = np.bincount(of[edges[d] : edges[d + 1]], minlength=len(three)).astype(np.float32)
                     on = np.flatnonzero(counts)
                     profile = counts[on] @ vectors[on]
                     profile /= max(float(np.linalg.norm(profile)), 1e-12)
-                    closest[i + d] = float(profile @ mean) / max(float(np.linalg.norm(mean)), 1e-12)
                     profile -= mean
                     cosine = proto @ (profile / max(float(np.linalg.norm(profile)), 1e-12))
                     k = int(cosine.argmax())
                     best[i + d], score[i + d] = langs[k], min(1.0, max(0.0, (1 + float(cosine[k])) / 2))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(best), pa.array(score), pa.array(closest)], names=[*batch.schema.names[:-1], "lang_pred", "score", "alike"])
+            given = batch.columns if keep_text else batch.columns[:-1]
+            yield pa.RecordBatch.from_arrays([*given, pa.array(best, pa.string()), pa.array(score), pa.array(letters_of, pa.int64())], names=[*batch.schema.names[: len(given)], "lang_pred", "score", "letters"])
 
     return run
 
@@ -143,22 +144,21 @@ def held_out(id_col: str, folds: int, fold: int):
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % folds == fold, F.lit(False))
 
 
-def predict_languages(rows: DataFrame, labelled: DataFrame, text_col: str = "text") -> DataFrame:
-    """rows with lang_pred, score (0 to 1, from the cosine) and alike: the cosine with all languages' mean.
+def predict_languages(rows: DataFrame, labelled: DataFrame, text_col: str = "text", keep_text: bool = False) -> DataFrame:
+    """The other columns of rows with lang_pred, score (0 to 1, from the cosine) and the number of letters; keep_text: the text too.
 
-    rows must not have these columns or _text yet.
+    Columns of rows that have one of these names are replaced.
     """
-    langs, proto, mean = learn_prototypes(labelled)
-    model = rows.sparkSession.sparkContext.broadcast((langs, proto, mean))
-    given = rows.withColumn("_text", F.col(text_col).cast("string"))
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
-    return given.mapInArrow(_predict_batches(model), kept + ", lang_pred string, score double, alike double")
+    model = rows.sparkSession.sparkContext.broadcast(learn_prototypes(labelled))
+    others = [f for f in rows.schema.fields if f.name not in ("lang_pred", "score", "letters", text_col)]
+    given = rows.select(*(F.col(f"`{f.name}`") for f in others), F.col(text_col).cast("string"))
+    kept = [f"`{f.name}` {f.dataType.simpleString()}" for f in others] + [f"`{text_col}` string"] * keep_text
+    return given.mapInArrow(_predict_batches(model, keep_text), ", ".join([*kept, "lang_pred string, score double, letters bigint"]))
 
 
 def identify(documents: DataFrame) -> DataFrame:
     """Per document: doc_id, held_out, lang_pred, score; learned from the folds that are not held out."""
     fold = held_out("doc_id", 3, 1)
     labelled = documents.where(F.col("doc_id").isNotNull() & ~fold).select("text", "lang")
-    rows = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), fold.alias("held_out"), F.col("text").alias("_raw"))
-    out = predict_languages(rows.select("doc_id", "held_out", "_raw"), labelled, "_raw")
-    return out.select("doc_id", "held_out", "lang_pred", "score", "alike")
+    rows = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), fold.alias("held_out"), "text")
+    return predict_languages(rows, labelled).select("doc_id", "held_out", "lang_pred", "score", "letters")

@@ -57,8 +57,14 @@ def op10_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passagededup.dedup_passages(table(spark, sf_dir, "documents"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontaminate, op2_licenses, op3_ann, op4_langid, op5_html, op6_simhash, op7_suffix_dedup, op8_packing, op9_quality, op10_passage_dedup)}
+    return {f.__name__: f for f in (op1_decontaminate, op2_licenses, op3_ann, op4_langid, op5_html, op6_simhash, op7_suffix_dedup, op8_packing, op9_quality, op10_passage_dedup, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -1,8 +1,7 @@
 """Segments of about 2 MB of whole texts, and the search for hashes that occur more than once.
 
-A segment is one row with its documents' ids, lengths and compressed bytes. It is
-stored in the checkpoint folder, dealt by its number, so that later joins on the
-number move only the small side. repeats() tells every segment which of its 64-bit
+A segment is one row with its documents' ids, lengths and compressed bytes, stored
+in the checkpoint folder. repeats() tells every segment which of its 64-bit
 keys occur elsewhere: sorted unique keys are cut into ranges, one blob per segment
 and range, each range is sorted by one task at a time, and only bits come back. A
 key that fills a third of all documents sends one entry per segment.
@@ -28,21 +27,23 @@ REPLIES = "array<struct<bucket:int,again:binary,first:binary>>"
 def _segment_batches(batches):
     for batch in batches:
         ids = batch.column(0)
+        carried = batch.column(2) if batch.num_columns > 2 else None
         buf, off = K.text_bytes(batch.column(1))
         for i, j in K.slices(off):
             part, own = buf[off[i] : off[j]], off[i : j + 1] - off[i]
             raw = part.tobytes()
             digests = b"".join(hashlib.blake2b(raw[a:b], digest_size=16).digest() for a, b in zip(own[:-1], own[1:], strict=True))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([ids.slice(i, j - i).to_pylist()], pa.list_(pa.int64())), *(pa.array([K.packed(x)], pa.binary()) for x in (np.diff(own), np.frombuffer(digests, np.uint8), part))],
-                names=["doc_ids", "lengths", "digests", "text"],
-            )
+            columns = [pa.array([ids.slice(i, j - i).to_pylist()], pa.list_(pa.int64())), *(pa.array([K.packed(x)], pa.binary()) for x in (np.diff(own), np.frombuffer(digests, np.uint8), part))]
+            if carried is not None:
+                columns.append(pa.ListArray.from_arrays(pa.array([0, j - i], pa.int32()), carried.slice(i, j - i)))
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_ids", "lengths", "digests", "text", "carried"][: len(columns)])
 
 
-def make_segments(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    rows = documents.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    cut = rows.mapInArrow(_segment_batches, SEGMENT_SCHEMA).withColumn("seg", F.monotonically_increasing_id())
-    return materialise(cut.repartition(shuffle_partitions(documents), "seg"))
+def make_segments(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """Segments of documents; the columns in carry go along, one struct per document."""
+    given = documents.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *([F.struct(*(F.col(c) for c in carry)).alias("carried")] if carry else []))
+    schema = SEGMENT_SCHEMA + (f", carried array<{given.schema['carried'].dataType.simpleString()}>" if carry else "")
+    return materialise(given.mapInArrow(_segment_batches, schema).withColumn("seg", F.monotonically_increasing_id()))
 
 
 class Segment:

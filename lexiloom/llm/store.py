@@ -7,15 +7,17 @@ import tempfile
 from pyspark.sql import DataFrame
 
 
+def shared_folder(spark) -> str:
+    """The checkpoint folder that the session names; only where it names none (as in tests) a temporary one is set."""
+    context = spark.sparkContext
+    if context._jsc.sc().getCheckpointDir().isEmpty():
+        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+    return context._jsc.sc().getCheckpointDir().get()
+
+
 def materialise(df: DataFrame) -> DataFrame:
-    """Write df to the checkpoint folder that the session names, and cut its lineage.
-
-    Only where the session names none (as in tests) a temporary folder is set.
-    """
-    spark = df.sparkSession
-    jsc = spark.sparkContext._jsc.sc()
-    if jsc.getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+    """Write df to the checkpoint folder and cut its lineage."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
