@@ -29,30 +29,66 @@ from .store import materialise, shuffle_partitions
 
 SEQ_LEN = 2048
 END_ID = 0
-CACHE_CHUNKS = 400_000
-TOKENIZE_BYTES = 1 << 20
 
 PIECE_SCHEMA = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 
 
+#: Fixed value: the split pattern of byte-level tokenisers that split words as " ?letters+".
+SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+
+
+def byte_alphabet() -> dict[str, int]:
+    """The printable stand-ins of bytes in a byte-level vocabulary."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in plain]
+    return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(rest)}
+
+
+def fast_encoder(path: str):
+    """A tiktoken encoder with the vocabulary of a tokenizers file, or None if the file's rules differ from it.
+
+    The same ids result where the file is plain byte-level BPE and its merges stand in the order of their ids.
+    """
+    import json
+
+    import tiktoken
+
+    spec = json.loads(open(path, encoding="utf-8").read())
+    model, pre = spec["model"], spec.get("pre_tokenizer") or {}
+    plain = model.get("type") == "BPE" and not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges"))
+    plain &= pre.get("type") == "ByteLevel" and pre.get("use_regex") is True and not pre.get("add_prefix_space")
+    plain &= spec.get("normalizer") is None and all(not any(t.get(k) for k in ("single_word", "lstrip", "rstrip", "normalized")) for t in spec["added_tokens"])
+    pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model.get("merges", ())]
+    ids = [model["vocab"].get("".join(p), -1) for p in pairs]
+    special = {t["content"]: t["id"] for t in spec["added_tokens"]}
+    alphabet = byte_alphabet()
+    if not plain or ids != sorted(ids) or -1 in ids or any(any(c.isspace() for c in t) for t in special):
+        return None
+    ranks = {bytes(alphabet[c] for c in t): i for t, i in model["vocab"].items() if t not in special}
+    return tiktoken.Encoding(path, pat_str=SPLIT, mergeable_ranks=ranks, special_tokens=special)
+
+
 class ChunkTokenizer:
     """Token ids of whole texts by way of their distinct chunks.
 
     A byte-level tokeniser that splits words as " ?letters+" never joins a blank
     to a visible character before it. So a text may be cut before each space or
     newline that follows a visible ASCII (or Latin-1) character, and every
-    distinct chunk is encoded once. Chunks are looked up by 64-bit hash and length.
+    distinct chunk of a slice is encoded once. Chunks are told apart by 64-bit
+    hash and length.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        self.fast = fast_encoder(path)
         self.tokenizer = Tokenizer.from_file(path)
-        self.clear()
 
-    def clear(self):
-        self.hashes, self.first, self.count = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.ids = np.zeros(0, np.uint32)
+    def encode_chunks(self, chunks: list[str]) -> list[list[int]]:
+        if self.fast is None:
+            return [e.ids for e in self.tokenizer.encode_batch(chunks, add_special_tokens=False)]
+        special = self.fast.special_tokens_set
+        return [self.fast.encode(c, allowed_special="all") if "<" in c and any(t in c for t in special) else self.fast.encode_ordinary(c) for c in chunks]
 
     def encode(self, buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids in a row, and the number of ids of each document."""
@@ -67,29 +103,15 @@ class ChunkTokenizer:
         start = np.flatnonzero(cut)
         end = np.append(start[1:], n)
         hashes = K.span_hash(K.prefix_hash(buf), start, end) + (end - start).astype(np.uint64)
-        unique, where, back = np.unique(hashes, return_index=True, return_inverse=True)
-        at = np.searchsorted(self.hashes, unique).clip(max=max(len(self.hashes) - 1, 0))
-        fresh = np.flatnonzero(self.hashes[at] != unique) if len(self.hashes) else np.arange(len(unique))
-        if len(fresh):
-            raw = buf.tobytes()
-            new = [e.ids for e in self.tokenizer.encode_batch([raw[start[w] : end[w]].decode("utf-8", "replace") for w in where[fresh]], add_special_tokens=False)]
-            size = np.array([len(x) for x in new], np.int64)
-            base = len(self.ids)
-            self.ids = np.concatenate([self.ids, np.fromiter((i for x in new for i in x), np.uint32, int(size.sum()))])
-            hashes_all = np.concatenate([self.hashes, unique[fresh]])
-            order = np.argsort(hashes_all)
-            self.hashes = hashes_all[order]
-            self.first = np.concatenate([self.first, base + np.cumsum(size) - size])[order]
-            self.count = np.concatenate([self.count, size])[order]
-            at = np.searchsorted(self.hashes, unique)
-        at = at[back]
-        per_chunk = self.count[at]
-        ids = self.ids[K.spread(self.first[at], per_chunk)]
+        _, where, back = np.unique(hashes, return_index=True, return_inverse=True)
+        raw = buf.tobytes()
+        new = self.encode_chunks([raw[a:b].decode("utf-8", "replace") for a, b in zip(start[where].tolist(), end[where].tolist(), strict=True)])
+        size = np.fromiter(map(len, new), np.int64, len(new))
+        flat = np.fromiter((i for x in new for i in x), np.uint32, int(size.sum()))
+        per_chunk = size[back]
+        ids = flat[K.spread((np.cumsum(size) - size)[back], per_chunk)]
         total = np.concatenate([[0], np.cumsum(per_chunk)])
-        per_doc = np.diff(total[np.searchsorted(start, off)])
-        if len(self.hashes) > CACHE_CHUNKS:
-            self.clear()
-        return ids, per_doc
+        return ids, np.diff(total[np.searchsorted(start, off)])
 
 
 @lru_cache(maxsize=2)
@@ -101,7 +123,7 @@ def tokens_of(column, path: str):
     """(ids with the end id, number of ids) of each document of an Arrow text column."""
     buf, off = K.text_bytes(column)
     encoder = chunk_tokenizer(path)
-    for i, j in K.slices(off, TOKENIZE_BYTES):
+    for i, j in K.slices(off):
         ids, per = encoder.encode(buf[off[i] : off[j]], off[i : j + 1] - off[i])
         edges = np.concatenate([[0], np.cumsum(per)])
         for k in range(j - i):

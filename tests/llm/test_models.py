@@ -81,7 +81,7 @@ def test_best_two_fit_replaces_the_smallest():
         for x in fill:
             packed[x] = packed.get(x, 0) + times
     assert packed == {k: v for k, v in counts.items() if v}
-    assert sum(t for t, _ in plan) <= sum(k * v for k, v in counts.items()) / 100 * 1.02 + 1
+    assert sum(t for t, _ in plan) <= sum(k * v for k, v in counts.items()) / 100 * 1.04 + 1
 
 
 def test_packing_with_ids_round_trips(spark):
