@@ -1,11 +1,333 @@
-"""The registered queries over the shared tables, with their SQL counterparts."""
+"""The registered queries over the shared tables, with their SQL counterparts.
+
+The tables hold no ideographs, so the segmenter's queries read their texts with
+ASCII letters turned into ideographs, in both engines alike.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import charclass as C
+from ..functions import text as T
+from ..operators import lexicon as L
+from ..operators import segment as S
+from ..sources import dumps
+from ..storage import materialise
+from ..streaming import pipe
+from . import train as training
+
+#: Least count of a seed word, and of an eligible word when pruning.
+SEED, LEAST, TARGET = 200, 15, 300
+CHAR_LEAST = 2000
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "documents").select("doc_id", "text")
+
+
+def _han(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _documents(spark, sf_dir).withColumn("text", T.hanify(F.col("text")))
+
+
+def _model(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Chunk counts and the seed lexicon, kept for what reads them several times."""
+    chunks = materialise(S.chunk_counts(_han(spark, sf_dir)))
+    return chunks, materialise(L.seed_lexicon(S.runs_of(chunks), SEED))
+
+
+def normalize_spaces(spark, sf_dir):
+    return _documents(spark, sf_dir).select("doc_id", T.normalize_spaces(F.concat(F.lit("  "), "text", F.lit("  "))).alias("text"))
+
+
+def pretokenize_counts(spark, sf_dir):
+    return S.chunk_counts(_documents(spark, sf_dir)).select("chunk", "n")
+
+
+def token_kind_counts(spark, sf_dir):
+    chunks = S.chunk_counts(_han(spark, sf_dir))
+    return chunks.groupBy(T.token_kind(F.col("chunk")).alias("kind")).agg(F.sum("n").alias("n"), F.count("*").alias("n_distinct"))
+
+
+def split_punct(spark, sf_dir):
+    return S.punct_segments(_han(spark, sf_dir))
+
+
+def split_han_runs(spark, sf_dir):
+    parts = _han(spark, sf_dir).select(F.explode(T.split_script(F.col("text"))).alias("segment"))
+    return parts.groupBy("segment").agg(F.count("*").alias("n")).withColumn("script", F.col("segment").rlike(rf"^{C.one(C.SCRIPT)}"))
+
+
+def valid_word_count(spark, sf_dir):
+    return S.recount(_documents(spark, sf_dir), line_col="text")
+
+
+def clean_text(spark, sf_dir):
+    marked = F.concat(F.lit("# Heading\n\n"), "text", F.lit("\n##  Part　two\n \t"), "text", F.lit(" \n"))
+    return _documents(spark, sf_dir).select("doc_id", T.clean_text(marked).alias("text"))
+
+
+def sentence_split(spark, sf_dir):
+    rows = _documents(spark, sf_dir).select("doc_id", F.translate("text", ".!?", "。！？").alias("text"))
+    return rows.select("doc_id", F.posexplode(T.sentences(F.col("text"))).alias("sent_no", "sentence")).withColumn("sent_no", F.col("sent_no").cast("bigint"))
+
+
+def char_count(spark, sf_dir):
+    return L.char_counts(_han(spark, sf_dir))
+
+
+def seed_lexicon(spark, sf_dir):
+    return L.seed_lexicon(S.runs_of(S.chunk_counts(_han(spark, sf_dir))), SEED)
+
+
+def lexicon_char_filter(spark, sf_dir):
+    return L.filter_by_chars(seed_lexicon(spark, sf_dir), char_count(spark, sf_dir), CHAR_LEAST)
+
+
+def lexicon_add_singles(spark, sf_dir):
+    return L.add_single_chars(lexicon_char_filter(spark, sf_dir), char_count(spark, sf_dir))
+
+
+def _titles(spark, sf_dir):
+    return _documents(spark, sf_dir).select(F.explode(F.split(T.hanify(F.translate("text", ",.", "·")), "[ \n]+")).alias("word"))
+
+
+def lexicon_union_filter(spark, sf_dir):
+    titles = _titles(spark, sf_dir)
+    pairs = _table(spark, sf_dir, "part").select(T.hanify(F.substring("p_brand", 1, 3)).alias("source"), T.hanify(F.substring("p_type", 1, 3)).alias("target"))
+    return L.union_words(L.title_words(titles), L.pure_words(titles, 4), L.redirect_words(pairs), None)
+
+
+def constituent_chars(spark, sf_dir):
+    return L.with_constituents(lexicon_union_filter(spark, sf_dir))
+
+
+def title_prefix_suppress(spark, sf_dir):
+    return L.good_titles(_titles(spark, sf_dir), "word")
+
+
+def lattice_edges(spark, sf_dir):
+    chunks, lexicon = _model(spark, sf_dir)
+    edges = S.lattice(S.runs_of(chunks), L.word_scores(lexicon), 4)
+    return edges.select("chunk", F.col("pos").cast("bigint").alias("pos"), F.col("len").cast("bigint").alias("len"), F.round("lp", 6).alias("lp"))
+
 
-def queries() -> dict:
-    return {}
+def viterbi_cut(spark, sf_dir):
+    chunks, lexicon = _model(spark, sf_dir)
+    return S.cut_runs(S.runs_of(chunks), lexicon).select("chunk", F.array_join("tokens", " ").alias("tokens"))
+
+
+def viterbi_cut_native(spark, sf_dir):
+    chunks, lexicon = _model(spark, sf_dir)
+    return S.cut_runs(S.runs_of(chunks), lexicon, engine="native").select("chunk", F.array_join("tokens", " ").alias("tokens"))
+
+
+def cut_token_counts(spark, sf_dir):
+    return S.token_counts(*_model(spark, sf_dir))
+
+
+def cut_documents(spark, sf_dir):
+    docs = _han(spark, sf_dir)
+    return S.cut(docs, _model(spark, sf_dir)[1]).select("doc_id", F.array_join("tokens", " ").alias("tokens"))
+
+
+def longest_match_cut(spark, sf_dir):
+    segments = materialise(S.punct_segments(_han(spark, sf_dir)).where("not delimiter"))
+    return S.match_segments(segments, _model(spark, sf_dir)[1]).select("chunk", F.array_join("tokens", " ").alias("tokens"))
+
+
+def cold_start_counts(spark, sf_dir):
+    return S.match_counts(_han(spark, sf_dir), _model(spark, sf_dir)[1])
+
+
+def word_loss(spark, sf_dir):
+    return S.word_loss(*_model(spark, sf_dir)).select("word", F.round("loss", 4).alias("loss"), "cnt")
+
+
+def prune_keep(spark, sf_dir):
+    chunks, lexicon = _model(spark, sf_dir)
+    return L.keep_by_loss(materialise(S.word_loss(chunks, lexicon)), lexicon, TARGET, LEAST)
+
+
+def em_one_iteration(spark, sf_dir):
+    return training.em_step(*_model(spark, sf_dir))
+
+
+def em_train(spark, sf_dir):
+    return training.train(_han(spark, sf_dir), _model(spark, sf_dir)[1].select("word"), TARGET, 2, LEAST)
+
+
+def _dumps(spark, sf_dir):
+    """Orders as a redirect dump and customers as a page dump, one INSERT line each."""
+    quoted = lambda c: F.concat(F.lit("'"), F.replace(F.replace(F.col(c), F.lit(" "), F.lit("_")), F.lit("#"), F.lit("\\'")), F.lit("'"))
+    pages = _table(spark, sf_dir, "customer").select(F.concat(F.lit("INSERT INTO `page` VALUES ("), "c_custkey", F.lit(","), F.pmod("c_custkey", F.lit(3)), F.lit(","), quoted("c_name"), F.lit(",0,'x,)y');")).alias("value"))
+    redirects = _table(spark, sf_dir, "orders").select(F.concat(F.lit("INSERT INTO `redirect` VALUES ("), "o_custkey", F.lit(","), F.pmod("o_orderkey", F.lit(2)), F.lit(","), quoted("o_orderpriority"), F.lit(",'',''),(0,4,'no','','');")).alias("value"))
+    return pages, redirects
+
+
+def mysql_tuple_parse(spark, sf_dir):
+    return dumps.insert_tuples(_dumps(spark, sf_dir)[0]).select(F.array_join("fields", "|").alias("fields"))
+
+
+def redirect_join(spark, sf_dir):
+    pages, redirects = map(dumps.insert_tuples, _dumps(spark, sf_dir))
+    return dumps.redirect_pairs(dumps.pages(pages), dumps.redirects(redirects))
+
+
+def wikitext_words(spark, sf_dir):
+    pages = _documents(spark, sf_dir).select(F.concat(F.lit("{{a|{{b}}}}\n* '''"), F.element_at(F.split("text", r"[\s'{}]+"), 1), F.lit("/x(y)'''：'''ab''' '''"), F.element_at(F.split("text", r"[\s'{}]+"), -1), F.lit("'''\n no '''list'''")).alias("source"))
+    return dumps.list_words(pages)
+
+
+def stream_cut(spark, sf_dir):
+    """The benchmark texts as a stream of files, cut and written once, then read again."""
+    import uuid
+
+    from ..storage import shared_folder
+
+    folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    lexicon = _model(spark, sf_dir)[1]
+    source = spark.readStream.schema("item_id bigint, text string").parquet(f"{sf_dir}/benchmark*.parquet")
+    lines = source.select("item_id", T.hanify(F.col("text")).alias("value"))
+    cut = pipe.cut_stream(lines, lexicon).select("item_id", F.array_join("tokens", " ").alias("tokens"))
+    cut.writeStream.format("parquet").option("checkpointLocation", f"{folder}/log").trigger(availableNow=True).start(f"{folder}/out").awaitTermination()
+    return spark.read.schema("item_id bigint, tokens string").parquet(f"{folder}/out")
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    every = (
+        normalize_spaces, pretokenize_counts, token_kind_counts, split_punct, split_han_runs, valid_word_count, clean_text, sentence_split, char_count, seed_lexicon,
+        lexicon_char_filter, lexicon_add_singles, lexicon_union_filter, constituent_chars, title_prefix_suppress, lattice_edges, viterbi_cut, viterbi_cut_native, cut_token_counts,
+        cut_documents, longest_match_cut, cold_start_counts, word_loss, prune_keep, em_one_iteration, em_train, mysql_tuple_parse, redirect_join, wikitext_words, stream_cut,
+    )
+    return {f.__name__: f for f in every}
+
+
+# SQL counterparts, built from shared common table expressions
+
+
+def _norm(text: str) -> str:
+    return f"regexp_replace(regexp_replace(regexp_replace({text}, '^ +', ''), ' +', '{C.SPACE_MARK}', 'g'), '{C.SPACE_MARK}\\z', '')"
+
+
+def _quoted(pattern: str) -> str:
+    return "'" + pattern.replace("'", "''") + "'"
+
+
+HAN_SQL = f"translate(text, '{T.LATIN}', '{T.HANIFIED * 2}')"
+PURE_SQL = f"regexp_full_match({{}}, '{C.one(C.PURE)}+')"
+
+
+def _chunks(text: str) -> str:
+    return f"c0 AS (SELECT unnest(regexp_extract_all({_norm(text)}, {_quoted(C.PRETOKEN)}, 1)) AS chunk FROM documents), chunks AS (SELECT chunk, count(*) AS n, regexp_matches(chunk, '^{C.one(C.HAN)}') AS han FROM c0 GROUP BY chunk)"
+
+
+RUNS = f"{_chunks(HAN_SQL)}, runs AS (SELECT chunk, n FROM chunks WHERE han)"
+LEXICON = f"""{RUNS},
+lex AS (SELECT substr(chunk, i, k) AS word, sum(n)::BIGINT AS freq FROM runs, unnest(range(1, length(chunk) + 1)) AS a(i), unnest(range(1, 5)) AS b(k)
+        WHERE i + k - 1 <= length(chunk) GROUP BY 1 HAVING sum(n) >= {SEED} OR length(word) = 1)"""
+EDGES = f"""{LEXICON},
+tot AS (SELECT sum(freq)::DOUBLE AS total FROM lex),
+scored AS (SELECT word, ln(greatest(freq, 1) / total) AS lp FROM lex, tot),
+edges AS (SELECT chunk, i AS pos, k AS len, coalesce(lp, ln(1 / total)) AS lp
+          FROM runs CROSS JOIN unnest(range(1, length(chunk) + 1)) AS a(i) CROSS JOIN unnest(range(1, 5)) AS b(k) CROSS JOIN tot LEFT JOIN scored ON word = substr(chunk, i, k)
+          WHERE i + k - 1 <= length(chunk) AND (lp IS NOT NULL OR k = 1))"""
+BACK = f"""{EDGES},
+bw(chunk, p, s, nx) AS (
+  SELECT chunk, length(chunk) + 1, [1.0::DOUBLE], []::BIGINT[] FROM runs
+  UNION ALL
+  SELECT b.chunk, b.p - 1, list_prepend(max(e.lp + b.s[e.len]), any_value(b.s)), list_prepend(arg_max(e.len, (e.lp + b.s[e.len], -e.len)), any_value(b.nx))
+  FROM bw b JOIN edges e ON e.chunk = b.chunk AND e.pos = b.p - 1 GROUP BY b.chunk, b.p),
+best AS (SELECT chunk, s, nx FROM bw WHERE p = 1),
+walk(chunk, nx, at, tokens) AS (
+  SELECT chunk, nx, 1::BIGINT, []::VARCHAR[] FROM best
+  UNION ALL
+  SELECT chunk, nx, at + nx[at], list_append(tokens, substr(chunk, at, nx[at])) FROM walk WHERE at <= length(chunk)),
+cuts AS (SELECT chunk, tokens FROM walk WHERE at > length(chunk))"""
+COUNTED = f"""{BACK},
+counted AS (SELECT word, sum(n)::BIGINT AS freq FROM (SELECT unnest(coalesce(tokens, [chunk])) AS word, n FROM chunks LEFT JOIN cuts USING (chunk)) WHERE regexp_matches(word, '[^ \\t\\n\\r]') GROUP BY word)"""
+LOSS = f"""{BACK},
+fw(chunk, p, f) AS (
+  SELECT chunk, 1::BIGINT, [0.0::DOUBLE] FROM runs
+  UNION ALL
+  SELECT b.chunk, b.p + 1, list_append(any_value(b.f), max(b.f[e.pos] + e.lp)) FROM fw b JOIN edges e ON e.chunk = b.chunk AND e.pos + e.len = b.p + 1 GROUP BY b.chunk, b.p),
+ends AS (SELECT chunk, f FROM fw WHERE p = length(chunk) + 1),
+path(chunk, nx, at, len) AS (
+  SELECT chunk, nx, 1::BIGINT, nx[1] FROM best
+  UNION ALL
+  SELECT chunk, nx, at + len, nx[at + len] FROM path WHERE at + len <= length(chunk)),
+alt AS (SELECT q.chunk, q.at, q.len, max(f[e.pos] + e.lp + s[e.pos + e.len]) AS other
+        FROM path q JOIN edges e ON e.chunk = q.chunk AND e.pos <= q.at AND q.at < e.pos + e.len AND NOT (e.pos = q.at AND e.len = q.len) JOIN best ON best.chunk = q.chunk JOIN ends ON ends.chunk = q.chunk
+        WHERE q.len > 1 GROUP BY ALL),
+lost AS (SELECT substr(q.chunk, q.at, q.len) AS word, CASE WHEN q.len = 1 THEN e.lp - ln(1 / total) ELSE best.s[1] - alt.other END AS loss, n
+         FROM path q JOIN runs ON runs.chunk = q.chunk JOIN best ON best.chunk = q.chunk JOIN tot ON true JOIN edges e ON e.chunk = q.chunk AND e.pos = q.at AND e.len = q.len LEFT JOIN alt ON alt.chunk = q.chunk AND alt.at = q.at),
+losses AS (SELECT word, coalesce(sum(n * loss), 0) AS loss, coalesce(sum(n), 0)::BIGINT AS cnt FROM lex LEFT JOIN lost USING (word) GROUP BY word)"""
+SEGMENTS = f"segs AS (SELECT chunk, count(*) AS n, regexp_matches(chunk, '^{C.one(C.PUNCT)}') AS delimiter FROM (SELECT unnest(regexp_extract_all({HAN_SQL}, {_quoted(C.PUNCT_SPLIT)}, 1)) AS chunk FROM documents) GROUP BY chunk)"
+MATCHED = f"""{LEXICON}, {SEGMENTS},
+longest AS (SELECT chunk, i, max(CASE WHEN word IS NULL THEN 1 ELSE k END) AS len
+            FROM segs CROSS JOIN unnest(range(1, length(chunk) + 1)) AS a(i) CROSS JOIN unnest(range(1, 5)) AS b(k) LEFT JOIN lex ON word = substr(chunk, i, k) AND i + k - 1 <= length(chunk)
+            WHERE NOT delimiter GROUP BY chunk, i),
+steps AS (SELECT chunk, list(len ORDER BY i) AS nx FROM longest GROUP BY chunk),
+mwalk(chunk, nx, at, tokens) AS (
+  SELECT chunk, nx, 1::BIGINT, []::VARCHAR[] FROM steps
+  UNION ALL
+  SELECT chunk, nx, at + nx[at], list_append(tokens, substr(chunk, at, nx[at])) FROM mwalk WHERE at <= length(chunk)),
+matches AS (SELECT chunk, tokens FROM mwalk WHERE at > length(chunk))"""
+STRIP_SQL = f"regexp_replace({{}}, '{C.STRIP}', '', 'g')"
+CHARS = f"chars AS (SELECT ch, count(*) AS cnt FROM (SELECT unnest(string_split({HAN_SQL}, '')) AS ch FROM documents) WHERE {PURE_SQL.format('ch')} GROUP BY ch)"
+FILTERED = f"{LEXICON}, {CHARS}, rare AS (SELECT DISTINCT word FROM (SELECT word, unnest(string_split(word, '')) AS ch FROM lex) LEFT JOIN chars USING (ch) WHERE coalesce(cnt, 0) < {CHAR_LEAST}), kept AS (SELECT word FROM lex ANTI JOIN rare USING (word))"
+TITLES = f"titles AS (SELECT unnest(regexp_split_to_array(translate(translate(text, ',.', '·'), '{T.LATIN}', '{T.HANIFIED * 2}'), '[ \\n]+')) AS word FROM documents)"
+UNION = f"""{TITLES},
+parts AS (SELECT unnest(string_split(word, '·')) AS part, contains(word, '·') AS dotted FROM titles),
+sides AS (SELECT unnest([translate(substr(p_brand, 1, 3), '{T.LATIN}', '{T.HANIFIED * 2}'), translate(substr(p_type, 1, 3), '{T.LATIN}', '{T.HANIFIED * 2}')]) AS word FROM part),
+united AS (SELECT part AS word FROM parts WHERE {PURE_SQL.format("part")} AND length(part) <= CASE WHEN dotted THEN 4 ELSE 3 END
+           UNION SELECT word FROM titles WHERE {PURE_SQL.format("word")} AND length(word) <= 4 UNION SELECT word FROM sides WHERE {PURE_SQL.format("word")} AND length(word) <= 3)"""
+CLEAN = "'# Heading' || chr(10) || chr(10) || text || chr(10) || '##  Part' || chr(12288) || 'two' || chr(10) || ' ' || chr(9) || text || chr(160) || chr(10)"
+PAGE_NAME = "replace(c_name, '#', '''')"
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    sentences = f"list_filter(list_transform(regexp_extract_all(translate(text, '.!?', '。！？'), '{C.SENTENCE}'), lambda s: {STRIP_SQL.format('s')}), lambda s: s <> '')"
+    return {
+        "normalize_spaces": f"SELECT doc_id, {_norm("('  ' || text || '  ')")} AS text FROM documents",
+        "pretokenize_counts": f"WITH {_chunks('text')} SELECT chunk, n FROM chunks",
+        "token_kind_counts": f"WITH {_chunks(HAN_SQL)} SELECT CASE WHEN starts_with(chunk, '{C.SPACE_MARK}') THEN 'space' WHEN han THEN 'han' WHEN regexp_matches(chunk, '^{C.one(C.DIGIT)}') THEN 'digit' WHEN regexp_matches(chunk, '^{C.one(C.LETTER)}') THEN 'letter' ELSE 'punct' END AS kind, sum(n)::BIGINT AS n, count(*) AS n_distinct FROM chunks GROUP BY 1",
+        "split_punct": f"WITH {SEGMENTS} SELECT chunk, n, delimiter FROM segs",
+        "split_han_runs": f"SELECT segment, count(*) AS n, regexp_matches(segment, '^{C.one(C.SCRIPT)}') AS script FROM (SELECT unnest(regexp_extract_all({HAN_SQL}, {_quoted(C.SCRIPT_SPLIT)}, 1)) AS segment FROM documents) GROUP BY segment",
+        "valid_word_count": "SELECT word, count(*) AS freq FROM (SELECT unnest(string_split(text, ' ')) AS word FROM documents) WHERE regexp_matches(word, '[^ \\t\\n\\r]') GROUP BY word",
+        "clean_text": f"SELECT doc_id, regexp_replace({STRIP_SQL.format(f"regexp_replace({CLEAN}, '(?m){C.HEADING}', '', 'g')")}, '{C.one(C.BLANK)}+', ' ', 'g') AS text FROM documents",
+        "sentence_split": f"SELECT doc_id, i - 1 AS sent_no, s[i] AS sentence FROM (SELECT doc_id, {sentences} AS s FROM documents), unnest(range(1, len(s) + 1)) AS u(i)",
+        "char_count": f"WITH {CHARS} SELECT ch, cnt FROM chars",
+        "seed_lexicon": f"WITH {LEXICON} SELECT word, freq FROM lex",
+        "lexicon_char_filter": f"WITH {FILTERED} SELECT word FROM kept",
+        "lexicon_add_singles": f"WITH {FILTERED} SELECT word FROM kept UNION SELECT ch FROM chars WHERE ch BETWEEN '一' AND chr(40959)",
+        "lexicon_union_filter": f"WITH {UNION} SELECT word FROM united",
+        "constituent_chars": f"WITH {UNION} SELECT word FROM united UNION SELECT unnest(string_split(word, '')) FROM united WHERE length(word) > 1",
+        "title_prefix_suppress": f"WITH {TITLES}, good AS (SELECT DISTINCT word AS title FROM titles WHERE regexp_full_match(word, '(?:{C.one(C.TITLE)}{C.one(C.VARIATION)}?)+') AND length(word) >= 2 AND NOT ends_with(word, '列表') AND NOT ends_with(word, '对照表')) SELECT title FROM good a WHERE NOT EXISTS (SELECT 1 FROM (SELECT DISTINCT g.title AS t FROM good g, unnest(range(4, length(g.title))) AS u(k) JOIN good p ON p.title = substr(g.title, 1, k)) x WHERE x.t = a.title)",
+        "lattice_edges": f"WITH {EDGES} SELECT chunk, pos, len, round(lp, 6) AS lp FROM edges",
+        "viterbi_cut": f"WITH RECURSIVE {BACK} SELECT chunk, array_to_string(tokens, ' ') AS tokens FROM cuts",
+        "viterbi_cut_native": f"WITH RECURSIVE {BACK} SELECT chunk, array_to_string(tokens, ' ') AS tokens FROM cuts",
+        "cut_token_counts": f"WITH RECURSIVE {COUNTED} SELECT word, freq FROM counted",
+        "cut_documents": f"WITH RECURSIVE {BACK}, d AS (SELECT doc_id, i, l[i] AS chunk FROM (SELECT doc_id, regexp_extract_all({_norm(HAN_SQL)}, {_quoted(C.PRETOKEN)}, 1) AS l FROM documents), unnest(range(1, len(l) + 1)) AS u(i)) SELECT doc_id, string_agg(coalesce(array_to_string(tokens, ' '), chunk), ' ' ORDER BY i) AS tokens FROM d LEFT JOIN cuts USING (chunk) GROUP BY doc_id",
+        "longest_match_cut": f"WITH RECURSIVE {MATCHED} SELECT chunk, array_to_string(tokens, ' ') AS tokens FROM matches",
+        "cold_start_counts": f"WITH RECURSIVE {MATCHED} SELECT word, sum(n)::BIGINT AS freq FROM (SELECT unnest(coalesce(tokens, [chunk])) AS word, n FROM segs LEFT JOIN matches USING (chunk)) SEMI JOIN lex USING (word) GROUP BY word",
+        "word_loss": f"WITH RECURSIVE {LOSS} SELECT word, round(loss, 4) AS loss, cnt FROM losses",
+        "prune_keep": f"WITH RECURSIVE {LOSS}, el AS (SELECT word, loss / sqrt(cnt) / length(word) AS score FROM losses WHERE length(word) > 1 AND cnt >= {LEAST}), k AS (SELECT greatest({TARGET} - (SELECT count(*) FROM lex WHERE length(word) = 1), (SELECT count(*) FROM el) * 75 // 100) AS size) SELECT word FROM lex WHERE length(word) = 1 UNION ALL SELECT word FROM (SELECT word, row_number() OVER (ORDER BY score DESC, word DESC) AS r FROM el), k WHERE r <= size",
+        "em_one_iteration": f"WITH RECURSIVE {COUNTED} SELECT word, counted.freq FROM counted SEMI JOIN lex USING (word)",
+        "mysql_tuple_parse": "SELECT c_custkey || '|' || c_custkey % 3 || '|' || replace(replace(c_name, ' ', '_'), '#', '\\''') || '|0|x,)y' AS fields FROM customer",
+        "redirect_join": f"SELECT {PAGE_NAME} AS source, target FROM customer JOIN (SELECT o_custkey, max(o_orderpriority) AS target FROM orders WHERE o_orderkey % 2 = 0 GROUP BY 1) ON o_custkey = c_custkey WHERE c_custkey % 3 = 0",
+        "wikitext_words": f"SELECT DISTINCT {STRIP_SQL.format(_garbage('w'))} AS word FROM (SELECT {STRIP_SQL.format('unnest(regexp_split_to_array(b, ' + _quoted(dumps.SEPARATORS) + '))')} AS w FROM (SELECT regexp_split_to_array(text, '[\\s''{{}}]+')[1] || '/x(y)' AS b FROM documents UNION ALL SELECT regexp_split_to_array(text, '[\\s''{{}}]+')[-1] FROM documents WHERE length(regexp_split_to_array(text, '[\\s''{{}}]+')[-1]) > 2))",
+    }
+
+
+def _garbage(word: str) -> str:
+    for g in dumps.GARBAGE:
+        word = f"replace({word}, '{g}', '')"
+    return word
