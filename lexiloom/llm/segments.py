@@ -1,7 +1,8 @@
 """Segments of about 2 MB of whole texts, and the search for hashes that occur more than once.
 
-A segment is one row with its documents' ids, lengths and compressed bytes, stored
-in the checkpoint folder. repeats() tells every segment which of its 64-bit
+A segment is one row with its documents' ids, lengths and compressed bytes. It is
+stored in the checkpoint folder, dealt by its number, so that later joins on the
+number move only the small side. repeats() tells every segment which of its 64-bit
 keys occur elsewhere: sorted unique keys are cut into ranges, one blob per segment
 and range, each range is sorted by one task at a time, and only bits come back. A
 key that fills a third of all documents sends one entry per segment.
@@ -18,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .store import materialise, shuffle_partitions
+from .store import materialise_by, shuffle_partitions
 
 SEGMENT_SCHEMA = "doc_ids array<bigint>, lengths binary, digests binary, text binary"
 REPLIES = "array<struct<bucket:int,again:binary,first:binary>>"
@@ -43,7 +44,7 @@ def make_segments(documents: DataFrame, id_col: str = "doc_id", text_col: str =
     """Segments of documents; the columns in carry go along, one struct per document."""
     given = documents.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *([F.struct(*(F.col(c) for c in carry)).alias("carried")] if carry else []))
     schema = SEGMENT_SCHEMA + (f", carried array<{given.schema['carried'].dataType.simpleString()}>" if carry else "")
-    return materialise(given.mapInArrow(_segment_batches, schema).withColumn("seg", F.monotonically_increasing_id()))
+    return materialise_by(given.mapInArrow(_segment_batches, schema).withColumn("seg", F.monotonically_increasing_id()), "seg")
 
 
 class Segment:

@@ -1,24 +1,27 @@
-"""Where intermediate tables are kept so that lost executors cost a re-read, not a re-run."""
+"""Where intermediate tables are kept, and how they are dealt."""
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame
 
+from ..storage import materialise, shared_folder
+
+__all__ = ["materialise", "materialise_by", "shared_folder", "shuffle_partitions", "table"]
 
-def shared_folder(spark) -> str:
-    """The checkpoint folder that the session names; only where it names none (as in tests) a temporary one is set."""
-    context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
-    return context._jsc.sc().getCheckpointDir().get()
 
+def materialise_by(df: DataFrame, key: str) -> DataFrame:
+    """df in the checkpoint folder, dealt by key so that later joins and groups on key needn't move it.
 
-def materialise(df: DataFrame) -> DataFrame:
-    """Write df to the checkpoint folder and cut its lineage."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    A plan that is replanned while it runs doesn't tell its partitioning to what
+    reads its checkpoint, so adaptive execution rests for this one write.
+    """
+    conf = df.sparkSession.conf
+    adaptive = conf.get("spark.sql.adaptive.enabled")
+    conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        return materialise(df.repartition(shuffle_partitions(df), key))
+    finally:
+        conf.set("spark.sql.adaptive.enabled", adaptive)
 
 
 def shuffle_partitions(df: DataFrame) -> int:
