@@ -222,7 +222,16 @@ def _quoted(pattern: str) -> str:
 
 
 HAN_SQL = f"translate(text, '{T.LATIN}', '{T.HANIFIED * 2}')"
-PURE_SQL = f"regexp_full_match({{}}, '{C.one(C.PURE)}+')"
+
+
+def _pure(word: str) -> str:
+    return f"regexp_full_match({word}, '{C.one(C.PURE)}+')"
+
+
+def _strip(text: str) -> str:
+    return f"regexp_replace({text}, '{C.STRIP}', '', 'g')"
+
+
 
 
 def _chunks(text: str) -> str:
@@ -280,21 +289,20 @@ mwalk(chunk, nx, at, tokens) AS (
   UNION ALL
   SELECT chunk, nx, at + nx[at], list_append(tokens, substr(chunk, at, nx[at])) FROM mwalk WHERE at <= length(chunk)),
 matches AS (SELECT chunk, tokens FROM mwalk WHERE at > length(chunk))"""
-STRIP_SQL = f"regexp_replace({{}}, '{C.STRIP}', '', 'g')"
-CHARS = f"chars AS (SELECT ch, count(*) AS cnt FROM (SELECT unnest(string_split({HAN_SQL}, '')) AS ch FROM documents) WHERE {PURE_SQL.format('ch')} GROUP BY ch)"
+CHARS = f"chars AS (SELECT ch, count(*) AS cnt FROM (SELECT unnest(string_split({HAN_SQL}, '')) AS ch FROM documents) WHERE {_pure('ch')} GROUP BY ch)"
 FILTERED = f"{LEXICON}, {CHARS}, rare AS (SELECT DISTINCT word FROM (SELECT word, unnest(string_split(word, '')) AS ch FROM lex) LEFT JOIN chars USING (ch) WHERE coalesce(cnt, 0) < {CHAR_LEAST}), kept AS (SELECT word FROM lex ANTI JOIN rare USING (word))"
 TITLES = f"titles AS (SELECT unnest(regexp_split_to_array(translate(translate(text, ',.', '·'), '{T.LATIN}', '{T.HANIFIED * 2}'), '[ \\n]+')) AS word FROM documents)"
 UNION = f"""{TITLES},
 parts AS (SELECT unnest(string_split(word, '·')) AS part, contains(word, '·') AS dotted FROM titles),
 sides AS (SELECT unnest([translate(substr(p_brand, 1, 3), '{T.LATIN}', '{T.HANIFIED * 2}'), translate(substr(p_type, 1, 3), '{T.LATIN}', '{T.HANIFIED * 2}')]) AS word FROM part),
-united AS (SELECT part AS word FROM parts WHERE {PURE_SQL.format("part")} AND length(part) <= CASE WHEN dotted THEN 4 ELSE 3 END
-           UNION SELECT word FROM titles WHERE {PURE_SQL.format("word")} AND length(word) <= 4 UNION SELECT word FROM sides WHERE {PURE_SQL.format("word")} AND length(word) <= 3)"""
+united AS (SELECT part AS word FROM parts WHERE {_pure("part")} AND length(part) <= CASE WHEN dotted THEN 4 ELSE 3 END
+           UNION SELECT word FROM titles WHERE {_pure("word")} AND length(word) <= 4 UNION SELECT word FROM sides WHERE {_pure("word")} AND length(word) <= 3)"""
 CLEAN = "'# Heading' || chr(10) || chr(10) || text || chr(10) || '##  Part' || chr(12288) || 'two' || chr(10) || ' ' || chr(9) || text || chr(160) || chr(10)"
 PAGE_NAME = "replace(c_name, '#', '''')"
 
 
 def oracle_sql() -> dict[str, str]:
-    sentences = f"list_filter(list_transform(regexp_extract_all(translate(text, '.!?', '。！？'), '{C.SENTENCE}'), lambda s: {STRIP_SQL.format('s')}), lambda s: s <> '')"
+    sentences = f"list_filter(list_transform(regexp_extract_all(translate(text, '.!?', '。！？'), '{C.SENTENCE}'), lambda s: {_strip('s')}), lambda s: s <> '')"
     return {
         "normalize_spaces": f"SELECT doc_id, {_norm("('  ' || text || '  ')")} AS text FROM documents",
         "pretokenize_counts": f"WITH {_chunks('text')} SELECT chunk, n FROM chunks",
@@ -302,7 +310,7 @@ def oracle_sql() -> dict[str, str]:
         "split_punct": f"WITH {SEGMENTS} SELECT chunk, n, delimiter FROM segs",
         "split_han_runs": f"SELECT segment, count(*) AS n, regexp_matches(segment, '^{C.one(C.SCRIPT)}') AS script FROM (SELECT unnest(regexp_extract_all({HAN_SQL}, {_quoted(C.SCRIPT_SPLIT)}, 1)) AS segment FROM documents) GROUP BY segment",
         "valid_word_count": "SELECT word, count(*) AS freq FROM (SELECT unnest(string_split(text, ' ')) AS word FROM documents) WHERE regexp_matches(word, '[^ \\t\\n\\r]') GROUP BY word",
-        "clean_text": f"SELECT doc_id, regexp_replace({STRIP_SQL.format(f"regexp_replace({CLEAN}, '(?m){C.HEADING}', '', 'g')")}, '{C.one(C.BLANK)}+', ' ', 'g') AS text FROM documents",
+        "clean_text": f"SELECT doc_id, regexp_replace({_strip(f"regexp_replace({CLEAN}, '(?m){C.HEADING}', '', 'g')")}, '{C.one(C.BLANK)}+', ' ', 'g') AS text FROM documents",
         "sentence_split": f"SELECT doc_id, i - 1 AS sent_no, s[i] AS sentence FROM (SELECT doc_id, {sentences} AS s FROM documents), unnest(range(1, len(s) + 1)) AS u(i)",
         "char_count": f"WITH {CHARS} SELECT ch, cnt FROM chars",
         "seed_lexicon": f"WITH {LEXICON} SELECT word, freq FROM lex",
@@ -323,7 +331,7 @@ def oracle_sql() -> dict[str, str]:
         "em_one_iteration": f"WITH RECURSIVE {COUNTED} SELECT word, counted.freq FROM counted SEMI JOIN lex USING (word)",
         "mysql_tuple_parse": "SELECT c_custkey || '|' || c_custkey % 3 || '|' || replace(replace(c_name, ' ', '_'), '#', '\\''') || '|0|x,)y' AS fields FROM customer",
         "redirect_join": f"SELECT {PAGE_NAME} AS source, target FROM customer JOIN (SELECT o_custkey, max(o_orderpriority) AS target FROM orders WHERE o_orderkey % 2 = 0 GROUP BY 1) ON o_custkey = c_custkey WHERE c_custkey % 3 = 0",
-        "wikitext_words": f"SELECT DISTINCT {STRIP_SQL.format(_garbage('w'))} AS word FROM (SELECT {STRIP_SQL.format('unnest(regexp_split_to_array(b, ' + _quoted(dumps.SEPARATORS) + '))')} AS w FROM (SELECT regexp_split_to_array(text, '[\\s''{{}}]+')[1] || '/x(y)' AS b FROM documents UNION ALL SELECT regexp_split_to_array(text, '[\\s''{{}}]+')[-1] FROM documents WHERE length(regexp_split_to_array(text, '[\\s''{{}}]+')[-1]) > 2))",
+        "wikitext_words": f"SELECT DISTINCT {_strip(_garbage('w'))} AS word FROM (SELECT {_strip('unnest(regexp_split_to_array(b, ' + _quoted(dumps.SEPARATORS) + '))')} AS w FROM (SELECT regexp_split_to_array(text, '[\\s''{{}}]+')[1] || '/x(y)' AS b FROM documents UNION ALL SELECT regexp_split_to_array(text, '[\\s''{{}}]+')[-1] FROM documents WHERE length(regexp_split_to_array(text, '[\\s''{{}}]+')[-1]) > 2))",
     }
 
 
