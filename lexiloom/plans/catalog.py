@@ -255,11 +255,11 @@ bw(chunk, p, s, nx) AS (
   SELECT b.chunk, b.p - 1, list_prepend(max(e.lp + b.s[e.len]), any_value(b.s)), list_prepend(arg_max(e.len, (e.lp + b.s[e.len], -e.len)), any_value(b.nx))
   FROM bw b JOIN edges e ON e.chunk = b.chunk AND e.pos = b.p - 1 GROUP BY b.chunk, b.p),
 best AS (SELECT chunk, s, nx FROM bw WHERE p = 1),
-walk(chunk, nx, at, tokens) AS (
+walk(chunk, nx, place, tokens) AS (
   SELECT chunk, nx, 1::BIGINT, []::VARCHAR[] FROM best
   UNION ALL
-  SELECT chunk, nx, at + nx[at], list_append(tokens, substr(chunk, at, nx[at])) FROM walk WHERE at <= length(chunk)),
-cuts AS (SELECT chunk, tokens FROM walk WHERE at > length(chunk))"""
+  SELECT chunk, nx, place + nx[place], list_append(tokens, substr(chunk, place, nx[place])) FROM walk WHERE place <= length(chunk)),
+cuts AS (SELECT chunk, tokens FROM walk WHERE place > length(chunk))"""
 COUNTED = f"""{BACK},
 counted AS (SELECT word, sum(n)::BIGINT AS freq FROM (SELECT unnest(coalesce(tokens, [chunk])) AS word, n FROM chunks LEFT JOIN cuts USING (chunk)) WHERE regexp_matches(word, '[^ \\t\\n\\r]') GROUP BY word)"""
 LOSS = f"""{BACK},
@@ -268,15 +268,15 @@ fw(chunk, p, f) AS (
   UNION ALL
   SELECT b.chunk, b.p + 1, list_append(any_value(b.f), max(b.f[e.pos] + e.lp)) FROM fw b JOIN edges e ON e.chunk = b.chunk AND e.pos + e.len = b.p + 1 GROUP BY b.chunk, b.p),
 ends AS (SELECT chunk, f FROM fw WHERE p = length(chunk) + 1),
-path(chunk, nx, at, len) AS (
+path(chunk, nx, place, len) AS (
   SELECT chunk, nx, 1::BIGINT, nx[1] FROM best
   UNION ALL
-  SELECT chunk, nx, at + len, nx[at + len] FROM path WHERE at + len <= length(chunk)),
-alt AS (SELECT q.chunk, q.at, q.len, max(f[e.pos] + e.lp + s[e.pos + e.len]) AS other
-        FROM path q JOIN edges e ON e.chunk = q.chunk AND e.pos <= q.at AND q.at < e.pos + e.len AND NOT (e.pos = q.at AND e.len = q.len) JOIN best ON best.chunk = q.chunk JOIN ends ON ends.chunk = q.chunk
+  SELECT chunk, nx, place + len, nx[place + len] FROM path WHERE place + len <= length(chunk)),
+alt AS (SELECT q.chunk, q.place, q.len, max(f[e.pos] + e.lp + s[e.pos + e.len]) AS other
+        FROM path q JOIN edges e ON e.chunk = q.chunk AND e.pos <= q.place AND q.place < e.pos + e.len AND NOT (e.pos = q.place AND e.len = q.len) JOIN best ON best.chunk = q.chunk JOIN ends ON ends.chunk = q.chunk
         WHERE q.len > 1 GROUP BY ALL),
-lost AS (SELECT substr(q.chunk, q.at, q.len) AS word, CASE WHEN q.len = 1 THEN e.lp - ln(1 / total) ELSE best.s[1] - alt.other END AS loss, n
-         FROM path q JOIN runs ON runs.chunk = q.chunk JOIN best ON best.chunk = q.chunk JOIN tot ON true JOIN edges e ON e.chunk = q.chunk AND e.pos = q.at AND e.len = q.len LEFT JOIN alt ON alt.chunk = q.chunk AND alt.at = q.at),
+lost AS (SELECT substr(q.chunk, q.place, q.len) AS word, CASE WHEN q.len = 1 THEN e.lp - ln(1 / total) ELSE best.s[1] - alt.other END AS loss, n
+         FROM path q JOIN runs ON runs.chunk = q.chunk JOIN best ON best.chunk = q.chunk JOIN tot ON true JOIN edges e ON e.chunk = q.chunk AND e.pos = q.place AND e.len = q.len LEFT JOIN alt ON alt.chunk = q.chunk AND alt.place = q.place),
 losses AS (SELECT word, coalesce(sum(n * loss), 0) AS loss, coalesce(sum(n), 0)::BIGINT AS cnt FROM lex LEFT JOIN lost USING (word) GROUP BY word)"""
 SEGMENTS = f"segs AS (SELECT chunk, count(*) AS n, regexp_matches(chunk, '^{C.one(C.PUNCT)}') AS delimiter FROM (SELECT unnest(regexp_extract_all({HAN_SQL}, {_quoted(C.PUNCT_SPLIT)}, 1)) AS chunk FROM documents) GROUP BY chunk)"
 MATCHED = f"""{LEXICON}, {SEGMENTS},
@@ -284,11 +284,11 @@ longest AS (SELECT chunk, i, max(CASE WHEN word IS NULL THEN 1 ELSE k END) AS le
             FROM segs CROSS JOIN unnest(range(1, length(chunk) + 1)) AS a(i) CROSS JOIN unnest(range(1, 5)) AS b(k) LEFT JOIN lex ON word = substr(chunk, i, k) AND i + k - 1 <= length(chunk)
             WHERE NOT delimiter GROUP BY chunk, i),
 steps AS (SELECT chunk, list(len ORDER BY i) AS nx FROM longest GROUP BY chunk),
-mwalk(chunk, nx, at, tokens) AS (
+mwalk(chunk, nx, place, tokens) AS (
   SELECT chunk, nx, 1::BIGINT, []::VARCHAR[] FROM steps
   UNION ALL
-  SELECT chunk, nx, at + nx[at], list_append(tokens, substr(chunk, at, nx[at])) FROM mwalk WHERE at <= length(chunk)),
-matches AS (SELECT chunk, tokens FROM mwalk WHERE at > length(chunk))"""
+  SELECT chunk, nx, place + nx[place], list_append(tokens, substr(chunk, place, nx[place])) FROM mwalk WHERE place <= length(chunk)),
+matches AS (SELECT chunk, tokens FROM mwalk WHERE place > length(chunk))"""
 CHARS = f"chars AS (SELECT ch, count(*) AS cnt FROM (SELECT unnest(string_split({HAN_SQL}, '')) AS ch FROM documents) WHERE {_pure('ch')} GROUP BY ch)"
 FILTERED = f"{LEXICON}, {CHARS}, rare AS (SELECT DISTINCT word FROM (SELECT word, unnest(string_split(word, '')) AS ch FROM lex) LEFT JOIN chars USING (ch) WHERE coalesce(cnt, 0) < {CHAR_LEAST}), kept AS (SELECT word FROM lex ANTI JOIN rare USING (word))"
 TITLES = f"titles AS (SELECT unnest(regexp_split_to_array(translate(translate(text, ',.', '·'), '{T.LATIN}', '{T.HANIFIED * 2}'), '[ \\n]+')) AS word FROM documents)"
