@@ -16,8 +16,8 @@ SLICE_BYTES = 2 << 20
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
-_MULTIPLIER = 0x9E3779B97F4A7C15
-_INVERSE = pow(_MULTIPLIER, -1, 1 << 64)
+MULTIPLIER = 0x9E3779B97F4A7C15
+_INVERSE = pow(MULTIPLIER, -1, 1 << 64)
 _BYTE = np.random.default_rng(20240229).integers(0, 2**64, 256, dtype=np.uint64)
 _powers: dict[int, np.ndarray] = {}
 
@@ -75,7 +75,7 @@ def powers(base: int, n: int) -> np.ndarray:
 def prefix_hash(buf: np.ndarray, values: np.ndarray = _BYTE) -> np.ndarray:
     """Prefix sums from which span_hash takes the hash of any substring."""
     out = np.zeros(len(buf) + 1, np.uint64)
-    np.cumsum(values[buf] * powers(_MULTIPLIER, len(buf)), out=out[1:])
+    np.cumsum(values[buf] * powers(MULTIPLIER, len(buf)), out=out[1:])
     return out
 
 
