@@ -17,7 +17,7 @@ from lexiloom.llm.queries import tokenizer_path
 from lexiloom.llm.store import shared_folder, table
 
 #: A text of so many letters that is still not like any learned language is rejected.
-LETTERS, SCORE = 200, 0.6
+LETTERS, SCORE = 200, 0.53
 
 
 def _key():

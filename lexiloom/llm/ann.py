@@ -32,11 +32,13 @@ from .store import materialise
 TOP = 20
 SAMPLE_ROWS = 20_000
 SAMPLE_PER_LIST = 256
-PROBED_SHARE = 0.3
+PROBED_SHARE = 0.7
 COLUMN_BLOCK = 16
 EPSILON = 2.1
 BLOCK_ROWS = 16_384
 QUERY_ROWS = 4_096
+#: Candidates and queries in one step of a task, and the share of pairs under which they are computed one by one.
+CHUNK_ROWS, QUERY_CHUNK, SPARSE = 2_048, 256, 0.05
 SEED = 7
 
 
@@ -83,54 +85,76 @@ def _assign(model, probes):
     return run
 
 
-def scan(query: np.ndarray, turned_query: np.ndarray, ids: np.ndarray, vectors: np.ndarray, blocks: list[np.ndarray], norms: np.ndarray, top: int, own: int) -> list[tuple[int, float]]:
-    """The best of one list for one query; blocks holds the rotated vectors' column blocks."""
+def _keep_best(best: tuple[np.ndarray, np.ndarray, np.ndarray], query: np.ndarray, ids: np.ndarray, scores: np.ndarray, top: int):
+    """The first top of each query among the best so far and new candidates; an id counts once, with its best score."""
+    query, ids, scores = (np.concatenate(x) for x in zip(best, (query, ids, scores), strict=True))
+    order = np.lexsort((-scores, ids, query))
+    query, ids, scores = query[order], ids[order], scores[order]
+    once = np.append(True, (query[1:] != query[:-1]) | (ids[1:] != ids[:-1]))[: len(query)]
+    query, ids, scores = query[once], ids[once], scores[once]
+    order = np.lexsort((ids, -scores, query))
+    query, ids, scores = query[order], ids[order], scores[order]
+    rank = np.arange(len(query)) - np.searchsorted(query, query)
+    return query[rank < top], ids[rank < top], scores[rank < top]
+
+
+def scan(asked: np.ndarray, queries: np.ndarray, ids: np.ndarray, vectors: np.ndarray, turn: np.ndarray, top: int):
+    """(query row, id, score) of the best candidates of every query.
+
+    Candidates come in chunks. Partial distances grow by one block of columns after
+    the other; after each block the pairs that fail the test are abandoned, and once
+    few are left only they are computed.
+    """
     dimensions = vectors.shape[1]
-    length = float(turned_query @ turned_query)
-    best_ids, best = np.zeros(0, np.int64), np.zeros(0)
-    step = max(64, 2 * top)
-    at = 0
+    left, right = queries @ turn, vectors @ turn
+    cuts = [slice(m, min(m + COLUMN_BLOCK, dimensions)) for m in range(0, dimensions, COLUMN_BLOCK)]
+    left_blocks = [np.ascontiguousarray(left[:, c]) for c in cuts]
+    lengths, norms = (left**2).sum(1), (right**2).sum(1)
+    best = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+    at, step = 0, 4 * top
     while at < len(ids):
-        alive = np.arange(at, min(at + step, len(ids)))
-        at, step = at + step, min(4 * step, 4096)
-        alive = alive[ids[alive] != own]
-        if len(best) >= top:
-            bound = length + norms[alive] - 2 * best[-1]  # nearer than this means a larger inner product
-            partial, m = np.zeros(len(alive)), 0
-            for block in blocks:
-                width = block.shape[1]
-                partial += ((block[alive] - turned_query[m : m + width]) ** 2).sum(1)
-                m += width
-                slack = (1 + EPSILON / math.sqrt(m)) ** 2 if m < dimensions else 1 + 1e-9
-                live = partial * (dimensions / m) <= bound * slack + 1e-9
-                alive, partial, bound = alive[live], partial[live], bound[live]
-                if not len(alive):
-                    break
-        if len(alive):
-            scores = (vectors[alive] * query).sum(1)
-            all_ids, scores = np.concatenate([best_ids, ids[alive]]), np.concatenate([best, scores])
-            order = np.lexsort((all_ids, -scores))
-            _, lead = np.unique(all_ids[order], return_index=True)
-            order = order[np.sort(lead)][:top]
-            best_ids, best = all_ids[order], scores[order]
-    return list(zip(best_ids.tolist(), best.tolist(), strict=True))
+        rows = slice(at, min(at + step, len(ids)))
+        at, step = rows.stop, CHUNK_ROWS
+        allowed = ids[rows][None, :] != asked[:, None]
+        full = np.bincount(best[0], minlength=len(asked)) >= top
+        last = np.full(len(asked), -np.inf)
+        if len(best[0]):
+            np.minimum.at(worst := np.full(len(asked), np.inf), best[0], best[2])
+            last[full] = worst[full]
+        # nearer than this means a larger inner product than the last one so far
+        bound = lengths[:, None] + norms[rows][None, :] - 2 * last[:, None]
+        partial, pairs = np.zeros(bound.shape), None
+        for k, cut in enumerate(cuts):
+            block, m = right[rows, cut], cut.stop
+            slack = (1 + EPSILON / math.sqrt(m)) ** 2 * m / dimensions if m < dimensions else 1 + 1e-9
+            if pairs is None:
+                partial += (left_blocks[k] ** 2).sum(1)[:, None] + (block**2).sum(1)[None, :] - 2 * left_blocks[k] @ block.T
+                live = (partial <= bound * slack + 1e-9) & allowed
+                if m == dimensions or live.mean() < SPARSE:
+                    pairs = np.nonzero(live)
+                    partial, bound = partial[pairs], bound[pairs]
+            else:
+                partial = partial + ((left_blocks[k][pairs[0]] - block[pairs[1]]) ** 2).sum(1)
+                good = partial <= bound * slack + 1e-9
+                pairs, partial, bound = (pairs[0][good], pairs[1][good]), partial[good], bound[good]
+        near = pairs[1] + rows.start
+        best = _keep_best(best, pairs[0], ids[near], (queries[pairs[0]] * vectors[near]).sum(1), top)
+    return best
 
 
 def _search_group(top, turn):
     def run(index: pa.Table, queries: pa.Table) -> pa.Table:
-        out: list[tuple[int, int, float]] = []
+        out = []
         if index.num_rows and queries.num_rows:
             ids = np.asarray(index["vec_id"].combine_chunks())
             vectors = np.asarray(index["vec"].combine_chunks().flatten()).reshape(len(ids), -1)
-            turned = vectors @ turn
-            blocks = [np.ascontiguousarray(turned[:, m : m + COLUMN_BLOCK]) for m in range(0, turned.shape[1], COLUMN_BLOCK)]
-            norms = (turned**2).sum(1)
             asked = np.asarray(queries["vec_id"].combine_chunks())
             vecs = np.asarray(queries["vec"].combine_chunks().flatten()).reshape(len(asked), -1)
-            for q, v in zip(asked, vecs, strict=True):
-                out += [(int(q), i, s) for i, s in scan(v, v @ turn, ids, vectors, blocks, norms, top, int(q))]
-        columns = list(zip(*out, strict=True)) if out else [(), (), ()]
-        return pa.table([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.float64())], names=["query_id", "vec_id", "score"])
+            for q in range(0, len(asked), QUERY_CHUNK):
+                own, found, scores = scan(asked[q : q + QUERY_CHUNK], vecs[q : q + QUERY_CHUNK], ids, vectors, turn, top)
+                out.append((asked[q : q + QUERY_CHUNK][own], found, scores))
+        columns = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.zeros(0)] * 3
+        return pa.table([pa.array(c.astype(t)) for c, t in zip(columns, (np.int64, np.int64, np.float64), strict=True)], names=["query_id", "vec_id", "score"])
 
     return run
 
