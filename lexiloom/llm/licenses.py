@@ -79,7 +79,8 @@ def window_hits(hashes: Column, width: int, band: int, wanted: list[int]) -> Col
     """Windows of a document whose MinHash is one of the wanted ones: (at, width, band, key)."""
 
     def key(i):
-        return F.get(hashes, i) if width == 1 else F.array_min(F.slice(hashes, i + 1, width))
+        each = [F.get(hashes, i + k) for k in range(width)]
+        return F.least(*each) if width > 1 else each[0]
 
     places = F.filter(F.sequence(F.lit(0), F.size(hashes) - width), lambda i: key(i).isin(wanted))
     places = F.when(F.size(hashes) >= width, places).otherwise(F.array().cast("array<int>"))
@@ -96,8 +97,9 @@ def template_keys(templates: DataFrame) -> list[tuple[int, int, int, str]]:
     """(width, band, MinHash, license) of every window of every template: a table of the template library's size."""
     parts = []
     for band in range(BANDS):
+        # a window shorter than WINDOW is a whole template: it is there or not, one band tells
         base = templates.select("license", banded("hashes", band).alias("hashes"), F.least(F.size("hashes"), F.lit(WINDOW)).alias("width"))
-        for width in range(1, WINDOW + 1):
+        for width in range(1 if band == 0 else WINDOW, WINDOW + 1):
             own = base.where(F.col("width") == width).select("license", F.lit(width).alias("width"), F.lit(band).alias("band"), F.explode(window_minima("hashes", width)).alias("w"))
             parts.append(own.select("width", "band", F.col("w.key").alias("key"), "license"))
     return [tuple(r) for r in reduce(DataFrame.unionByName, parts).distinct().collect()]
