@@ -26,8 +26,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .store import materialise
+
 FEW = 5
 SHARE = 0.6
+#: Up to so many hosts (of at most a few hundred bytes) the templates are broadcast.
+BROADCAST_HOSTS = 100_000
 
 # Names of HTML elements.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -216,13 +220,12 @@ def _extract_batches(batches):
 
 def extract_pages(pages: DataFrame) -> DataFrame:
     """Per page: page_id, url, text and n_chars."""
-    from .store import materialise
-
     templates = materialise(deduce_templates(pages))
     general = templates.where("host = '*'").first()
     own = templates.where((F.col("host") != "*") & (F.col("n_pages") >= FEW)).select("host", "slot")
     host = F.lower(F.regexp_extract(F.coalesce(F.col("url").cast("string"), F.lit("")), r"^\s*(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//([^/?#\s]+)", 1))
     given = pages.select(F.col("page_id").cast("bigint").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"), host.alias("host"))
-    # Spark broadcasts the templates only under its own size limit
-    joined = given.join(own, "host", "left").select("page_id", "url", "html", F.coalesce("slot", F.lit(general["slot"] if general else None).cast("string")).alias("slot"))
+    # one short row a host; with more hosts than that the pages are joined by host, and Spark splits the large ones
+    side = F.broadcast(own) if own.count() <= BROADCAST_HOSTS else own
+    joined = given.join(side, "host", "left").select("page_id", "url", "html", F.coalesce("slot", F.lit(general["slot"] if general else None).cast("string")).alias("slot"))
     return joined.mapInArrow(_extract_batches, "page_id bigint, url string, text string, n_chars bigint")
