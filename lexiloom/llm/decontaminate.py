@@ -201,3 +201,20 @@ def contamination(documents: DataFrame, benchmark: DataFrame, width: int = WINDO
         (hit > 0).alias("contaminated"),
         "spans",
     )
+
+
+def oracle_sql(width: int = WINDOW) -> str:
+    """The contract in SQL: all windows of all documents joined with those of the items."""
+    words = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {words} AS w FROM documents),
+b AS (SELECT item_id::VARCHAR AS item, {words} AS w FROM benchmark),
+win AS (SELECT DISTINCT item, least(len(w), {width}) AS n, array_to_string(w[i:i + least(len(w), {width}) - 1], ' ') AS s
+        FROM b, unnest(range(1, greatest(len(w) - {width - 2}, 2))) AS u(i) WHERE len(w) > 0),
+dw AS (SELECT r, i, n, array_to_string(w[i:i + n - 1], ' ') AS s FROM d, (SELECT DISTINCT n FROM win) AS z, unnest(range(1, len(w) - n + 2)) AS u(i)),
+h AS (SELECT r, i, n, item FROM dw JOIN win USING (s, n)),
+c AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(i, i + n)) AS p FROM h) GROUP BY r),
+k AS (SELECT r, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS items FROM h GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN c USING (r) LEFT JOIN k USING (r)
+"""
