@@ -248,30 +248,31 @@ scored AS (SELECT word, ln(greatest(freq, 1) / total) AS lp FROM lex, tot),
 edges AS (SELECT chunk, i AS pos, k AS len, coalesce(lp, ln(1 / total)) AS lp
           FROM runs CROSS JOIN unnest(range(1, length(chunk) + 1)) AS a(i) CROSS JOIN unnest(range(1, 5)) AS b(k) CROSS JOIN tot LEFT JOIN scored ON word = substr(chunk, i, k)
           WHERE i + k - 1 <= length(chunk) AND (lp IS NOT NULL OR k = 1))"""
-BACK = f"""{EDGES},
+BEST = f"""{EDGES},
 bw(chunk, p, s, nx) AS (
   SELECT chunk, length(chunk) + 1, [1.0::DOUBLE], []::BIGINT[] FROM runs
   UNION ALL
   SELECT b.chunk, b.p - 1, list_prepend(max(e.lp + b.s[e.len]), any_value(b.s)), list_prepend(arg_max(e.len, (e.lp + b.s[e.len], -e.len)), any_value(b.nx))
   FROM bw b JOIN edges e ON e.chunk = b.chunk AND e.pos = b.p - 1 GROUP BY b.chunk, b.p),
-best AS (SELECT chunk, s, nx FROM bw WHERE p = 1),
+best AS (SELECT chunk, s, nx FROM bw WHERE p = 1)"""
+PATH = """path(chunk, nx, place, len) AS (
+  SELECT chunk, nx, 1::BIGINT, nx[1] FROM best
+  UNION ALL
+  SELECT chunk, nx, place + len, nx[place + len] FROM path WHERE place + len <= length(chunk))"""
+BACK = f"""{BEST},
 walk(chunk, nx, place, tokens) AS (
   SELECT chunk, nx, 1::BIGINT, []::VARCHAR[] FROM best
   UNION ALL
   SELECT chunk, nx, place + nx[place], list_append(tokens, substr(chunk, place, nx[place])) FROM walk WHERE place <= length(chunk)),
 cuts AS (SELECT chunk, tokens FROM walk WHERE place > length(chunk))"""
-COUNTED = f"""{BACK},
-counted AS (SELECT word, sum(n)::BIGINT AS freq FROM (SELECT unnest(coalesce(tokens, [chunk])) AS word, n FROM chunks LEFT JOIN cuts USING (chunk)) WHERE regexp_matches(word, '[^ \\t\\n\\r]') GROUP BY word)"""
-LOSS = f"""{BACK},
+COUNTED = f"""{BEST}, {PATH},
+counted AS (SELECT word, sum(n)::BIGINT AS freq FROM (SELECT substr(chunk, place, len) AS word, n FROM path JOIN runs USING (chunk) UNION ALL SELECT chunk, n FROM chunks WHERE NOT han) WHERE regexp_matches(word, '[^ \\t\\n\\r]') GROUP BY word)"""
+LOSS = f"""{BEST}, {PATH},
 fw(chunk, p, f) AS (
   SELECT chunk, 1::BIGINT, [0.0::DOUBLE] FROM runs
   UNION ALL
   SELECT b.chunk, b.p + 1, list_append(any_value(b.f), max(b.f[e.pos] + e.lp)) FROM fw b JOIN edges e ON e.chunk = b.chunk AND e.pos + e.len = b.p + 1 GROUP BY b.chunk, b.p),
 ends AS (SELECT chunk, f FROM fw WHERE p = length(chunk) + 1),
-path(chunk, nx, place, len) AS (
-  SELECT chunk, nx, 1::BIGINT, nx[1] FROM best
-  UNION ALL
-  SELECT chunk, nx, place + len, nx[place + len] FROM path WHERE place + len <= length(chunk)),
 alt AS (SELECT q.chunk, q.place, q.len, max(f[e.pos] + e.lp + s[e.pos + e.len]) AS other
         FROM path q JOIN edges e ON e.chunk = q.chunk AND e.pos <= q.place AND q.place < e.pos + e.len AND NOT (e.pos = q.place AND e.len = q.len) JOIN best ON best.chunk = q.chunk JOIN ends ON ends.chunk = q.chunk
         WHERE q.len > 1 GROUP BY ALL),
@@ -325,10 +326,10 @@ def oracle_sql() -> dict[str, str]:
         "cut_token_counts": f"WITH RECURSIVE {COUNTED} SELECT word, freq FROM counted",
         "cut_documents": f"WITH RECURSIVE {BACK}, d AS (SELECT doc_id, i, l[i] AS chunk FROM (SELECT doc_id, regexp_extract_all({_norm(HAN_SQL)}, {_quoted(C.PRETOKEN)}, 1) AS l FROM documents), unnest(range(1, len(l) + 1)) AS u(i)) SELECT doc_id, string_agg(coalesce(array_to_string(tokens, ' '), chunk), ' ' ORDER BY i) AS tokens FROM d LEFT JOIN cuts USING (chunk) GROUP BY doc_id",
         "longest_match_cut": f"WITH RECURSIVE {MATCHED} SELECT chunk, array_to_string(tokens, ' ') AS tokens FROM matches",
-        "cold_start_counts": f"WITH RECURSIVE {MATCHED} SELECT word, sum(n)::BIGINT AS freq FROM (SELECT unnest(coalesce(tokens, [chunk])) AS word, n FROM segs LEFT JOIN matches USING (chunk)) SEMI JOIN lex USING (word) GROUP BY word",
+        "cold_start_counts": f"WITH RECURSIVE {MATCHED} SELECT word, sum(n)::BIGINT AS freq FROM (SELECT unnest(tokens) AS word, n FROM matches JOIN segs USING (chunk) UNION ALL SELECT chunk, n FROM segs WHERE delimiter) WHERE word IN (SELECT word FROM lex) GROUP BY word",
         "word_loss": f"WITH RECURSIVE {LOSS} SELECT word, round(loss, 4) AS loss, cnt FROM losses",
         "prune_keep": f"WITH RECURSIVE {LOSS}, el AS (SELECT word, loss / sqrt(cnt) / length(word) AS score FROM losses WHERE length(word) > 1 AND cnt >= {LEAST}), k AS (SELECT greatest({TARGET} - (SELECT count(*) FROM lex WHERE length(word) = 1), (SELECT count(*) FROM el) * 75 // 100) AS size) SELECT word FROM lex WHERE length(word) = 1 UNION ALL SELECT word FROM (SELECT word, row_number() OVER (ORDER BY score DESC, word DESC) AS r FROM el), k WHERE r <= size",
-        "em_one_iteration": f"WITH RECURSIVE {COUNTED} SELECT word, counted.freq FROM counted SEMI JOIN lex USING (word)",
+        "em_one_iteration": f"WITH RECURSIVE {COUNTED} SELECT word, freq FROM counted WHERE word IN (SELECT word FROM lex)",
         "mysql_tuple_parse": "SELECT c_custkey || '|' || c_custkey % 3 || '|' || replace(replace(c_name, ' ', '_'), '#', '\\''') || '|0|x,)y' AS fields FROM customer",
         "redirect_join": f"SELECT {PAGE_NAME} AS source, target FROM customer JOIN (SELECT o_custkey, max(o_orderpriority) AS target FROM orders WHERE o_orderkey % 2 = 0 GROUP BY 1) ON o_custkey = c_custkey WHERE c_custkey % 3 = 0",
         "wikitext_words": f"SELECT DISTINCT {_strip(_garbage('w'))} AS word FROM (SELECT {_strip('unnest(regexp_split_to_array(b, ' + _quoted(dumps.SEPARATORS) + '))')} AS w FROM (SELECT regexp_split_to_array(text, '[\\s''{{}}]+')[1] || '/x(y)' AS b FROM documents UNION ALL SELECT regexp_split_to_array(text, '[\\s''{{}}]+')[-1] FROM documents WHERE length(regexp_split_to_array(text, '[\\s''{{}}]+')[-1]) > 2))",
