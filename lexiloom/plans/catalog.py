@@ -148,7 +148,7 @@ def cold_start_counts(spark, sf_dir):
 
 
 def word_loss(spark, sf_dir):
-    return S.word_loss(*_model(spark, sf_dir)).select("word", F.round("loss", 4).alias("loss"), "cnt")
+    return S.word_loss(*_model(spark, sf_dir)).select("word", (F.round("loss", 4) + 0.0).alias("loss"), "cnt")
 
 
 def prune_keep(spark, sf_dir):
@@ -327,7 +327,7 @@ def oracle_sql() -> dict[str, str]:
         "cut_documents": f"WITH RECURSIVE {BACK}, d AS (SELECT doc_id, i, l[i] AS chunk FROM (SELECT doc_id, regexp_extract_all({_norm(HAN_SQL)}, {_quoted(C.PRETOKEN)}, 1) AS l FROM documents), unnest(range(1, len(l) + 1)) AS u(i)) SELECT doc_id, string_agg(coalesce(array_to_string(tokens, ' '), chunk), ' ' ORDER BY i) AS tokens FROM d LEFT JOIN cuts USING (chunk) GROUP BY doc_id",
         "longest_match_cut": f"WITH RECURSIVE {MATCHED} SELECT chunk, array_to_string(tokens, ' ') AS tokens FROM matches",
         "cold_start_counts": f"WITH RECURSIVE {MATCHED} SELECT word, sum(n)::BIGINT AS freq FROM (SELECT unnest(tokens) AS word, n FROM matches JOIN segs USING (chunk) UNION ALL SELECT chunk, n FROM segs WHERE delimiter) WHERE word IN (SELECT word FROM lex) GROUP BY word",
-        "word_loss": f"WITH RECURSIVE {LOSS} SELECT word, round(loss, 4) AS loss, cnt FROM losses",
+        "word_loss": f"WITH RECURSIVE {LOSS} SELECT word, round(loss, 4) + 0.0 AS loss, cnt FROM losses",
         "prune_keep": f"WITH RECURSIVE {LOSS}, el AS (SELECT word, loss / sqrt(cnt) / length(word) AS score FROM losses WHERE length(word) > 1 AND cnt >= {LEAST}), k AS (SELECT greatest({TARGET} - (SELECT count(*) FROM lex WHERE length(word) = 1), (SELECT count(*) FROM el) * 75 // 100) AS size) SELECT word FROM lex WHERE length(word) = 1 UNION ALL SELECT word FROM (SELECT word, row_number() OVER (ORDER BY score DESC, word DESC) AS r FROM el), k WHERE r <= size",
         "em_one_iteration": f"WITH RECURSIVE {COUNTED} SELECT word, freq FROM counted WHERE word IN (SELECT word FROM lex)",
         "mysql_tuple_parse": "SELECT c_custkey || '|' || c_custkey % 3 || '|' || replace(replace(c_name, ' ', '_'), '#', '\\''') || '|0|x,)y' AS fields FROM customer",
