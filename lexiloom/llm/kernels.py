@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE_BYTES = 2 << 20
+SLICE_BYTES, SLICE_DOCUMENTS = 2 << 20, 1 << 16
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
@@ -38,10 +38,10 @@ def text_bytes(column) -> tuple[np.ndarray, np.ndarray]:
 
 
 def slices(off: np.ndarray, limit: int = SLICE_BYTES):
-    """Ranges [i, j) of documents of about limit bytes; a longer document comes alone."""
+    """Ranges [i, j) of documents of about limit bytes and at most SLICE_DOCUMENTS; a longer document comes alone."""
     i, n = 0, len(off) - 1
     while i < n:
-        j = max(i + 1, int(np.searchsorted(off, off[i] + limit, side="right")) - 1)
+        j = min(max(i + 1, int(np.searchsorted(off, off[i] + limit, side="right")) - 1), i + SLICE_DOCUMENTS)
         yield i, j
         i = j
 

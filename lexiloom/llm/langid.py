@@ -50,7 +50,12 @@ def _letter(code: int) -> np.ndarray:
 def _trigrams(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Distinct trigrams (three letter columns, 0 is a word's edge), the trigram of each place, its document, and the documents' letter counts."""
     chars = np.concatenate([[0], np.cumsum((buf & 0xC0) != 0x80)])[off]
-    codes = _letter_table()[np.frombuffer(buf.tobytes().decode("utf-8", "replace").encode("utf-32-le"), np.uint32)]
+    raw = buf.tobytes()
+    text = raw.decode("utf-8", "replace")
+    if len(text) != chars[-1]:  # invalid UTF-8: count what each document decodes to
+        texts = [raw[a:b].decode("utf-8", "replace") for a, b in zip(off[:-1], off[1:], strict=True)]
+        text, chars = "".join(texts), np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+    codes = _letter_table()[np.frombuffer(text.encode("utf-32-le"), np.uint32)]
     n = np.diff(chars)
     doc = np.repeat(np.arange(len(n)), n + 1)
     flat = np.zeros(len(codes) + len(n), np.uint32)
