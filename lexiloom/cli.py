@@ -12,7 +12,7 @@ from .api import Cutter
 from .operators import lexicon as L
 from .operators import segment as S
 from .plans.train import LEAST, SUB_ITERATIONS, VOCABULARY, train
-from .sources import files
+from .sources import dumps, files
 from .streaming.pipe import cut_to_lines
 
 
@@ -36,6 +36,13 @@ def parser() -> argparse.ArgumentParser:
     mode("sentences", "input", "output", lexicon="")
     sub = mode("filter-lexicon", "char_counts", "words", "output", lexicon="")
     sub.add_argument("--min-count", type=int, default=2)
+    mode("titles", "input", "output", lexicon="")
+    mode("redirects", "pages", "redirects", "output", lexicon="")
+    mode("wikitext", "input", "output", lexicon="")
+    mode("clean", "input", "output", lexicon="")
+    sub = mode("lexicon", "output", lexicon="")
+    for source in ("titles", "wiktionary", "wikisource", "slang", "redirects"):
+        sub.add_argument(f"--{source}")
     sub = mode("train", "input", "output")
     sub.add_argument("--vocabulary", type=int, default=VOCABULARY)
     sub.add_argument("--sub-iterations", type=int, default=SUB_ITERATIONS)
@@ -65,7 +72,27 @@ def run(spark: SparkSession, argv: list[str]) -> None:
         words = L.add_single_chars(L.filter_by_chars(files.read_words(spark, a.words), counts, a.min_count), counts)
         words.orderBy("word").write.text(a.output)
         return
+    if a.mode == "redirects":
+        pages, links = (dumps.insert_tuples(files.read_corpus(spark, path), "text") for path in (a.pages, a.redirects))
+        dumps.redirect_pairs(dumps.pages(pages), dumps.redirects(links)).orderBy("source", "target").write.csv(a.output, sep="\t", quote="")
+        return
+    if a.mode == "lexicon":
+        lines = {k: files.read_corpus(spark, path).select(F.col("text").alias("word")) if (path := getattr(a, k)) else None for k in ("titles", "wiktionary", "wikisource", "slang", "redirects")}
+        sides = lines["redirects"] and lines["redirects"].select(F.get(F.split("word", "\t"), F.lit(0)).alias("source"), F.get(F.split("word", "\t"), F.lit(1)).alias("target"))
+        kept = [lines["titles"] and L.title_words(lines["titles"]), sides and L.redirect_words(sides)]
+        kept += [lines[k] and L.pure_words(lines[k], longest) for k, longest in (("wiktionary", 4), ("wikisource", 3), ("slang", 3))]
+        L.with_constituents(L.union_words(*kept)).orderBy("word").write.text(a.output)
+        return
+    if a.mode == "wikitext":
+        dumps.list_words(spark.read.text(a.input, wholetext=True).withColumnRenamed("value", "source")).write.text(a.output)
+        return
+    if a.mode == "clean":
+        files.process_articles(files.read_articles(spark, a.input)).select("text").write.text(a.output)
+        return
     corpus = files.read_corpus(spark, a.input)
+    if a.mode == "titles":
+        L.good_titles(corpus, "text").orderBy("title").write.text(a.output)
+        return
     if a.mode == "chars":
         L.char_counts(corpus).orderBy(F.desc("cnt"), "ch").write.csv(a.output, sep="\t", quote="")
     elif a.mode == "sentences":

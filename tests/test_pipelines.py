@@ -102,3 +102,24 @@ def test_training_ends_at_the_target(spark):
     got = catalog.em_train(spark, SF)
     assert 0 < got.count() <= catalog.TARGET
     assert got.where(F.col("freq") <= 0).count() == 0
+
+
+def test_command_line_for_lexicon_sources(spark, tmp_path):
+    def file(name, text):
+        (tmp_path / name).write_text(text, encoding="utf-8")
+        return str(tmp_path / name)
+
+    def run(*argv):
+        out = tmp_path / f"out-{argv[0]}"
+        cli.run(spark, [*argv, str(out)])
+        return lines(out)
+
+    titles = file("titles", "约翰·多恩\n中华\n中华人民共和国\nA字\n")
+    assert run("titles", titles) == sorted(["约翰·多恩", "中华", "中华人民共和国"])
+    page = file("page.sql", "INSERT INTO `page` VALUES (7,0,'甲_乙','',0),(8,1,'丙','',0);\n")
+    redirect = file("redirect.sql", "INSERT INTO `redirect` VALUES (7,0,'丁','',''),(8,0,'戊','','');\n")
+    assert run("redirects", page, redirect) == ["甲 乙\t丁"]
+    assert run("wikitext", file("wiki", "* '''甲/乙'''：'''丙丁戊'''\n")) == sorted(["甲", "乙", "丙丁戊"])
+    assert run("clean", file("a.jsonl", '{"text": "# h\\n 甲  乙 "}\n{"text": ""}\n')) == ["甲 乙"]
+    slang, pairs = file("slang", "给力\n超过三个字\n"), file("pairs", "国\t英国人\n")
+    assert run("lexicon", "--titles", titles, "--slang", slang, "--redirects", pairs) == sorted({"约翰", "多恩", "中华", "给力", "国", "英国人", *"约翰多恩中华给力英国人"})

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from lexiloom.api import Cutter
 from lexiloom.functions import text as T
+from lexiloom.functions.convert import phrase_converter
 from lexiloom.operators import kernels
 from lexiloom.operators import lexicon as L
 from lexiloom.operators import segment as S
@@ -161,6 +162,12 @@ def test_texts(spark):
     assert [one(lambda c: T.char_count(c, True), w) for w in ("é", "汉字", "ab")] == [0, 2, 2]
 
 
+def test_phrases(spark):
+    convert = phrase_converter(spark, {"乾": "干", "乾坤": "乾坤", "頭髮": "头发", "髮": "发"})
+    rows = spark.createDataFrame([("乾坤乾頭髮x",), (None,)], "t string").coalesce(1)
+    assert [r.r for r in rows.select(convert(F.col("t")).alias("r")).collect()] == ["乾坤干头发x", None]
+
+
 def test_titles(spark):
     titles = spark.createDataFrame([("中华人民",), ("中华人民共和国",), ("中华",), ("国家列表",), ("单",), ("A字",), (" 约翰·多恩 ",)], "title string")
     assert {r.title for r in L.good_titles(titles).collect()} == {"中华人民", "中华", "约翰·多恩"}
