@@ -44,6 +44,12 @@ MARKED = re.compile(
     r"^(ad|ads|adv|advert|adverts|advertisement|sponsor|sponsored|promo|banner|nav|navbar|navigation|menu|sidebar|side|footer|header|masthead|breadcrumb|breadcrumbs|cookie|cookies|consent|notice|notices|gdpr|popup|modal|comment|comments|reply|replies|respond|disqus|share|sharing|social|related|recommended|newsletter|subscribe|subscription|signup|login|search|widget|pagination|pager|toolbar|copyright|disclaimer|skip)$"
 )
 ARTICLE_HEAD = {"article", "main"}
+# Parts of a name that tell of a layout ("has-sidebar"), and nouns behind a marked part ("comment-list").
+LAYOUT = set("no not has have with without".split())
+HOLDER = set("area bar block body bottom box button buttons container content element fixed form group holder icons inner item items left link links list main outer overlay panel primary right row secondary section slot title toggle top unit wrap wrapper".split())
+# Marks that hold whatever stands inside, even elements named article.
+THREAD = re.compile(r"^(comment|comments|reply|replies|respond|disqus|related|recommended)$")
+HEADING = set("h1 h2 h3 h4 h5 h6".split())
 
 _token = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>|<(?=[a-zA-Z/!?])|(?:[^<]|<(?![a-zA-Z/!?]))+", re.S)
 _attribute = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
@@ -57,20 +63,35 @@ class Block:
         self.path, self.aside, self.text = path, aside, text
 
 
+def _marks(names: str, inside: bool) -> list[str]:
+    """The marked parts of class, id and role names: a whole name, its last part, or one before a holder."""
+    found = []
+    for name in names.split():
+        parts = [name, *(w for w in re.split(r"[-_]+", name) if w)]
+        if LAYOUT.intersection(parts):
+            continue
+        own = [name, parts[-1], *(a for a, b in zip(parts[1:], parts[2:], strict=False) if b in HOLDER or b.isdigit())]
+        # an article's own header holds its headline
+        found += [w for w in own if MARKED.match(w) and not (inside and w in ("header", "notice", "notices"))]
+    return found
+
+
 def parse(page: str | None) -> tuple[list[Block], list[tuple[str, ...]]]:
     """Text blocks in page order with their element paths, and the path of every element."""
     blocks: list[Block] = []
     elements: list[tuple[str, ...]] = []
     names: list[str] = []
     path: list[str] = []
-    marked: list[bool] = []
+    marked: list[list[bool]] = []  # by the element's tag, by its names, by names of threads
+    within: list[tuple[list[bool], ...]] = []
     held: list[str] = []
 
     def flush():
         text = _space.sub(" ", "".join(held)).strip()
         held.clear()
         if text:
-            blocks.append(Block(tuple(path), any(marked), text))
+            blocks.append(Block(tuple(path), False, text))
+            within.append(tuple(marked))
 
     def close(k):
         flush()
@@ -110,14 +131,25 @@ def parse(page: str | None) -> tuple[list[Block], list[tuple[str, ...]]]:
             while names and names[-1] in shut:
                 close(len(names) - 1)
         attributes = " ".join(a or b or c for _, a, b, c in _attribute.findall(m[3]))
-        words = [w for x in attributes.lower().split() for w in (x, *re.split(r"[-_]+", x))]
         names.append(name)
         path.append(".".join([name, *attributes.split()[:1]]))
         inside = any(n in ARTICLE_HEAD for n in names[:-1])
-        # an article's own header holds its headline
-        marked.append((name in ASIDE and not (name == "header" and inside)) or any(MARKED.match(w) for w in words if not (inside and w in ("header", "notice", "notices"))) and name not in ("html", "body", "article", "main"))
+        if name in TEXTUAL:
+            # headings and paragraphs have ids of their own subject
+            own = [] if name in HEADING else [w for a, x, y, z in _attribute.findall(m[3]) if a.lower() == "class" for w in (x or y or z).lower().split() if MARKED.match(w)]
+        else:
+            own = _marks(attributes.lower(), inside) if name not in ("html", "body", "article", "main") else []
+        if name in ARTICLE_HEAD and not any(tag or thread for tag, _, thread in marked):
+            # what holds the article is a layout whatever its name
+            for x in marked:
+                x[1] = False
+        marked.append([name in ASIDE and not (name == "header" and inside), bool(own), any(map(THREAD.match, own))])
         elements.append(tuple(path))
     flush()
+    # names that leave nothing of the page mark nothing
+    by_name = any(not any(tag or name for tag, name, _ in x) for x in within)
+    for block, x in zip(blocks, within, strict=True):
+        block.aside = any(tag or (name and by_name) for tag, name, _ in x)
     return blocks, elements
 
 
