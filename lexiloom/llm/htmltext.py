@@ -6,8 +6,9 @@ the counts, so vectors are compared without gathering a host's pages: the sums a
 added up before and after one shuffle, and a host with a third of all pages costs
 one row per distinct token and task. Tokens with equal vectors form an equivalence
 class. The class of tokens that stand once on every page is nested by its paths into
-the host's template; the slot that holds most of the text that differs from page to
-page is the article, and its blocks are extracted. Tags and names that mark menus,
+the host's template; the article or main element that holds most of the text that
+differs from page to page, or else the lowest slot that holds practically all of it,
+is the article, and its blocks are extracted. Tags and names that mark menus,
 forms, adverts and comments are never part of a slot.
 
 Defined results: null and empty html give an empty text; a page without an article
@@ -29,7 +30,8 @@ from pyspark.sql import functions as F
 from .store import materialise
 
 FEW = 5
-SHARE = 0.6
+#: Of the text that differs from page to page: what an article or main element holds at least, and any other slot.
+SHARE, NEARLY_ALL = 0.6, 0.98
 #: Up to so many hosts (of at most a few hundred bytes) the templates are broadcast.
 BROADCAST_HOSTS = 100_000
 
@@ -209,11 +211,16 @@ def _template(table: pa.Table) -> pa.Table:
     pages = max((k[0] for k in classes), default=0)
     # the class of tokens that stand once on every page; pages that lack a part may leave several
     frame = {p for (n, total, _), own in classes.items() if n == total and n >= 0.5 * pages for p in own}
+    heads = {p for p in frame if p.rpartition("/")[2].split(".")[0] in ARTICLE_HEAD}
     slot, left = "", sum(mass[p] for p in mass if "/" not in p)
-    while True:
+    # what stands beside an article isn't part of it; an article's own parts all are
+    head = max((p for p in heads if not any(p.startswith(f"{x}/") for x in heads)), key=lambda p: (mass[p], p), default=None)
+    if head is not None and mass[head] >= SHARE * max(left, 1):
+        slot = head
+    while slot not in heads:
         inner = [p for p in frame if p.rpartition("/")[0] == slot and p.rpartition("/")[2].split(".")[0] not in TEXTUAL]
         best = max(inner, key=lambda p: (mass[p], p), default=None)
-        if best is None or mass[best] < SHARE * max(left, 1):
+        if best is None or mass[best] < NEARLY_ALL * max(left, 1):
             break
         slot, left = best, mass[best]
     return pa.table({"host": [host], "slot": [slot], "n_pages": pa.array([pages], pa.int64())})

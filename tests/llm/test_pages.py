@@ -24,3 +24,11 @@ def test_names_that_mark_everything_mark_nothing():
 def test_headings_and_sections_with_ids_of_their_subject():
     page = '<article><h2 id="side-effects">Side</h2><p id="search">One</p><h2 id="related-work">Work</h2><section id="search-methods"><p>Two</p></section><div class="share-buttons">Share</div><div id="comments"><article>Nice</article></div></article>'
     assert htmltext.extract(page, None) == "Side\nOne\nWork\nTwo"
+
+
+@pytest.mark.parametrize("outer", ["article", "div"])
+def test_articles_in_parts_stay_whole(spark, outer):
+    shell = f'<body><nav>Menu</nav><{outer}><h1>Head #</h1><div class="lead"><p>Lead # in a few words</p></div><div class="body"><p>{"Body # with many more words. " * 9}</p></div></{outer}><p>Same on every page</p></body>'
+    got = texts(spark, shell)
+    for k in range(8):
+        assert got[k].split("\n")[:3] == [f"Head {k}", f"Lead {k} in a few words", (f"Body {k} with many more words. " * 9).strip()]
