@@ -35,10 +35,11 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the smallest doc_id of each group of near duplicates, once."""
-    keyed = docs.withColumn("_key", _key())
-    near = simhash.near_duplicates(keyed, id_col="_key")
-    first = near.where("doc_id = component_id").select(F.col("doc_id").alias("_key")).distinct()
-    kept = keyed.join(first, "_key", "left_semi").withColumn("_text", F.xxhash64("text"))
+    keyed = docs.withColumn("_key", _key()).withColumn("_text", F.xxhash64("text"))
+    near = simhash.near_duplicates(keyed, id_col="_key", carry=("_text",))
+    # rows with one doc_id and different texts may be of different groups
+    first = near.where("doc_id = component_id").select(F.col("doc_id").alias("_key"), "_text").distinct()
+    kept = keyed.join(first, ["_key", "_text"], "left_semi")
     return kept.dropDuplicates(["_key", "_text"]).select(*docs.columns)
 
 
@@ -50,7 +51,7 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold a window of the benchmark."""
-    keyed = docs.withColumn("_key", _key())
+    keyed = docs.withColumn("_key", F.xxhash64(_key(), "text"))
     found = decontaminate.contamination(keyed.select(F.col("_key").alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"))
     return keyed.join(found.where("contaminated").select(F.col("doc_id").alias("_key")), "_key", "left_anti").select(*docs.columns)
 

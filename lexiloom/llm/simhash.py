@@ -79,12 +79,12 @@ def _fingerprint_batches(batches):
         buf, off = K.text_bytes(batch.column(1))
         parts = [fingerprints(*shingle_hashes(buf[off[i] : off[j]], off[i : j + 1] - off[i])) for i, j in K.slices(off)]
         fp = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp.view(np.int64))], names=["doc_id", "fp"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp.view(np.int64)), *batch.columns[2:]], names=["doc_id", "fp", *batch.schema.names[2:]])
 
 
-def with_fingerprints(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    rows = documents.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(_fingerprint_batches, "doc_id bigint, fp bigint")
+def with_fingerprints(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    rows = documents.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *carry)
+    return rows.mapInArrow(_fingerprint_batches, ", ".join(["doc_id bigint, fp bigint", *(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in carry)]))
 
 
 def golay_tables() -> tuple[np.ndarray, np.ndarray]:
@@ -240,12 +240,12 @@ def near_links(distinct: DataFrame) -> DataFrame:
     return links.distinct()
 
 
-def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per document: doc_id, fingerprint (16 hex digits) and component_id, the smallest doc_id it is linked with."""
-    prints = materialise(with_fingerprints(documents, id_col, text_col))
+def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """Per document: doc_id, fingerprint (16 hex digits) and component_id, the smallest doc_id it is linked with; then the columns in carry."""
+    prints = materialise(with_fingerprints(documents, id_col, text_col, carry))
     distinct = materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
     labels = connected_components(near_links(distinct))
     joined = distinct.join(labels, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
     smallest = joined.groupBy("component").agg(F.min("least").alias("component_id"))
     classes = joined.join(smallest, "component").select("fp", "component_id")
-    return prints.join(classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return prints.join(classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", *carry)
