@@ -2,55 +2,63 @@
 
 from __future__ import annotations
 
+import re
+from functools import cache
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .functions import charclass
+from .operators import kernels
 from .operators import segment as S
 from .sources.files import read_lexicon
 
 
+@cache
+def _patterns() -> tuple[re.Pattern, re.Pattern]:
+    token = re.sub(r"\\x\{([0-9A-F]+)\}", lambda m: f"\\U{int(m[1], 16):08x}", charclass.PRETOKEN.replace("(?s)", ""))
+    return re.compile(token, re.S), re.compile(charclass.python_class(charclass.HAN))
+
+
+def cut_text(text: str | None, scores: dict[str, float], unknown: float, longest: int) -> list[str] | None:
+    """The words of one text, without Spark."""
+    if text is None:
+        return None
+    token, han = _patterns()
+    text = re.sub(" +", charclass.SPACE_MARK, text.lstrip(" ")).removesuffix(charclass.SPACE_MARK)
+    return [w for m in token.finditer(text) for w in (kernels.best_path(m[0], scores, unknown, longest) if han.match(m[0]) else [m[0]])]
+
+
 class Cutter:
-    """Cuts sentences with a lexicon file (word TAB freq) or a (word, freq) DataFrame."""
+    """Cuts sentences with a lexicon file (word TAB freq) or a (word, freq) DataFrame.
+
+    Single sentences are cut in this process, columns on the cluster.
+    """
 
     def __init__(self, spark: SparkSession, lexicon: str | DataFrame):
         self.spark = spark
         self.lexicon = read_lexicon(spark, lexicon) if isinstance(lexicon, str) else lexicon
-        self._cut = S.cut_udf(spark, self.lexicon)
+        self._model = S.Model(self.lexicon)
+        if not self._model.small:
+            raise ValueError(f"a cutter takes lexicons of up to {S.BROADCAST_WORDS} words; cut() in operators.segment has no limit")
+        self._shared = self._model.broadcast(spark)
+        self._cut = S.cut_udf(spark, self.lexicon, self._shared)
 
     def column(self, text):
         return self._cut(text)
 
     def cut(self, sentence: str) -> list[str]:
-        row = self.spark.createDataFrame([(sentence,)], "text string").select(self.column(F.col("text")).alias("tokens")).first()
-        return list(row["tokens"] or ())
+        return cut_text(sentence, self._model.scores, self._model.unknown, self._model.longest) or []
 
     def cut_df(self, df: DataFrame, text_col: str = "text", tokens_col: str = "tokens") -> DataFrame:
         return df.withColumn(tokens_col, self.column(F.col(text_col)))
 
     def register(self, name: str = "cut_words") -> None:
-        """Make the path search a SQL function over arrays of pre-tokens, and the pre-tokeniser a SQL function over text."""
-        model = S.Model(self.lexicon)
-        shared = model.broadcast(self.spark)
+        """Make the cutter a SQL function over texts."""
+        shared = self._shared
 
         @F.pandas_udf("array<string>")
         def whole(texts):
-            import re
-
-            from .functions import charclass
-            from .operators import kernels
-
-            token = re.compile(re.sub(r"\\x\{([0-9A-F]+)\}", lambda m: f"\\U{int(m[1], 16):08x}", charclass.PRETOKEN.replace("(?s)", "")), re.S)
-            han = re.compile("[" + "".join(f"{chr(a)}-{chr(b)}" for a, b in charclass.HAN) + "]")
-
-            def cut(text):
-                if text is None:
-                    return None
-                text = re.sub(" +", charclass.SPACE_MARK, text.lstrip(" "))
-                text = text.removesuffix(charclass.SPACE_MARK)
-                return [w for m in token.finditer(text) for w in (kernels.best_path(m[0], *shared.value) if han.match(m[0]) else [m[0]])]
-
-            return texts.map(cut)
+            return texts.map(lambda text: cut_text(text, *shared.value))
 
         self.spark.udf.register(name, whole)
-
-

@@ -69,12 +69,14 @@ def run(spark: SparkSession, argv: list[str]) -> None:
         return
     if a.mode == "filter-lexicon":
         counts = files.lexicon_rows(spark.read.text(a.char_counts)).select(F.col("word").alias("ch"), F.col("freq").alias("cnt"))
-        words = L.add_single_chars(L.filter_by_chars(files.read_words(spark, a.words), counts, a.min_count), counts)
-        words.orderBy("word").write.text(a.output)
+        words = files.read_words(spark, a.words).withColumn("line", F.monotonically_increasing_id())
+        kept, seen = files.counted(L.filtered_in_order(words, counts, a.min_count), "kept")
+        kept.write.text(a.output)
+        print(f"{seen.get['rows']} words kept", file=sys.stderr)
         return
     if a.mode == "redirects":
         pages, links = (dumps.insert_tuples(files.read_corpus(spark, path), "text") for path in (a.pages, a.redirects))
-        dumps.redirect_pairs(dumps.pages(pages), dumps.redirects(links)).orderBy("source", "target").write.csv(a.output, sep="\t", quote="")
+        dumps.redirect_pairs(dumps.pages(pages), dumps.redirects(links)).write.csv(a.output, sep="\t", quote="")
         return
     if a.mode == "lexicon":
         lines = {k: files.read_corpus(spark, path).select(F.col("text").alias("word")) if (path := getattr(a, k)) else None for k in ("titles", "wiktionary", "wikisource", "slang", "redirects")}

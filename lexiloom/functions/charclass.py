@@ -47,6 +47,11 @@ def none_of(*classes) -> str:
     return f"[^{inner(*classes)}]"
 
 
+def python_class(*classes, inside: bool = True) -> str:
+    """A bracket expression for Python's re; inside False negates it."""
+    return f"[{'' if inside else '^'}" + "".join(f"\\U{a:08x}-\\U{b:08x}" for c in classes for a, b in c) + "]"
+
+
 #: Han runs, digit runs, letter runs with inner apostrophes, and single other characters.
 PRETOKEN = rf"(?s)({one(HAN)}+|{one(DIGIT)}+|{one(LETTER)}+(?:'{one(LETTER)}+)*|.)"
 PUNCT_SPLIT = rf"(?s)({one(PUNCT)}|{none_of(PUNCT)}+)"

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import charclass as C
@@ -39,14 +39,14 @@ def with_constituents(words: DataFrame) -> DataFrame:
     return words.select("word").unionByName(chars).distinct()
 
 
-def good_titles(titles: DataFrame, title_col: str = "title") -> DataFrame:
-    """Titles to take words from, without those that only continue an accepted shorter one.
+def good_titles(titles: DataFrame, title_col: str = "title", mapping: dict[str, str] | None = None) -> DataFrame:
+    """Titles to take words from, simplified by mapping first, without those that only continue an accepted shorter one.
 
     Over sorted titles, "starts with the last accepted title of four characters or
     more" is the same as "some good title is a proper prefix of four characters or
     more": what it starts with was accepted, or was itself suppressed by a prefix.
     """
-    good = titles.select(T.strip(F.col(title_col)).alias("title")).where(T.is_good_title(F.col("title"))).distinct()
+    good = titles.select(T.to_simplified(T.strip(F.col(title_col)), mapping or {}).alias("title")).where(T.is_good_title(F.col("title"))).distinct()
     prefixes = good.where(F.char_length("title") > 4).select("title", F.explode(F.transform(F.sequence(F.lit(4), F.char_length("title") - 1), lambda n: F.substring("title", F.lit(1), n))).alias("prefix"))
     covered = prefixes.join(good.select(F.col("title").alias("prefix")), "prefix", "left_semi").select("title").distinct()
     return good.join(covered, "title", "left_anti")
@@ -70,6 +70,14 @@ def add_single_chars(words: DataFrame, counts: DataFrame) -> DataFrame:
     return words.select("word").unionByName(counts.where(F.col("ch").rlike(rf"\A{C.one(C.BASIC)}\z")).select(F.col("ch").alias("word"))).distinct()
 
 
+def filtered_in_order(words: DataFrame, counts: DataFrame, least: int = 2) -> DataFrame:
+    """(word) of filter_by_chars in the order of words (word, line), then the ideographs that come to them, the commonest first."""
+    kept = words.where("word <> ''").groupBy("word").agg(F.min("line").alias("line")).join(filter_by_chars(words, counts, least), "word", "left_semi")
+    singles = counts.where(F.col("ch").rlike(rf"\A{C.one(C.BASIC)}\z")).select(F.col("ch").alias("word"), "cnt").join(kept, "word", "left_anti")
+    rows = kept.select("word", "line", F.lit(0).alias("cnt")).unionByName(singles.select("word", F.lit(None).cast("bigint").alias("line"), "cnt"))
+    return rows.orderBy(F.col("line").asc_nulls_last(), F.desc("cnt"), "word").select("word")
+
+
 def seed_lexicon(runs: DataFrame, least: int, longest: int = 4) -> DataFrame:
     """Substrings of runs (chunk, n) of up to longest characters with a weighted count of least, and all single characters."""
     cut = runs.select("chunk", "n", F.explode(F.sequence(F.lit(1), F.char_length("chunk"))).alias("pos")).select("n", F.explode(F.transform(F.sequence(F.lit(1), F.least(F.lit(longest), F.char_length("chunk") - F.col("pos") + 1)), lambda k: F.substring("chunk", F.col("pos"), k))).alias("word"))
@@ -103,8 +111,3 @@ def keep_by_loss(losses: DataFrame, lexicon: DataFrame, vocabulary: int, least:
     size = max(vocabulary - n_singles, n_eligible * share // 100)
     best = eligible.orderBy(F.desc("score"), F.desc("word")).limit(max(size, 0)).select("word")
     return singles.unionByName(best)
-
-
-def ranked(losses: DataFrame) -> DataFrame:
-    """losses with their rank, the largest loss first."""
-    return losses.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("loss"), "word")))

@@ -1,20 +1,24 @@
 """Segmentation as DataFrame operators.
 
-Path search is a function of the run alone, so it is done once per distinct run
-and joined back or weighted by how often the run occurs. Two engines give the same
-words: "arrow" looks words up in a broadcast lexicon of checked size, "native"
-joins the lexicon and searches with higher-order functions.
+Path search is a function of the run alone: counts and losses do it once per
+distinct run and weigh it by how often the run occurs; whole documents are cut
+where they are, without a shuffle. Two engines give the same words: "arrow" looks
+words up in a broadcast lexicon of checked size, "native" joins the lexicon and
+searches with higher-order functions.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import charclass
 from ..functions import text as T
+from ..storage import materialise
 from . import kernels
 from .lexicon import word_scores
 
@@ -80,13 +84,28 @@ def cut_native(runs: DataFrame, scores: DataFrame, longest: int) -> DataFrame:
     end = F.array(F.struct(F.lit(1.0).alias("score"), F.lit(0).alias("back")))
     ways = packed.select("chunk", F.aggregate(F.reverse("edges"), end, step).alias("ways"))
 
+    return ways.select("chunk", _walked(lambda at: -F.get("ways", at - 1)["back"]).alias("tokens"))
+
+
+def _walked(size_at) -> Column:
+    """The words of chunk where size_at(place) tells the length of the word that starts there."""
+
     def walk(state: Column, at: Column) -> Column:
-        size = -F.get("ways", at - 1)["back"]
+        size = size_at(at)
         taken = F.struct((at + size).alias("at"), F.concat(state["tokens"], F.array(F.substring("chunk", at, size))).alias("tokens"))
         return F.when(at == state["at"], taken).otherwise(state)
 
     start = F.struct(F.lit(1).alias("at"), F.array().cast("array<string>").alias("tokens"))
-    return ways.select("chunk", F.aggregate(F.sequence(F.lit(1), F.char_length("chunk")), start, walk, lambda s: s["tokens"]).alias("tokens"))
+    return F.aggregate(F.sequence(F.lit(1), F.char_length("chunk")), start, walk, lambda s: s["tokens"])
+
+
+def match_native(segments: DataFrame, words: DataFrame) -> DataFrame:
+    """(chunk, tokens) by longest match, with a join of the lexicon instead of a broadcast."""
+    longest = words.agg(F.max(F.char_length("word"))).first()[0] or 1
+    known = words.select("word", F.lit(0.0).alias("lp"), F.lit(0.0).alias("unknown"))
+    sizes = lattice(segments, known, int(longest)).groupBy("chunk", "pos").agg(F.max("len").alias("len"))
+    packed = sizes.groupBy("chunk").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "len"))), lambda x: x["len"]).alias("sizes"))
+    return packed.select("chunk", _walked(lambda at: F.get("sizes", at - 1)).alias("tokens"))
 
 
 def cut_runs(runs: DataFrame, lexicon: DataFrame, engine: str = "auto") -> DataFrame:
@@ -98,14 +117,46 @@ def cut_runs(runs: DataFrame, lexicon: DataFrame, engine: str = "auto") -> DataF
     return runs.select("chunk").mapInArrow(_mapped(shared, kernels.best_path, pa.list_(pa.string())), "chunk string, tokens array<string>")
 
 
+def _rows_mapped(rows: DataFrame, model, function, whole: str) -> DataFrame:
+    """(id, tokens) of rows (id, chunks): chunks that match the pattern whole stay, the others go through function once a batch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        stays = re.compile(whole)
+        for batch in batches:
+            known: dict[str, list[str]] = {}
+            out = []
+            for chunks in batch.column(1).to_pylist():
+                tokens: list[str] = []
+                for c in chunks or ():
+                    own = known.get(c)
+                    if own is None:
+                        own = known[c] = [c] if stays.match(c) else function(c, *model.value)
+                    tokens += own
+                out.append(tokens)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.string()))], names=[batch.schema.names[0], "tokens"])
+
+    return rows.mapInArrow(run, f"`{rows.columns[0]}` {rows.schema[0].dataType.simpleString()}, tokens array<string>")
+
+
+def _rows_joined(rows: DataFrame, whole: Column, cut_chunks) -> DataFrame:
+    """The same with a join: rows get a key of their own, so rows with one id keep apart; chunks that stay aren't shuffled for the join."""
+    id_col = rows.columns[0]
+    keyed = materialise(rows.withColumn("_row", F.monotonically_increasing_id()))
+    parts = keyed.select("_row", id_col, F.posexplode_outer("chunks").alias("no", "chunk"))
+    cuts = cut_chunks(parts.where(~whole).select("chunk").distinct())
+    tokens = parts.where(~whole).join(cuts, "chunk").select("_row", id_col, "no", "tokens").unionByName(parts.where(whole | F.col("chunk").isNull()).select("_row", id_col, "no", F.when(F.col("chunk").isNotNull(), F.array("chunk")).alias("tokens")))
+    # tokens are null only where a text has no chunks at all
+    gathered = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("no", "tokens"))), lambda x: F.coalesce(x["tokens"], F.array().cast("array<string>"))))
+    return tokens.groupBy("_row").agg(F.first(id_col).alias(id_col), gathered.alias("tokens")).drop("_row")
+
+
 def cut(corpus: DataFrame, lexicon: DataFrame, id_col: str = "doc_id", text_col: str = "text", engine: str = "auto") -> DataFrame:
-    """(id, tokens): every text cut into words. Texts without tokens keep an empty array; id must be unique."""
-    chunks = corpus.select(F.col(id_col), F.posexplode(T.pretokenize(T.normalize_spaces(F.col(text_col)))).alias("no", "chunk"))
-    han = chunks.where(T.is_han_run(F.col("chunk")))
-    cuts = cut_runs(han.select("chunk").distinct(), lexicon, engine)
-    joined = chunks.join(cuts, "chunk", "left").select(id_col, "no", F.coalesce("tokens", F.array("chunk")).alias("tokens"))
-    gathered = joined.groupBy(id_col).agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("no", "tokens"))), lambda x: x["tokens"])).alias("tokens"))
-    return corpus.select(id_col).join(gathered, id_col, "left").select(id_col, F.coalesce("tokens", F.array().cast("array<string>")).alias("tokens"))
+    """(id, tokens): every text cut into words, one row for each row of corpus, whatever its id. Texts without tokens have an empty array."""
+    rows = corpus.select(F.col(id_col), T.pretokenize(T.normalize_spaces(F.col(text_col))).alias("chunks"))
+    model = Model(lexicon)
+    if engine == "native" or not model.small:
+        return _rows_joined(rows, ~T.is_han_run(F.col("chunk")), lambda runs: cut_native(runs, model.frame, model.longest))
+    return _rows_mapped(rows, model.broadcast(corpus.sparkSession), kernels.best_path, charclass.python_class(charclass.HAN, inside=False))
 
 
 def token_counts(chunks: DataFrame, lexicon: DataFrame, only_lexicon: bool = False, engine: str = "auto") -> DataFrame:
@@ -136,24 +187,32 @@ def punct_segments(corpus: DataFrame, text_col: str = "text") -> DataFrame:
     return parts.groupBy("chunk").agg(F.count("*").alias("n")).withColumn("delimiter", T.is_punct(F.col("chunk")))
 
 
-def match_segments(segments: DataFrame, lexicon: DataFrame) -> DataFrame:
+def _known_words(words: DataFrame, engine: str):
+    """The broadcast words with their greatest length, or None where they are to be joined."""
+    rows = words.limit(BROADCAST_WORDS + 1).collect() if engine != "native" else ()
+    if engine == "native" or len(rows) > BROADCAST_WORDS:
+        return None
+    known = {r["word"] for r in rows}
+    return words.sparkSession.sparkContext.broadcast((known, max(map(len, known), default=1)))
+
+
+def match_segments(segments: DataFrame, lexicon: DataFrame, engine: str = "auto") -> DataFrame:
     """(chunk, tokens) of distinct segments by longest match."""
     words = lexicon.select("word").where("word <> ''").distinct()
-    rows = words.limit(BROADCAST_WORDS + 1).collect()
-    if len(rows) > BROADCAST_WORDS:
-        raise ValueError(f"longest match takes lexicons of up to {BROADCAST_WORDS} words")
-    known = {r["word"] for r in rows}
-    shared = segments.sparkSession.sparkContext.broadcast((known, max(map(len, known), default=1)))
+    shared = _known_words(words, engine)
+    if shared is None:
+        return match_native(segments, words)
     return segments.select("chunk").mapInArrow(_mapped(shared, kernels.longest_match, pa.list_(pa.string())), "chunk string, tokens array<string>")
 
 
-def segment_longest_match(corpus: DataFrame, lexicon: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, tokens) by longest match between delimiters; blanks aren't normalised."""
-    parts = corpus.select(F.col(id_col), F.posexplode(T.split_punct(F.col(text_col))).alias("no", "chunk"))
-    cuts = match_segments(parts.where(~T.is_punct(F.col("chunk"))).select("chunk").distinct(), lexicon)
-    joined = parts.join(cuts, "chunk", "left").select(id_col, "no", F.coalesce("tokens", F.array("chunk")).alias("tokens"))
-    gathered = joined.groupBy(id_col).agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("no", "tokens"))), lambda x: x["tokens"])).alias("tokens"))
-    return corpus.select(id_col).join(gathered, id_col, "left").select(id_col, F.coalesce("tokens", F.array().cast("array<string>")).alias("tokens"))
+def segment_longest_match(corpus: DataFrame, lexicon: DataFrame, id_col: str = "doc_id", text_col: str = "text", engine: str = "auto") -> DataFrame:
+    """(id, tokens) by longest match between delimiters, one row for each row of corpus; blanks aren't normalised."""
+    rows = corpus.select(F.col(id_col), T.split_punct(F.col(text_col)).alias("chunks"))
+    words = lexicon.select("word").where("word <> ''").distinct()
+    shared = _known_words(words, engine)
+    if shared is None:
+        return _rows_joined(rows, T.is_punct(F.col("chunk")), lambda segments: match_native(segments, words))
+    return _rows_mapped(rows, shared, kernels.longest_match, charclass.python_class(charclass.PUNCT))
 
 
 def match_counts(corpus: DataFrame, lexicon: DataFrame, text_col: str = "text") -> DataFrame:
@@ -179,21 +238,18 @@ def word_loss(chunks: DataFrame, lexicon: DataFrame) -> DataFrame:
     return words.join(sums, "word", "left").fillna({"loss": 0.0, "cnt": 0})
 
 
-def cut_udf(spark: SparkSession, lexicon: DataFrame):
-    """A Column function that cuts pre-tokens: for streams and single rows."""
-    model = Model(lexicon)
-    if not model.small:
-        raise ValueError(f"row-wise cutting takes lexicons of up to {BROADCAST_WORDS} words")
-    shared = model.broadcast(spark)
+def cut_udf(spark: SparkSession, lexicon: DataFrame, shared=None):
+    """A Column function that cuts pre-tokens: for streams and single rows. shared is a model that is broadcast already."""
+    if shared is None:
+        model = Model(lexicon)
+        if not model.small:
+            raise ValueError(f"row-wise cutting takes lexicons of up to {BROADCAST_WORDS} words")
+        shared = model.broadcast(spark)
 
     @F.pandas_udf("array<string>")
     def cut_chunks(chunks):
-        import re
-
-        from ..functions import charclass
-
         scores, unknown, longest = shared.value
-        han = re.compile("[" + "".join(f"{chr(a)}-{chr(b)}" for a, b in charclass.HAN) + "]")
+        han = re.compile(charclass.python_class(charclass.HAN))
         return chunks.map(lambda own: [w for c in own for w in (kernels.best_path(c, scores, unknown, longest) if han.match(c) else [c])] if own is not None else None)
 
     return lambda text: cut_chunks(T.pretokenize(T.normalize_spaces(text)))

@@ -30,10 +30,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The texts; a table of fewer files than cores is dealt over all cores."""
+    """The texts; a table that is read in fewer tasks than there are cores is dealt over all cores."""
     rows = _table(spark, sf_dir, "documents").select("doc_id", "text")
     cores = spark.sparkContext.defaultParallelism
-    return rows.repartition(cores) if len(rows.inputFiles()) < cores else rows
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
 
 
 def _han(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -104,7 +104,8 @@ def _titles(spark, sf_dir):
 
 def lexicon_union_filter(spark, sf_dir):
     titles = _titles(spark, sf_dir)
-    pairs = _table(spark, sf_dir, "part").select(T.hanify(F.substring("p_brand", 1, 3)).alias("source"), T.hanify(F.substring("p_type", 1, 3)).alias("target"))
+    letters = F.regexp_extract_all(T.hanify(F.concat_ws(" ", "p_brand", "p_type")), F.lit(f"({C.one(C.HAN)}{{1,3}})"), F.lit(1))
+    pairs = _table(spark, sf_dir, "part").select(F.explode(letters).alias("source")).withColumn("target", F.col("source"))
     return L.union_words(L.title_words(titles), L.pure_words(titles, 4), L.redirect_words(pairs), None)
 
 
@@ -146,6 +147,10 @@ def longest_match_cut(spark, sf_dir):
     return S.match_segments(segments, _model(spark, sf_dir)[1]).select("chunk", F.array_join("tokens", " ").alias("tokens"))
 
 
+def segment_documents(spark, sf_dir):
+    return S.segment_longest_match(_han(spark, sf_dir), _model(spark, sf_dir)[1]).select("doc_id", F.array_join("tokens", " ").alias("tokens"))
+
+
 def cold_start_counts(spark, sf_dir):
     return S.match_counts(_han(spark, sf_dir), _model(spark, sf_dir)[1])
 
@@ -185,8 +190,15 @@ def redirect_join(spark, sf_dir):
 
 
 def wikitext_words(spark, sf_dir):
-    pages = _documents(spark, sf_dir).select(F.concat(F.lit("{{a|{{b}}}}\n* '''"), F.element_at(F.split("text", r"[\s'{}]+"), 1), F.lit("/x(y)'''：'''ab''' '''"), F.element_at(F.split("text", r"[\s'{}]+"), -1), F.lit("'''\n no '''list'''")).alias("source"))
-    return dumps.list_words(pages)
+    """Every document as a page of list lines: by turns with a bold colon, without one, and no list line."""
+    bold = lambda w: F.concat(F.lit("'''"), w, F.lit("'''"))
+
+    def line(word, i):
+        colon = F.concat(F.lit("* "), bold(F.concat(word, F.lit("/x(y)"))), F.lit("："), bold(F.lit("ab")), F.lit(" "), bold(word))
+        return F.when(i % 3 == 0, colon).when(i % 3 == 1, F.concat(F.lit("* "), bold(word))).otherwise(F.concat(F.lit(" no "), bold(word)))
+
+    listed = F.array_join(F.transform(F.filter(F.split("text", r"[\s'{}]+"), lambda w: w != ""), line), "\n")
+    return dumps.list_words(_documents(spark, sf_dir).select(F.concat(F.lit("{{a|{{b}}}}\n"), listed).alias("source")))
 
 
 def stream_cut(spark, sf_dir):
@@ -208,7 +220,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     every = (
         normalize_spaces, pretokenize_counts, token_kind_counts, split_punct, split_han_runs, valid_word_count, clean_text, sentence_split, char_count, seed_lexicon,
         lexicon_char_filter, lexicon_add_singles, lexicon_union_filter, constituent_chars, title_prefix_suppress, lattice_edges, viterbi_cut, viterbi_cut_native, cut_token_counts,
-        cut_documents, longest_match_cut, cold_start_counts, word_loss, prune_keep, em_one_iteration, em_train, mysql_tuple_parse, redirect_join, wikitext_words, stream_cut,
+        cut_documents, longest_match_cut, segment_documents, cold_start_counts, word_loss, prune_keep, em_one_iteration, em_train, mysql_tuple_parse, redirect_join, wikitext_words, stream_cut,
     )
     return {f.__name__: f for f in every}
 
@@ -298,13 +310,21 @@ FILTERED = f"{LEXICON}, {CHARS}, rare AS (SELECT DISTINCT word FROM (SELECT word
 TITLES = f"titles AS (SELECT unnest(regexp_split_to_array(translate(translate(text, ',.', '·'), '{T.LATIN}', '{T.HANIFIED * 2}'), '[ \\n]+')) AS word FROM documents)"
 UNION = f"""{TITLES},
 parts AS (SELECT unnest(string_split(word, '·')) AS part, contains(word, '·') AS dotted FROM titles),
-sides AS (SELECT unnest([translate(substr(p_brand, 1, 3), '{T.LATIN}', '{T.HANIFIED * 2}'), translate(substr(p_type, 1, 3), '{T.LATIN}', '{T.HANIFIED * 2}')]) AS word FROM part),
+sides AS (SELECT translate(unnest(regexp_extract_all(p_brand || ' ' || p_type, '([A-Za-z]{{1,3}})', 1)), '{T.LATIN}', '{T.HANIFIED * 2}') AS word FROM part),
 united AS (SELECT part AS word FROM parts WHERE {_pure("part")} AND length(part) <= CASE WHEN dotted THEN 4 ELSE 3 END
            UNION SELECT word FROM titles WHERE {_pure("word")} AND length(word) <= 4 UNION SELECT word FROM sides WHERE {_pure("word")} AND length(word) <= 3)"""
 CLEAN = "'# Heading' || chr(10) || chr(10) || text || chr(10) || '##  Part' || chr(12288) || 'two' || chr(10) || ' ' || chr(9) || text || chr(160) || chr(10)"
 PAGE_NAME = "replace(c_name, '#', '''')"
 
 
+def _cut_rows(table: str, key: str) -> str:
+    """The rows of a table cut with the lexicon of documents; runs that documents don't have are cut too."""
+    both = BACK.replace("runs AS (SELECT chunk, n FROM chunks WHERE han)", f"""other AS (SELECT DISTINCT unnest(regexp_extract_all({_norm(HAN_SQL)}, {_quoted(C.PRETOKEN)}, 1)) AS chunk FROM {table}),
+all_runs AS (SELECT chunk, n FROM chunks WHERE han), runs AS (SELECT chunk, n FROM all_runs UNION ALL SELECT chunk, 0 FROM other ANTI JOIN all_runs USING (chunk) WHERE regexp_matches(chunk, '^{C.one(C.HAN)}'))""")
+    both = both.replace("AS freq FROM runs, unnest", "AS freq FROM all_runs, unnest")
+    return f"WITH RECURSIVE {both}, d AS (SELECT {key}, i, l[i] AS chunk FROM (SELECT {key}, regexp_extract_all({_norm(HAN_SQL)}, {_quoted(C.PRETOKEN)}, 1) AS l FROM {table}), unnest(range(1, len(l) + 1)) AS u(i)) SELECT {key}, string_agg(coalesce(array_to_string(tokens, ' '), chunk), ' ' ORDER BY i) AS tokens FROM d LEFT JOIN cuts USING (chunk) GROUP BY {key}"
+
+
 def oracle_sql() -> dict[str, str]:
     sentences = f"list_filter(list_transform(regexp_extract_all(translate(text, '.!?', '。！？'), '{C.SENTENCE}'), lambda s: {_strip('s')}), lambda s: s <> '')"
     return {
@@ -327,7 +347,9 @@ def oracle_sql() -> dict[str, str]:
         "viterbi_cut": f"WITH RECURSIVE {BACK} SELECT chunk, array_to_string(tokens, ' ') AS tokens FROM cuts",
         "viterbi_cut_native": f"WITH RECURSIVE {BACK} SELECT chunk, array_to_string(tokens, ' ') AS tokens FROM cuts",
         "cut_token_counts": f"WITH RECURSIVE {COUNTED} SELECT word, freq FROM counted",
-        "cut_documents": f"WITH RECURSIVE {BACK}, d AS (SELECT doc_id, i, l[i] AS chunk FROM (SELECT doc_id, regexp_extract_all({_norm(HAN_SQL)}, {_quoted(C.PRETOKEN)}, 1) AS l FROM documents), unnest(range(1, len(l) + 1)) AS u(i)) SELECT doc_id, string_agg(coalesce(array_to_string(tokens, ' '), chunk), ' ' ORDER BY i) AS tokens FROM d LEFT JOIN cuts USING (chunk) GROUP BY doc_id",
+        "cut_documents": _cut_rows("documents", "doc_id"),
+        "stream_cut": _cut_rows("benchmark", "item_id"),
+        "segment_documents": f"WITH RECURSIVE {MATCHED}, d AS (SELECT doc_id, i, l[i] AS chunk FROM (SELECT doc_id, regexp_extract_all({HAN_SQL}, {_quoted(C.PUNCT_SPLIT)}, 1) AS l FROM documents), unnest(range(1, len(l) + 1)) AS u(i)) SELECT doc_id, string_agg(coalesce(array_to_string(tokens, ' '), chunk), ' ' ORDER BY i) AS tokens FROM d LEFT JOIN matches USING (chunk) GROUP BY doc_id",
         "longest_match_cut": f"WITH RECURSIVE {MATCHED} SELECT chunk, array_to_string(tokens, ' ') AS tokens FROM matches",
         "cold_start_counts": f"WITH RECURSIVE {MATCHED} SELECT word, sum(n)::BIGINT AS freq FROM (SELECT unnest(tokens) AS word, n FROM matches JOIN segs USING (chunk) UNION ALL SELECT chunk, n FROM segs WHERE delimiter) WHERE word IN (SELECT word FROM lex) GROUP BY word",
         "word_loss": f"WITH RECURSIVE {LOSS} SELECT word, round(loss, 4) + 0.0 AS loss, cnt FROM losses",
@@ -335,7 +357,9 @@ def oracle_sql() -> dict[str, str]:
         "em_one_iteration": f"WITH RECURSIVE {COUNTED} SELECT word, freq FROM counted WHERE word IN (SELECT word FROM lex)",
         "mysql_tuple_parse": "SELECT c_custkey || '|' || c_custkey % 3 || '|' || replace(replace(c_name, ' ', '_'), '#', '\\''') || '|0|x,)y' AS fields FROM customer",
         "redirect_join": f"SELECT {PAGE_NAME} AS source, target FROM customer JOIN (SELECT o_custkey, max(o_orderpriority) AS target FROM orders WHERE o_orderkey % 2 = 0 GROUP BY 1) ON o_custkey = c_custkey WHERE c_custkey % 3 = 0",
-        "wikitext_words": f"SELECT DISTINCT {_strip(_garbage('w'))} AS word FROM (SELECT {_strip('unnest(regexp_split_to_array(b, ' + _quoted(dumps.SEPARATORS) + '))')} AS w FROM (SELECT regexp_split_to_array(text, '[\\s''{{}}]+')[1] || '/x(y)' AS b FROM documents UNION ALL SELECT regexp_split_to_array(text, '[\\s''{{}}]+')[-1] FROM documents WHERE length(regexp_split_to_array(text, '[\\s''{{}}]+')[-1]) > 2))",
+        "wikitext_words": f"""SELECT DISTINCT {_strip(_garbage('w'))} AS word FROM (SELECT {_strip('unnest(regexp_split_to_array(b, ' + _quoted(dumps.SEPARATORS) + '))')} AS w FROM (
+            SELECT unnest(CASE i % 3 WHEN 0 THEN list_filter([word || '/x(y)', CASE WHEN length(word) > 2 THEN word END], lambda b: b IS NOT NULL) WHEN 1 THEN [word] ELSE []::VARCHAR[] END) AS b
+            FROM (SELECT l[i + 1] AS word, i FROM (SELECT list_filter(regexp_split_to_array(text, '[\\s''{{}}]+'), lambda w: w <> '') AS l FROM documents), unnest(range(0, len(l))) AS u(i))))""",
     }
 
 

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 
+#: What bytes that aren't UTF-8 are read as; no title has it otherwise.
+REPLACED = "\ufffd"
 _FIELD = r"'(?:\\.|[^'\\])*+'|[^,()']++"
 _TUPLE = rf"\(((?:{_FIELD})?(?:,(?:{_FIELD})?)*)\)"
 
@@ -25,28 +27,36 @@ def insert_tuples(lines: DataFrame, line_col: str = "value") -> DataFrame:
 
 
 def redirects(tuples: DataFrame) -> DataFrame:
-    """(rd_from, rd_title) of namespace 0."""
+    """(rd_from, rd_title) of namespace 0, without titles that aren't UTF-8."""
     rows = tuples.where(F.size("fields") >= 3).select(F.get("fields", F.lit(0)).cast("bigint").alias("rd_from"), F.get("fields", F.lit(1)).cast("int").alias("ns"), T.unescape_title(F.get("fields", F.lit(2))).alias("rd_title"))
-    return rows.where("ns = 0").select("rd_from", "rd_title")
+    return rows.where((F.col("ns") == 0) & ~F.contains("rd_title", F.lit(REPLACED))).select("rd_from", "rd_title")
 
 
 def pages(tuples: DataFrame) -> DataFrame:
-    """(page_id, page_title) of namespace 0."""
+    """(page_id, page_title) of namespace 0, without titles that aren't UTF-8."""
     rows = tuples.where(F.size("fields") >= 5).select(F.get("fields", F.lit(0)).cast("bigint").alias("page_id"), F.get("fields", F.lit(1)).cast("int").alias("ns"), T.unescape_title(F.get("fields", F.lit(2))).alias("page_title"))
-    return rows.where("ns = 0").select("page_id", "page_title")
+    return rows.where((F.col("ns") == 0) & ~F.contains("page_title", F.lit(REPLACED))).select("page_id", "page_title")
 
 
 def redirect_pairs(page_rows: DataFrame, redirect_rows: DataFrame, mapping: dict[str, str] | None = None) -> DataFrame:
-    """(source, target) titles of redirect pages, simplified. Of repeated rd_from the largest title counts."""
+    """(source, target) titles of redirect pages, simplified, in the order of the titles before that. Of repeated rd_from the largest title counts."""
     single = redirect_rows.groupBy("rd_from").agg(F.max("rd_title").alias("rd_title"))
     joined = page_rows.join(single, page_rows["page_id"] == single["rd_from"])
-    return joined.select(T.to_simplified(F.col("page_title"), mapping or {}).alias("source"), T.to_simplified(F.col("rd_title"), mapping or {}).alias("target"))
+    return joined.orderBy("page_title", "rd_title").select(T.to_simplified(F.col("page_title"), mapping or {}).alias("source"), T.to_simplified(F.col("rd_title"), mapping or {}).alias("target"))
 
 
-def trim_templates(wikitext: Column, depth: int = 40) -> Column:
-    """Text without {{...}}, nested up to depth; raises where braces don't match."""
-    innermost = r"\{\{(?:[^{}]|\{(?!\{)|\}(?!\}))*+\}\}"
-    out = F.aggregate(F.sequence(F.lit(1), F.lit(depth)), wikitext, lambda t, _: F.regexp_replace(t, innermost, ""))
+def trim_templates(wikitext: Column) -> Column:
+    """Text without {{...}}, however deep they nest; raises where braces don't match."""
+    # braces pair from the left of their run
+    innermost = r"(?<!\{)((?:\{\{)*)\{\{(?:[^{}]|\{(?!\{)|\}(?!\}))*+\}\}"
+
+    # each round takes the innermost templates, until one changes nothing
+    def round(state: Column, _: Column) -> Column:
+        left = F.when(state["more"], F.regexp_replace(state["text"], innermost, "$1")).otherwise(state["text"])
+        return F.struct(left.alias("text"), (F.char_length(left) < F.char_length(state["text"])).alias("more"))
+
+    rounds = F.sequence(F.lit(1), F.size(F.split(wikitext, r"\{\{")))
+    out = F.aggregate(rounds, F.struct(wikitext.alias("text"), F.lit(True).alias("more")), round, lambda s: s["text"])
     return F.when(out.contains("{{") | out.contains("}}"), F.raise_error(F.lit("unbalanced template in wikitext"))).otherwise(out)
 
 
@@ -64,16 +74,16 @@ GARBAGE = ("[", "]", "…", ":", "：", ")", "）", '"', "“", "”", "-{", "}-
 def list_words(wiki_pages: DataFrame, source_col: str = "source") -> DataFrame:
     """Distinct words in bold from the list lines of wikitext pages.
 
-    Bold words before the first bold colon are taken; those behind it, or in a line
-    without one, only if they have over two characters.
+    Bold words before the first bold colon are taken, those behind it only if they
+    have over two characters. In a line without one all are taken.
     """
     lines = wiki_pages.select(F.explode(F.split(trim_templates(F.col(source_col)), "\n")).alias("line")).where(F.col("line").startswith("*"))
     line = T.strip(F.regexp_replace("line", r"\A\*+|\*+\z", ""))
     lines = lines.select(line.alias("line"))
     at = lambda mark: F.instr("line", mark)
-    cut = F.when(at("'''：") > 0, at("'''：")).when(at("''':") > 0, at("''':")).otherwise(F.lit(-3))
+    cut = F.when(at("'''：") > 0, at("'''：")).when(at("''':") > 0, at("''':")).otherwise(F.char_length("line"))
     lines = lines.withColumn("cut", cut)
-    before, after = F.expr("substr(line, 1, greatest(cut + 3, 0))"), F.expr("substr(line, greatest(cut + 4, 1))")
+    before, after = F.expr("substr(line, 1, cut + 3)"), F.expr("substr(line, cut + 4)")
     taken = F.concat(bolds(before), F.filter(bolds(after), lambda b: F.char_length(b) > 2))
     words = lines.select(F.explode(taken).alias("bold")).select(F.explode(F.split("bold", SEPARATORS)).alias("word"))
     word = T.strip(F.col("word"))

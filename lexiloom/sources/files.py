@@ -2,18 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from functools import reduce
+
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 
 
 def lexicon_rows(lines: DataFrame) -> DataFrame:
-    """(word, freq) from lines "word TAB freq": lines without a TAB or without a leading integer behind it are skipped, as are empty words."""
+    """(word, freq) from lines "word TAB freq": lines without a TAB and empty words are skipped.
+
+    What follows a leading integer is ignored; no integer of 64 bits behind the TAB raises.
+    """
     rest = F.expr("substr(value, instr(value, '\t') + 1)")
     number = F.regexp_extract(rest, r"^\s*([+-]?\d+)", 1)
-    rows = lines.where("instr(value, '\t') > 1").select(F.expr("substr(value, 1, instr(value, '\t') - 1)").alias("word"), number.try_cast("bigint").alias("freq"))
-    return rows.where("freq is not null")
+    wrong = F.raise_error(F.concat(F.lit("no frequency in lexicon line: "), "value")).cast("bigint")
+    return lines.where("instr(value, '\t') > 1").select(F.expr("substr(value, 1, instr(value, '\t') - 1)").alias("word"), F.coalesce(number.try_cast("bigint"), wrong).alias("freq"))
 
 
 def word_rows(lines: DataFrame) -> DataFrame:
@@ -36,6 +41,18 @@ def read_corpus(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select(F.make_valid_utf8("value").alias("text"))
 
 
+def concat_corpora(*corpora: DataFrame) -> DataFrame:
+    """The corpora one behind the other: their rows with source_no, the number of the corpus from 0."""
+    numbered = [c.select(F.lit(k).alias("source_no"), *c.columns) for k, c in enumerate(corpora)]
+    return reduce(DataFrame.unionByName, numbered)
+
+
+def counted(rows: DataFrame, name: str) -> tuple[DataFrame, Observation]:
+    """rows, and an observation whose get["rows"] tells how many passed once an action has run."""
+    seen = Observation(name)
+    return rows.observe(seen, F.count(F.lit(1)).alias("rows")), seen
+
+
 def read_articles(spark: SparkSession, path: str) -> DataFrame:
     """JSON lines with title and text; blank lines and articles without text are skipped."""
     rows = spark.read.schema("title string, text string").json(path)

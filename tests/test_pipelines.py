@@ -16,7 +16,7 @@ SF = "/root/testdata/sf0.001"
 @pytest.fixture
 def lexicon_file(tmp_path):
     path = tmp_path / "dict.txt"
-    path.write_text("他\t50\n是\t40x\n\n英国\t80\n英国人\t 100\n人 30\n\t9\n坏\tx\n", encoding="utf-8")
+    path.write_text("他\t50\n是\t40x\n\n英国\t80\n英国人\t 100\n人 30\n\t9\n", encoding="utf-8")
     return str(path)
 
 
@@ -27,7 +27,11 @@ def lines(path):
 def test_readers(spark, lexicon_file, tmp_path):
     got = sorted(tuple(r) for r in files.read_lexicon(spark, lexicon_file).collect())
     assert got == sorted([("他", 50), ("是", 40), ("英国", 80), ("英国人", 100)])
-    assert {r.word for r in files.read_words(spark, lexicon_file).collect()} == {"他", "是", "英国", "英国人", "人", "坏"}
+    assert {r.word for r in files.read_words(spark, lexicon_file).collect()} == {"他", "是", "英国", "英国人", "人"}
+    for bad in ("坏\tx", "大\t99999999999999999999"):
+        (tmp_path / "bad.txt").write_text(f"好\t3\n{bad}\n", encoding="utf-8")
+        with pytest.raises(Exception, match="no frequency"):
+            files.read_lexicon(spark, str(tmp_path / "bad.txt")).collect()
     with pytest.raises(Exception, match="(?i)path"):
         files.read_lexicon(spark, str(tmp_path / "none")).collect()
     (tmp_path / "a.jsonl").write_text('{"title": "t", "text": "# h\\n  a  b"}\n\n{"title": "u"}\n{"text": ""}\n', encoding="utf-8")
@@ -68,6 +72,32 @@ def test_stream_equals_batch(spark, tmp_path):
     assert {r.word: r.freq for r in spark.table("running").collect()}["英国人"] == 2
 
 
+def test_corpora_one_behind_the_other(spark):
+    one, two = (spark.createDataFrame([(t,) for t in texts], "text string") for texts in (["a", "b"], ["a"]))
+    rows, seen = files.counted(files.concat_corpora(one, two), "rows")
+    assert sorted(tuple(r) for r in rows.collect()) == [(0, "a"), (0, "b"), (1, "a")]
+    assert seen.get["rows"] == 3
+
+
+def test_filtered_lexicon_keeps_its_order(spark, tmp_path):
+    (tmp_path / "chars").write_text("乙\t5\n甲\t9\n丙\t7\n丁\t1\n〇\t8\n", encoding="utf-8")
+    (tmp_path / "words").write_text("乙甲\n甲\n甲丁\n乙乙\n甲\n", encoding="utf-8")
+    cli.run(spark, ["filter-lexicon", str(tmp_path / "chars"), str(tmp_path / "words"), str(tmp_path / "out")])
+    kept = [x for f in sorted((tmp_path / "out").glob("part-*")) for x in f.read_text(encoding="utf-8").splitlines()]
+    assert kept == ["乙甲", "甲", "乙乙", "丙", "乙", "丁"]
+
+
+def test_shared_folder_of_a_cluster_must_be_set():
+    from types import SimpleNamespace as N
+
+    from lexiloom import storage
+
+    scala = N(getCheckpointDir=lambda: N(isEmpty=lambda: True))
+    session = N(sparkContext=N(_jsc=N(sc=lambda: scala), master="local-cluster[3,2,3000]"), conf=N(get=lambda *_: None))
+    with pytest.raises(ValueError, match="checkpoint"):
+        storage.shared_folder(session)
+
+
 def test_char_filter(spark):
     counts = spark.createDataFrame([("甲", 5), ("乙", 1), ("〇", 3)], "ch string, cnt long")
     words = spark.createDataFrame([("甲甲",), ("甲乙",), ("丙",), ("",), ("甲甲",)], "word string")
@@ -79,7 +109,7 @@ def test_char_filter(spark):
 @pytest.fixture(scope="module")
 def duck():
     base = duckdb.connect()
-    for t in ("documents", "part", "customer", "orders"):
+    for t in ("documents", "benchmark", "part", "customer", "orders"):
         base.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     return base
 

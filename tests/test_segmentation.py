@@ -32,6 +32,23 @@ def cuts(spark, words, texts, engine="auto"):
     return [got[k] for k in range(len(texts))]
 
 
+@pytest.mark.parametrize("engine", ["auto", "native"])
+def test_rows_with_one_id_keep_apart(spark, engine):
+    docs = spark.createDataFrame([(1, "甲乙丙 ab"), (1, "丙，甲"), (1, "丙，甲"), (None, "甲乙"), (2, None)], "doc_id long, text string")
+    lexicon = frame(spark, [("甲乙", 9), ("甲", 1), ("丙", 1)])
+    order = lambda rows: sorted([(r.doc_id, list(r.tokens)) for r in rows], key=repr)
+    expected = [(1, ["甲乙", "丙", "▁", "ab"]), (1, ["丙", "，", "甲"]), (1, ["丙", "，", "甲"]), (None, ["甲乙"]), (2, [])]
+    assert order(S.cut(docs, lexicon, engine=engine).collect()) == sorted(expected, key=repr)
+    expected[0] = (1, ["甲乙", "丙", " ", "a", "b"])
+    assert order(S.segment_longest_match(docs, lexicon, engine=engine).collect()) == sorted(expected, key=repr)
+
+
+def test_a_lexicon_too_large_for_a_cutter_raises(spark, monkeypatch):
+    monkeypatch.setattr(S.Model.__init__, "__defaults__", (1,))
+    with pytest.raises(ValueError, match="up to"):
+        Cutter(spark, frame(spark, G1))
+
+
 @pytest.mark.parametrize("engine", ["auto", "native"])
 def test_goldens(spark, engine):
     assert cuts(spark, G1, ["南京市长江大桥"], engine) == [["南京市", "长江大桥"]]
@@ -171,6 +188,7 @@ def test_phrases(spark):
 def test_titles(spark):
     titles = spark.createDataFrame([("中华人民",), ("中华人民共和国",), ("中华",), ("国家列表",), ("单",), ("A字",), (" 约翰·多恩 ",)], "title string")
     assert {r.title for r in L.good_titles(titles).collect()} == {"中华人民", "中华", "约翰·多恩"}
+    assert {r.title for r in L.good_titles(spark.createDataFrame([("中華",), ("国家列錶",)], "title string"), mapping={"華": "华", "錶": "表"}).collect()} == {"中华"}
 
 
 def test_dumps(spark):
@@ -178,14 +196,17 @@ def test_dumps(spark):
     rows = [r.fields for r in dumps.insert_tuples(lines).collect()]
     assert rows == [["7", "0", "A_\\'b", "x,(1)", "0.5"], ["8", "1", "c", "", "NULL"]]
     pages = dumps.pages(dumps.insert_tuples(lines))
+    assert dumps.redirects(spark.createDataFrame([(["7", "0", "a\ufffd"],), (["8", "0", "b"],)], "fields array<string>")).first() == (8, "b")
     redirects = spark.createDataFrame([(7, "T"), (8, "U")], "rd_from long, rd_title string")
     assert [tuple(r) for r in dumps.redirect_pairs(pages, redirects).collect()] == [("A 'b", "T")]
 
 
 def test_wikitext(spark):
-    source = "{{x|{{y}}}}\n* '''甲/乙'''：'''丙丁''' '''戊己庚'''\n'''no'''\n** '''[辛]壬癸''' 的'''简称子丑寅'''"
+    source = "{{x|{{y}}}}\n* '''甲/乙'''：'''丙丁''' '''戊己庚'''\n'''no'''\n** '''[辛]壬癸''' 的'''简称子丑寅'''\n* '''寅卯'''"
     words = {r.word for r in dumps.list_words(spark.createDataFrame([(source,)], "source string")).collect()}
-    assert words == {"甲", "乙", "戊己庚", "辛壬癸", "子丑寅"}
+    assert words == {"甲", "乙", "戊己庚", "辛壬癸", "子丑寅", "寅卯"}
+    deep = "{{" * 60 + "x" + "}}" * 60 + "\n*'''天'''"
+    assert [r.word for r in dumps.list_words(spark.createDataFrame([(deep,)], "source string")).collect()] == ["天"]
     for bad in ("{{a", "* '''x"):
         with pytest.raises(Exception, match="unbalanced|unclosed"):
             dumps.list_words(spark.createDataFrame([(bad,)], "source string")).collect()
