@@ -22,7 +22,9 @@ from . import kernels as K
 from .store import materialise_by, shuffle_partitions
 
 SEGMENT_SCHEMA = "doc_ids array<bigint>, lengths binary, digests binary, text binary"
-REPLIES = "array<struct<bucket:int,again:binary,first:binary>>"
+#: A segment's keys are under 2 MB, so a bucket's are under 32.
+SEGMENTS_A_BUCKET = 16
+
 
 
 def _segment_batches(batches):
@@ -116,20 +118,23 @@ def _sort_bucket(width):
     return run
 
 
-def repeats(segments: DataFrame, keys_of: Callable[[dict], np.ndarray], width: int = 8, reply: str = "replies") -> DataFrame:
+def repeats(segments: DataFrame, keys_of: Callable[[dict], np.ndarray], buckets: int, width: int = 8, reply: str = "replies") -> DataFrame:
     """(seg, replies): what repeat_flags() needs to flag the keys of keys_of(row) that occur more than once.
 
     width is the number of leading bytes compared: under 8 serves as a filter that
     may flag a few keys too many, never too few.
     """
-    buckets = bucket_count(segments)
     sent = segments.mapInArrow(_send(keys_of, buckets, width), "bucket int, seg bigint, keys binary, twice binary")
     back = sent.groupBy("bucket").applyInArrow(_sort_bucket(width), "seg bigint, bucket int, again binary, first binary")
     return back.groupBy("seg").agg(F.collect_list(F.struct("bucket", "again", "first")).alias(reply))
 
 
 def bucket_count(segments: DataFrame) -> int:
-    return 4 * shuffle_partitions(segments)
+    """Ranges of hashes: two a shuffle partition at least, and as many as hold the keys of SEGMENTS_A_BUCKET segments each.
+
+    So what one task sorts stays the same at every size; a segment sends no more rows than it has keys.
+    """
+    return max(2 * shuffle_partitions(segments), -(-segments.count() // SEGMENTS_A_BUCKET))
 
 
 def repeat_flags(keys: np.ndarray, replies: list[dict] | None, buckets: int) -> tuple[np.ndarray, np.ndarray]:

@@ -1,22 +1,27 @@
 """Exact substring dedup: bytes covered by a string of LENGTH bytes that starts anywhere else too.
 
-Blockwise suffix sorting with a difference cover. D is a perfect difference set
-modulo v = 307 (18 residues): for any two positions there is a shift under v that
-brings both into the cover. So of two equal strings of 400 bytes, cover positions
-at one shift see equal windows of 400 - 306 = 94 bytes.
-
-1. Cover samples: the windows at cover positions are sorted bucket by bucket; a
-   sample is ranked as unique or repeated.
-2. Only suffixes less than v bytes before a repeated sample can have a common
-   prefix of LENGTH bytes with another suffix. Their prefixes, as 64-bit
-   fingerprints, are sorted bucket by bucket in the same way; ties are the
-   repeated strings.
-Each bucket is a bounded range of fingerprints, sorted by one task at a time, so
-memory follows the bucket, not the corpus. Whole texts that are equal are found
-first, and only one of them takes part.
-
-Fingerprints of 64 bits decide step 2: with n candidate suffixes the chance of any
-wrong tie is under n^2 / 2^65.
+Blockwise suffix sorting with difference covers. D is a perfect difference set
+modulo v: for any two positions there is a shift under v that brings both into the
+cover. So of two equal strings, cover positions at one shift see equal windows.
+
+1. Candidates. Windows at cover positions of the corpus are sorted bucket by
+   bucket; only suffixes less than v bytes before a repeated one can have an equal
+   among the others. Fingerprints of their prefixes are sorted in the same way and
+   leave those that tie. Neither step loses an equal pair.
+2. Blocks. Stretches of candidate suffixes that share the least hash of their inner
+   16-byte strings go, with their bytes, to the block of that hash, so equal
+   prefixes meet in one block. Equal stretches are folded into one before.
+3. Sorting. Each block ranks its own cover samples by doubling, sorts its suffixes
+   by their first bytes, and resolves the ties by the samples' ranks at the shift
+   that the two positions share (block_ties). The block decides: a suffix without
+   an equal there is refuted, and what is refuted goes back to the segments.
+Whole texts that are equal (by 128-bit digests) are found first, and only one of
+them takes part. Memory follows the block, whose size follows the bytes of the
+candidates and the number of blocks.
+
+n_shared tells more loosely, by 64-bit fingerprints, how many bytes strings of
+SHARED bytes cover that start elsewhere too: a passage of fifty-odd short words has
+under LENGTH bytes and isn't removed, but it is counted there.
 
 Defined results: null and empty texts have no bytes and lose none; a text under
 LENGTH bytes loses none; equal texts of LENGTH bytes or more lose all bytes.
@@ -25,6 +30,7 @@ LENGTH bytes loses none; equal texts of LENGTH bytes or more lose all bytes.
 from __future__ import annotations
 
 import hashlib
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -33,14 +39,20 @@ from pyspark.sql import functions as F
 
 from . import kernels as K
 from .segments import Segment, bucket_count, make_segments, repeat_flags, repeats, rows_of
-from .store import materialise
+from .store import materialise, shuffle_partitions
 
 LENGTH = 400
-COVER_FIELD = 17
+SHARED = 200
+#: The order of the cover among the corpus and inside a block, by the prime it is made from.
+COVER_FIELD, BLOCK_FIELD = 7, 5
+#: Bytes of the strings whose least hash tells the block, and bytes of candidates for a block.
+GRAM = 16
+BLOCK_BYTES = 1 << 20
 
-RESULT_SCHEMA = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary"
+RESULT_SCHEMA = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, n_shared bigint, kept binary"
 
 
+@lru_cache
 def difference_cover(q: int = COVER_FIELD) -> tuple[np.ndarray, int]:
     """A perfect difference set modulo q^2+q+1 for a prime q.
 
@@ -61,27 +73,43 @@ def difference_cover(q: int = COVER_FIELD) -> tuple[np.ndarray, int]:
 
 
 def cover_for(length: int) -> tuple[np.ndarray, int, int]:
-    """(residues, modulus, window) for strings of length bytes: the largest cover that leaves windows of a fifth of them."""
-    for q in (17, 13, 11, 7, 5, 3, 2):
-        if q * q + q + 1 <= 0.8 * length:
+    """(residues, modulus, window) for strings of length bytes, with windows of three tenths of them at least."""
+    for q in (COVER_FIELD, 5, 3, 2):
+        if q * q + q + 1 <= 0.7 * length:
             cover, v = difference_cover(q)
             return cover, v, length - v + 1
-    raise ValueError("length must be at least 9")
+    raise ValueError("length must be at least 10")
 
 
-def _kept(segment: Segment, copies, length: int) -> np.ndarray:
-    """Documents that take part: long enough, and the first of their equals."""
-    again, first = _whole_flags(segment, copies)
-    return (segment.lengths >= length) & (first | ~again)
+# 1. candidates
 
 
-def _whole_key(row: dict) -> np.ndarray:
-    digests = Segment(row).digests
-    return K.mix(digests[:, 0]) ^ digests[:, 1]
+def _digest_rows(length):
+    def run(batches):
+        for row in rows_of(batches):
+            segment = Segment(row)
+            docs = np.flatnonzero(segment.lengths >= length)
+            raw = segment.digests[docs].tobytes()
+            blobs = [raw[k : k + 16] for k in range(0, len(raw), 16)]
+            yield pa.RecordBatch.from_arrays([pa.array(blobs, pa.binary()), pa.array([row["seg"]] * len(docs), pa.int64()), pa.array(docs, pa.int32())], names=["digest", "seg", "doc"])
+
+    return run
 
 
-def _whole_flags(segment: Segment, copies) -> tuple[np.ndarray, np.ndarray]:
-    return repeat_flags(_whole_key(segment.row), segment.row["copies"], copies)
+def equal_texts(segments: DataFrame, length: int) -> DataFrame:
+    """(seg, copies): the documents of each segment whose text others have too, and whether each is the first of them."""
+    docs = segments.select("seg", "doc_ids", "lengths", "digests").mapInArrow(_digest_rows(length), "digest binary, seg bigint, doc int")
+    first = docs.groupBy("digest").agg(F.min(F.struct("seg", "doc")).alias("lead"), F.count("*").alias("n")).where("n > 1")
+    again = docs.join(first, "digest").select("seg", F.struct("doc", (F.struct("seg", "doc") == F.col("lead")).alias("first")).alias("copy"))
+    return again.groupBy("seg").agg(F.collect_list("copy").alias("copies"))
+
+
+def _copies(segment: Segment) -> tuple[np.ndarray, np.ndarray]:
+    """For every document whether others have its text, and whether it takes part."""
+    again, part = np.zeros(len(segment.lengths), bool), np.ones(len(segment.lengths), bool)
+    for x in segment.row["copies"] or ():
+        again[x["doc"]], part[x["doc"]] = True, x["first"]
+    return again, part
 
 
 def _sample_places(segment: Segment, take: np.ndarray, cover: np.ndarray, v: int, window: int) -> np.ndarray:
@@ -94,97 +122,320 @@ def _sample_places(segment: Segment, take: np.ndarray, cover: np.ndarray, v: int
     return np.concatenate(places) if places else np.zeros(0, np.int64)
 
 
-def _sample_keys(length, copies):
+def _samples(segment: Segment, length: int) -> tuple[np.ndarray, np.ndarray]:
     cover, v, window = cover_for(length)
+    at = _sample_places(segment, (segment.lengths >= length) & _copies(segment)[1], cover, v, window)
+    return at, K.span_hash(K.prefix_hash(segment.bytes), at, at + window) if len(at) else np.zeros(0, np.uint64)
 
-    def keys(row):
-        segment = Segment(row)
-        at = _sample_places(segment, _kept(segment, copies, length), cover, v, window)
-        return K.span_hash(K.prefix_hash(segment.bytes), at, at + window) if len(at) else np.zeros(0, np.uint64)
 
-    return keys
+def _covered(size: int, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """The places in any [low, high)."""
+    step = np.zeros(size + 1, np.int32)
+    np.add.at(step, low, 1)
+    np.add.at(step, high, -1)
+    return np.cumsum(step)[:-1] > 0
+
+
+def _runs(mask: np.ndarray, segment: Segment) -> bytes | None:
+    """The runs of True inside documents, or None if there are none."""
+    start, end = K.runs(mask, segment.off)
+    return K.packed(np.concatenate([start, end])) if len(start) else None
+
+
+def _run_batch(seg: int, runs: bytes, longer: bytes | None = None, n: int = 0):
+    columns = [pa.array([seg], pa.int64()), pa.array([runs], pa.binary()), pa.array([longer], pa.binary()), pa.array([n], pa.int64())]
+    return pa.RecordBatch.from_arrays(columns, names=["seg", "runs", "longer", "n_starts"])
+
+
+def _run_places(blob) -> np.ndarray:
+    if blob is None:
+        return np.zeros(0, np.int64)
+    start, end = K.unpacked(blob, np.int64).reshape(2, -1)
+    return K.spread(start, end - start)
 
 
 def _candidates(length, buckets):
     """Runs of starts that lie less than v bytes before a repeated sample."""
-    cover, v, window = cover_for(length)
-    keys_of = _sample_keys(length, buckets)
+    v = cover_for(length)[1]
 
     def run(batches):
         for row in rows_of(batches):
             segment = Segment(row)
-            take = _kept(segment, buckets, length)
-            at = _sample_places(segment, take, cover, v, window)
-            again, _ = repeat_flags(keys_of(row), row["samples"], buckets)
-            at = at[again]
+            at, keys = _samples(segment, length)
+            at = at[repeat_flags(keys, row["samples"], buckets)[0]]
+            if len(at):
+                doc = np.searchsorted(segment.off, at, side="right") - 1
+                low = np.maximum(at - v + 1, segment.off[doc])
+                high = np.minimum(at, segment.off[doc] + segment.lengths[doc] - length) + 1
+                good = high > low
+                runs = _runs(_covered(int(segment.off[-1]), low[good], high[good]), segment)
+                if runs:
+                    yield _run_batch(row["seg"], runs)
+
+    return run
+
+
+def _prefixes(length):
+    """Fingerprints of the prefixes of the suffixes that start in runs."""
+
+    def keys(row):
+        at = _run_places(row["runs"])
+        return K.span_hash(K.prefix_hash(Segment(row).bytes), at, at + length) if len(at) else np.zeros(0, np.uint64)
+
+    return keys
+
+
+def _tied(length, buckets, longer=None):
+    """Runs of the starts whose prefix fingerprints tie; longer: also the starts whose strings of that length have such ones at both ends."""
+    keys_of = _prefixes(length)
+
+    def run(batches):
+        for row in rows_of(batches):
+            segment = Segment(row)
+            at = _run_places(row["runs"])
+            at = at[repeat_flags(keys_of(row), row["strings"], buckets)[0]]
             if not len(at):
                 continue
-            doc = np.searchsorted(segment.off, at, side="right") - 1
-            low = np.maximum(at - v + 1, segment.off[doc])
-            high = np.minimum(at, segment.off[doc] + segment.lengths[doc] - length) + 1
-            good = high > low
-            step = np.zeros(int(segment.off[-1]) + 2, np.int32)
-            np.add.at(step, low[good], 1)
-            np.add.at(step, high[good], -1)
-            start, end = K.runs(np.cumsum(step)[:-1] > 0, segment.off)
-            yield pa.RecordBatch.from_arrays([pa.array([row["seg"]], pa.int64()), pa.array([K.packed(np.concatenate([start, end]))], pa.binary())], names=["seg", "runs"])
+            tied = np.zeros(int(segment.off[-1]) + (longer or 0), bool)
+            tied[at] = True
+            more = None
+            if longer:
+                doc = np.searchsorted(segment.off, at, side="right") - 1
+                both = np.zeros(int(segment.off[-1]), bool)
+                both[at[tied[at + longer - length] & (at + longer <= segment.off[doc + 1])]] = True
+                more = _runs(both, segment)
+            yield _run_batch(row["seg"], _runs(tied[: int(segment.off[-1])], segment), more, len(at))
 
     return run
 
 
-def _starts(row) -> np.ndarray:
-    if row["runs"] is None:
-        return np.zeros(0, np.int64)
+# 2. blocks
+
+
+def least_hashes(buf: np.ndarray, start: np.ndarray, end: np.ndarray, length: int) -> np.ndarray:
+    """For every start in the runs [start, end) the least hash of the GRAM-byte strings inside its first length bytes."""
+    gram = min(GRAM, length)
+    size = end - start + length - gram
+    places = K.spread(start, size)
+    prefix = K.prefix_hash(buf)
+    least, have, width = K.span_hash(prefix, places, places + gram), 1, length - gram + 1
+    while 2 * have <= width:
+        least = np.minimum(least[:-have], least[have:])
+        have *= 2
+    if have < width:
+        least = np.minimum(least[: len(least) - (width - have)], least[width - have :])
+    return least[K.spread(np.cumsum(size) - size, end - start)]
+
+
+def stretches(row: dict, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
+    """(block hash, first start, number of starts, bytes) of the stretches of a segment's candidates."""
+    buf = Segment(row).bytes
     start, end = K.unpacked(row["runs"], np.int64).reshape(2, -1)
-    return K.spread(start, end - start)
+    least, at = least_hashes(buf, start, end, length), K.spread(start, end - start)
+    new = np.flatnonzero(np.append(True, (least[1:] != least[:-1]) | (at[1:] != at[:-1] + 1)))
+    count = np.diff(np.append(new, len(at)))
+    raw = buf.tobytes()
+    return K.mix(least[new]), at[new], count, [raw[a : a + n + length - 1] for a, n in zip(at[new].tolist(), count.tolist(), strict=True)]
 
 
-def _start_keys(length):
-    def keys(row):
-        at = _starts(row)
-        return K.span_hash(K.prefix_hash(Segment(row).bytes), at, at + length) if len(at) else np.zeros(0, np.uint64)
+def _digest(content: bytes) -> bytes:
+    return hashlib.blake2b(content, digest_size=16).digest()
 
-    return keys
+
+def _stretch_rows(length, blocks):
+    """(block, digest, n, content) of the stretches, equal ones of a segment once."""
+
+    def run(batches):
+        for row in rows_of(batches):
+            hashes, _, _, contents = stretches(row, length)
+            block = ((hashes >> np.uint64(32)) * np.uint64(blocks) >> np.uint64(32)).astype(np.int32)
+            seen: dict[bytes, list] = {}
+            for b, content in zip(block.tolist(), contents, strict=True):
+                seen.setdefault(_digest(content), [b, 0, content])[1] += 1
+            columns = zip(*((b, d, n, c) for d, (b, n, c) in seen.items()), strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.binary(), pa.int64(), pa.binary()), strict=True)], names=["block", "digest", "n", "content"])
+
+    return run
+
+
+# 3. sorting
+
+
+def _words(text: np.ndarray) -> np.ndarray:
+    """The eight bytes from every place on as one number, zeros behind the end."""
+    padded = np.concatenate([text, np.zeros(8, np.uint8)]).astype(np.uint64)
+    out = np.zeros(len(text), np.uint64)
+    for k in range(8):
+        out = out << np.uint64(8) | padded[k : k + len(text)]
+    return out
+
+
+def _names(*columns: np.ndarray) -> np.ndarray:
+    """Dense ranks of rows, in their order."""
+    order = np.lexsort(columns[::-1])
+    new = np.zeros(len(order), bool)
+    for c in columns:
+        sorted_ = c[order]
+        new[1:] |= sorted_[1:] != sorted_[:-1]
+    out = np.empty(len(order), np.int64)
+    out[order] = np.cumsum(new)
+    return out
 
 
-def _results(length, buckets, with_text):
-    keys_of = _start_keys(length)
+def sample_ranks(words: np.ndarray, cover: np.ndarray, v: int, depth: int) -> tuple[np.ndarray, int]:
+    """Ranks of the strings at all cover positions (a row for every v places), and their length: depth or up to v-1 less.
 
+    Strings grow by shifts that are multiples of v, so what a sample is extended by is a sample's too.
+    """
+    rows = -(-len(words) // v)
+    places = np.minimum(np.arange(rows)[:, None] * v + cover, len(words) - 1)
+    head = [words[np.minimum(places + 8 * k, len(words) - 1)].ravel() for k in range(4)]
+    ranks, have = _names(*head).reshape(rows, len(cover)), 32
+    while shift := min(have, depth - have) // v * v:
+        more = np.concatenate([ranks[shift // v :], np.zeros((min(shift // v, rows), len(cover)), np.int64)])
+        ranks = _names(ranks.ravel(), more.ravel()).reshape(rows, len(cover))
+        have += shift
+    return ranks, have
+
+
+@lru_cache
+def _shifts(q: int) -> tuple[np.ndarray, np.ndarray]:
+    """The number of each residue of the cover, and for two residues the least shift that brings both into it."""
+    cover, v = difference_cover(q)
+    column = np.full(v, -1)
+    column[cover] = np.arange(len(cover))
+    first = lambda a, b: next(d for d in range(v) if column[(a + d) % v] >= 0 and column[(b + d) % v] >= 0)
+    return column, np.array([[first(a, b) for b in range(v)] for a in range(v)])
+
+
+def block_ties(text: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
+    """Whether each suffix at starts has the first length bytes in common with another of them; these bytes lie inside text."""
+    if not len(starts):
+        return np.zeros(0, bool)
+    words = _words(text)
+    cover, v = difference_cover(BLOCK_FIELD)
+    if length < 128:  # no room for samples: compare all words
+        group = _names(*(words[starts + k] for k in (*range(0, length - 8, 8), length - 8)))
+        return np.bincount(group)[group] > 1
+    ranks, depth = sample_ranks(words, cover, v, length - v + 1)
+    # equal in the first 32 and the last 64 bytes; the samples' strings reach from one to the other at any shift
+    group = _names(*(words[starts + k] for k in (0, 8, 16, 24, *range(length - 64, length, 8))))
+    column, shift = _shifts(BLOCK_FIELD)
+    rank_at = lambda p: ranks[p // v, column[p % v]]
+    tied = np.zeros(len(starts), bool)
+    open_ = np.argsort(group, kind="stable")
+    while len(open_):
+        first = np.append(True, group[open_[1:]] != group[open_[:-1]])
+        lead = open_[np.flatnonzero(first)][np.cumsum(first) - 1]
+        a, b = starts[open_], starts[lead]
+        d = shift[a % v, b % v]
+        same = rank_at(a + d) == rank_at(b + d)
+        other = open_[same & ~first]
+        tied[other] = True
+        tied[lead[same & ~first]] = True
+        open_ = open_[~same]
+    return tied
+
+
+def _sort_block(length):
+    """The contents of a block that hold starts without an equal, with one bit for each start."""
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by("digest")
+        contents, times = table["content"].to_pylist(), np.asarray(table["n"].combine_chunks())
+        size = np.array([len(c) for c in contents], np.int64)
+        count = size - length + 1
+        starts = K.spread(np.cumsum(size) - size, count)
+        good = block_ties(np.frombuffer(b"".join(contents), np.uint8), starts, length) | np.repeat(times > 1, count)
+        ends = np.cumsum(count)
+        wrong = [k for k in range(len(contents)) if not good[ends[k] - count[k] : ends[k]].all()]
+        bits = [np.packbits(good[ends[k] - count[k] : ends[k]]).tobytes() for k in wrong]
+        digests = table["digest"].to_pylist()
+        return pa.table([pa.array([digests[k] for k in wrong], pa.binary()), pa.array(bits, pa.binary())], names=["digest", "good"])
+
+    return run
+
+
+def _stretch_digests(length):
+    def run(batches):
+        for row in rows_of(batches):
+            digests = sorted({_digest(c) for c in stretches(row, length)[3]})
+            yield pa.RecordBatch.from_arrays([pa.array([row["seg"]] * len(digests), pa.int64()), pa.array(digests, pa.binary())], names=["seg", "digest"])
+
+    return run
+
+
+def refuted(candidates: DataFrame, length: int) -> DataFrame:
+    """(seg, refuted) of segments with stretches that hold a start whose prefix occurs nowhere else, after all."""
+    total = candidates.agg(F.sum("n_starts")).first()[0] or 0
+    blocks = max(shuffle_partitions(candidates), -(-int(total) // BLOCK_BYTES))
+    rows = candidates.mapInArrow(_stretch_rows(length, blocks), "block int, digest binary, n bigint, content binary")
+    once = rows.groupBy("block", "digest").agg(F.sum("n").alias("n"), F.first("content").alias("content"))
+    wrong = materialise(once.groupBy("block").applyInArrow(_sort_block(length), "digest binary, good binary"))
+    if wrong.isEmpty():
+        return candidates.sparkSession.createDataFrame([], "seg bigint, refuted array<struct<digest:binary,good:binary>>")
+    owners = candidates.mapInArrow(_stretch_digests(length), "seg bigint, digest binary")
+    return owners.join(wrong, "digest").groupBy("seg").agg(F.collect_list(F.struct("digest", "good")).alias("refuted"))
+
+
+def _confirmed(row: dict, length: int) -> np.ndarray:
+    """Starts whose prefixes the blocks found elsewhere too."""
+    at = _run_places(row["runs"])
+    if not row["refuted"]:
+        return at
+    wrong = {x["digest"]: x["good"] for x in row["refuted"]}
+    _, _, count, contents = stretches(row, length)
+    bits = [np.unpackbits(np.frombuffer(wrong[d], np.uint8), count=n).astype(bool) if (d := _digest(c)) in wrong else np.ones(n, bool) for c, n in zip(contents, count.tolist(), strict=True)]
+    return at[np.concatenate(bits)]
+
+
+def _results(length, shared, with_text):
     def run(batches):
         for row in rows_of(batches):
             segment = Segment(row)
             buf = segment.bytes
-            at = _starts(row)
-            again, _ = repeat_flags(keys_of(row), row["strings"], buckets)
-            at = at[again]
-            step = np.zeros(len(buf) + 1, np.int32)
-            np.add.at(step, at, 1)
-            np.add.at(step, at + length, -1)
-            gone = np.cumsum(step)[:-1] > 0
-            same, _ = _whole_flags(segment, buckets)
-            for d in np.flatnonzero(same & (segment.lengths >= length)):
+            at, also = _confirmed(row, length), _run_places(row["shared"])
+            gone, near = _covered(len(buf), at, at + length), _covered(len(buf), also, also + shared)
+            same = _copies(segment)[0]
+            for d in np.flatnonzero(same):
                 gone[segment.off[d] : segment.off[d + 1]] = True
+            near |= gone
             first, _ = K.runs(gone, segment.off)
             spans = np.diff(np.searchsorted(first, segment.off))
             out = []
             for d, doc_id in enumerate(segment.doc_ids):
                 own = slice(segment.off[d], segment.off[d + 1])
                 kept = buf[own][~gone[own]].tobytes()
-                out.append((doc_id, int(segment.lengths[d]), int(segment.lengths[d]) - len(kept), int(spans[d]), hashlib.sha256(kept).hexdigest(), kept if with_text else None))
-            types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), types, strict=True)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
+                out.append((doc_id, int(segment.lengths[d]), int(segment.lengths[d]) - len(kept), int(spans[d]), hashlib.sha256(kept).hexdigest(), int(near[own].sum()), kept if with_text else None))
+            types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), types, strict=True)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_shared", "kept"])
 
     return run
 
 
-def remove_repeated_substrings(documents: DataFrame, length: int = LENGTH, with_text: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per document: bytes, bytes removed, maximal removed runs and the SHA-256 of what is kept (with_text: the kept bytes too)."""
+RUNS = "seg bigint, runs binary, longer binary, n_starts bigint"
+
+
+def remove_repeated_substrings(documents: DataFrame, length: int = LENGTH, shared: int = SHARED, with_text: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per document: bytes, bytes removed, maximal removed runs, the SHA-256 of what is kept and bytes shared (with_text: the kept bytes too)."""
+    shared = min(shared, length)
     segments = make_segments(documents, id_col, text_col)
     buckets = bucket_count(segments)
-    marked = segments.join(materialise(repeats(segments, _whole_key, reply="copies")), "seg", "left")
-    sampled = marked.join(repeats(marked, _sample_keys(length, buckets), width=6, reply="samples"), "seg", "left")
-    runs = materialise(sampled.mapInArrow(_candidates(length, buckets), "seg bigint, runs binary"))
-    marked = marked.join(runs, "seg", "left")
-    strings = repeats(marked.drop("copies", "digests"), _start_keys(length), reply="strings")
-    out = marked.join(strings, "seg", "left").mapInArrow(_results(length, buckets, with_text), RESULT_SCHEMA)
+    copies = materialise(equal_texts(segments, length))
+    marked = segments.join(copies, "seg", "left")
+    samples = repeats(marked, lambda row: _samples(Segment(row), shared)[1], buckets, width=6, reply="samples")
+    runs = materialise(marked.join(samples, "seg").mapInArrow(_candidates(shared, buckets), RUNS))
+    near = segments.join(runs, "seg")
+    strings = repeats(near, _prefixes(shared), buckets, reply="strings")
+    near = materialise(near.join(strings, "seg").mapInArrow(_tied(shared, buckets, length), RUNS))
+    if shared < length:
+        far = segments.join(near.where("longer is not null").select("seg", F.col("longer").alias("runs")), "seg")
+        strings = repeats(far, _prefixes(length), buckets, width=6, reply="strings")
+        far = materialise(far.join(strings, "seg").mapInArrow(_tied(length, buckets), RUNS))
+    else:
+        far = near
+    far = far.select("seg", "runs", "n_starts")
+    wrong = refuted(segments.join(far, "seg"), length)
+    rows = marked.join(far, "seg", "left").join(near.select("seg", F.col("runs").alias("shared")), "seg", "left").join(wrong, "seg", "left")
+    out = rows.mapInArrow(_results(length, shared, with_text), RESULT_SCHEMA)
     return out if with_text else out.drop("kept")

@@ -112,6 +112,57 @@ def test_substrings_on_documents(spark):
     assert rows(suffixdedup.remove_repeated_substrings(docs), columns) == sorted(brute.substrings(local, 400), key=repr)
 
 
+def test_substrings_of_long_repeats(spark):
+    rng = random.Random(9)
+    morse = "ab"
+    while len(morse) < 6000:
+        morse += morse.translate(str.maketrans("ab", "ba"))
+    noise = "".join(rng.choice("acgt") for _ in range(3000))
+    local = [(1, "x" * 100_000), (2, morse[:5000]), (3, morse[1000:2500] + "y"), (4, "ab" * 700), (5, noise), (6, noise[500:900] + "Z" + noise[1500:1899]), (7, noise[:399]), (8, "é" * 199 + "x" + "é" * 199), (9, "x" * 399)]
+    columns = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
+    got = suffixdedup.remove_repeated_substrings(table(spark, local))
+    assert rows(got, columns) == sorted(brute.substrings(local, 400), key=repr)
+    shared = {d: n for d, n in rows(got, ["doc_id", "n_shared"])}
+    assert shared[6] == 799 and shared[7] == 399 and shared[8] == 796
+
+
+@pytest.mark.parametrize("length", [20, 127, 128, 150, 400])
+def test_blocks_tell_equal_prefixes(length):
+    import numpy as np
+
+    rng = random.Random(length)
+    for letters in ("a", "ab", "abcdefgh"):
+        base = "".join(rng.choice(letters) for _ in range(1500))
+        parts = [base[a : a + rng.randint(length, 900)] for a in (0, 3, 31, 100, 250, 251, 577)] + ["".join(rng.choice(letters) for _ in range(700))]
+        near = base[:600]
+        parts += [near[:k] + "z" + near[k + 1 :] for k in (31, 32, 200, 300)]
+        text = "".join(parts).encode()
+        edges = np.cumsum([0] + [len(p) for p in parts])
+        starts = np.concatenate([np.arange(a, max(a, b - length + 1)) for a, b in zip(edges[:-1], edges[1:], strict=True)])
+        own = [text[s : s + length] for s in starts]
+        seen = {}
+        for x in own:
+            seen[x] = seen.get(x, 0) + 1
+        assert suffixdedup.block_ties(np.frombuffer(text, np.uint8), starts, length).tolist() == [seen[x] > 1 for x in own]
+
+
+def test_a_false_tie_of_fingerprints_is_refuted():
+    import numpy as np
+    import pyarrow as pa
+
+    from lexiloom.llm import kernels as K
+
+    rng = random.Random(2)
+    text = "".join(rng.choice("acgt") for _ in range(1000)).encode()
+    run = {"seg": 1, "doc_ids": [1, 2], "lengths": K.packed(np.array([600, 400], np.int64)), "text": K.packed(np.frombuffer(text, np.uint8)), "refuted": None}
+    run["runs"] = K.packed(np.array([0, 600, 5, 601]))
+    assert suffixdedup._confirmed(run, 400).tolist() == [0, 1, 2, 3, 4, 600]
+    stretches = [r for b in suffixdedup._stretch_rows(400, 1)(iter([pa.RecordBatch.from_pylist([run])])) for r in b.to_pylist()]
+    wrong = suffixdedup._sort_block(400)(pa.Table.from_pylist(stretches, pa.schema([("block", pa.int32()), ("digest", pa.binary()), ("n", pa.int64()), ("content", pa.binary())])))
+    run["refuted"] = wrong.to_pylist()
+    assert suffixdedup._confirmed(run, 400).tolist() == []
+
+
 def test_difference_cover():
     for q in (2, 3, 5, 17):
         cover, v = suffixdedup.difference_cover(q)
