@@ -5,9 +5,9 @@ modulo v: for any two positions there is a shift under v that brings both into t
 cover. So of two equal strings, cover positions at one shift see equal windows.
 
 1. Candidates. Windows at cover positions of the corpus are sorted bucket by
-   bucket; only suffixes less than v bytes before a repeated one can have an equal
-   among the others. Fingerprints of their prefixes are sorted in the same way and
-   leave those that tie. Neither step loses an equal pair.
+   bucket. Only suffixes less than v bytes before two repeated ones that are v bytes
+   apart can have an equal among the others. Fingerprints of their prefixes are
+   sorted in the same way and leave those that tie. Neither step loses a pair.
 2. Blocks. Stretches of candidate suffixes that share the least hash of their inner
    16-byte strings go, with their bytes, to the block of that hash, so equal
    prefixes meet in one block. Equal stretches are folded into one before.
@@ -19,9 +19,10 @@ Whole texts that are equal (by 128-bit digests) are found first, and only one of
 them takes part. Memory follows the block, whose size follows the bytes of the
 candidates and the number of blocks.
 
-n_shared tells more loosely, by 64-bit fingerprints, how many bytes strings of
-SHARED bytes cover that start elsewhere too: a passage of fifty-odd short words has
-under LENGTH bytes and isn't removed, but it is counted there.
+n_shared tells more loosely how many bytes those repeated windows cover. Every
+string of window + v - 1 bytes (267) that stands elsewhere too holds one of them: a
+passage of fifty-odd short words has under LENGTH bytes and isn't removed, but it is
+counted there.
 
 Defined results: null and empty texts have no bytes and lose none; a text under
 LENGTH bytes loses none; equal texts of LENGTH bytes or more lose all bytes.
@@ -42,9 +43,9 @@ from .segments import Segment, bucket_count, make_segments, repeat_flags, repeat
 from .store import materialise, shuffle_partitions
 
 LENGTH = 400
-SHARED = 200
-#: The order of the cover among the corpus and inside a block, by the prime it is made from.
-COVER_FIELD, BLOCK_FIELD = 7, 5
+#: The covers of the corpus and of a block, by the primes they are made from, and the bytes of fingerprints that are compared.
+COVER_FIELD, BLOCK_FIELD = 11, 5
+WIDTH = 7
 #: Bytes of the strings whose least hash tells the block, and bytes of candidates for a block.
 GRAM = 16
 BLOCK_BYTES = 1 << 20
@@ -73,12 +74,12 @@ def difference_cover(q: int = COVER_FIELD) -> tuple[np.ndarray, int]:
 
 
 def cover_for(length: int) -> tuple[np.ndarray, int, int]:
-    """(residues, modulus, window) for strings of length bytes, with windows of three tenths of them at least."""
-    for q in (COVER_FIELD, 5, 3, 2):
-        if q * q + q + 1 <= 0.7 * length:
+    """(residues, modulus, window) for strings of length bytes: two windows that are a modulus apart fit in at any shift."""
+    for q in (COVER_FIELD, 7, 5, 3, 2):
+        if 3 * (q * q + q + 1) <= length:
             cover, v = difference_cover(q)
-            return cover, v, length - v + 1
-    raise ValueError("length must be at least 10")
+            return cover, v, length - 2 * v + 1
+    raise ValueError("length must be at least 21")
 
 
 # 1. candidates
@@ -142,11 +143,6 @@ def _runs(mask: np.ndarray, segment: Segment) -> bytes | None:
     return K.packed(np.concatenate([start, end])) if len(start) else None
 
 
-def _run_batch(seg: int, runs: bytes, longer: bytes | None = None, n: int = 0):
-    columns = [pa.array([seg], pa.int64()), pa.array([runs], pa.binary()), pa.array([longer], pa.binary()), pa.array([n], pa.int64())]
-    return pa.RecordBatch.from_arrays(columns, names=["seg", "runs", "longer", "n_starts"])
-
-
 def _run_places(blob) -> np.ndarray:
     if blob is None:
         return np.zeros(0, np.int64)
@@ -155,22 +151,27 @@ def _run_places(blob) -> np.ndarray:
 
 
 def _candidates(length, buckets):
-    """Runs of starts that lie less than v bytes before a repeated sample."""
-    v = cover_for(length)[1]
+    """Runs of the starts whose prefix can be repeated, and of the bytes in repeated samples."""
+    _, v, window = cover_for(length)
 
     def run(batches):
         for row in rows_of(batches):
             segment = Segment(row)
+            size = int(segment.off[-1])
             at, keys = _samples(segment, length)
             at = at[repeat_flags(keys, row["samples"], buckets)[0]]
-            if len(at):
-                doc = np.searchsorted(segment.off, at, side="right") - 1
-                low = np.maximum(at - v + 1, segment.off[doc])
-                high = np.minimum(at, segment.off[doc] + segment.lengths[doc] - length) + 1
-                good = high > low
-                runs = _runs(_covered(int(segment.off[-1]), low[good], high[good]), segment)
-                if runs:
-                    yield _run_batch(row["seg"], runs)
+            if not len(at):
+                continue
+            again = np.zeros(size + v, bool)
+            again[at] = True
+            chain = at[again[at + v]]
+            doc = np.searchsorted(segment.off, chain, side="right") - 1
+            low = np.maximum(chain - v + 1, segment.off[doc])
+            high = np.minimum(chain, segment.off[doc] + segment.lengths[doc] - length) + 1
+            good = high > low
+            runs = _runs(_covered(size, low[good], high[good]), segment)
+            columns = [pa.array([row["seg"]], pa.int64()), pa.array([runs], pa.binary()), pa.array([_runs(_covered(size, at, at + window), segment)], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["seg", "runs", "shared"])
 
     return run
 
@@ -185,26 +186,19 @@ def _prefixes(length):
     return keys
 
 
-def _tied(length, buckets, longer=None):
-    """Runs of the starts whose prefix fingerprints tie; longer: also the starts whose strings of that length have such ones at both ends."""
+def _tied(length, buckets):
+    """Runs of the starts whose prefix fingerprints tie."""
     keys_of = _prefixes(length)
 
     def run(batches):
         for row in rows_of(batches):
             segment = Segment(row)
             at = _run_places(row["runs"])
-            at = at[repeat_flags(keys_of(row), row["strings"], buckets)[0]]
-            if not len(at):
-                continue
-            tied = np.zeros(int(segment.off[-1]) + (longer or 0), bool)
-            tied[at] = True
-            more = None
-            if longer:
-                doc = np.searchsorted(segment.off, at, side="right") - 1
-                both = np.zeros(int(segment.off[-1]), bool)
-                both[at[tied[at + longer - length] & (at + longer <= segment.off[doc + 1])]] = True
-                more = _runs(both, segment)
-            yield _run_batch(row["seg"], _runs(tied[: int(segment.off[-1])], segment), more, len(at))
+            tied = np.zeros(int(segment.off[-1]), bool)
+            tied[at[repeat_flags(keys_of(row), row["strings"], buckets)[0]]] = True
+            if runs := _runs(tied, segment):
+                columns = [pa.array([row["seg"]], pa.int64()), pa.array([runs], pa.binary()), pa.array([int(tied.sum())], pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, names=["seg", "runs", "n_starts"])
 
     return run
 
@@ -389,13 +383,14 @@ def _confirmed(row: dict, length: int) -> np.ndarray:
     return at[np.concatenate(bits)]
 
 
-def _results(length, shared, with_text):
+def _results(length, with_text):
     def run(batches):
         for row in rows_of(batches):
             segment = Segment(row)
             buf = segment.bytes
-            at, also = _confirmed(row, length), _run_places(row["shared"])
-            gone, near = _covered(len(buf), at, at + length), _covered(len(buf), also, also + shared)
+            at = _confirmed(row, length)
+            gone, near = _covered(len(buf), at, at + length), np.zeros(len(buf), bool)
+            near[_run_places(row["shared"])] = True
             same = _copies(segment)[0]
             for d in np.flatnonzero(same):
                 gone[segment.off[d] : segment.off[d + 1]] = True
@@ -413,29 +408,17 @@ def _results(length, shared, with_text):
     return run
 
 
-RUNS = "seg bigint, runs binary, longer binary, n_starts bigint"
-
-
-def remove_repeated_substrings(documents: DataFrame, length: int = LENGTH, shared: int = SHARED, with_text: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove_repeated_substrings(documents: DataFrame, length: int = LENGTH, with_text: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document: bytes, bytes removed, maximal removed runs, the SHA-256 of what is kept and bytes shared (with_text: the kept bytes too)."""
-    shared = min(shared, length)
     segments = make_segments(documents, id_col, text_col)
     buckets = bucket_count(segments)
-    copies = materialise(equal_texts(segments, length))
-    marked = segments.join(copies, "seg", "left")
-    samples = repeats(marked, lambda row: _samples(Segment(row), shared)[1], buckets, width=6, reply="samples")
-    runs = materialise(marked.join(samples, "seg").mapInArrow(_candidates(shared, buckets), RUNS))
-    near = segments.join(runs, "seg")
-    strings = repeats(near, _prefixes(shared), buckets, reply="strings")
-    near = materialise(near.join(strings, "seg").mapInArrow(_tied(shared, buckets, length), RUNS))
-    if shared < length:
-        far = segments.join(near.where("longer is not null").select("seg", F.col("longer").alias("runs")), "seg")
-        strings = repeats(far, _prefixes(length), buckets, width=6, reply="strings")
-        far = materialise(far.join(strings, "seg").mapInArrow(_tied(length, buckets), RUNS))
-    else:
-        far = near
-    far = far.select("seg", "runs", "n_starts")
-    wrong = refuted(segments.join(far, "seg"), length)
-    rows = marked.join(far, "seg", "left").join(near.select("seg", F.col("runs").alias("shared")), "seg", "left").join(wrong, "seg", "left")
-    out = rows.mapInArrow(_results(length, shared, with_text), RESULT_SCHEMA)
+    marked = segments.join(materialise(equal_texts(segments, length)), "seg", "left")
+    samples = repeats(marked, lambda row: _samples(Segment(row), length)[1], buckets, width=WIDTH, reply="samples")
+    found = materialise(marked.join(samples, "seg").mapInArrow(_candidates(length, buckets), "seg bigint, runs binary, shared binary"))
+    near = segments.drop("digests").join(found.where("runs is not null").select("seg", "runs"), "seg")
+    strings = repeats(near, _prefixes(length), buckets, width=WIDTH, reply="strings")
+    tied = materialise(near.join(strings, "seg").mapInArrow(_tied(length, buckets), "seg bigint, runs binary, n_starts bigint"))
+    wrong = refuted(segments.drop("digests").join(tied, "seg"), length)
+    rows = marked.join(tied.drop("n_starts"), "seg", "left").join(found.select("seg", "shared"), "seg", "left").join(wrong, "seg", "left")
+    out = rows.mapInArrow(_results(length, with_text), RESULT_SCHEMA)
     return out if with_text else out.drop("kept")
