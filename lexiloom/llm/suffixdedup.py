@@ -125,7 +125,7 @@ def _sample_places(segment: Segment, take: np.ndarray, cover: np.ndarray, v: int
 
 def _samples(segment: Segment, length: int) -> tuple[np.ndarray, np.ndarray]:
     cover, v, window = cover_for(length)
-    at = _sample_places(segment, (segment.lengths >= length) & _copies(segment)[1], cover, v, window)
+    at = _sample_places(segment, (segment.lengths >= window) & _copies(segment)[1], cover, v, window)
     return at, K.span_hash(K.prefix_hash(segment.bytes), at, at + window) if len(at) else np.zeros(0, np.uint64)
 
 
