@@ -86,22 +86,24 @@ def cover_for(length: int) -> tuple[np.ndarray, int, int]:
 
 
 def _digest_rows(length):
+    """(digest, seg, docs): the documents of a segment with one text, so a text of thousands of copies has one row a segment."""
+
     def run(batches):
         for row in rows_of(batches):
             segment = Segment(row)
-            docs = np.flatnonzero(segment.lengths >= length)
-            raw = segment.digests[docs].tobytes()
-            blobs = [raw[k : k + 16] for k in range(0, len(raw), 16)]
-            yield pa.RecordBatch.from_arrays([pa.array(blobs, pa.binary()), pa.array([row["seg"]] * len(docs), pa.int64()), pa.array(docs, pa.int32())], names=["digest", "seg", "doc"])
+            digests, docs = segment.digests, {}
+            for d in np.flatnonzero(segment.lengths >= length).tolist():
+                docs.setdefault(digests[d].tobytes(), []).append(d)
+            yield pa.RecordBatch.from_arrays([pa.array(list(docs), pa.binary()), pa.array([row["seg"]] * len(docs), pa.int64()), pa.array(list(docs.values()), pa.list_(pa.int32()))], names=["digest", "seg", "docs"])
 
     return run
 
 
 def equal_texts(segments: DataFrame, length: int) -> DataFrame:
-    """(seg, copies): the documents of each segment whose text others have too, and whether each is the first of them."""
-    docs = segments.select("seg", "doc_ids", "lengths", "digests").mapInArrow(_digest_rows(length), "digest binary, seg bigint, doc int")
-    first = docs.groupBy("digest").agg(F.min(F.struct("seg", "doc")).alias("lead"), F.count("*").alias("n")).where("n > 1")
-    again = docs.join(first, "digest").select("seg", F.struct("doc", (F.struct("seg", "doc") == F.col("lead")).alias("first")).alias("copy"))
+    """(seg, copies): the documents of each segment whose text others have too, and whether the first of them is the first of all."""
+    rows = segments.select("seg", "doc_ids", "lengths", "digests").mapInArrow(_digest_rows(length), "digest binary, seg bigint, docs array<int>")
+    first = rows.groupBy("digest").agg(F.min("seg").alias("lead"), F.sum(F.size("docs")).alias("n")).where("n > 1")
+    again = rows.join(first, "digest").select("seg", F.struct("docs", (F.col("seg") == F.col("lead")).alias("first")).alias("copy"))
     return again.groupBy("seg").agg(F.collect_list("copy").alias("copies"))
 
 
@@ -109,7 +111,8 @@ def _copies(segment: Segment) -> tuple[np.ndarray, np.ndarray]:
     """For every document whether others have its text, and whether it takes part."""
     again, part = np.zeros(len(segment.lengths), bool), np.ones(len(segment.lengths), bool)
     for x in segment.row["copies"] or ():
-        again[x["doc"]], part[x["doc"]] = True, x["first"]
+        again[x["docs"]], part[x["docs"]] = True, False
+        part[x["docs"][0]] = x["first"]
     return again, part
 
 
