@@ -1,27 +1,38 @@
 """Main text of web pages by equivalence classes of tokens over the pages of a host.
 
-Tokens are opening tags with their path. A token's occurrence vector (how often it
-stands on each page of the host) is folded into a sum of page hashes weighted by
-the counts, so vectors are compared without gathering a host's pages: the sums are
-added up before and after one shuffle, and a host with a third of all pages costs
-one row per distinct token and task. Tokens with equal vectors form an equivalence
-class. The class of tokens that stand once on every page is nested by its paths into
-the host's template; the article or main element that holds most of the text that
-differs from page to page, or else the lowest slot that holds practically all of it,
-is the article, and its blocks are extracted. Tags and names that mark menus,
-forms, adverts and comments are never part of a slot.
+Tokens are opening tags (by their path and how often it came before) and the texts
+of blocks (by their path). A token's occurrence vector is the set of the host's pages
+that have it, folded into a sum of page hashes, so vectors are compared without
+gathering pages: sums are added up before and after one shuffle, and a host with a
+third of all pages costs a row per distinct token and task.
+
+1. Tokens on half of a host's pages and more fall into classes of equal vectors.
+2. Each page is held against them (_hold): a class is ordered if its tokens come in
+   one order wherever they come, and nested if it lies in one gap between the tokens
+   of any other class, or the other in one of its own. Classes that break this on
+   more pages than BREAKS are dropped; the others are the template.
+3. What the template leaves are the slots. The article or main element of the
+   template with most text of its own, or else the lowest element with practically
+   all of it, is the article. Its blocks are extracted, but for texts that belong to
+   the template themselves: what stands on page after page in an article's box is
+   no page's own.
+
+Tags and names that mark menus, forms, adverts and comments are never part of a slot.
 
 Defined results: null and empty html give an empty text; a page without an article
 slot gives its blocks outside marked parts; a null or unparsable url is a host of
-its own; hosts with fewer than FEW pages use the template of all hosts together.
+its own; hosts with fewer than FEW pages use the article slot of all hosts together.
+Time and memory of a page follow its length, however deep it nests.
 """
 
 from __future__ import annotations
 
 import html
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
+from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -30,10 +41,14 @@ from pyspark.sql import functions as F
 from .store import materialise
 
 FEW = 5
+#: The share of a host's pages that template tokens stand on, and of pages that may break a class.
+COMMON, BREAKS = 0.5, 0.02
 #: Of the text that differs from page to page: what an article or main element holds at least, and any other slot.
 SHARE, NEARLY_ALL = 0.6, 0.98
-#: Up to so many hosts (of at most a few hundred bytes) the templates are broadcast.
-BROADCAST_HOSTS = 100_000
+#: A template whose own texts are more than this share of the article's isn't believed: these are copies of one article.
+OWN_TEXTS = 0.5
+#: Up to so many bytes the templates are broadcast.
+BROADCAST_BYTES = 64 << 20
 
 # Names of HTML elements.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -59,10 +74,12 @@ _space = re.compile(r"\s+")
 
 
 class Block:
-    __slots__ = ("aside", "path", "text")
+    """A text block: its aside mark, the hash of its path and text, and the watched elements it lies in."""
 
-    def __init__(self, path, aside, text):
-        self.path, self.aside, self.text = path, aside, text
+    __slots__ = ("aside", "inside", "path", "place", "text")
+
+    def __init__(self, text, aside, path, inside, place):
+        self.text, self.aside, self.path, self.inside, self.place = text, aside, path, inside, place
 
 
 def _marks(names: str, inside: bool) -> list[str]:
@@ -78,30 +95,73 @@ def _marks(names: str, inside: bool) -> list[str]:
     return found
 
 
-def parse(page: str | None) -> tuple[list[Block], list[tuple[str, ...]]]:
-    """Text blocks in page order with their element paths, and the path of every element."""
+class _Open:
+    """An open element."""
+
+    __slots__ = ("aside", "name", "named", "path", "thread", "watched")
+
+    def __init__(self, name, path, aside, thread, named, watched):
+        self.name, self.path, self.aside, self.thread, self.named, self.watched = name, path, aside, thread, named, watched
+
+
+def _hash(text: str, seed: int = 0) -> int:
+    return xxhash.xxh64_intdigest(text, seed) - (1 << 63)
+
+
+@lru_cache(maxsize=1 << 16)
+def _step(parent: int, name: str) -> int:
+    return _hash(f"{parent}/{name}")
+
+
+@lru_cache(maxsize=256)
+def _end_of(name: str) -> re.Pattern:
+    return re.compile(rf"</{re.escape(name)}\s*>", re.I)
+
+
+def parse(page: str | None, watch=frozenset()) -> tuple[list[Block], list[tuple[int, int, str, int]]]:
+    """Text blocks in page order, and every element: hash of its path, of its parent's, its name, and its place among elements and blocks.
+
+    Blocks tell which of the paths in watch they lie in. Open elements are counted,
+    not searched, so a page costs time by its length and not by its depth.
+    """
     blocks: list[Block] = []
-    elements: list[tuple[str, ...]] = []
-    names: list[str] = []
-    path: list[str] = []
-    marked: list[list[bool]] = []  # by the element's tag, by its names, by names of threads
-    within: list[tuple[list[bool], ...]] = []
+    elements: list[tuple[int, int, str, int]] = []
+    stack: list[_Open] = []
+    open_names: Counter = Counter()
+    asides = threads = heads = place = 0
+    # marks by name, the innermost first: [still valid, the next]; what holds an article is a layout whatever its name
+    named: list | None = None
+    name_of_block: list[tuple[bool, list | None]] = []
     held: list[str] = []
+    unclosed: set[str] = set()
 
     def flush():
+        nonlocal place
         text = _space.sub(" ", "".join(held)).strip()
         held.clear()
         if text:
-            blocks.append(Block(tuple(path), False, text))
-            within.append(tuple(marked))
-
-    def close(k):
-        flush()
-        del names[k:], path[k:], marked[k:]
+            blocks.append(Block(text, False, stack[-1].path if stack else 0, stack[-1].watched if stack else (), place))
+            place += 1
+            name_of_block.append((asides > 0, named))
+
+    def close():
+        nonlocal asides, threads, heads, named
+        top = stack.pop()
+        open_names[top.name] -= 1
+        asides -= top.aside
+        threads -= top.thread
+        heads -= top.name in ARTICLE_HEAD
+        if top.named:
+            named = named[1]
 
     page = page or ""
-    at = 0
-    while m := _token.match(page, at):
+    at, last = 0, page.rfind(">")
+    while at < len(page):
+        if at > last:
+            # no tag ends any more
+            held.append(html.unescape(page[at:]))
+            break
+        m = _token.match(page, at)
         at = m.end()
         name = m[2]
         if name is None:
@@ -110,11 +170,16 @@ def parse(page: str | None) -> tuple[list[Block], list[tuple[str, ...]]]:
             continue
         name = name.lower()
         if m[1]:
-            if name in names:
-                close(len(names) - 1 - names[::-1].index(name))
+            if open_names[name]:
+                flush()
+                while stack[-1].name != name:
+                    close()
+                close()
             continue
         if name in RAW:
-            end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
+            end = None if name in unclosed else _end_of(name).search(page, at)
+            if end is None:
+                unclosed.add(name)
             at = end.end() if end else (len(page) if name in ("script", "style") else at)
             held.append(" ")
             continue
@@ -129,131 +194,272 @@ def parse(page: str | None) -> tuple[list[Block], list[tuple[str, ...]]]:
             continue
         flush()
         if name in TEXTUAL or name in ("div", "ul", "ol", "table", "section", "article"):
-            shut = CLOSES.get(name, set()) | ({"p"} if name not in ("td", "th", "li") else {"p"})
-            while names and names[-1] in shut:
-                close(len(names) - 1)
-        attributes = " ".join(a or b or c for _, a, b, c in _attribute.findall(m[3]))
-        names.append(name)
-        path.append(".".join([name, *attributes.split()[:1]]))
-        inside = any(n in ARTICLE_HEAD for n in names[:-1])
+            shut = CLOSES.get(name, set()) | {"p"}
+            while stack and stack[-1].name in shut:
+                close()
+        found = [(a.lower(), x or y or z) for a, x, y, z in _attribute.findall(m[3])] if m[3] else []
+        attributes = " ".join(value for _, value in found)
+        inside = heads > 0
         if name in TEXTUAL:
             # headings and paragraphs have ids of their own subject
-            own = [] if name in HEADING else [w for a, x, y, z in _attribute.findall(m[3]) if a.lower() == "class" for w in (x or y or z).lower().split() if MARKED.match(w)]
+            own = [] if name in HEADING else [w for a, value in found if a == "class" for w in value.lower().split() if MARKED.match(w)]
         else:
-            own = _marks(attributes.lower(), inside) if name not in ("html", "body", "article", "main") else []
-        if name in ARTICLE_HEAD and not any(tag or thread for tag, _, thread in marked):
-            # what holds the article is a layout whatever its name
-            for x in marked:
-                x[1] = False
-        marked.append([name in ASIDE and not (name == "header" and inside), bool(own), any(map(THREAD.match, own))])
-        elements.append(tuple(path))
+            own = _marks(attributes.lower(), inside) if attributes and name not in ("html", "body", "article", "main") else []
+        if name in ARTICLE_HEAD and not asides and not threads:
+            cell = named
+            while cell is not None and cell[0]:
+                cell[0] = False
+                cell = cell[1]
+        parent = stack[-1].path if stack else 0
+        path = _step(parent, ".".join([name, *attributes.split()[:1]]))
+        aside, thread = name in ASIDE and not (name == "header" and inside), any(map(THREAD.match, own))
+        watched = stack[-1].watched if stack else ()
+        stack.append(_Open(name, path, aside, thread, bool(own), (*watched, path) if path in watch else watched))
+        open_names[name] += 1
+        asides += aside
+        threads += thread
+        heads += name in ARTICLE_HEAD
+        if own:
+            named = [True, named]
+        elements.append((path, parent, name, place))
+        place += 1
     flush()
     # names that leave nothing of the page mark nothing
-    by_name = any(not any(tag or name for tag, name, _ in x) for x in within)
-    for block, x in zip(blocks, within, strict=True):
-        block.aside = any(tag or (name and by_name) for tag, name, _ in x)
+    by_name = any(not tag and not (cell and cell[0]) for tag, cell in name_of_block)
+    for block, (tag, cell) in zip(blocks, name_of_block, strict=True):
+        block.aside = tag or (by_name and cell is not None and cell[0])
     return blocks, elements
 
 
-def _hash(text: str) -> int:
-    return xxhash.xxh64_intdigest(text) - (1 << 63)
-
-
 def _host(url: str | None) -> str:
     found = re.match(r"\s*(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//([^/?#\s]+)", url or "")
     return found[1].lower() if found else ""
 
 
+TAG, TEXT = 0, 1
+
+
+def tokens_of(blocks: list[Block], elements) -> list[tuple[int, int, int, str, int]]:
+    """(token, kind, path, name, place) of a page's tokens: a path's k-th tag, and a text under its path, the first time."""
+    out, times = [], Counter()
+    for path, _, name, place in elements:
+        times[path] += 1
+        out.append((path if times[path] == 1 else _step(path, f"#{times[path]}"), TAG, path, name if times[path] == 1 else "", place))
+    seen = set()
+    for b in blocks:
+        token = _hash(b.text, b.path & 0xFFFFFFFFFFFFFFFF)
+        if token not in seen:
+            seen.add(token)
+            out.append((token, TEXT, b.path, "", b.place))
+    return out
+
+
+# 1. occurrence vectors
+
+PARTS = "host string, token bigint, kind int, parent bigint, name string, pages bigint, total bigint, vector bigint, place bigint, chars bigint"
+
+
+def _partial(rows: list[tuple], schema: list[tuple[str, pa.DataType]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*rows, strict=True), schema, strict=True)], names=[n for n, _ in schema])
+
+
 def _statistics(batches):
-    """Partial sums per (host, path): pages, occurrences, folded vector, and the text directly in it."""
+    """Partial sums per (host, token): pages, occurrences of its path, folded vector, places; token 0 counts the host's pages."""
+    schema = [("host", pa.string()), ("token", pa.int64()), ("kind", pa.int32()), ("parent", pa.int64()), ("name", pa.string()), *((n, pa.int64()) for n in ("pages", "total", "vector", "place", "chars"))]
     for batch in batches:
-        sums: dict[tuple[str, str], list[int]] = defaultdict(lambda: [0, 0, 0, 0])
-        blocks_seen: dict[tuple[str, str, int], list[int]] = defaultdict(lambda: [0, 0])
+        sums: dict[tuple[str, int], list] = {}
         for page_id, url, page in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            host = _host(url)
-            mark = _hash(f"{page_id}\x00{url}")
+            host, mark = _host(url), _hash(f"{page_id}\x00{url}")
             blocks, elements = parse(page)
-            count: dict[str, int] = defaultdict(int)
-            for p in elements:
-                count["/".join(p)] += 1
-            for key in (host, "*"):
-                for p, n in count.items():
-                    s = sums[key, p]
-                    s[0] += 1
-                    s[1] += n
-                    s[2] = (s[2] + n * mark) & 0xFFFFFFFFFFFFFFFF
-            for b in blocks:
-                if not b.aside:
-                    s = blocks_seen[host, "/".join(b.path), _hash(b.text)]
-                    s[0] += 1
-                    s[1] = len(b.text)
-        rows = [(h, p, 0, a, b, c - (1 << 63), 0) for (h, p), (a, b, c, _) in sums.items()]
-        rows += [(h, p, t, n, 0, 0, size) for (h, p, t), (n, size) in blocks_seen.items()]
+            parents, total = {path: parent for path, parent, *_ in elements}, Counter(e[0] for e in elements)
+            chars = {b.place: len(b.text) for b in blocks}
+            tokens = tokens_of(blocks, elements)
+            for key, own in ((host, tokens), ("*", [t for t in tokens if t[3]])):
+                for token, kind, path, name, place in [(0, -1, 0, "", 0), *own]:
+                    s = sums.get((key, token))
+                    if s is None:
+                        s = sums[key, token] = [kind, path if kind == TEXT else parents.get(path, 0), name, 0, 0, 0, 0, 0]
+                    s[3] += 1
+                    s[4] += total[path] if name else 1
+                    s[5] = (s[5] + mark) & 0xFFFFFFFFFFFFFFFF
+                    s[6] += place
+                    s[7] = max(s[7], chars.get(place, 0))
+        rows = [(h, t, *s[:5], s[5] - (1 << 63), *s[6:]) for (h, t), s in sums.items()]
         if rows:
-            types = (pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), types, strict=True)], names=["host", "path", "block", "pages", "total", "vector", "chars"])
+            yield _partial(rows, schema)
+
 
+# 2. classes
 
-def _template(table: pa.Table) -> pa.Table:
-    """The article slot of a host: its path."""
-    host = table["host"][0].as_py()
-    rows = table.to_pylist()
-    classes: dict[tuple[int, int, int], list[str]] = defaultdict(list)
-    mass: dict[str, int] = defaultdict(int)
+FRAME = np.dtype([("token", "<i8"), ("kind", "<i4"), ("cls", "<i4"), ("parent", "<i8"), ("once", "?"), ("head", "?"), ("textual", "?")])
+
+
+def _classes(table: pa.Table) -> pa.Table:
+    """The common tokens of a host in their mean order, with the numbers of their classes."""
+    rows = sorted(table.to_pylist(), key=lambda r: (r["place"] / r["pages"], r["token"]))
+    numbers: dict[tuple, int] = {}
     for r in rows:
-        if r["pages"]:
-            classes[r["pages"], r["total"], r["vector"]].append(r["path"])
-        if r["mass"]:
-            p = r["path"]
-            while p:
-                mass[p] += r["mass"]
-                p = p.rpartition("/")[0]
-    pages = max((k[0] for k in classes), default=0)
-    # the class of tokens that stand once on every page; pages that lack a part may leave several
-    frame = {p for (n, total, _), own in classes.items() if n == total and n >= 0.5 * pages for p in own}
-    heads = {p for p in frame if p.rpartition("/")[2].split(".")[0] in ARTICLE_HEAD}
-    slot, left = "", sum(mass[p] for p in mass if "/" not in p)
+        numbers.setdefault((r["pages"], r["vector"]), len(numbers))
+    frame = np.array([(r["token"], r["kind"], numbers[r["pages"], r["vector"]], r["parent"], bool(r["name"]) and r["total"] == r["pages"], r["name"] in ARTICLE_HEAD, r["name"] in TEXTUAL) for r in rows], FRAME)
+    return pa.table({"host": [rows[0]["host"]], "frame": pa.array([frame.tobytes()], pa.binary()), "n_pages": pa.array([rows[0]["n_pages"]], pa.int64())})
+
+
+@lru_cache(maxsize=512)
+def _frame(blob: bytes):
+    """A host's frame: tokens with their numbers, tag paths that stand once, and the sizes of classes."""
+    frame = np.frombuffer(blob, FRAME)
+    order = {int(t): k for k, t in enumerate(frame["token"])}
+    once = frozenset(frame["token"][frame["once"]].tolist())
+    texts = frozenset(frame["token"][frame["kind"] == TEXT].tolist())
+    return frame, order, once, texts, np.bincount(frame["cls"], minlength=1)
+
+
+def broken_classes(found: list[int], frame: np.ndarray, sizes: np.ndarray) -> set[int]:
+    """The classes that a page breaks; found: the numbers of its frame tokens in page order."""
+    places: dict[int, list[tuple[int, int]]] = defaultdict(list)
+    for at, k in enumerate(found):
+        places[int(frame["cls"][k])].append((at, k))
+    broken = set()
+    for c, own in places.items():
+        # all tokens or none, in the mean order
+        if len(own) != sizes[c] or any(a[1] > b[1] for a, b in zip(own, own[1:], strict=False)):
+            broken.add(c)
+    whole = sorted((c for c in places if c not in broken), key=lambda c: (-len(places[c]), c))
+    spans = {c: [at for at, _ in places[c]] for c in whole}
+    for i, outer in enumerate(whole):
+        for inner in whole[i + 1 :]:
+            a, b = spans[outer], spans[inner]
+            gaps = {int(x) for x in np.searchsorted(a, b)}
+            if len(gaps) > 1 and len({int(x) for x in np.searchsorted(b, a)}) > 1:
+                broken.add(inner)
+    return broken
+
+
+def _hold(batches):
+    """Partial sums per host of pages held against its frame: pages that break a class, and characters of differing and of template texts in each element."""
+    schema = [("host", pa.string()), ("what", pa.int32()), ("key", pa.int64()), ("amount", pa.int64())]
+    for batch in batches:
+        sums: dict[tuple[str, int, int], int] = defaultdict(int)
+        for host, page, blob, general in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            frames = [("*", general)] if general else []
+            if blob:
+                frames.append((host, blob))
+            if not frames:
+                continue
+            watch = frozenset().union(*(_frame(x)[2] for _, x in frames))
+            blocks, elements = parse(page, watch)
+            tokens = sorted(tokens_of(blocks, elements), key=lambda t: t[4])
+            for key, x in frames:
+                frame, order, once, texts, sizes = _frame(x)
+                for c in broken_classes([order[t[0]] for t in tokens if t[0] in order], frame, sizes):
+                    sums[key, 0, c] += 1
+                for b in blocks:
+                    if b.aside:
+                        continue
+                    token = _hash(b.text, b.path & 0xFFFFFFFFFFFFFFFF)
+                    what = 2 if token in texts else 1
+                    for path in (0, *b.inside):
+                        if path == 0 or path in once:
+                            sums[key, what, path] += len(b.text)
+        if sums:
+            yield _partial([(*k, n) for k, n in sums.items()], schema)
+
+
+# 3. templates
+
+TEMPLATE = "host string, slot bigint, texts binary, n_pages bigint"
+
+
+def _template(frames: pa.Table, sums: pa.Table) -> pa.Table:
+    """The article slot of a host, and the texts that belong to its template."""
+    if not frames.num_rows:
+        return pa.table({"host": pa.array([], pa.string()), "slot": pa.array([], pa.int64()), "texts": pa.array([], pa.binary()), "n_pages": pa.array([], pa.int64())})
+    host, blob, pages = (frames[c][0].as_py() for c in ("host", "frame", "n_pages"))
+    frame, _, _, _, sizes = _frame(blob)
+    amount = {(r["what"], r["key"]): r["amount"] for r in sums.to_pylist()}
+    valid = np.array([amount.get((0, c), 0) <= BREAKS * pages for c in range(len(sizes))])
+    kept = frame[valid[frame["cls"]]]
+    # a text that is alone in its class may be chance
+    texts = kept[(kept["kind"] == TEXT) & (sizes[kept["cls"]] > 1)]["token"].tolist()
+    tags = kept[kept["once"]]
+    mass = lambda p: amount.get((1, p), 0)
+    heads = {int(p): int(q) for p, q in tags[tags["head"]][["token", "parent"]].tolist()}
+    parents = {int(p): int(q) for p, q in tags[["token", "parent"]].tolist()}
+
+    def under_head(p):
+        while (p := parents.get(p)) is not None:
+            if p in heads:
+                return True
+        return False
+
+    slot, left = 0, mass(0)
     # what stands beside an article isn't part of it; an article's own parts all are
-    head = max((p for p in heads if not any(p.startswith(f"{x}/") for x in heads)), key=lambda p: (mass[p], p), default=None)
-    if head is not None and mass[head] >= SHARE * max(left, 1):
+    head = max((p for p in heads if not under_head(p)), key=lambda p: (mass(p), p), default=None)
+    if head is not None and mass(head) >= SHARE * max(left, 1):
         slot = head
+    plain = tags[~tags["textual"]]
     while slot not in heads:
-        inner = [p for p in frame if p.rpartition("/")[0] == slot and p.rpartition("/")[2].split(".")[0] not in TEXTUAL]
-        best = max(inner, key=lambda p: (mass[p], p), default=None)
-        if best is None or mass[best] < NEARLY_ALL * max(left, 1):
+        inner = plain[plain["parent"] == slot]["token"].tolist()
+        best = max(inner, key=lambda p: (mass(p), p), default=None)
+        if best is None or mass(best) < NEARLY_ALL * max(left, 1):
             break
-        slot, left = best, mass[best]
-    return pa.table({"host": [host], "slot": [slot], "n_pages": pa.array([pages], pa.int64())})
+        slot, left = best, mass(best)
+    if amount.get((2, slot), 0) > OWN_TEXTS * (amount.get((2, slot), 0) + mass(slot)):
+        texts = []
+    return pa.table({"host": [host], "slot": pa.array([slot], pa.int64()), "texts": pa.array([np.array(texts, "<i8").tobytes()], pa.binary()), "n_pages": pa.array([pages], pa.int64())})
+
+
+def _given(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> DataFrame:
+    return pages.select(F.col(id_col).cast("string").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
+
+
+def _host_column():
+    return F.lower(F.regexp_extract(F.coalesce(F.col("url").cast("string"), F.lit("")), r"^\s*(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//([^/?#\s]+)", 1))
+
+
+def _with_hosts(pages: DataFrame, rows: DataFrame, size) -> DataFrame:
+    """pages with what rows tells of their host: broadcast if it is small, else joined, and Spark splits the large hosts."""
+    total = rows.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0]
+    return pages.join(F.broadcast(rows) if total <= BROADCAST_BYTES else rows, "host", "left")
 
 
 def deduce_templates(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """One row per host (and '*' for all together): the path of its article slot."""
-    given = pages.select(F.col(id_col).cast("string").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
-    parts = given.mapInArrow(_statistics, "host string, path string, block bigint, pages bigint, total bigint, vector bigint, chars bigint")
-    sums = parts.groupBy("host", "path", "block").agg(F.sum("pages").alias("pages"), F.sum("total").alias("total"), F.sum(F.col("vector").cast("decimal(38,0)")).alias("vector"), F.max("chars").alias("chars"))
-    # a text block that stands on several pages is no page's own text
-    own = F.when((F.col("block") != 0) & (F.col("pages") == 1), F.col("chars")).otherwise(0)
-    tag = F.col("block") == 0
-    tokens = sums.groupBy("host", "path").agg(F.sum(F.when(tag, F.col("pages"))).alias("pages"), F.sum(F.when(tag, F.col("total"))).alias("total"), F.max(F.when(tag, F.xxhash64("vector"))).alias("vector"), F.sum(own).alias("mass"))
-    # '*' has the tags of all hosts and the text of each
-    texts = tokens.where("mass > 0 and host <> '*'").groupBy("path").agg(F.sum("mass").alias("mass"))
-    every = texts.select(F.lit("*").alias("host"), "path", F.lit(None).cast("bigint").alias("pages"), F.lit(None).cast("bigint").alias("total"), F.lit(None).cast("bigint").alias("vector"), "mass")
-    tokens = tokens.where("host <> '*' or pages > 0").unionByName(every)
-    return tokens.groupBy("host").applyInArrow(_template, "host string, slot string, n_pages bigint")
-
-
-def extract(page: str | None, slot: str | None) -> str:
-    """The blocks of the slot, or all blocks outside marked parts if the page lacks it."""
-    blocks, _ = parse(page)
+    """One row per host of FEW pages or more, and '*' for all together: the hash of its article slot's path (0: none) and the template's texts."""
+    given = _given(pages, id_col, url_col, html_col)
+    sums = given.mapInArrow(_statistics, PARTS).groupBy("host", "token").agg(*(F.first(c).alias(c) for c in ("kind", "parent", "name")), *(F.sum(c).alias(c) for c in ("pages", "total", "place")), F.xxhash64(F.sum(F.col("vector").cast("decimal(38,0)"))).alias("vector"), F.max("chars").alias("chars"))
+    # most tokens stand on one page only
+    sums = materialise(sums.where(F.col("pages") >= FEW))
+    totals = sums.where("kind = -1").select("host", F.col("pages").alias("n_pages"))
+    common = sums.where("kind >= 0").join(totals, "host").where(F.col("pages") >= COMMON * F.col("n_pages"))
+    # a host's common tokens are at most twice as many as a page has
+    frames = materialise(common.groupBy("host").applyInArrow(_classes, "host string, frame binary, n_pages bigint"))
+    general = frames.where("host = '*'").select("frame").first()
+    held = _with_hosts(given.withColumn("host", _host_column()), frames.where("host <> '*'").select("host", "frame"), F.length("frame"))
+    held = held.select("host", "html", "frame", F.lit(bytes(general["frame"]) if general else None).cast("binary").alias("general"))
+    parts = held.mapInArrow(_hold, "host string, what int, key bigint, amount bigint").groupBy("host", "what", "key").agg(F.sum("amount").alias("amount"))
+    return frames.groupBy("host").cogroup(parts.groupBy("host")).applyInArrow(_template, TEMPLATE)
+
+
+@lru_cache(maxsize=512)
+def _texts(blob: bytes) -> frozenset:
+    return frozenset(np.frombuffer(blob, "<i8").tolist())
+
+
+def extract(page: str | None, slot: int | None, texts: bytes = b"") -> str:
+    """The blocks of the slot without the template's texts, or all blocks outside marked parts if the page lacks it."""
+    blocks, _ = parse(page, frozenset((slot,)) if slot else frozenset())
+    common = _texts(texts)
     free = [b for b in blocks if not b.aside]
-    want = tuple(slot.split("/")) if slot else ()
-    own = [b for b in free if b.path[: len(want)] == want]
+    own = [b for b in free if slot in b.inside] if slot else free
+    if common:
+        own = [b for b in own or free if _hash(b.text, b.path & 0xFFFFFFFFFFFFFFFF) not in common]
+        return "\n".join(b.text for b in own)
     return "\n".join(b.text for b in own or free)
 
 
 def _extract_batches(batches):
     for batch in batches:
-        texts = [extract(p, s) for p, s in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+        texts = [extract(p, s, t or b"") for p, s, t in zip(*(batch.column(k).to_pylist() for k in (2, 3, 4)), strict=True)]
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
 
@@ -261,10 +467,8 @@ def extract_pages(pages: DataFrame) -> DataFrame:
     """Per page: page_id, url, text and n_chars."""
     templates = materialise(deduce_templates(pages))
     general = templates.where("host = '*'").first()
-    own = templates.where((F.col("host") != "*") & (F.col("n_pages") >= FEW)).select("host", "slot")
-    host = F.lower(F.regexp_extract(F.coalesce(F.col("url").cast("string"), F.lit("")), r"^\s*(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//([^/?#\s]+)", 1))
-    given = pages.select(F.col("page_id").cast("bigint").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"), host.alias("host"))
-    # one short row a host; with more hosts than that the pages are joined by host, and Spark splits the large ones
-    side = F.broadcast(own) if own.count() <= BROADCAST_HOSTS else own
-    joined = given.join(side, "host", "left").select("page_id", "url", "html", F.coalesce("slot", F.lit(general["slot"] if general else None).cast("string")).alias("slot"))
+    own = templates.where("host <> '*'").select("host", "slot", "texts")
+    given = pages.select(F.col("page_id").cast("bigint").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"), _host_column().alias("host"))
+    joined = _with_hosts(given, own, F.length("texts") + 100)
+    joined = joined.select("page_id", "url", "html", F.coalesce("slot", F.lit(general["slot"] if general else None).cast("bigint")).alias("slot"), "texts")
     return joined.mapInArrow(_extract_batches, "page_id bigint, url string, text string, n_chars bigint")

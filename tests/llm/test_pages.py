@@ -32,3 +32,60 @@ def test_articles_in_parts_stay_whole(spark, outer):
     got = texts(spark, shell)
     for k in range(8):
         assert got[k].split("\n")[:3] == [f"Head {k}", f"Lead {k} in a few words", (f"Body {k} with many more words. " * 9).strip()]
+
+
+BOXED = '<body><nav>Menu</nav><article><h1>Head #</h1><p>Body # with words of its own</p><div class="box"><p>Thank you for reading us</p></div><p>End of #</p></article></body>'
+
+
+def test_texts_of_the_template_go(spark):
+    assert texts(spark, BOXED, 10) == {k: f"Head {k}\nBody {k} with words of its own\nEnd of {k}" for k in range(10)}
+
+
+def optional_parts(k):
+    one = '<div class="one"><p>First box</p></div>' if k % 10 < 6 else ""
+    two = '<div class="two"><p>Second box</p></div>' if k % 10 > 3 else ""
+    both = two + one if k % 10 == 5 else one + two
+    return f"<body><article><h1>Head {k}</h1><p>Body {k}</p>{both}<p>End {k}</p></article></body>"
+
+
+def test_classes_need_equal_vectors(spark, monkeypatch):
+    """Two boxes on 60 % of the pages each: by their vectors they are two ordered classes; without vectors they would be one that breaks."""
+    rows = [(k, f"https://a.example/{k}", optional_parts(k)) for k in range(20)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert {r.page_id: r.text for r in htmltext.extract_pages(df).collect()} == {k: f"Head {k}\nBody {k}\nEnd {k}" for k in range(20)}
+    vectors = htmltext.F.xxhash64
+    monkeypatch.setattr(htmltext.F, "xxhash64", lambda *c: htmltext.F.lit(0).cast("bigint"))
+    without = {r.page_id: r.text for r in htmltext.extract_pages(df).collect()}
+    monkeypatch.setattr(htmltext.F, "xxhash64", vectors)
+    assert "First box" in without[0] and "Second box" in without[9]
+
+
+def test_classes_out_of_order_or_across_others_are_broken():
+    import numpy as np
+
+    frame = np.zeros(6, htmltext.FRAME)
+    frame["cls"] = [0, 0, 0, 1, 1, 2]
+    sizes = np.array([3, 2, 1])
+    broken = lambda *found: htmltext.broken_classes(list(found), frame, sizes)
+    assert broken(0, 1, 3, 4, 2) == set() and broken(0, 1, 2, 5) == set()
+    assert broken(1, 0, 2) == {0} and broken(0, 1) == {0} and broken(0, 3, 1, 4, 2) == {1}
+
+
+def test_copies_of_an_article_keep_their_text(spark):
+    rows = [(k, f"https://a.example/{k}", "<article><h1>Same</h1><p>Everywhere the same article</p></article>") for k in range(9)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert {r.text for r in htmltext.extract_pages(df).collect()} == {"Same\nEverywhere the same article"}
+
+
+@pytest.mark.parametrize("page", ["<div>" * 50_000 + "x", "<svg>" * 50_000 + "x", "<a " * 100_000, "<p>x</b>" * 40_000, '<div class="menu">' * 30_000 + "<article>x</article>" * 3_000])
+def test_long_and_deep_pages(page):
+    import time
+    import tracemalloc
+
+    tracemalloc.start()
+    began = time.perf_counter()
+    blocks, elements = htmltext.parse(page)
+    assert time.perf_counter() - began < 20
+    assert tracemalloc.get_traced_memory()[1] < 100e6
+    tracemalloc.stop()
+    assert blocks or page.startswith("<a ")
