@@ -8,7 +8,9 @@ language whose prototype has the largest cosine with its profile, both taken
 relative to the mean of all prototypes.
 
 Training gathers one sum per language and dimension, so what is shuffled and sent
-to the driver is bounded by languages x DIMENSIONS whatever the corpus.
+to the driver is bounded by languages x DIMENSIONS whatever the corpus. A text of
+more than a slice's length is read in pieces, and n-gram vectors are bound VECTORS at
+a time, so memory follows neither the length of a text nor its alphabet.
 
 Defined results: a text that is null or has no letter is 'und' with score 0; so is
 every text where nothing was learned; ties go to the first language by name; a row
@@ -28,6 +30,8 @@ from . import kernels as K
 
 DIMENSIONS = 1024
 UNKNOWN = "und"
+#: N-gram vectors that are held at once.
+VECTORS = 8_192
 
 
 @lru_cache(maxsize=1)
@@ -84,20 +88,65 @@ def _vectors(three: np.ndarray) -> np.ndarray:
     return (np.roll(base, 2, axis=1)[back[:, 0]] * np.roll(base, 1, axis=1)[back[:, 1]] * base[back[:, 2]]).astype(np.float32)
 
 
+def _pieces(buf: np.ndarray, off: np.ndarray):
+    """(first, last + 1, trigrams..., end) of slices of documents; a longer document comes in pieces, the last of them with end True."""
+    for i, j in K.slices(off):
+        a, b = int(off[i]), int(off[j])
+        if b - a <= 2 * K.SLICE_BYTES:
+            yield i, j, *_trigrams(buf[a:b], off[i : j + 1] - a), True
+            continue
+        cuts = [a]
+        while cuts[-1] < b:
+            at = min(cuts[-1] + K.SLICE_BYTES, b)
+            while at < b and buf[at] & 0xC0 == 0x80:
+                at += 1
+            cuts.append(at)
+        for x, y in zip(cuts[:-1], cuts[1:], strict=True):
+            # a character of what stands before and behind tells the edges' trigrams, and is then left out
+            low, high = x, y
+            while low > a and (low == x or buf[low] & 0xC0 == 0x80):
+                low -= 1
+            while high < b and (high == y or buf[high] & 0xC0 == 0x80):
+                high += 1
+            three, of, doc, letters = _trigrams(buf[low:high], np.array([0, high - low]))
+            before, behind = (_letter_count(buf[p:q]) for p, q in ((low, x), (y, high)))
+            own = slice(before, len(of) - behind)
+            yield i, j, three, of[own], doc[own], letters - before - behind, y == b
+
+
+def _letter_count(buf: np.ndarray) -> int:
+    return int(np.count_nonzero(_letter_table()[[ord(c) for c in buf.tobytes().decode("utf-8", "replace")]])) if len(buf) else 0
+
+
+def _bundle(three: np.ndarray, of: np.ndarray, vectors: np.ndarray | None) -> np.ndarray:
+    """The sum of the vectors of the trigrams in of; vectors has those of all three, if they are few."""
+    counts = np.bincount(of, minlength=len(three)).astype(np.float32)
+    on = np.flatnonzero(counts)
+    if vectors is not None:
+        return (counts[on] @ vectors[on]).astype(np.float64)
+    total = np.zeros(DIMENSIONS)
+    for k in range(0, len(on), VECTORS):
+        part = on[k : k + VECTORS]
+        total += counts[part] @ _vectors(three[part])
+    return total
+
+
+def _few(three: np.ndarray) -> np.ndarray | None:
+    return _vectors(three) if len(three) <= 2 * VECTORS else None
+
+
 def _train_batches(batches):
     sums: dict[str, np.ndarray] = {}
     for batch in batches:
         langs = np.array(batch.column(0).to_pylist(), object)
         buf, off = K.text_bytes(batch.column(1))
-        for i, j in K.slices(off):
-            three, of, doc, _ = _trigrams(buf[off[i] : off[j]], off[i : j + 1] - off[i])
+        for i, j, three, of, doc, _, _ in _pieces(buf, off):
             if not len(of):
                 continue
-            vectors = _vectors(three)
             own = langs[i:j]
+            vectors = _few(three)
             for lang in sorted(set(own)):
-                counts = np.bincount(of[(own == lang)[doc]], minlength=len(three)).astype(np.float32)
-                sums[lang] = sums.get(lang, 0.0) + (counts @ vectors).astype(np.float64)
+                sums[lang] = sums.get(lang, 0.0) + _bundle(three, of[(own == lang)[doc]], vectors)
     for lang, total in sums.items():
         yield pa.RecordBatch.from_arrays([pa.array([lang] * DIMENSIONS), pa.array(range(DIMENSIONS), pa.int32()), pa.array(total)], names=["lang", "dim", "total"])
 
@@ -124,20 +173,26 @@ def _predict_batches(model, keep_text):
             n = batch.num_rows
             best, score, letters_of = [UNKNOWN] * n, np.zeros(n), np.zeros(n, np.int64)
             buf, off = K.text_bytes(batch.column(batch.num_columns - 1))
-            for i, j in K.slices(off) if langs else ():
-                three, of, doc, letters = _trigrams(buf[off[i] : off[j]], off[i : j + 1] - off[i])
-                vectors = _vectors(three)
-                letters_of[i:j] = letters
+            long = np.zeros(DIMENSIONS)
+            for i, j, three, of, doc, letters, end in _pieces(buf, off) if langs else ():
+                vectors = _few(three)
+                letters_of[i:j] += letters
                 edges = np.searchsorted(doc, np.arange(j - i + 1))
-                for d in np.flatnonzero(letters):
-                    counts = np.bincount(of[edges[d] : edges[d + 1]], minlength=len(three)).astype(np.float32)
-                    on = np.flatnonzero(counts)
-                    profile = counts[on] @ vectors[on]
-                    profile /= max(float(np.linalg.norm(profile)), 1e-12)
-                    profile -= mean
+                for d in range(j - i):
+                    if edges[d] < edges[d + 1]:
+                        profile = _bundle(three, of[edges[d] : edges[d + 1]], vectors)
+                        if j - i == 1:
+                            profile = long = long + profile
+                    elif j - i == 1:
+                        profile = long
+                    if not end or not letters_of[i + d]:
+                        continue
+                    profile = profile / max(float(np.linalg.norm(profile)), 1e-12) - mean
                     cosine = proto @ (profile / max(float(np.linalg.norm(profile)), 1e-12))
                     k = int(cosine.argmax())
                     best[i + d], score[i + d] = langs[k], min(1.0, max(0.0, (1 + float(cosine[k])) / 2))
+                if end:
+                    long = np.zeros(DIMENSIONS)
             given = batch.columns if keep_text else batch.columns[:-1]
             yield pa.RecordBatch.from_arrays([*given, pa.array(best, pa.string()), pa.array(score), pa.array(letters_of, pa.int64())], names=[*batch.schema.names[: len(given)], "lang_pred", "score", "letters"])
 

@@ -121,6 +121,35 @@ def test_language_edge_cases(spark):
     assert langid.identify(docs.where("false")).count() == 0
 
 
+def test_long_texts_are_read_in_pieces():
+    import tracemalloc
+    from collections import Counter
+
+    rng = random.Random(6)
+    letters = [chr(c) for c in (*range(0x61, 0x7B), *range(0x4E00, 0x4E40), 0x20, 0x2E, 0xE9, 0x1F600)]
+    text = "".join(rng.choices(letters, k=2_500_000))
+    buf, off = langid.K.strings_bytes(["short", text, "end"])
+
+    def counted(pieces):
+        total, n = Counter(), 0
+        for i, j, three, of, doc, letters, _ in pieces:
+            n += int(letters.sum())
+            for k, times in zip(*np.unique(of, return_counts=True), strict=True):
+                total[tuple(three[k].tolist())] += int(times)
+        return total, n
+
+    whole = langid._trigrams(buf, off)
+    assert len(list(langid._pieces(buf, off))) > 3
+    assert counted(langid._pieces(buf, off)) == counted([(0, 3, *whole, True)])
+    batch = pa.record_batch({"text": pa.array(["".join(map(chr, np.random.default_rng(1).integers(0x4E00, 0x9FFF, 1_500_000)))])})
+    model = type("B", (), {"value": (["a", "b"], np.ones((2, langid.DIMENSIONS), np.float32), np.zeros(langid.DIMENSIONS, np.float32))})
+    tracemalloc.start()
+    out = next(langid._predict_batches(model, False)(iter([batch])))
+    assert tracemalloc.get_traced_memory()[1] < 400e6
+    tracemalloc.stop()
+    assert out.column(2).to_pylist() == [1_500_000]
+
+
 def test_quality_on_held_out_documents(spark):
     docs, labels = (spark.read.parquet(f"{SMALL}/{t}.parquet") for t in ("documents", "labels"))
     got = {r.doc_id: r for r in quality.score_quality(docs, labels).collect()}
