@@ -26,7 +26,6 @@ SEGMENT_SCHEMA = "doc_ids array<bigint>, lengths binary, digests binary, text bi
 SEGMENTS_A_BUCKET = 16
 
 
-
 def _segment_batches(batches):
     for batch in batches:
         ids = batch.column(0)
@@ -76,6 +75,38 @@ def rows_of(batches):
             yield batch.slice(k, 1).to_pylist()[0]
 
 
+def _digest_rows(length):
+    """(digest, seg, docs): the documents of a segment with one text, so a text of thousands of copies has one row a segment."""
+
+    def run(batches):
+        for row in rows_of(batches):
+            segment = Segment(row)
+            digests, docs = segment.digests, {}
+            for d in np.flatnonzero(segment.lengths >= length).tolist():
+                docs.setdefault(digests[d].tobytes(), []).append(d)
+            yield pa.RecordBatch.from_arrays([pa.array(list(docs), pa.binary()), pa.array([row["seg"]] * len(docs), pa.int64()), pa.array(list(docs.values()), pa.list_(pa.int32()))], names=["digest", "seg", "docs"])
+
+    return run
+
+
+def equal_texts(segments: DataFrame, length: int) -> DataFrame:
+    """(seg, copies): the documents of each segment whose text of length bytes or more others have too, and the first of all of them."""
+    rows = segments.select("seg", "doc_ids", "lengths", "digests").mapInArrow(_digest_rows(length), "digest binary, seg bigint, docs array<int>")
+    lead = F.struct("seg", F.get("docs", F.lit(0)).alias("doc"))
+    first = rows.groupBy("digest").agg(F.min(lead).alias("lead"), F.sum(F.size("docs")).alias("n")).where("n > 1")
+    again = rows.join(first, "digest").select("seg", F.struct("docs", (F.col("seg") == F.col("lead.seg")).alias("first"), F.col("lead.seg").alias("lead_seg"), F.col("lead.doc").alias("lead_doc")).alias("copy"))
+    return again.groupBy("seg").agg(F.collect_list("copy").alias("copies"))
+
+
+def copies_of(segment: Segment) -> tuple[np.ndarray, np.ndarray]:
+    """For every document whether others have its text, and whether it takes part."""
+    again, part = np.zeros(len(segment.lengths), bool), np.ones(len(segment.lengths), bool)
+    for x in segment.row["copies"] or ():
+        again[x["docs"]], part[x["docs"]] = True, False
+        part[x["docs"][0]] = x["first"]
+    return again, part
+
+
 def _cuts(unique: np.ndarray, buckets: int) -> np.ndarray:
     limits = np.array([(k << 64) // buckets for k in range(1, buckets)], np.uint64)
     return np.concatenate([[0], np.searchsorted(unique, limits), [len(unique)]])
@@ -130,11 +161,11 @@ def repeats(segments: DataFrame, keys_of: Callable[[dict], np.ndarray], buckets:
 
 
 def bucket_count(segments: DataFrame) -> int:
-    """Ranges of hashes: two a shuffle partition at least, and as many as hold the keys of SEGMENTS_A_BUCKET segments each.
+    """Ranges of hashes: four a shuffle partition at least, and as many as hold the keys of SEGMENTS_A_BUCKET segments each.
 
     So what one task sorts stays the same at every size; a segment sends no more rows than it has keys.
     """
-    return max(2 * shuffle_partitions(segments), -(-segments.count() // SEGMENTS_A_BUCKET))
+    return max(4 * shuffle_partitions(segments), -(-segments.count() // SEGMENTS_A_BUCKET))
 
 
 def repeat_flags(keys: np.ndarray, replies: list[dict] | None, buckets: int) -> tuple[np.ndarray, np.ndarray]:

@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .segments import Segment, bucket_count, make_segments, repeat_flags, repeats, rows_of
+from .segments import Segment, bucket_count, copies_of, equal_texts, make_segments, repeat_flags, repeats, rows_of
 from .store import materialise, shuffle_partitions
 
 LENGTH = 400
@@ -85,37 +85,6 @@ def cover_for(length: int) -> tuple[np.ndarray, int, int]:
 # 1. candidates
 
 
-def _digest_rows(length):
-    """(digest, seg, docs): the documents of a segment with one text, so a text of thousands of copies has one row a segment."""
-
-    def run(batches):
-        for row in rows_of(batches):
-            segment = Segment(row)
-            digests, docs = segment.digests, {}
-            for d in np.flatnonzero(segment.lengths >= length).tolist():
-                docs.setdefault(digests[d].tobytes(), []).append(d)
-            yield pa.RecordBatch.from_arrays([pa.array(list(docs), pa.binary()), pa.array([row["seg"]] * len(docs), pa.int64()), pa.array(list(docs.values()), pa.list_(pa.int32()))], names=["digest", "seg", "docs"])
-
-    return run
-
-
-def equal_texts(segments: DataFrame, length: int) -> DataFrame:
-    """(seg, copies): the documents of each segment whose text others have too, and whether the first of them is the first of all."""
-    rows = segments.select("seg", "doc_ids", "lengths", "digests").mapInArrow(_digest_rows(length), "digest binary, seg bigint, docs array<int>")
-    first = rows.groupBy("digest").agg(F.min("seg").alias("lead"), F.sum(F.size("docs")).alias("n")).where("n > 1")
-    again = rows.join(first, "digest").select("seg", F.struct("docs", (F.col("seg") == F.col("lead")).alias("first")).alias("copy"))
-    return again.groupBy("seg").agg(F.collect_list("copy").alias("copies"))
-
-
-def _copies(segment: Segment) -> tuple[np.ndarray, np.ndarray]:
-    """For every document whether others have its text, and whether it takes part."""
-    again, part = np.zeros(len(segment.lengths), bool), np.ones(len(segment.lengths), bool)
-    for x in segment.row["copies"] or ():
-        again[x["docs"]], part[x["docs"]] = True, False
-        part[x["docs"][0]] = x["first"]
-    return again, part
-
-
 def _sample_places(segment: Segment, take: np.ndarray, cover: np.ndarray, v: int, window: int) -> np.ndarray:
     """Cover positions of the documents in take, as places in the segment."""
     places = []
@@ -128,7 +97,7 @@ def _sample_places(segment: Segment, take: np.ndarray, cover: np.ndarray, v: int
 
 def _samples(segment: Segment, length: int) -> tuple[np.ndarray, np.ndarray]:
     cover, v, window = cover_for(length)
-    at = _sample_places(segment, (segment.lengths >= window) & _copies(segment)[1], cover, v, window)
+    at = _sample_places(segment, (segment.lengths >= window) & copies_of(segment)[1], cover, v, window)
     return at, K.span_hash(K.prefix_hash(segment.bytes), at, at + window) if len(at) else np.zeros(0, np.uint64)
 
 
@@ -394,7 +363,7 @@ def _results(length, with_text):
             at = _confirmed(row, length)
             gone, near = _covered(len(buf), at, at + length), np.zeros(len(buf), bool)
             near[_run_places(row["shared"])] = True
-            same = _copies(segment)[0]
+            same = copies_of(segment)[0]
             for d in np.flatnonzero(same):
                 gone[segment.off[d] : segment.off[d + 1]] = True
             near |= gone
