@@ -11,11 +11,12 @@ from .store import materialise
 def _star(links: DataFrame, large: bool) -> DataFrame:
     """Every node's larger (or smaller) neighbours are linked with its smallest neighbour.
 
-    Only a minimum per node is gathered, with partial sums before the shuffle; the
-    links of a hub stay dealt over tasks.
+    Only a minimum per node is gathered, with partial sums before the shuffle. The
+    minima are stored, so both sides of the join are shuffled for it and Spark splits
+    the partition of a hub among tasks.
     """
     both = links.select("u", "v").unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v"))) if large else links
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+    least = materialise(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")))
     pairs = both.join(least, "u")
     moved = pairs.where("v > u") if large else pairs
     out = moved.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))

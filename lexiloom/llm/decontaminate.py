@@ -2,10 +2,10 @@
 
 The index is partitioned by document: each row is a segment of about 2 MB of
 text and holds, for every term in it, the sorted list of its positions. The
-benchmark is a stated query set. It is read in blocks of bounded size, and each
-block is searched against every segment: the position lists of a window's terms
-are intersected, adjusted by the term's offset, from the rarest term on. Nothing
-is shuffled by term, so a frequent word or a hot source makes no hot task.
+benchmark is a stated query set. It is read in blocks of bounded size, one at a
+time, and each block is searched against every segment: the position lists of a
+window's terms are intersected, adjusted by the term's offset, from the rarest term
+on. Nothing is shuffled by term, so a frequent word or a hot source makes no hot task.
 
 Defined results: a null or empty text has no words; an item without words has no
 window; rows that repeat (equal doc_id, equal text) are answered one by one; an
@@ -27,9 +27,11 @@ WINDOW = 10
 #: Positions between documents: no window and no allowed slop reaches over it.
 GAP = 1 << 10
 BLOCK_WINDOWS = 200_000
+#: Words that a term of a proximity match may stand off its place.
+SLOP = 2
 
 INDEX_SCHEMA = "doc_ids array<bigint>, n_words array<bigint>, terms binary, counts binary, postings binary"
-MATCH_SCHEMA = "segment bigint, row int, doc_id bigint, n_words bigint, spans array<struct<first:int,last:int>>, items array<string>"
+MATCH_SCHEMA = "segment bigint, row int, doc_id bigint, n_words bigint, spans array<struct<first:int,last:int>>, items array<string>, near array<string>"
 
 
 def _index_batches(batches):
@@ -84,6 +86,7 @@ def intersect(windows: Windows, terms: np.ndarray, counts: np.ndarray, postings:
 
     The rarest term of a window gives the candidate starts; each further term, by
     rising count, keeps the starts with a posting at its offset, give or take slop.
+    With a slop a start is any place that all terms are so near to; it may lie before the text.
     rarest limits how many terms have to be near (None: all of them).
     """
     none = np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -105,7 +108,12 @@ def intersect(windows: Windows, terms: np.ndarray, counts: np.ndarray, postings:
     lead = place[rows, order[:, 0]]
     which = np.repeat(rows, counts[lead])
     start = postings[K.spread(first[lead], counts[lead].astype(np.int64))].astype(np.int64) - order[which, 0]
-    which, start = which[start >= 0], start[start >= 0]
+    if slop:
+        # the rarest term too may stand off its place
+        off = np.arange(-slop, slop + 1)
+        which, start = np.repeat(which, len(off)), (start[:, None] + off).ravel()
+    else:
+        which, start = which[start >= 0], start[start >= 0]
     for k in range(1, min(width, rarest or width)):
         offset = order[which, k]
         wanted = (place[which, offset].astype(np.int64) << 32) + start + offset
@@ -115,17 +123,31 @@ def intersect(windows: Windows, terms: np.ndarray, counts: np.ndarray, postings:
     return start, live[which]
 
 
-def _search(windows, rarest, slop):
+def _items_of(query: Windows, doc: np.ndarray, window: np.ndarray, n: int) -> list[list[str]]:
+    """The items of the windows found in each of n documents."""
+    order = np.argsort(doc, kind="stable")
+    doc, window = doc[order], window[order]
+    edges = np.searchsorted(doc, np.arange(n + 1))
+    return [sorted({x for w in np.unique(window[a:b]) for x in query.items[w]}) if b > a else [] for a, b in zip(edges[:-1], edges[1:], strict=True)]
+
+
+def _search(windows, rarest, slop, near):
     def run(batches):
         query = windows.value
         for batch in batches:
             for row in batch.to_pylist():
-                counts = K.unpacked(row["counts"], np.int32)
-                start, window = intersect(query, K.unpacked(row["terms"], np.uint64), counts, K.unpacked(row["postings"], np.int32), rarest, slop)
+                index = K.unpacked(row["terms"], np.uint64), K.unpacked(row["counts"], np.int32), K.unpacked(row["postings"], np.int32)
+                start, window = intersect(query, *index, rarest, slop)
                 words = np.array(row["n_words"], np.int64)
                 base = np.cumsum(words) - words + GAP * np.arange(len(words))
-                doc = np.searchsorted(base, start, side="right") - 1
-                spans, items = [None] * len(words), [None] * len(words)
+                doc = np.searchsorted(base, start + slop, side="right") - 1
+                spans, items = [None] * len(words), _items_of(query, doc, window, len(words))
+                nearby = items
+                if near is not None:
+                    at, other = intersect(query, *index, None, near)
+                    # the first term may stand before the document's first word by the slop
+                    owner = np.searchsorted(base, at + near, side="right") - 1
+                    nearby = _items_of(query, owner, other, len(words))
                 order = np.lexsort((start, doc))
                 start, window, doc = start[order], window[order], doc[order]
                 edges = np.flatnonzero(np.diff(doc, prepend=-1, append=-1))
@@ -138,11 +160,10 @@ def _search(windows, rarest, slop):
                     new = np.append(True, lo[1:] > reach[:-1])
                     ends = reach[np.append(np.flatnonzero(new)[1:] - 1, len(lo) - 1)]
                     spans[d] = [{"first": int(x), "last": int(y)} for x, y in zip(lo[new], ends, strict=True)]
-                    items[d] = sorted({x for w in np.unique(window[a:b]) for x in query.items[w]})
                 n = len(words)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([row["segment"]] * n, pa.int64()), pa.array(range(n), pa.int32()), pa.array(row["doc_ids"], pa.int64()), pa.array(words, pa.int64()), pa.array([x or [] for x in spans], pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))), pa.array([x or [] for x in items], pa.list_(pa.string()))],
-                    names=["segment", "row", "doc_id", "n_words", "spans", "items"],
+                    [pa.array([row["segment"]] * n, pa.int64()), pa.array(range(n), pa.int32()), pa.array(row["doc_ids"], pa.int64()), pa.array(words, pa.int64()), pa.array([x or [] for x in spans], pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))), pa.array(items, pa.list_(pa.string())), pa.array(nearby, pa.list_(pa.string()))],
+                    names=["segment", "row", "doc_id", "n_words", "spans", "items", "near"],
                 )
 
     return run
@@ -150,33 +171,43 @@ def _search(windows, rarest, slop):
 
 def _blocks(benchmark: DataFrame, id_col: str, text_col: str, width: int, limit: int):
     """The benchmark's windows in blocks of at most about limit windows."""
-    held, size = [], 0
+    held, size, empty = [], 0, True
     for row in benchmark.select(F.col(id_col), F.col(text_col)).toLocalIterator():
         held.append((row[0], row[1]))
         size += len(row[1] or "") // 2 + 1
         if size >= limit:
             yield Windows(held, width)
             held, size = [], 0
-    yield Windows(held, width)
+            empty = False
+    if held or empty:
+        yield Windows(held, width)
 
 
-def find_matches(index: DataFrame, benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", width: int = WINDOW, rarest: int | None = None, slop: int = 0, block: int = BLOCK_WINDOWS) -> DataFrame:
-    """One row per document: matched word spans [first, last) and the items they match.
+def find_matches(index: DataFrame, benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", width: int = WINDOW, rarest: int | None = None, slop: int = 0, block: int = BLOCK_WINDOWS, near: int | None = None) -> DataFrame:
+    """One row per document: matched word spans [first, last), the items they match, and those that match with a slop of near.
 
     slop 0 and rarest None give exact phrases. With slop s and rarest r a window
     matches where its r rarest terms stand within s words of their places
-    (proximity); its span then is where the phrase would stand.
+    (proximity); its span then is where the phrase would stand. All of a window's
+    terms have to stand in the segment.
     """
-    if slop >= GAP - width:
+    if max(slop, near or 0) >= GAP - width:
         raise ValueError(f"slop must be under {GAP - width}")
     context = index.sparkSession.sparkContext
-    parts = [index.mapInArrow(_search(context.broadcast(w), rarest, slop), MATCH_SCHEMA) for w in _blocks(benchmark, id_col, text_col, width, block)]
-    if len(parts) == 1:
-        return parts[0]
-    whole = parts[0]
-    for part in parts[1:]:
-        whole = whole.unionByName(part)
-    whole = whole.groupBy("segment", "row").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
+    blocks = _blocks(benchmark, id_col, text_col, width, block)
+    shared = context.broadcast(next(blocks))
+    whole = index.mapInArrow(_search(shared, rarest, slop, near), MATCH_SCHEMA)
+    more = False
+    for windows in blocks:
+        # a block's result is stored before the next one is read, so one block at a time is held
+        if not more:
+            whole, more = materialise(whole), True
+        shared.destroy()
+        shared = context.broadcast(windows)
+        whole = whole.unionByName(materialise(index.mapInArrow(_search(shared, rarest, slop, near), MATCH_SCHEMA)))
+    if not more:
+        return whole
+    whole = whole.groupBy("segment", "row").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"), *(F.array_distinct(F.flatten(F.collect_list(c))).alias(c) for c in ("items", "near")))
     empty = F.struct(F.array().cast("array<struct<first:int,last:int>>").alias("done"), F.lit(-1).alias("first"), F.lit(-1).alias("last"))
     close = lambda s: F.when(s["last"] < 0, s["done"]).otherwise(F.concat(s["done"], F.array(F.struct(s["first"], s["last"]))))
     joined = F.aggregate(
@@ -189,8 +220,8 @@ def find_matches(index: DataFrame, benchmark: DataFrame, id_col: str = "item_id"
 
 
 def contamination(documents: DataFrame, benchmark: DataFrame, width: int = WINDOW, block: int = BLOCK_WINDOWS) -> DataFrame:
-    """Per document: words, words inside exact matches, matched items, and whether any word is hit."""
-    found = find_matches(build_index(documents), benchmark, width=width, block=block)
+    """Per document: words, words inside exact matches, matched items, whether any word is hit, and items matched by proximity (n_near)."""
+    found = find_matches(build_index(documents), benchmark, width=width, block=block, near=SLOP)
     hit = F.aggregate("spans", F.lit(0).cast("bigint"), lambda n, x: n + x["last"] - x["first"])
     return found.select(
         "doc_id",
@@ -199,6 +230,7 @@ def contamination(documents: DataFrame, benchmark: DataFrame, width: int = WINDO
         F.size("items").cast("bigint").alias("n_items"),
         F.sha2(F.array_join(F.array_sort("items"), ","), 256).alias("items_sha256"),
         (hit > 0).alias("contaminated"),
+        F.size("near").cast("bigint").alias("n_near"),
         "spans",
     )
 
@@ -214,7 +246,15 @@ win AS (SELECT DISTINCT item, least(len(w), {width}) AS n, array_to_string(w[i:i
 dw AS (SELECT r, i, n, array_to_string(w[i:i + n - 1], ' ') AS s FROM d, (SELECT DISTINCT n FROM win) AS z, unnest(range(1, len(w) - n + 2)) AS u(i)),
 h AS (SELECT r, i, n, item FROM dw JOIN win USING (s, n)),
 c AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(i, i + n)) AS p FROM h) GROUP BY r),
-k AS (SELECT r, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS items FROM h GROUP BY r)
-SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-FROM d LEFT JOIN c USING (r) LEFT JOIN k USING (r)
+k AS (SELECT r, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS items FROM h GROUP BY r),
+seq AS (SELECT s, any_value(n) AS n, string_split(s, ' ') AS t FROM win GROUP BY s),
+pos AS (SELECT r, i AS p, w[i] AS term FROM d, unnest(range(1, len(w) + 1)) AS u(i)),
+freq AS (SELECT term, count(*) AS f FROM pos GROUP BY term),
+parts AS (SELECT s, n, i AS k, t[i] AS term FROM seq, unnest(range(1, n + 1)) AS u(i)),
+lead AS (SELECT s, n, arg_min(k, (f, k)) AS k, arg_min(term, (f, k)) AS term FROM parts JOIN freq USING (term) GROUP BY s, n HAVING count(*) = n),
+starts AS (SELECT DISTINCT r, s, n, p - k + e AS b FROM lead JOIN pos USING (term), unnest(range(-{SLOP}, {SLOP} + 1)) AS u(e)),
+close AS (SELECT DISTINCT r, s FROM (SELECT a.r, a.s, a.n, a.b FROM starts a JOIN parts USING (s) JOIN pos q ON q.r = a.r AND q.term = parts.term AND q.p BETWEEN a.b + parts.k - {SLOP} AND a.b + parts.k + {SLOP} GROUP BY ALL HAVING count(DISTINCT parts.k) = a.n)),
+z AS (SELECT r, count(DISTINCT item) AS n_near FROM close JOIN win USING (s) WHERE item IS NOT NULL GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated, coalesce(n_near, 0)::BIGINT AS n_near
+FROM d LEFT JOIN c USING (r) LEFT JOIN k USING (r) LEFT JOIN z USING (r)
 """

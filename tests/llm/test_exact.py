@@ -60,6 +60,8 @@ def test_proximity_finds_a_phrase_with_an_inserted_word(spark):
     found = lambda **k: sorted(r[0] for r in decontaminate.find_matches(index, benchmark, **k).where(F.size("spans") > 0).select("doc_id").collect())
     assert found() == [2]
     assert found(slop=1) == [1, 2]
+    near = decontaminate.contamination(table(spark, [(1, "p q alpha beta x gamma delta r"), (2, "alpha beta gamma delta"), (3, "beta gamma delta alpha"), (4, "delta gamma beta alpha")]), benchmark)
+    assert rows(near, ["doc_id", "n_items", "n_near"]) == [(1, 0, 1), (2, 1, 1), (3, 0, 1), (4, 0, 0)]
 
 
 def test_simhash(spark, mixed):
