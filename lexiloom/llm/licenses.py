@@ -16,6 +16,10 @@ similarity J that isn't whole still meets with probability 1 - (1 - J)^BANDS.
 
 Words are runs of digits, letters and non-ASCII characters, A-Z lower-cased.
 
+A bitmap with many times more bits than the library has keys tells in the scan which
+windows can have a template's key; those, with the words around them and not the
+whole text, are joined with the table of keys.
+
 Defined results: null and empty texts, and texts of fewer than five words, match no
 template; equal rows are answered one by one; further columns are ignored.
 """
@@ -27,12 +31,16 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .store import materialise
+
 SHINGLE = 5
 WINDOW = 4
 BANDS = 2
 CONTAINED = 0.8
 #: Words between two shingles of a match: room for insertions.
 ROOM = 1.25
+#: Least bits of the bitmap, bits for a key, and the number of keys up to which their table is broadcast.
+BITS, BITS_A_KEY, BROADCAST_KEYS = 1 << 20, 16, 200_000
 
 # Short public notices and the opening sentences of public licenses.
 TEMPLATES = {
@@ -75,14 +83,18 @@ def window_minima(hashes: str, width: int) -> Column:
     return F.when(F.size(hashes) >= width, F.transform(place, lambda i: F.struct(i.alias("at"), F.array_min(F.slice(F.col(hashes), i + 1, width)).alias("key"))))
 
 
-def window_hits(hashes: Column, width: int, band: int, wanted: list[int]) -> Column:
-    """Windows of a document whose MinHash is one of the wanted ones: (at, width, band, key)."""
+def window_hits(hashes: Column, width: int, band: int, bitmap: Column, bits: int) -> Column:
+    """Windows of a document whose MinHash may be a template's by the bitmap: (at, width, band, key)."""
 
     def key(i):
         each = [F.get(hashes, i + k) for k in range(width)]
         return F.least(*each) if width > 1 else each[0]
 
-    places = F.filter(F.sequence(F.lit(0), F.size(hashes) - width), lambda i: key(i).isin(wanted))
+    def seen(k):
+        bit = k.bitwiseAND(F.lit(bits - 1))
+        return F.get(bitmap, F.shiftright(bit, 6).cast("int")).bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("bigint"), bit.bitwiseAND(F.lit(63)).cast("int"))) != 0
+
+    places = F.filter(F.sequence(F.lit(0), F.size(hashes) - width), lambda i: seen(key(i)))
     places = F.when(F.size(hashes) >= width, places).otherwise(F.array().cast("array<int>"))
     return F.transform(places, lambda i: F.struct(i.alias("at"), F.lit(width).alias("width"), F.lit(band).alias("band"), key(i).alias("key")))
 
@@ -93,8 +105,8 @@ def template_table(spark: SparkSession, templates: dict[str, str]) -> DataFrame:
     return tokens.withColumn("hashes", shingle_hashes("words")).where(F.size("hashes") > 0)
 
 
-def template_keys(templates: DataFrame) -> list[tuple[int, int, int, str]]:
-    """(width, band, MinHash, license) of every window of every template: a table of the template library's size."""
+def template_keys(templates: DataFrame) -> DataFrame:
+    """(width, band, key, license) of every window of every template: a table of the template library's size."""
     parts = []
     for band in range(BANDS):
         # a window shorter than WINDOW is a whole template: it is there or not, one band tells
@@ -102,31 +114,48 @@ def template_keys(templates: DataFrame) -> list[tuple[int, int, int, str]]:
         for width in range(1 if band == 0 else WINDOW, WINDOW + 1):
             own = base.where(F.col("width") == width).select("license", F.lit(width).alias("width"), F.lit(band).alias("band"), F.explode(window_minima("hashes", width)).alias("w"))
             parts.append(own.select("width", "band", F.col("w.key").alias("key"), "license"))
-    return [tuple(r) for r in reduce(DataFrame.unionByName, parts).distinct().collect()]
+    return reduce(DataFrame.unionByName, parts).distinct()
+
+
+def key_bitmap(keys: DataFrame, bits: int) -> DataFrame:
+    """One row with an array of bits, in numbers of 64, that tells the last bits of all keys."""
+    own = keys.select(F.col("key").bitwiseAND(F.lit(bits - 1)).alias("bit")).distinct()
+    numbers = own.groupBy(F.shiftright("bit", 6).cast("int").alias("no")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("number"))
+    every = keys.sparkSession.range(bits // 64).select(F.col("id").cast("int").alias("no"))
+    filled = every.join(numbers, "no", "left").select("no", F.coalesce("number", F.lit(0)).alias("number"))
+    return filled.agg(F.transform(F.array_sort(F.collect_list(F.struct("no", "number"))), lambda x: x["number"]).alias("bitmap"))
 
 
 def scan_licenses(documents: DataFrame, templates: dict[str, str] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document and license found in it: doc_id, license, share (of its shingles found together), first_word, n_places.
 
-    The template library is a parameter of bounded size: its window keys become literals of the scan.
+    The template library is a parameter; its table of window keys is broadcast behind a check of its size, else joined.
     """
     spark = documents.sparkSession
     library = template_table(spark, TEMPLATES if templates is None else templates)
-    keys = template_keys(library)
+    keys = materialise(template_keys(library))
+    groups = sorted(tuple(r) for r in keys.select("width", "band").distinct().collect())  # at most WINDOW + BANDS
+    n_keys, longest = keys.count(), library.agg(F.max(F.size("hashes"))).first()[0] or 0
+    small = F.broadcast if n_keys <= BROADCAST_KEYS else (lambda df: df)
     rows = documents.select(F.monotonically_increasing_id().alias("_row"), F.col(id_col).cast("bigint").alias("doc_id"), words(F.col(text_col).cast("string")).alias("words"))
     rows = rows.withColumn("h0", shingle_hashes("words"))
     for band in range(1, BANDS):
         rows = rows.withColumn(f"h{band}", banded("h0", band))
-    groups = sorted({k[:2] for k in keys})
-    hits = [window_hits(F.col(f"h{band}"), width, band, sorted({k[2] for k in keys if k[:2] == (width, band)})) for width, band in groups]
+    # one row of bounded size
+    bits = max(BITS, 1 << (BITS_A_KEY * n_keys).bit_length())
+    rows = rows.crossJoin(F.broadcast(key_bitmap(keys, bits)))
+    hits = F.concat(*(window_hits(F.col(f"h{band}"), width, band, F.col("bitmap"), bits) for width, band in groups)) if groups else F.array().cast("array<struct<at:int,width:int,band:int,key:bigint>>")
+    # a template's own place is unknown: look as far as the longest reaches to either side
+    far = int(longest * ROOM + 1)
+    start = lambda at: F.greatest(at - far, F.lit(0))
+    spots = lambda h: F.struct(h["at"].alias("at"), h["width"].alias("width"), h["band"].alias("band"), h["key"].alias("key"), start(h["at"]).alias("from"), F.slice(F.col("words"), start(h["at"]) + 1, 2 * far + SHINGLE + WINDOW).alias("words"))
     # explode_outer: no filter on the array is inferred, which would compute it twice
-    found = rows.select("_row", "doc_id", "words", F.explode_outer(F.concat(*hits)).alias("hit")).where("hit is not null")
-    table = F.broadcast(spark.createDataFrame(keys, "width int, band int, key bigint, license string").join(library.select("license", F.size("hashes").alias("n"), "words").withColumnRenamed("words", "own"), "license"))
-    near = found.select("_row", "doc_id", "words", "hit.*").join(table, ["width", "band", "key"])
-    # the template's own place is unknown: look as far as it reaches to either side
+    found = rows.select("_row", "doc_id", F.explode_outer(F.transform(hits, spots)).alias("hit")).where("hit is not null").select("_row", "doc_id", "hit.*")
+    table = keys.join(small(library.select("license", F.size("hashes").alias("n"), F.col("words").alias("own"))), "license")
+    near = found.join(small(table), ["width", "band", "key"])
     reach = F.ceil(F.col("n") * ROOM).cast("int")
     first = F.greatest(F.col("at") - reach, F.lit(0))
-    around = F.slice("words", first + 1, F.col("at") + reach + SHINGLE - first + WINDOW)
+    around = F.slice("words", first - F.col("from") + 1, F.col("at") + reach + SHINGLE - first + WINDOW)
     near = near.select("_row", "doc_id", "license", "at", first.alias("first"), around.alias("around"), "own", "n").dropDuplicates(["_row", "license", "at"])
     texts = lambda c: F.transform(F.sequence(F.lit(0), F.size(c) - SHINGLE), lambda i: F.array_join(F.slice(F.col(c), i + 1, SHINGLE), " "))
     shared = near.select("_row", "doc_id", "license", "n", "first", texts("around").alias("around"), F.array_distinct(texts("own")).alias("own"))

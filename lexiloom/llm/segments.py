@@ -43,7 +43,7 @@ def _segment_batches(batches):
 
 def make_segments(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
     """Segments of documents; the columns in carry go along, one struct per document."""
-    given = documents.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *([F.struct(*(F.col(c) for c in carry)).alias("carried")] if carry else []))
+    given = documents.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *([F.struct(*(F.col(f"`{c}`") for c in carry)).alias("carried")] if carry else []))
     schema = SEGMENT_SCHEMA + (f", carried array<{given.schema['carried'].dataType.simpleString()}>" if carry else "")
     return materialise_by(given.mapInArrow(_segment_batches, schema).withColumn("seg", F.monotonically_increasing_id()), "seg")
 

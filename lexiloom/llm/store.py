@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 
 from ..storage import materialise, shared_folder
 
-__all__ = ["materialise", "materialise_by", "shared_folder", "shuffle_partitions", "table"]
+__all__ = ["free_name", "materialise", "materialise_by", "shared_folder", "shuffle_partitions", "table"]
 
 
 def materialise_by(df: DataFrame, key: str) -> DataFrame:
@@ -24,6 +24,14 @@ def materialise_by(df: DataFrame, key: str) -> DataFrame:
         conf.set("spark.sql.adaptive.enabled", adaptive)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """name, with as many underscores before it as no column of df has."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def shuffle_partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
