@@ -25,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
 
 from . import kernels as K
 
@@ -212,8 +213,9 @@ def predict_languages(rows: DataFrame, labelled: DataFrame, text_col: str = "tex
     model = rows.sparkSession.sparkContext.broadcast(learn_prototypes(labelled))
     others = [f for f in rows.schema.fields if f.name not in ("lang_pred", "score", "letters", text_col)]
     given = rows.select(*(F.col(f"`{f.name}`") for f in others), F.col(text_col).cast("string"))
-    kept = [f"`{f.name}` {f.dataType.simpleString()}" for f in others] + [f"`{text_col}` string"] * keep_text
-    return given.mapInArrow(_predict_batches(model, keep_text), ", ".join([*kept, "lang_pred string, score double, letters bigint"]))
+    own = [StructField("lang_pred", StringType()), StructField("score", DoubleType()), StructField("letters", LongType())]
+    schema = StructType([*others, *[StructField(text_col, StringType())] * keep_text, *own])
+    return given.mapInArrow(_predict_batches(model, keep_text), schema)
 
 
 def identify(documents: DataFrame) -> DataFrame:

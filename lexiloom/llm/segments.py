@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StructType
 
 from . import kernels as K
 from .store import materialise_by, shuffle_partitions
@@ -44,7 +45,9 @@ def _segment_batches(batches):
 def make_segments(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
     """Segments of documents; the columns in carry go along, one struct per document."""
     given = documents.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *([F.struct(*(F.col(f"`{c}`") for c in carry)).alias("carried")] if carry else []))
-    schema = SEGMENT_SCHEMA + (f", carried array<{given.schema['carried'].dataType.simpleString()}>" if carry else "")
+    schema = StructType.fromDDL(SEGMENT_SCHEMA)
+    if carry:
+        schema.add("carried", ArrayType(given.schema["carried"].dataType))
     return materialise_by(given.mapInArrow(_segment_batches, schema).withColumn("seg", F.monotonically_increasing_id()), "seg")
 
 

@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from . import kernels as K
 from .components import connected_components
@@ -83,8 +84,9 @@ def _fingerprint_batches(batches):
 
 
 def with_fingerprints(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
-    rows = documents.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *carry)
-    return rows.mapInArrow(_fingerprint_batches, ", ".join(["doc_id bigint, fp bigint", *(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in carry)]))
+    rows = documents.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *(F.col(f"`{c}`") for c in carry))
+    schema = StructType([*StructType.fromDDL("doc_id bigint, fp bigint"), *(rows.schema[c] for c in carry)])
+    return rows.mapInArrow(_fingerprint_batches, schema)
 
 
 def golay_tables() -> tuple[np.ndarray, np.ndarray]:
@@ -248,4 +250,4 @@ def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str
     joined = distinct.join(labels, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
     smallest = joined.groupBy("component").agg(F.min("least").alias("component_id"))
     classes = joined.join(smallest, "component").select("fp", "component_id")
-    return prints.join(classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", *carry)
+    return prints.join(classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", *(F.col(f"`{c}`") for c in carry))
