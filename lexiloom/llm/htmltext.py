@@ -70,7 +70,6 @@ HEADING = set("h1 h2 h3 h4 h5 h6".split())
 
 _token = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>|<(?=[a-zA-Z/!?])|(?:[^<]|<(?![a-zA-Z/!?]))+", re.S)
 _attribute = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
-_space = re.compile(r"\s+")
 
 
 class Block:
@@ -137,7 +136,9 @@ def parse(page: str | None, watch=frozenset()) -> tuple[list[Block], list[tuple[
 
     def flush():
         nonlocal place
-        text = _space.sub(" ", "".join(held)).strip()
+        if not held:
+            return
+        text = " ".join("".join(held).split())
         held.clear()
         if text:
             blocks.append(Block(text, False, stack[-1].path if stack else 0, stack[-1].watched if stack else (), place))
@@ -165,12 +166,15 @@ def parse(page: str | None, watch=frozenset()) -> tuple[list[Block], list[tuple[
         at = m.end()
         name = m[2]
         if name is None:
-            if not m[0].startswith(("<!", "<?")):
-                held.append(html.unescape(m[0]))
+            text = m[0]
+            if not text.startswith(("<!", "<?")):
+                held.append(html.unescape(text) if "&" in text else text)
             continue
         name = name.lower()
+        if name in INLINE:
+            continue
         if m[1]:
-            if open_names[name]:
+            if open_names.get(name):
                 flush()
                 while stack[-1].name != name:
                     close()
@@ -190,15 +194,13 @@ def parse(page: str | None, watch=frozenset()) -> tuple[list[Block], list[tuple[
             if name == "hr":
                 flush()
             continue
-        if name in INLINE:
-            continue
         flush()
         if name in TEXTUAL or name in ("div", "ul", "ol", "table", "section", "article"):
             shut = CLOSES.get(name, set()) | {"p"}
             while stack and stack[-1].name in shut:
                 close()
-        found = [(a.lower(), x or y or z) for a, x, y, z in _attribute.findall(m[3])] if m[3] else []
-        attributes = " ".join(value for _, value in found)
+        found = [(a.lower(), x or y or z) for a, x, y, z in _attribute.findall(m[3])] if m[3] else ()
+        attributes = " ".join([value for _, value in found]) if found else ""
         inside = heads > 0
         if name in TEXTUAL:
             # headings and paragraphs have ids of their own subject
@@ -211,8 +213,8 @@ def parse(page: str | None, watch=frozenset()) -> tuple[list[Block], list[tuple[
                 cell[0] = False
                 cell = cell[1]
         parent = stack[-1].path if stack else 0
-        path = _step(parent, ".".join([name, *attributes.split()[:1]]))
-        aside, thread = name in ASIDE and not (name == "header" and inside), any(map(THREAD.match, own))
+        path = _step(parent, f"{name}.{attributes.split()[0]}" if attributes.strip() else name)
+        aside, thread = name in ASIDE and not (name == "header" and inside), bool(own) and any(map(THREAD.match, own))
         watched = stack[-1].watched if stack else ()
         stack.append(_Open(name, path, aside, thread, bool(own), (*watched, path) if path in watch else watched))
         open_names[name] += 1
