@@ -223,16 +223,31 @@ def match_counts(corpus: DataFrame, lexicon: DataFrame, text_col: str = "text")
     return count_words(tokens, lexicon)
 
 
-def word_loss(chunks: DataFrame, lexicon: DataFrame) -> DataFrame:
-    """(word, loss, cnt) for every lexicon word: what the best paths lose without it, and how often they have it."""
+def word_loss(chunks: DataFrame, lexicon: DataFrame, engine: str = "auto") -> DataFrame:
+    """(word, loss, cnt) for every lexicon word: what the best paths lose without it, and how often they have it.
+
+    A lexicon that is too large for a broadcast, or engine "join", is joined with
+    the runs' substrings, so each run comes with the words that stand in it.
+    """
     model = Model(lexicon)
-    if not model.small:
-        raise ValueError(f"losses take lexicons of up to {BROADCAST_WORDS} words")
-    runs = runs_of(chunks)
-    shared = model.broadcast(runs.sparkSession)
+    runs = runs_of(chunks).select("chunk", "n")
     kind = pa.list_(pa.struct([("word", pa.string()), ("loss", pa.float64())]))
+    schema = "chunk string, n bigint, tokens array<struct<word:string,loss:double>>"
     as_rows = lambda c, *m: [{"word": w, "loss": x} for w, x in kernels.path_losses(c, *m)]
-    found = runs.select("chunk", "n").mapInArrow(_mapped(shared, as_rows, kind), "chunk string, n bigint, tokens array<struct<word:string,loss:double>>")
+    if model.small and engine != "join":
+        found = runs.mapInArrow(_mapped(model.broadcast(runs.sparkSession), as_rows, kind), schema)
+    else:
+        unknown, longest = model.unknown, model.longest
+
+        def own_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                rows = zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True)
+                out = [as_rows(c, {w["word"]: w["lp"] for w in words or ()}, unknown, longest) for c, words in rows]
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, kind)], names=["chunk", "n", "tokens"])
+
+        edges = lattice(runs, model.frame, longest).withColumn("word", F.substring("chunk", F.col("pos"), F.col("len")))
+        words = edges.groupBy("chunk").agg(F.collect_set(F.struct("word", "lp")).alias("words"))
+        found = runs.join(words, "chunk", "left").mapInArrow(own_words, schema)
     sums = found.select("n", F.explode("tokens").alias("t")).groupBy("t.word").agg(F.sum(F.col("n") * F.col("t.loss")).alias("loss"), F.sum("n").alias("cnt"))
     words = lexicon.select("word").where("word <> ''").distinct()
     return words.join(sums, "word", "left").fillna({"loss": 0.0, "cnt": 0})

@@ -43,6 +43,14 @@ def test_rows_with_one_id_keep_apart(spark, engine):
     assert order(S.segment_longest_match(docs, lexicon, engine=engine).collect()) == sorted(expected, key=repr)
 
 
+def test_losses_of_a_joined_lexicon(spark):
+    rng = random.Random(4)
+    words = [("".join(rng.choice("甲乙丙丁") for _ in range(rng.randint(1, 4))), rng.randint(0, 50)) for _ in range(50)]
+    chunks = spark.createDataFrame([("".join(rng.choice("甲乙丙丁戊") for _ in range(rng.randint(1, 12))), k + 1, True) for k in range(40)], "chunk string, n long, han boolean")
+    one, two = ({r.word: (round(r.loss, 9), r.cnt) for r in S.word_loss(chunks, frame(spark, words), engine=e).collect()} for e in ("auto", "join"))
+    assert one == two and len(one) > 30
+
+
 def test_a_lexicon_too_large_for_a_cutter_raises(spark, monkeypatch):
     monkeypatch.setattr(S.Model.__init__, "__defaults__", (1,))
     with pytest.raises(ValueError, match="up to"):
