@@ -70,4 +70,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     """Where SQL can express the whole result; the others are held against brute force in the tests."""
-    return {"op1_decontaminate": decontaminate.oracle_sql(), "op2_licenses": licenses.oracle_sql()}
+    return {"op1_decontaminate": decontaminate.oracle_sql(), "op2_licenses": licenses.oracle_sql(), "op7_suffix_dedup": suffixdedup.oracle_sql()}

@@ -394,3 +394,27 @@ def remove_repeated_substrings(documents: DataFrame, length: int = LENGTH, with_
     rows = marked.join(tied.drop("n_starts"), "seg", "left").join(found.select("seg", "shared"), "seg", "left").join(wrong, "seg", "left")
     out = rows.mapInArrow(_results(length, with_text), RESULT_SCHEMA)
     return out if with_text else out.drop("kept")
+
+
+def oracle_sql(length: int = LENGTH) -> str:
+    """The contract in SQL: all strings of length bytes of all documents, and for n_shared all windows at cover positions."""
+    cover, v, window = cover_for(length)
+    return f"""
+WITH s AS (SELECT row_number() OVER () AS r, doc_id, encode(coalesce(text, '')) AS b, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+w AS (SELECT r, i, md5(array_slice(b, i + 1, i + {length})) AS h FROM s, unnest(range(0, n - {length - 1})) AS u(i)),
+st AS (SELECT r, i FROM w SEMI JOIN (SELECT h FROM w GROUP BY h HAVING count(*) > 1) USING (h)),
+m AS (SELECT r, i, CASE WHEN i <= lag(i) OVER (PARTITION BY r ORDER BY i) + {length} THEN 0 ELSE 1 END AS new FROM st),
+g AS (SELECT r, i, sum(new) OVER (PARTITION BY r ORDER BY i) AS k FROM m),
+runs AS (SELECT r, min(i) AS a, max(i) + {length} AS z FROM g GROUP BY r, k),
+cuts AS (SELECT r, coalesce(lag(z) OVER (PARTITION BY r ORDER BY a), 0) AS x, a AS y FROM runs UNION ALL SELECT r, max(z), any_value(n) FROM runs JOIN s USING (r) GROUP BY r),
+kept AS (SELECT r, string_agg(CASE WHEN y > x THEN hex(array_slice(b, x + 1, y)) ELSE '' END, '' ORDER BY x) AS t FROM cuts JOIN s USING (r) GROUP BY r),
+own AS (SELECT r, b, n FROM s WHERE n < {length} UNION ALL SELECT min(r), b, any_value(n) FROM s WHERE n >= {length} GROUP BY b),
+c AS (SELECT r, i, md5(array_slice(b, i + 1, i + {window})) AS h FROM own, unnest(range(0, n - {window - 1})) AS u(i) WHERE i % {v} IN ({", ".join(map(str, cover.tolist()))})),
+cs AS (SELECT r, i AS a, i + {window} AS z FROM c SEMI JOIN (SELECT h FROM c GROUP BY h HAVING count(*) > 1) USING (h) UNION ALL SELECT r, a, z FROM runs),
+cm AS (SELECT r, a, z, max(z) OVER (PARTITION BY r ORDER BY a, z ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM cs),
+shared AS (SELECT r, sum(greatest(z - greatest(a, coalesce(before, 0)), 0))::BIGINT AS n_shared FROM cm GROUP BY r),
+total AS (SELECT r, sum(z - a)::BIGINT AS n_removed, count(*) AS n_spans FROM runs GROUP BY r)
+SELECT doc_id, n::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+       CASE WHEN t IS NULL THEN sha256(b) ELSE sha256(unhex(t)) END AS kept_sha256, coalesce(n_shared, 0)::BIGINT AS n_shared
+FROM s LEFT JOIN total USING (r) LEFT JOIN kept USING (r) LEFT JOIN shared USING (r)
+"""

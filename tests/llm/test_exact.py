@@ -114,6 +114,22 @@ def test_substrings_on_documents(spark):
     assert rows(suffixdedup.remove_repeated_substrings(docs), columns) == sorted(brute.substrings(local, 400), key=repr)
 
 
+@pytest.mark.parametrize("own", [False, True])
+def test_substrings_against_sql(spark, mixed, own):
+    import duckdb
+    import pandas as pd
+
+    docs = table(spark, mixed) if own else spark.read.parquet(f"{brute.SF}/documents.parquet")
+    base = duckdb.connect()
+    if own:
+        base.register("documents", pd.DataFrame(mixed, columns=["doc_id", "text"]).astype({"doc_id": "Int64"}))
+    else:
+        base.sql(f"CREATE VIEW documents AS SELECT * FROM '{brute.SF}/documents.parquet'")
+    columns = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_shared"]
+    expected = base.sql(f"SELECT {', '.join(columns)} FROM ({suffixdedup.oracle_sql()})").fetchall()
+    assert rows(suffixdedup.remove_repeated_substrings(docs), columns) == sorted(expected, key=repr)
+
+
 def test_substrings_of_long_repeats(spark):
     rng = random.Random(9)
     morse = "ab"
