@@ -334,7 +334,7 @@ def _stretch_digests(length):
 def refuted(candidates: DataFrame, length: int) -> DataFrame:
     """(seg, refuted) of segments with stretches that hold a start whose prefix occurs nowhere else, after all."""
     total = candidates.agg(F.sum("n_starts")).first()[0] or 0
-    blocks = max(shuffle_partitions(candidates), -(-int(total) // BLOCK_BYTES))
+    blocks = max(4 * shuffle_partitions(candidates), -(-int(total) // BLOCK_BYTES))
     rows = candidates.mapInArrow(_stretch_rows(length, blocks), "block int, digest binary, n bigint, content binary")
     once = rows.groupBy("block", "digest").agg(F.sum("n").alias("n"), F.first("content").alias("content"))
     wrong = materialise(once.groupBy("block").applyInArrow(_sort_block(length), "digest binary, good binary"))
