@@ -28,6 +28,8 @@ from . import kernels as K
 from .store import materialise, shuffle_partitions
 
 SEQ_LEN = 2048
+#: Pieces that are ranked together, over all lengths.
+BUCKET_PIECES = 100_000
 END_ID = 0
 
 PIECE_SCHEMA = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
@@ -234,8 +236,9 @@ def places(plan: list[tuple[int, list[int]]]) -> list[tuple[int, int, int, int,
 def pack(pieces: DataFrame, seq_len: int = SEQ_LEN) -> DataFrame:
     """pieces with sequence_id and offset. pieces has doc_id, piece and length (1 to seq_len)."""
     spark = pieces.sparkSession
-    # what follows reads the pieces twice and must see the same rows
-    bucketed = pieces.withColumn("_bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(4 * shuffle_partitions(pieces))))
+    # what follows reads the pieces more than once and must see the same rows
+    buckets = max(4 * shuffle_partitions(pieces), -(-pieces.count() // BUCKET_PIECES))
+    bucketed = pieces.withColumn("_bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(buckets)))
     sizes = materialise(bucketed.groupBy("length", "_bucket").agg(F.count("*").alias("n")))
     counts = {r["length"]: r["n"] for r in sizes.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most seq_len rows
     plan = spark.createDataFrame(places(best_two_fit(counts, seq_len)), "_length bigint, _from bigint, _to bigint, _sequence bigint, offset bigint")
