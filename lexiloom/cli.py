@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from .api import Cutter
 from .operators import lexicon as L
 from .operators import segment as S
+from .plans.build import build_lexicon
 from .plans.train import LEAST, SUB_ITERATIONS, VOCABULARY, train
 from .sources import dumps, files
 from .streaming.pipe import cut_to_lines
@@ -47,6 +48,10 @@ def parser() -> argparse.ArgumentParser:
     sub.add_argument("--vocabulary", type=int, default=VOCABULARY)
     sub.add_argument("--sub-iterations", type=int, default=SUB_ITERATIONS)
     sub.add_argument("--min-count", type=int, default=LEAST)
+    sub = mode("build", "articles", "words", "folder", "output", lexicon="")
+    sub.add_argument("--vocabulary", type=int, default=VOCABULARY)
+    sub.add_argument("--sub-iterations", type=int, default=SUB_ITERATIONS)
+    sub.add_argument("--min-count", type=int, default=LEAST)
     sub = mode("stream", "input", "output", lexicon="required")
     sub.add_argument("--checkpoint", required=True)
     mode("repl")
@@ -67,6 +72,9 @@ def run(spark: SparkSession, argv: list[str]) -> None:
         lines = spark.readStream.text(a.input)
         cut_to_lines(lines, files.read_lexicon(spark, a.dict)).writeStream.option("checkpointLocation", a.checkpoint).trigger(availableNow=True).start(a.output, format="text").awaitTermination()
         return
+    if a.mode == "build":
+        files.write_counts(build_lexicon(spark, files.read_articles(spark, a.articles), files.read_words(spark, a.words), a.folder, a.vocabulary, a.sub_iterations, a.min_count), a.output)
+        return
     if a.mode == "filter-lexicon":
         counts = files.lexicon_rows(spark.read.text(a.char_counts)).select(F.col("word").alias("ch"), F.col("freq").alias("cnt"))
         words = files.read_words(spark, a.words).withColumn("line", F.monotonically_increasing_id())

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from datetime import datetime
 from email.utils import parsedate_to_datetime
 
@@ -92,6 +93,18 @@ def list_words(wiki_pages: DataFrame, source_col: str = "source") -> DataFrame:
     return words.select(T.strip(word).alias("word")).distinct()
 
 
+def send_with_retries(send, attempts: int = 10, sleep=time.sleep):
+    """The body of send(), which returns (status, headers, body); status 429 waits as its Retry-After tells and tries again, any other but 200 raises."""
+    for _ in range(attempts):
+        status, headers, body = send()
+        if status == 200:
+            return body
+        if status != 429:
+            raise OSError(f"status {status}")
+        sleep(retry_delay(headers.get("Retry-After")))
+    raise OSError(f"still refused after {attempts} attempts")
+
+
 def retry_delay(header: str | None, now: datetime | None = None) -> int:
     """Seconds to wait by a Retry-After header: a number, an HTTP date, or 0 for neither."""
     if not header:

@@ -57,6 +57,18 @@ def test_command_line(spark, lexicon_file, tmp_path):
     assert trained["英国人"] == "2"
 
 
+def test_lexicon_built_in_stages(spark, tmp_path):
+    (tmp_path / "articles").write_text("".join(f'{{"title": "t", "text": "# 标题\\n甲乙丙丁。甲乙戊{k}。丙丁甲乙！"}}\n' for k in range(8)), encoding="utf-8")
+    (tmp_path / "words").write_text("甲乙\n丙丁\n乙丙\n甲己\n", encoding="utf-8")
+    argv = ["build", str(tmp_path / "articles"), str(tmp_path / "words"), str(tmp_path / "stages")]
+    cli.run(spark, [*argv, str(tmp_path / "one"), "--vocabulary", "4", "--min-count", "2"])
+    built = dict(x.split("\t") for x in lines(tmp_path / "one"))
+    assert built["甲乙"] == "24" and built["丙丁"] == "16" and "甲己" not in built
+    (tmp_path / "articles").write_text("", encoding="utf-8")  # all stages are there
+    cli.run(spark, [*argv, str(tmp_path / "two")])
+    assert dict(x.split("\t") for x in lines(tmp_path / "two")) == built
+
+
 def test_stream_equals_batch(spark, tmp_path):
     words = spark.createDataFrame([("他", 5), ("英国人", 9)], "word string, freq long")
     source, out = tmp_path / "in", tmp_path / "out"

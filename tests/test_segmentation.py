@@ -220,6 +220,16 @@ def test_wikitext(spark):
             dumps.list_words(spark.createDataFrame([(bad,)], "source string")).collect()
 
 
+def test_retries():
+    answers = [(429, {"Retry-After": "3"}, ""), (429, {}, ""), (200, {}, "text")]
+    waited = []
+    assert dumps.send_with_retries(lambda: answers.pop(0), sleep=waited.append) == "text" and waited == [3, 0]
+    with pytest.raises(OSError, match="404"):
+        dumps.send_with_retries(lambda: (404, {}, ""), sleep=waited.append)
+    with pytest.raises(OSError, match="10 attempts"):
+        dumps.send_with_retries(lambda: (429, {}, ""), sleep=waited.append)
+
+
 def test_retry_delay():
     now = datetime(2025, 1, 1, tzinfo=timezone.utc)
     assert [dumps.retry_delay(h, now) for h in (None, "12", "Wed, 01 Jan 2025 00:00:30 GMT", "Wed, 01 Jan 2020 00:00:00 GMT", "soon")] == [0, 12, 30, 0, 0]
