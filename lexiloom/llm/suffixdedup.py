@@ -49,6 +49,8 @@ WIDTH = 7
 #: Bytes of the strings whose least hash tells the block, and bytes of candidates for a block.
 GRAM = 16
 BLOCK_BYTES = 1 << 20
+#: Starts of a stretch at most.
+MOST_STARTS = 4_096
 
 RESULT_SCHEMA = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, n_shared bigint, kept binary"
 
@@ -199,6 +201,10 @@ def stretches(row: dict, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarra
     start, end = K.unpacked(row["runs"], np.int64).reshape(2, -1)
     least, at = least_hashes(buf, start, end, length), K.spread(start, end - start)
     new = np.flatnonzero(np.append(True, (least[1:] != least[:-1]) | (at[1:] != at[:-1] + 1)))
+    # what repeats one short string over and over comes in pieces that are equal
+    size = np.diff(np.append(new, len(at)))
+    pieces = -(-size // MOST_STARTS)
+    new = np.repeat(new, pieces) + MOST_STARTS * K.spread(np.zeros(len(pieces), np.int64), pieces)
     count = np.diff(np.append(new, len(at)))
     raw = buf.tobytes()
     return K.mix(least[new]), at[new], count, [raw[a : a + n + length - 1] for a, n in zip(at[new].tolist(), count.tolist(), strict=True)]
