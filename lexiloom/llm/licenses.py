@@ -16,9 +16,10 @@ similarity J that isn't whole still meets with probability 1 - (1 - J)^BANDS.
 
 Words are runs of digits, letters and non-ASCII characters, A-Z lower-cased.
 
-A bitmap with many times more bits than the library has keys tells in the scan which
-windows can have a template's key; those, with the words around them and not the
-whole text, are joined with the table of keys.
+In the scan the keys of a small library are literals. Of a larger one a bitmap, with
+many times more bits than there are keys, tells which windows can have a template's
+key. Those windows, with the words around them and not the whole text, are joined
+with the table of keys.
 
 Defined results: null and empty texts, and texts of fewer than five words, match no
 template; equal rows are answered one by one; further columns are ignored.
@@ -39,8 +40,10 @@ BANDS = 2
 CONTAINED = 0.8
 #: Words between two shingles of a match: room for insertions.
 ROOM = 1.25
-#: Least bits of the bitmap, bits for a key, and the number of keys up to which their table is broadcast.
-BITS, BITS_A_KEY, BROADCAST_KEYS = 1 << 20, 16, 200_000
+#: Up to how many keys they are literals of the scan, and up to how many their table is broadcast.
+LITERAL_KEYS, BROADCAST_KEYS = 10_000, 200_000
+#: Least bits of the bitmap, and bits for a key.
+BITS, BITS_A_KEY = 1 << 20, 16
 
 # Short public notices and the opening sentences of public licenses.
 TEMPLATES = {
@@ -83,17 +86,23 @@ def window_minima(hashes: str, width: int) -> Column:
     return F.when(F.size(hashes) >= width, F.transform(place, lambda i: F.struct(i.alias("at"), F.array_min(F.slice(F.col(hashes), i + 1, width)).alias("key"))))
 
 
-def window_hits(hashes: Column, width: int, band: int, bitmap: Column, bits: int) -> Column:
-    """Windows of a document whose MinHash may be a template's by the bitmap: (at, width, band, key)."""
+def in_bitmap(bitmap: Column, bits: int):
+    """Whether a key's last bits are in the bitmap, as a function of the key."""
+
+    def seen(key):
+        bit = key.bitwiseAND(F.lit(bits - 1))
+        return F.get(bitmap, F.shiftright(bit, 6).cast("int")).bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("bigint"), bit.bitwiseAND(F.lit(63)).cast("int"))) != 0
+
+    return seen
+
+
+def window_hits(hashes: Column, width: int, band: int, seen) -> Column:
+    """Windows of a document whose MinHash may be a template's: (at, width, band, key)."""
 
     def key(i):
         each = [F.get(hashes, i + k) for k in range(width)]
         return F.least(*each) if width > 1 else each[0]
 
-    def seen(k):
-        bit = k.bitwiseAND(F.lit(bits - 1))
-        return F.get(bitmap, F.shiftright(bit, 6).cast("int")).bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("bigint"), bit.bitwiseAND(F.lit(63)).cast("int"))) != 0
-
     places = F.filter(F.sequence(F.lit(0), F.size(hashes) - width), lambda i: seen(key(i)))
     places = F.when(F.size(hashes) >= width, places).otherwise(F.array().cast("array<int>"))
     return F.transform(places, lambda i: F.struct(i.alias("at"), F.lit(width).alias("width"), F.lit(band).alias("band"), key(i).alias("key")))
@@ -141,10 +150,15 @@ def scan_licenses(documents: DataFrame, templates: dict[str, str] | None = None,
     rows = rows.withColumn("h0", shingle_hashes("words"))
     for band in range(1, BANDS):
         rows = rows.withColumn(f"h{band}", banded("h0", band))
-    # one row of bounded size
-    bits = max(BITS, 1 << (BITS_A_KEY * n_keys).bit_length())
-    rows = rows.crossJoin(F.broadcast(key_bitmap(keys, bits)))
-    hits = F.concat(*(window_hits(F.col(f"h{band}"), width, band, F.col("bitmap"), bits) for width, band in groups)) if groups else F.array().cast("array<struct<at:int,width:int,band:int,key:bigint>>")
+    if n_keys <= LITERAL_KEYS:
+        each = {g: sorted(r["key"] for r in keys.where((F.col("width") == g[0]) & (F.col("band") == g[1])).select("key").distinct().collect()) for g in groups}
+        seen = {g: (lambda key, own=own: key.isin(own)) for g, own in each.items()}
+    else:
+        # one row of bounded size
+        bits = max(BITS, 1 << (BITS_A_KEY * n_keys).bit_length())
+        rows = rows.crossJoin(F.broadcast(key_bitmap(keys, bits)))
+        seen = dict.fromkeys(groups, in_bitmap(F.col("bitmap"), bits))
+    hits = F.concat(*(window_hits(F.col(f"h{band}"), width, band, seen[width, band]) for width, band in groups)) if groups else F.array().cast("array<struct<at:int,width:int,band:int,key:bigint>>")
     # a template's own place is unknown: look as far as the longest reaches to either side
     far = int(longest * ROOM + 1)
     start = lambda at: F.greatest(at - far, F.lit(0))

@@ -242,7 +242,9 @@ def test_page_edge_cases(spark):
 # licenses
 
 
-def test_licenses_against_sql(spark):
+@pytest.mark.parametrize("literal", [10_000, 0])
+def test_licenses_against_sql(spark, monkeypatch, literal):
+    monkeypatch.setattr(licenses, "LITERAL_KEYS", literal)
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
     got = sorted((r.doc_id, r.license, round(r.share, 9)) for r in licenses.scan_licenses(docs).collect())
     base = duckdb.connect()
