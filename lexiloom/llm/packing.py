@@ -237,7 +237,7 @@ def pack(pieces: DataFrame, seq_len: int = SEQ_LEN) -> DataFrame:
     """pieces with sequence_id and offset. pieces has doc_id, piece and length (1 to seq_len)."""
     spark = pieces.sparkSession
     # what follows reads the pieces more than once and must see the same rows
-    buckets = max(4 * shuffle_partitions(pieces), -(-pieces.count() // BUCKET_PIECES))
+    buckets = max(shuffle_partitions(pieces), -(-pieces.count() // BUCKET_PIECES))
     bucketed = pieces.withColumn("_bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(buckets)))
     sizes = materialise(bucketed.groupBy("length", "_bucket").agg(F.count("*").alias("n")))
     counts = {r["length"]: r["n"] for r in sizes.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most seq_len rows
