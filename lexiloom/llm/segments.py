@@ -130,7 +130,7 @@ def _send(keys_of, buckets, width):
     return run
 
 
-def _sort_bucket(width):
+def _sort_bucket(width, many):
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by("seg")
         blobs = table["keys"].to_pylist()
@@ -145,22 +145,27 @@ def _sort_bucket(width):
         again[order[1:]] |= same
         again[order[:-1]] |= same
         first[order] = np.append(True, ~same)[: len(keys)]
+        starts = np.flatnonzero(np.append(True, ~same))[: len(keys)]
+        holders = np.diff(np.append(starts, len(keys)))
+        hot = np.zeros(len(keys), bool)
+        hot[order] = np.repeat(holders >= many, holders) & bool(many)
         ends = np.cumsum(size)
         bits = lambda x: [np.packbits(x[e - n : e]).tobytes() for e, n in zip(ends, size, strict=True)]
-        return pa.table([table["seg"].combine_chunks(), table["bucket"].combine_chunks(), pa.array(bits(again), pa.binary()), pa.array(bits(first), pa.binary())], names=["seg", "bucket", "again", "first"])
+        return pa.table([table["seg"].combine_chunks(), table["bucket"].combine_chunks(), pa.array(bits(again), pa.binary()), pa.array(bits(first), pa.binary()), pa.array(bits(hot) if many else [None] * len(size), pa.binary())], names=["seg", "bucket", "again", "first", "hot"])
 
     return run
 
 
-def repeats(segments: DataFrame, keys_of: Callable[[dict], np.ndarray], buckets: int, width: int = 8, reply: str = "replies") -> DataFrame:
+def repeats(segments: DataFrame, keys_of: Callable[[dict], np.ndarray], buckets: int, width: int = 8, reply: str = "replies", many: int = 0) -> DataFrame:
     """(seg, replies): what repeat_flags() needs to flag the keys of keys_of(row) that occur more than once.
 
     width is the number of leading bytes compared: under 8 serves as a filter that
-    may flag a few keys too many, never too few.
+    may flag a few keys too many, never too few. many: also tell the keys that so
+    many segments have, for hot_flags().
     """
     sent = segments.mapInArrow(_send(keys_of, buckets, width), "bucket int, seg bigint, keys binary, twice binary")
-    back = sent.groupBy("bucket").applyInArrow(_sort_bucket(width), "seg bigint, bucket int, again binary, first binary")
-    return back.groupBy("seg").agg(F.collect_list(F.struct("bucket", "again", "first")).alias(reply))
+    back = sent.groupBy("bucket").applyInArrow(_sort_bucket(width, many), "seg bigint, bucket int, again binary, first binary, hot binary")
+    return back.groupBy("seg").agg(F.collect_list(F.struct("bucket", "again", "first", "hot")).alias(reply))
 
 
 def bucket_count(segments: DataFrame) -> int:
@@ -171,17 +176,29 @@ def bucket_count(segments: DataFrame) -> int:
     return max(4 * shuffle_partitions(segments), -(-segments.count() // SEGMENTS_A_BUCKET))
 
 
+def _told(unique: np.ndarray, replies: list[dict] | None, buckets: int, *names: str) -> list[np.ndarray]:
+    """The bits of the replies, one for each unique key."""
+    cuts = _cuts(unique, buckets)
+    out = [np.zeros(len(unique), bool) for _ in names]
+    for x in replies or ():
+        a, b = cuts[x["bucket"]], cuts[x["bucket"] + 1]
+        for bits, name in zip(out, names, strict=True):
+            bits[a:b] = np.unpackbits(np.frombuffer(x[name], np.uint8), count=b - a)
+    return out
+
+
 def repeat_flags(keys: np.ndarray, replies: list[dict] | None, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     """For every key: whether it occurs more than once, and whether it is here that it occurs first."""
     if not len(keys):
         return np.zeros(0, bool), np.zeros(0, bool)
     unique, where, back = np.unique(keys, return_index=True, return_inverse=True)
-    cuts = _cuts(unique, buckets)
-    again, first = np.zeros(len(unique), bool), np.zeros(len(unique), bool)
-    for x in replies or ():
-        a, b = cuts[x["bucket"]], cuts[x["bucket"] + 1]
-        again[a:b] = np.unpackbits(np.frombuffer(x["again"], np.uint8), count=b - a)
-        first[a:b] = np.unpackbits(np.frombuffer(x["first"], np.uint8), count=b - a)
+    again, first = _told(unique, replies, buckets, "again", "first")
     leads = np.zeros(len(keys), bool)
     leads[where] = first
     return again[back], leads
+
+
+def hot_flags(keys: np.ndarray, replies: list[dict] | None, buckets: int) -> np.ndarray:
+    """For every key whether many segments have it."""
+    unique, back = np.unique(keys, return_inverse=True)
+    return _told(unique, replies, buckets, "hot")[0][back] if len(keys) else np.zeros(0, bool)
