@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, decontaminate, htmltext, langid, licenses, packing, passagededup, quality, simhash, suffixdedup
+from . import ann, collocations, decontaminate, htmltext, langid, licenses, packing, passagededup, pieces, quality, simhash, suffixdedup, whitening
 from .store import table
 
 
@@ -58,6 +58,18 @@ def op10_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passagededup.dedup_passages(table(spark, sf_dir, "documents"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+def op12_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.round_trip(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -65,9 +77,13 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontaminate, op2_licenses, op3_ann, op4_langid, op5_html, op6_simhash, op7_suffix_dedup, op8_packing, op9_quality, op10_passage_dedup, pipeline)}
+    every = (
+        op1_decontaminate, op2_licenses, op3_ann, op4_langid, op5_html, op6_simhash, op7_suffix_dedup, op8_packing, op9_quality, op10_passage_dedup,
+        op11_collocations, op12_pieces, op13_whitening, pipeline,
+    )
+    return {f.__name__: f for f in every}
 
 
 def oracle_sql() -> dict[str, str]:
     """Where SQL can express the whole result; the others are held against brute force in the tests."""
-    return {"op1_decontaminate": decontaminate.oracle_sql(), "op2_licenses": licenses.oracle_sql(), "op7_suffix_dedup": suffixdedup.oracle_sql()}
+    return {"op1_decontaminate": decontaminate.oracle_sql(), "op2_licenses": licenses.oracle_sql(), "op7_suffix_dedup": suffixdedup.oracle_sql(), "op11_collocations": collocations.oracle_sql()}
