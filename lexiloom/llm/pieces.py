@@ -36,7 +36,7 @@ BLANK = "▁"
 #: Stands for the piece before the first, and for the rank of a pair that is no piece.
 START, NEVER = -1 << 30, float("inf")
 #: Entries of the caches of a worker: chunks with their ids, and pairs that were merged again.
-CACHED = 1 << 19
+CACHED = 1 << 18
 #: Fixed text: what normalisation other than blanks would change.
 PROBE = "  ﬁ Ａ é é ½\t\n\r 　x​ ~  ｱﾞ  "
 
@@ -46,9 +46,8 @@ class PieceModel:
 
     def __init__(self, path: str):
         import ahocorasick
-        from sentencepiece import SentencePieceProcessor
 
-        self.processor = model = SentencePieceProcessor(model_file=path)
+        self.processor = model = processor(path)
         if model.normalize(PROBE) != BLANK + PROBE.replace(" ", BLANK):
             raise ValueError("only models without normalisation, with a blank put before the text, are supported")
         self.text, self.rank, self.bytes = {}, {}, {}
@@ -211,6 +210,13 @@ class PieceModel:
         return ids, np.diff(total[np.searchsorted(start, off)])
 
 
+@lru_cache(maxsize=2)
+def processor(path: str):
+    from sentencepiece import SentencePieceProcessor
+
+    return SentencePieceProcessor(model_file=path)
+
+
 @lru_cache(maxsize=2)
 def piece_model(path: str) -> PieceModel:
     return PieceModel(path)
@@ -228,7 +234,7 @@ def _encoded(path: str, at: int, name: str):
         model = piece_model(path)
         for batch in batches:
             buf, off = K.text_bytes(batch.column(at))
-            for i, j in K.slices(off, 2 * K.SLICE_BYTES):
+            for i, j in K.slices(off):
                 ids, per = model.encode_slice(buf[off[i] : off[j]], off[i : j + 1] - off[i])
                 ids = np.insert(ids, np.cumsum(per), model.end)
                 rows = batch.slice(i, j - i)
@@ -239,7 +245,7 @@ def _encoded(path: str, at: int, name: str):
 
 def _decoded(path: str, at: int, name: str):
     def run(batches):
-        model = piece_model(path).processor
+        model = processor(path)
         for batch in batches:
             ids = batch.column(at)
             # a few rows at a time: ids are Python numbers here
