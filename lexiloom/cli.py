@@ -37,10 +37,11 @@ def parser() -> argparse.ArgumentParser:
     mode("sentences", "input", "output", lexicon="")
     sub = mode("filter-lexicon", "char_counts", "words", "output", lexicon="")
     sub.add_argument("--min-count", type=int, default=2)
-    mode("titles", "input", "output", lexicon="")
-    mode("redirects", "pages", "redirects", "output", lexicon="")
+    convert = {"action": "append", "default": [], "help": "a conversion table, source TAB target; of several each works on what the one before made"}
+    mode("titles", "input", "output", lexicon="").add_argument("--convert", **convert)
+    mode("redirects", "pages", "redirects", "output", lexicon="").add_argument("--convert", **convert)
     mode("wikitext", "input", "output", lexicon="")
-    mode("clean", "input", "output", lexicon="")
+    mode("clean", "input", "output", lexicon="").add_argument("--convert", **convert)
     sub = mode("lexicon", "output", lexicon="")
     for source in ("titles", "wiktionary", "wikisource", "slang", "redirects"):
         sub.add_argument(f"--{source}")
@@ -60,6 +61,7 @@ def parser() -> argparse.ArgumentParser:
 
 def run(spark: SparkSession, argv: list[str]) -> None:
     a = parser().parse_args(argv)
+    tables = [files.read_conversion(spark, path) for path in getattr(a, "convert", ())]
     if a.mode == "repl":
         cutter = Cutter(spark, a.dict)
         for line in sys.stdin:
@@ -84,7 +86,7 @@ def run(spark: SparkSession, argv: list[str]) -> None:
         return
     if a.mode == "redirects":
         pages, links = (dumps.insert_tuples(files.read_corpus(spark, path), "text") for path in (a.pages, a.redirects))
-        dumps.redirect_pairs(dumps.pages(pages), dumps.redirects(links)).write.csv(a.output, sep="\t", quote="")
+        dumps.redirect_pairs(dumps.pages(pages), dumps.redirects(links), tables=tables).write.csv(a.output, sep="\t", quote="")
         return
     if a.mode == "lexicon":
         lines = {k: files.read_corpus(spark, path).select(F.col("text").alias("word")) if (path := getattr(a, k)) else None for k in ("titles", "wiktionary", "wikisource", "slang", "redirects")}
@@ -97,11 +99,11 @@ def run(spark: SparkSession, argv: list[str]) -> None:
         dumps.list_words(spark.read.text(a.input, wholetext=True).withColumnRenamed("value", "source")).write.text(a.output)
         return
     if a.mode == "clean":
-        files.process_articles(files.read_articles(spark, a.input)).select("text").write.text(a.output)
+        files.process_articles(files.read_articles(spark, a.input), tables=tables).select("text").write.text(a.output)
         return
     corpus = files.read_corpus(spark, a.input)
     if a.mode == "titles":
-        L.good_titles(corpus, "text").orderBy("title").write.text(a.output)
+        L.good_titles(corpus, "text", tables=tables).orderBy("title").write.text(a.output)
         return
     if a.mode == "chars":
         L.char_counts(corpus).orderBy(F.desc("cnt"), "ch").write.csv(a.output, sep="\t", quote="")
@@ -115,10 +117,8 @@ def run(spark: SparkSession, argv: list[str]) -> None:
         files.write_counts(train(corpus, files.read_words(spark, a.dict), a.vocabulary, a.sub_iterations, a.min_count), a.output)
     else:
         rows = corpus.withColumn("doc_id", F.monotonically_increasing_id())
-        if a.mode == "cut":
-            tokens = Cutter(spark, a.dict).cut_df(rows)
-        else:
-            tokens = rows.drop("text").join(S.segment_longest_match(rows, files.read_words(spark, a.dict)), "doc_id").orderBy("doc_id")
+        # both keep the order of the lines where the lexicon is broadcast
+        tokens = S.cut(rows, files.read_lexicon(spark, a.dict)) if a.mode == "cut" else S.segment_longest_match(rows, files.read_words(spark, a.dict))
         files.write_tokens(tokens, a.output)
 
 

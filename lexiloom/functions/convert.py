@@ -1,24 +1,162 @@
-"""Conversion of phrases by a mapping table, the longest match first."""
+"""Conversion of texts by tables of phrases and characters, the longest match first.
+
+A conversion is a chain of steps. A step is a group of tables: at each place of the
+text the longest entry of any of them is replaced, of entries of one length that of
+the first table; what no table has stays. The next step works on the result. Up to
+MOST_PHRASES entries go to the tasks as an automaton; larger tables are joined, so
+each text comes with the entries that stand in it.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import re
+from collections.abc import Callable, Iterator, Mapping, Sequence
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 MOST_PHRASES = 1_000_000
 
 
-def phrase_converter(spark: SparkSession, mapping: dict[str, str]):
-    """A Column function that replaces phrases; what the table doesn't have stays."""
-    if len(mapping) > MOST_PHRASES:
-        raise ValueError(f"a conversion table has at most {MOST_PHRASES} phrases")
-    shared = spark.sparkContext.broadcast((mapping, max(map(len, mapping), default=1)))
+class Automaton:
+    """Finds the longest entry at a place by following one edge for each character."""
+
+    def __init__(self, *tables: Mapping[str, str]):
+        #: State and character to state; what a state replaces.
+        self.edges: dict[tuple[int, str], int] = {}
+        self.targets: dict[int, str] = {}
+        for table in tables:
+            for source, target in table.items():
+                state = 0
+                for c in source:
+                    state = self.edges.setdefault((state, c), len(self.edges) + 1)
+                if state:
+                    self.targets.setdefault(state, target)
+        first = "".join(sorted(re.escape(c) for state, c in self.edges if not state))
+        self.first = re.compile(f"[{first}]") if first else None
+
+    def convert(self, text: str) -> str:
+        if self.first is None:
+            return text
+        out, done, edges, targets = [], 0, self.edges, self.targets
+        start = self.first.search(text)
+        while start:
+            at = i = start.start()
+            state, end, target = 0, at, None
+            for i in range(at, len(text)):
+                state = edges.get((state, text[i]))
+                if state is None:
+                    break
+                if state in targets:
+                    end, target = i + 1, targets[state]
+            if target is not None:
+                out += [text[done:at], target]
+                done = end
+            start = self.first.search(text, max(end, at + 1))
+        return text[:] if not out else "".join([*out, text[done:]])
+
+
+#: A step: a table, or several of which the first has priority.
+Step = Mapping[str, str] | Sequence[Mapping[str, str]]
+
+
+def automata(steps: Sequence[Step]) -> list[Automaton]:
+    return [Automaton(*([s] if isinstance(s, Mapping) else s)) for s in steps]
+
+
+def converter(spark: SparkSession, *steps: Step) -> Callable[[Column], Column]:
+    """A Column function that applies the steps one after the other. Null stays null. Without entries it changes nothing."""
+    tables = [t for s in steps for t in ([s] if isinstance(s, Mapping) else s)]
+    if sum(map(len, tables)) > MOST_PHRASES:
+        raise ValueError(f"tables with over {MOST_PHRASES} entries are joined: convert_joined()")
+    if not any(tables):
+        return lambda text: text
+    if all(len(a) == 1 and len(b) == 1 and ord(max(a, b)) < 0x10000 for t in tables for a, b in t.items()):
+        # single characters only: stays inside the JVM
+        def translated(text: Column) -> Column:
+            for step in steps:
+                merged: dict[str, str] = {}
+                for t in [step] if isinstance(step, Mapping) else step:
+                    merged = {**t, **merged}
+                text = F.translate(text, "".join(merged), "".join(merged.values())) if merged else text
+            return text
+
+        return translated
+    shared = spark.sparkContext.broadcast(automata(steps))
 
     @F.pandas_udf("string")
     def convert(texts):
-        from ..operators.kernels import longest_match
+        def one(text):
+            for automaton in shared.value:
+                text = automaton.convert(text)
+            return text
 
-        table, longest = shared.value
-        return texts.map(lambda t: "".join(table.get(w, w) for w in longest_match(t, table, longest)) if t is not None else None)
+        return texts.map(one, na_action="ignore")
 
     return convert
+
+
+def phrase_converter(spark: SparkSession, mapping: Mapping[str, str]) -> Callable[[Column], Column]:
+    """A Column function that replaces phrases in one step."""
+    return converter(spark, mapping)
+
+
+def single_targets(table: DataFrame) -> DataFrame:
+    """(source, target) with one target for each source, the least of several."""
+    return table.where("source <> ''").groupBy("source").agg(F.min("target").alias("target"))
+
+
+def collected(table: DataFrame) -> dict[str, str] | None:
+    """The table as a dictionary, or None where it has over MOST_PHRASES entries."""
+    rows = single_targets(table).limit(MOST_PHRASES + 1).toArrow()
+    return dict(zip(rows["source"].to_pylist(), rows["target"].to_pylist(), strict=True)) if len(rows) <= MOST_PHRASES else None
+
+
+def _own_entries(at: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = batch.column(batch.num_columns - 1).to_pylist()
+            texts = [t if t is None or not own else Automaton({e["word"]: e["target"] for e in own}).convert(t) for t, own in zip(batch.column(at).to_pylist(), found, strict=True)]
+            columns = [pa.array(texts, pa.string()) if k == at else c for k, c in enumerate(batch.columns[:-1])]
+            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names[:-1])
+
+    return run
+
+
+def convert_joined(rows: DataFrame, text_col: str, *tables: DataFrame) -> DataFrame:
+    """rows with text_col converted by tables (source, target) of any size, one step each. Every row stays, whatever its other columns."""
+    from ..operators.occurring import longest_of, occurring
+    from ..storage import materialise
+
+    for table in tables:
+        words = single_targets(table).select(F.col("source").alias("word"), "target")
+        # two names that no column has
+        key, own = (max(rows.columns, key=len) + end for end in ("_row", "_own"))
+        keyed = materialise(rows.withColumn(key, F.monotonically_increasing_id()))
+        found = occurring(keyed, key, text_col, words, longest_of(words)).withColumnRenamed("found", own)
+        joined = keyed.join(found, key, "left").select(*(F.col(f"`{c}`") for c in rows.columns), own)
+        at = rows.columns.index(text_col)
+        schema = StructType([StructField(text_col, StringType()) if k == at else f for k, f in enumerate(rows.schema.fields)])
+        rows = joined.mapInArrow(_own_entries(at), schema)
+    return rows
+
+
+def convert(rows: DataFrame, text_col: str, *tables: DataFrame, engine: str = "auto") -> DataFrame:
+    """rows with text_col converted by tables (source, target), one step each; tables that are too large for the tasks, or all with engine "join", are joined."""
+    for table in tables:
+        small = collected(table) if engine != "join" else None
+        if small is None:
+            rows = convert_joined(rows, text_col, table)
+        else:
+            rows = rows.withColumn(text_col, converter(rows.sparkSession, small)(F.col(text_col)))
+    return rows
+
+
+def converted(rows: DataFrame, text_col: str, mapping: Step | Sequence[Step] | None = None, tables: Sequence[DataFrame] = ()) -> DataFrame:
+    """rows with text_col converted by mapping (a table, or steps one after the other), then by each of tables."""
+    if mapping:
+        steps = [mapping] if isinstance(mapping, Mapping) else mapping
+        rows = rows.withColumn(text_col, converter(rows.sparkSession, *steps)(F.col(text_col)))
+    return convert(rows, text_col, *tables)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -9,6 +10,8 @@ from pyspark.sql import functions as F
 
 from ..functions import charclass as C
 from ..functions import text as T
+from ..functions.convert import converted
+from .select import best_k
 
 
 def pure_words(words: DataFrame, longest: int, word_col: str = "word") -> DataFrame:
@@ -39,14 +42,14 @@ def with_constituents(words: DataFrame) -> DataFrame:
     return words.select("word").unionByName(chars).distinct()
 
 
-def good_titles(titles: DataFrame, title_col: str = "title", mapping: dict[str, str] | None = None) -> DataFrame:
-    """Titles to take words from, simplified by mapping first, without those that only continue an accepted shorter one.
+def good_titles(titles: DataFrame, title_col: str = "title", mapping=None, tables: Sequence[DataFrame] = ()) -> DataFrame:
+    """Titles to take words from, converted by mapping and tables first, without those that only continue an accepted shorter one.
 
     Over sorted titles, "starts with the last accepted title of four characters or
     more" is the same as "some good title is a proper prefix of four characters or
     more": what it starts with was accepted, or was itself suppressed by a prefix.
     """
-    good = titles.select(T.to_simplified(T.strip(F.col(title_col)), mapping or {}).alias("title")).where(T.is_good_title(F.col("title"))).distinct()
+    good = converted(titles.select(T.strip(F.col(title_col)).alias("title")), "title", mapping, tables).where(T.is_good_title(F.col("title"))).distinct()
     prefixes = good.where(F.char_length("title") > 4).select("title", F.explode(F.transform(F.sequence(F.lit(4), F.char_length("title") - 1), lambda n: F.substring("title", F.lit(1), n))).alias("prefix"))
     covered = prefixes.join(good.select(F.col("title").alias("prefix")), "prefix", "left_semi").select("title").distinct()
     return good.join(covered, "title", "left_anti")
@@ -102,12 +105,13 @@ def keep_by_loss(losses: DataFrame, lexicon: DataFrame, vocabulary: int, least:
     """The words that a round keeps: single characters, and the best of the others by loss / sqrt(count) / length.
 
     Of the eligible (count of least or more) share percent stay, or as many as fill
-    the vocabulary. Ties go to the larger word.
+    the vocabulary. Ties go to the larger word. losses is read several times, so it
+    should be stored; no task sorts or holds more than its share of it.
     """
     single = F.char_length("word") == 1
     singles = lexicon.where(single).select("word").distinct()
-    eligible = losses.where(~single & (F.col("cnt") >= least)).withColumn("score", F.when(F.col("cnt") > 0, F.col("loss") / F.sqrt("cnt") / F.char_length("word")).otherwise(0.0))
+    eligible = losses.where(~single & (F.col("cnt") >= least))
     n_singles, n_eligible = singles.count(), eligible.count()
     size = max(vocabulary - n_singles, n_eligible * share // 100)
-    best = eligible.orderBy(F.desc("score"), F.desc("word")).limit(max(size, 0)).select("word")
-    return singles.unionByName(best)
+    score = F.when(F.col("cnt") > 0, F.col("loss") / F.sqrt("cnt") / F.char_length("word")).otherwise(0.0)
+    return singles.unionByName(best_k(eligible, size, score, F.col("word")).select("word"))

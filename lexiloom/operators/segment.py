@@ -10,7 +10,7 @@ searches with higher-order functions.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -21,9 +21,12 @@ from ..functions import text as T
 from ..storage import materialise
 from . import kernels
 from .lexicon import word_scores
+from .occurring import free_pieces, longest_of, occurring
 
 #: Above this many words the lexicon isn't broadcast to Python; it is joined.
 BROADCAST_WORDS = 1_000_000
+#: Runs of over so many characters come in pieces where the lexicon is joined.
+LONG_RUN = 256
 
 
 def chunk_counts(corpus: DataFrame, text_col: str = "text") -> DataFrame:
@@ -71,8 +74,58 @@ def lattice(runs: DataFrame, scores: DataFrame, longest: int) -> DataFrame:
     return found.select("chunk", "pos", "len", F.coalesce("lp", "_unknown", F.lit(0.0)).alias("lp"))
 
 
+def _by_pieces(runs: DataFrame, words: DataFrame, longest: int, cut_pieces: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(chunk, tokens) of distinct runs by cut_pieces, a function of (chunk) to (chunk, tokens).
+
+    Runs of over LONG_RUN characters are cut in pieces at places over which no word
+    stands: what is best for the run is best for each piece. Of paths with the same
+    score that a kernel tells apart only by how its sums over the whole run are
+    rounded, another may be taken here.
+    """
+    short, long = runs.where(F.char_length("chunk") <= LONG_RUN).select("chunk"), runs.where(F.char_length("chunk") > LONG_RUN).select("chunk")
+    if long.isEmpty():
+        return cut_pieces(short)
+    keyed = materialise(long.select(F.monotonically_increasing_id().alias("run"), "chunk"))
+    pieces = materialise(free_pieces(keyed, "run", "chunk", words, longest, LONG_RUN // 2))
+    cuts = cut_pieces(pieces.select(F.col("piece").alias("chunk")).distinct())
+    tokens = pieces.join(cuts, pieces["piece"] == cuts["chunk"]).groupBy("run").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("no", "tokens"))), lambda x: x["tokens"])).alias("tokens"))
+    return cut_pieces(short).unionByName(keyed.join(tokens, "run").select("chunk", "tokens"))
+
+
+def _with_own_words(runs: DataFrame, scores: DataFrame, longest: int, function: Callable) -> DataFrame:
+    """(chunk, tokens) of distinct runs of any length: each comes with the words of scores (word, lp, unknown) that stand in it, and function takes the run, their scores, an unknown word's and the greatest length."""
+    unknown = scores.agg(F.first("unknown")).first()[0] or 0.0
+    keyed = materialise(runs.select(F.monotonically_increasing_id().alias("run"), "chunk"))
+    found = occurring(keyed, "run", "chunk", scores.select("word", "lp"), longest)
+
+    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for chunk, words in zip(batch.column(0), batch.column(1), strict=True):
+                known = {w["word"]: w["lp"] for w in words.as_py() or ()}
+                tokens = function(chunk.as_py(), known, unknown, longest)
+                yield pa.RecordBatch.from_arrays([pa.array([chunk.as_py()]), pa.array([tokens], pa.list_(pa.string()))], names=["chunk", "tokens"])
+
+    return keyed.join(found, "run", "left").select("chunk", "found").mapInArrow(own, "chunk string, tokens array<string>")
+
+
 def cut_native(runs: DataFrame, scores: DataFrame, longest: int) -> DataFrame:
-    """(chunk, tokens) by higher-order functions over the lattice."""
+    """(chunk, tokens) of distinct runs with a join of the lexicon.
+
+    Higher-order functions search the lattice. Their arrays cost the square of a run's
+    length, so long runs come in pieces; a piece in which words stand over every
+    place is searched by the kernel with the words that it has.
+    """
+
+    def cut_pieces(pieces: DataFrame) -> DataFrame:
+        small, large = pieces.where(F.char_length("chunk") <= LONG_RUN), pieces.where(F.char_length("chunk") > LONG_RUN)
+        out = _searched(small, scores, longest)
+        return out if large.isEmpty() else out.unionByName(_with_own_words(large, scores, longest, kernels.best_path))
+
+    return _by_pieces(runs, scores, longest, cut_pieces)
+
+
+def _searched(runs: DataFrame, scores: DataFrame, longest: int) -> DataFrame:
+    """(chunk, tokens) by higher-order functions over the lattice of short runs."""
     edges = lattice(runs, scores, longest).groupBy("chunk", "pos").agg(F.collect_list(F.struct("len", "lp")).alias("edges"))
     packed = edges.groupBy("chunk").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "edges"))), lambda x: x["edges"]).alias("edges"))
 
@@ -101,11 +154,17 @@ def _walked(size_at) -> Column:
 
 def match_native(segments: DataFrame, words: DataFrame) -> DataFrame:
     """(chunk, tokens) by longest match, with a join of the lexicon instead of a broadcast."""
-    longest = words.agg(F.max(F.char_length("word"))).first()[0] or 1
+    longest = longest_of(words)
     known = words.select("word", F.lit(0.0).alias("lp"), F.lit(0.0).alias("unknown"))
-    sizes = lattice(segments, known, int(longest)).groupBy("chunk", "pos").agg(F.max("len").alias("len"))
-    packed = sizes.groupBy("chunk").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "len"))), lambda x: x["len"]).alias("sizes"))
-    return packed.select("chunk", _walked(lambda at: F.get("sizes", at - 1)).alias("tokens"))
+
+    def match_pieces(pieces: DataFrame) -> DataFrame:
+        small, large = pieces.where(F.char_length("chunk") <= LONG_RUN), pieces.where(F.char_length("chunk") > LONG_RUN)
+        sizes = lattice(small, known, longest).groupBy("chunk", "pos").agg(F.max("len").alias("len"))
+        packed = sizes.groupBy("chunk").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "len"))), lambda x: x["len"]).alias("sizes"))
+        out = packed.select("chunk", _walked(lambda at: F.get("sizes", at - 1)).alias("tokens"))
+        return out if large.isEmpty() else out.unionByName(_with_own_words(large, known, longest, lambda run, own, _, most: kernels.longest_match(run, own, most)))
+
+    return _by_pieces(segments, words, longest, match_pieces)
 
 
 def cut_runs(runs: DataFrame, lexicon: DataFrame, engine: str = "auto") -> DataFrame:
@@ -245,9 +304,15 @@ def word_loss(chunks: DataFrame, lexicon: DataFrame, engine: str = "auto") -> Da
                 out = [as_rows(c, {w["word"]: w["lp"] for w in words or ()}, unknown, longest) for c, words in rows]
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, kind)], names=["chunk", "n", "tokens"])
 
-        edges = lattice(runs, model.frame, longest).withColumn("word", F.substring("chunk", F.col("pos"), F.col("len")))
-        words = edges.groupBy("chunk").agg(F.collect_set(F.struct("word", "lp")).alias("words"))
-        found = runs.join(words, "chunk", "left").mapInArrow(own_words, schema)
+        # long runs come in pieces over whose borders no word stands: a word's loss is the same there
+        long = runs.where(F.char_length("chunk") > LONG_RUN)
+        if not long.isEmpty():
+            keyed = materialise(long.select(F.monotonically_increasing_id().alias("run"), "chunk", "n"))
+            pieces = free_pieces(keyed, "run", "chunk", model.frame, longest, LONG_RUN // 2).join(keyed.select("run", "n"), "run").groupBy(F.col("piece").alias("chunk")).agg(F.sum("n").alias("n"))
+            runs = runs.where(F.char_length("chunk") <= LONG_RUN).unionByName(pieces)
+        keyed = materialise(runs.select(F.monotonically_increasing_id().alias("run"), "chunk", "n"))
+        words = occurring(keyed, "run", "chunk", model.frame.select("word", "lp"), longest)
+        found = keyed.join(words, "run", "left").select("chunk", "n", F.col("found").alias("words")).mapInArrow(own_words, schema)
     sums = found.select("n", F.explode("tokens").alias("t")).groupBy("t.word").agg(F.sum(F.col("n") * F.col("t.loss")).alias("loss"), F.sum("n").alias("cnt"))
     words = lexicon.select("word").where("word <> ''").distinct()
     return words.join(sums, "word", "left").fillna({"loss": 0.0, "cnt": 0})

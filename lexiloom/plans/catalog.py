@@ -12,9 +12,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import charclass as C
+from ..functions import convert
 from ..functions import text as T
 from ..operators import lexicon as L
 from ..operators import segment as S
+from ..operators.select import best_k
 from ..sources import dumps
 from ..storage import materialise
 from ..streaming import pipe
@@ -164,6 +166,36 @@ def prune_keep(spark, sf_dir):
     return L.keep_by_loss(materialise(S.word_loss(chunks, lexicon)), lexicon, TARGET, LEAST)
 
 
+def best_tokens(spark, sf_dir):
+    """The best three quarters of the distinct pre-tokens by count over length; most scores are shared by many."""
+    chunks = materialise(S.chunk_counts(_documents(spark, sf_dir)))
+    return best_k(chunks, chunks.count() * 3 // 4, F.col("n") / F.char_length("chunk"), F.col("chunk")).select("chunk", "n")
+
+
+def _reversing(spark, sf_dir):
+    """A conversion table of the seed words of several characters, which turns them round."""
+    words = _model(spark, sf_dir)[1].where(F.char_length("word") > 1)
+    return words.select(F.col("word").alias("source"), F.reverse("word").alias("target"))
+
+
+def convert_documents(spark, sf_dir):
+    return convert.convert(_han(spark, sf_dir), "text", _reversing(spark, sf_dir))
+
+
+def convert_documents_joined(spark, sf_dir):
+    return convert.convert(_han(spark, sf_dir), "text", _reversing(spark, sf_dir), engine="join")
+
+
+def _long_runs(spark, sf_dir):
+    letters = F.regexp_replace(T.hanify(F.col("text")), C.none_of(C.HAN), "")
+    return _table(spark, sf_dir, "benchmark").select(letters.alias("chunk")).where("chunk <> ''").distinct()
+
+
+def cut_long_runs(spark, sf_dir):
+    """The letters of every benchmark text as one run, cut with a joined lexicon."""
+    return S.cut_runs(_long_runs(spark, sf_dir), _model(spark, sf_dir)[1], engine="native").select("chunk", F.array_join("tokens", " ").alias("tokens"))
+
+
 def em_one_iteration(spark, sf_dir):
     return training.em_step(*_model(spark, sf_dir))
 
@@ -220,7 +252,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     every = (
         normalize_spaces, pretokenize_counts, token_kind_counts, split_punct, split_han_runs, valid_word_count, clean_text, sentence_split, char_count, seed_lexicon,
         lexicon_char_filter, lexicon_add_singles, lexicon_union_filter, constituent_chars, title_prefix_suppress, lattice_edges, viterbi_cut, viterbi_cut_native, cut_token_counts,
-        cut_documents, longest_match_cut, segment_documents, cold_start_counts, word_loss, prune_keep, em_one_iteration, em_train, mysql_tuple_parse, redirect_join, wikitext_words, stream_cut,
+        cut_documents, longest_match_cut, segment_documents, cold_start_counts, word_loss, prune_keep, best_tokens, convert_documents, convert_documents_joined, cut_long_runs, em_one_iteration, em_train, mysql_tuple_parse, redirect_join, wikitext_words, stream_cut,
     )
     return {f.__name__: f for f in every}
 
@@ -325,7 +357,14 @@ all_runs AS (SELECT chunk, n FROM chunks WHERE han), runs AS (SELECT chunk, n FR
     return f"WITH RECURSIVE {both}, d AS (SELECT {key}, i, l[i] AS chunk FROM (SELECT {key}, regexp_extract_all({_norm(HAN_SQL)}, {_quoted(C.PRETOKEN)}, 1) AS l FROM {table}), unnest(range(1, len(l) + 1)) AS u(i)) SELECT {key}, string_agg(coalesce(array_to_string(tokens, ' '), chunk), ' ' ORDER BY i) AS tokens FROM d LEFT JOIN cuts USING (chunk) GROUP BY {key}"
 
 
+def _long_runs_sql() -> str:
+    runs = f"SELECT DISTINCT regexp_replace({HAN_SQL}, '{C.none_of(C.HAN)}', '', 'g') AS chunk, 1 AS n FROM benchmark"
+    return BACK.replace("runs AS (SELECT chunk, n FROM chunks WHERE han)", f"all_runs AS (SELECT chunk, n FROM chunks WHERE han), runs AS (SELECT * FROM ({runs}) WHERE chunk <> '')").replace("AS freq FROM runs, unnest", "AS freq FROM all_runs, unnest")
+
+
 def oracle_sql() -> dict[str, str]:
+    segmented = f"WITH RECURSIVE {MATCHED}, d AS (SELECT doc_id, i, l[i] AS chunk FROM (SELECT doc_id, regexp_extract_all({HAN_SQL}, {_quoted(C.PUNCT_SPLIT)}, 1) AS l FROM documents), unnest(range(1, len(l) + 1)) AS u(i))"
+    turned = f"{segmented}, t AS (SELECT doc_id, string_agg(coalesce(array_to_string(list_transform(tokens, lambda w: reverse(w)), ''), chunk), '' ORDER BY i) AS text FROM d LEFT JOIN matches USING (chunk) GROUP BY doc_id) SELECT doc_id, coalesce(t.text, documents.text) AS text FROM documents LEFT JOIN t USING (doc_id)"
     sentences = f"list_filter(list_transform(regexp_extract_all(translate(text, '.!?', '。！？'), '{C.SENTENCE}'), lambda s: {_strip('s')}), lambda s: s <> '')"
     return {
         "normalize_spaces": f"SELECT doc_id, {_norm("('  ' || text || '  ')")} AS text FROM documents",
@@ -349,11 +388,15 @@ def oracle_sql() -> dict[str, str]:
         "cut_token_counts": f"WITH RECURSIVE {COUNTED} SELECT word, freq FROM counted",
         "cut_documents": _cut_rows("documents", "doc_id"),
         "stream_cut": _cut_rows("benchmark", "item_id"),
-        "segment_documents": f"WITH RECURSIVE {MATCHED}, d AS (SELECT doc_id, i, l[i] AS chunk FROM (SELECT doc_id, regexp_extract_all({HAN_SQL}, {_quoted(C.PUNCT_SPLIT)}, 1) AS l FROM documents), unnest(range(1, len(l) + 1)) AS u(i)) SELECT doc_id, string_agg(coalesce(array_to_string(tokens, ' '), chunk), ' ' ORDER BY i) AS tokens FROM d LEFT JOIN matches USING (chunk) GROUP BY doc_id",
+        "segment_documents": f"{segmented} SELECT doc_id, string_agg(coalesce(array_to_string(tokens, ' '), chunk), ' ' ORDER BY i) AS tokens FROM d LEFT JOIN matches USING (chunk) GROUP BY doc_id",
         "longest_match_cut": f"WITH RECURSIVE {MATCHED} SELECT chunk, array_to_string(tokens, ' ') AS tokens FROM matches",
         "cold_start_counts": f"WITH RECURSIVE {MATCHED} SELECT word, sum(n)::BIGINT AS freq FROM (SELECT unnest(tokens) AS word, n FROM matches JOIN segs USING (chunk) UNION ALL SELECT chunk, n FROM segs WHERE delimiter) WHERE word IN (SELECT word FROM lex) GROUP BY word",
         "word_loss": f"WITH RECURSIVE {LOSS} SELECT word, round(loss, 4) + 0.0 AS loss, cnt FROM losses",
         "prune_keep": f"WITH RECURSIVE {LOSS}, el AS (SELECT word, loss / sqrt(cnt) / length(word) AS score FROM losses WHERE length(word) > 1 AND cnt >= {LEAST}), k AS (SELECT greatest({TARGET} - (SELECT count(*) FROM lex WHERE length(word) = 1), (SELECT count(*) FROM el) * 75 // 100) AS size) SELECT word FROM lex WHERE length(word) = 1 UNION ALL SELECT word FROM (SELECT word, row_number() OVER (ORDER BY score DESC, word DESC) AS r FROM el), k WHERE r <= size",
+        "best_tokens": f"WITH {_chunks('text')} SELECT chunk, n FROM (SELECT chunk, n, row_number() OVER (ORDER BY n / length(chunk) DESC, chunk DESC) AS r, count(*) OVER () AS size FROM chunks) WHERE r <= size * 3 // 4",
+        "convert_documents": turned,
+        "convert_documents_joined": turned,
+        "cut_long_runs": f"WITH RECURSIVE {_long_runs_sql()} SELECT chunk, array_to_string(tokens, ' ') AS tokens FROM cuts",
         "em_one_iteration": f"WITH RECURSIVE {COUNTED} SELECT word, freq FROM counted WHERE word IN (SELECT word FROM lex)",
         "mysql_tuple_parse": "SELECT c_custkey || '|' || c_custkey % 3 || '|' || replace(replace(c_name, ' ', '_'), '#', '\\''') || '|0|x,)y' AS fields FROM customer",
         "redirect_join": f"SELECT {PAGE_NAME} AS source, target FROM customer JOIN (SELECT o_custkey, max(o_orderpriority) AS target FROM orders WHERE o_orderkey % 2 = 0 GROUP BY 1) ON o_custkey = c_custkey WHERE c_custkey % 3 = 0",

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import time
+from collections.abc import Sequence
 from datetime import datetime
 from email.utils import parsedate_to_datetime
 
@@ -10,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.convert import converted
 
 #: What bytes that aren't UTF-8 are read as; no title has it otherwise.
 REPLACED = "\ufffd"
@@ -39,11 +41,12 @@ def pages(tuples: DataFrame) -> DataFrame:
     return rows.where((F.col("ns") == 0) & ~F.contains("page_title", F.lit(REPLACED))).select("page_id", "page_title")
 
 
-def redirect_pairs(page_rows: DataFrame, redirect_rows: DataFrame, mapping: dict[str, str] | None = None) -> DataFrame:
-    """(source, target) titles of redirect pages, simplified, in the order of the titles before that. Of repeated rd_from the largest title counts."""
+def redirect_pairs(page_rows: DataFrame, redirect_rows: DataFrame, mapping=None, tables: Sequence[DataFrame] = ()) -> DataFrame:
+    """(source, target) titles of redirect pages, converted by mapping and tables, in the order of the titles before that. Of repeated rd_from the largest title counts."""
     single = redirect_rows.groupBy("rd_from").agg(F.max("rd_title").alias("rd_title"))
     joined = page_rows.join(single, page_rows["page_id"] == single["rd_from"])
-    return joined.orderBy("page_title", "rd_title").select(T.to_simplified(F.col("page_title"), mapping or {}).alias("source"), T.to_simplified(F.col("rd_title"), mapping or {}).alias("target"))
+    pairs = joined.select("page_title", "rd_title", F.col("page_title").alias("source"), F.col("rd_title").alias("target"))
+    return converted(converted(pairs, "source", mapping, tables), "target", mapping, tables).orderBy("page_title", "rd_title").select("source", "target")
 
 
 def trim_templates(wikitext: Column) -> Column:

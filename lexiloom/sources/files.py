@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.convert import converted
 
 
 def lexicon_rows(lines: DataFrame) -> DataFrame:
@@ -59,10 +61,20 @@ def read_articles(spark: SparkSession, path: str) -> DataFrame:
     return rows.where("text is not null and text <> ''")
 
 
-def process_articles(articles: DataFrame, mapping: dict[str, str] | None = None) -> DataFrame:
-    """Cleaned, simplified article texts without empty ones."""
-    out = articles.withColumn("text", T.to_simplified(T.clean_text(F.col("text")), mapping or {}))
-    return out.where("text <> ''")
+def conversion_rows(lines: DataFrame, line_col: str = "value") -> DataFrame:
+    """(source, target) from lines "source TAB target target ...": the first target counts. Lines without a TAB or with an empty side are skipped."""
+    parts = lines.select(F.split(line_col, "\t", 2).alias("p")).where(F.size("p") == 2)
+    pairs = parts.select(F.get("p", F.lit(0)).alias("source"), F.get(F.split(F.get("p", F.lit(1)), " "), F.lit(0)).alias("target"))
+    return pairs.where("source <> '' and target <> ''")
+
+
+def read_conversion(spark: SparkSession, path: str) -> DataFrame:
+    return conversion_rows(spark.read.text(path))
+
+
+def process_articles(articles: DataFrame, mapping=None, tables: Sequence[DataFrame] = ()) -> DataFrame:
+    """Cleaned article texts, converted by mapping and tables, without empty ones."""
+    return converted(articles.withColumn("text", T.clean_text(F.col("text"))), "text", mapping, tables).where("text <> ''")
 
 
 def split_sentences(articles: DataFrame, text_col: str = "text") -> DataFrame:
