@@ -14,6 +14,7 @@ from .operators import segment as S
 from .plans.build import build_lexicon
 from .plans.train import LEAST, SUB_ITERATIONS, VOCABULARY, train
 from .sources import dumps, files
+from .sources.splits import PIECE
 from .streaming.pipe import cut_to_lines
 
 
@@ -85,7 +86,7 @@ def run(spark: SparkSession, argv: list[str]) -> None:
         print(f"{seen.get['rows']} words kept", file=sys.stderr)
         return
     if a.mode == "redirects":
-        pages, links = (dumps.insert_tuples(files.read_corpus(spark, path), "text") for path in (a.pages, a.redirects))
+        pages, links = (dumps.insert_tuples(files.read_corpus(spark, path), "text", PIECE) for path in (a.pages, a.redirects))
         dumps.redirect_pairs(dumps.pages(pages), dumps.redirects(links), tables=tables).write.csv(a.output, sep="\t", quote="")
         return
     if a.mode == "lexicon":

@@ -216,6 +216,13 @@ def mysql_tuple_parse(spark, sf_dir):
     return dumps.insert_tuples(_dumps(spark, sf_dir)[0]).select(F.array_join("fields", "|").alias("fields"))
 
 
+def mysql_tuple_split(spark, sf_dir):
+    """The same pages in one INSERT line for each nation, read in pieces of 1,000 characters."""
+    pages = _dumps(spark, sf_dir)[0].select(F.expr("substr(value, instr(value, 'VALUES ') + 7)").alias("tuple"), (F.xxhash64("value") % 25).alias("line"))
+    lines = pages.groupBy("line").agg(F.concat(F.lit("INSERT INTO `page` VALUES "), F.array_join(F.transform(F.collect_list("tuple"), lambda t: F.rtrim(t, F.lit(";"))), ","), F.lit(";")).alias("value"))
+    return dumps.insert_tuples(lines, size=1000).select(F.array_join("fields", "|").alias("fields"))
+
+
 def redirect_join(spark, sf_dir):
     pages, redirects = map(dumps.insert_tuples, _dumps(spark, sf_dir))
     return dumps.redirect_pairs(dumps.pages(pages), dumps.redirects(redirects))
@@ -252,7 +259,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     every = (
         normalize_spaces, pretokenize_counts, token_kind_counts, split_punct, split_han_runs, valid_word_count, clean_text, sentence_split, char_count, seed_lexicon,
         lexicon_char_filter, lexicon_add_singles, lexicon_union_filter, constituent_chars, title_prefix_suppress, lattice_edges, viterbi_cut, viterbi_cut_native, cut_token_counts,
-        cut_documents, longest_match_cut, segment_documents, cold_start_counts, word_loss, prune_keep, best_tokens, convert_documents, convert_documents_joined, cut_long_runs, em_one_iteration, em_train, mysql_tuple_parse, redirect_join, wikitext_words, stream_cut,
+        cut_documents, longest_match_cut, segment_documents, cold_start_counts, word_loss, prune_keep, best_tokens, convert_documents, convert_documents_joined, cut_long_runs, em_one_iteration, em_train, mysql_tuple_parse, mysql_tuple_split, redirect_join, wikitext_words, stream_cut,
     )
     return {f.__name__: f for f in every}
 
@@ -346,6 +353,7 @@ sides AS (SELECT translate(unnest(regexp_extract_all(p_brand || ' ' || p_type, '
 united AS (SELECT part AS word FROM parts WHERE {_pure("part")} AND length(part) <= CASE WHEN dotted THEN 4 ELSE 3 END
            UNION SELECT word FROM titles WHERE {_pure("word")} AND length(word) <= 4 UNION SELECT word FROM sides WHERE {_pure("word")} AND length(word) <= 3)"""
 CLEAN = "'# Heading' || chr(10) || chr(10) || text || chr(10) || '##  Part' || chr(12288) || 'two' || chr(10) || ' ' || chr(9) || text || chr(160) || chr(10)"
+MYSQL_PAGES = "SELECT c_custkey || '|' || c_custkey % 3 || '|' || replace(replace(c_name, ' ', '_'), '#', '\\''') || '|0|x,)y' AS fields FROM customer"
 PAGE_NAME = "replace(c_name, '#', '''')"
 
 
@@ -398,7 +406,8 @@ def oracle_sql() -> dict[str, str]:
         "convert_documents_joined": turned,
         "cut_long_runs": f"WITH RECURSIVE {_long_runs_sql()} SELECT chunk, array_to_string(tokens, ' ') AS tokens FROM cuts",
         "em_one_iteration": f"WITH RECURSIVE {COUNTED} SELECT word, freq FROM counted WHERE word IN (SELECT word FROM lex)",
-        "mysql_tuple_parse": "SELECT c_custkey || '|' || c_custkey % 3 || '|' || replace(replace(c_name, ' ', '_'), '#', '\\''') || '|0|x,)y' AS fields FROM customer",
+        "mysql_tuple_parse": MYSQL_PAGES,
+        "mysql_tuple_split": MYSQL_PAGES,
         "redirect_join": f"SELECT {PAGE_NAME} AS source, target FROM customer JOIN (SELECT o_custkey, max(o_orderpriority) AS target FROM orders WHERE o_orderkey % 2 = 0 GROUP BY 1) ON o_custkey = c_custkey WHERE c_custkey % 3 = 0",
         "wikitext_words": f"""SELECT DISTINCT {_strip(_garbage('w'))} AS word FROM (SELECT {_strip('unnest(regexp_split_to_array(b, ' + _quoted(dumps.SEPARATORS) + '))')} AS w FROM (
             SELECT unnest(CASE i % 3 WHEN 0 THEN list_filter([word || '/x(y)', CASE WHEN length(word) > 2 THEN word END], lambda b: b IS NOT NULL) WHEN 1 THEN [word] ELSE []::VARCHAR[] END) AS b

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.convert import converted
+from .splits import split_tuples
 
 #: What bytes that aren't UTF-8 are read as; no title has it otherwise.
 REPLACED = "\ufffd"
@@ -19,14 +20,23 @@ _FIELD = r"'(?:\\.|[^'\\])*+'|[^,()']++"
 _TUPLE = rf"\(((?:{_FIELD})?(?:,(?:{_FIELD})?)*)\)"
 
 
-def insert_tuples(lines: DataFrame, line_col: str = "value") -> DataFrame:
-    """The fields of every tuple of INSERT lines; quoted fields lose their quotes and keep their escapes."""
+def insert_tuples(lines: DataFrame, line_col: str = "value", size: int | None = None) -> DataFrame:
+    """The fields of every tuple of INSERT lines; quoted fields lose their quotes and keep their escapes.
+
+    size: lines are long and are read in pieces of so many characters, in parallel.
+    """
+    if size:
+        return _fields_of(split_tuples(lines, line_col, size))
     line = F.col(line_col)
     data = F.when(line.startswith("INSERT") & line.contains("VALUES "), F.expr(f"substr({line_col}, instr({line_col}, 'VALUES ') + 7)"))
     each = lines.select(F.explode(F.regexp_extract_all(data, F.lit(_TUPLE), F.lit(1))).alias("tuple"))
+    return _fields_of(each)
+
+
+def _fields_of(tuples: DataFrame) -> DataFrame:
     fields = F.regexp_extract_all("tuple", F.lit(rf"({_FIELD})"), F.lit(1))
     bare = lambda f: F.when(f.startswith("'"), F.substring(f, F.lit(2), F.char_length(f) - 2)).otherwise(f)
-    return each.select(F.transform(fields, bare).alias("fields"))
+    return tuples.select(F.transform(fields, bare).alias("fields"))
 
 
 def redirects(tuples: DataFrame) -> DataFrame:

@@ -55,6 +55,11 @@ def counted(rows: DataFrame, name: str) -> tuple[DataFrame, Observation]:
     return rows.observe(seen, F.count(F.lit(1)).alias("rows")), seen
 
 
+def article_rows(lines: DataFrame, line_col: str = "value") -> DataFrame:
+    """(title, text) of JSON lines; blank lines and articles without text are skipped."""
+    return lines.select(F.from_json(line_col, "title string, text string").alias("a")).select("a.title", "a.text").where("text is not null and text <> ''")
+
+
 def read_articles(spark: SparkSession, path: str) -> DataFrame:
     """JSON lines with title and text; blank lines and articles without text are skipped."""
     rows = spark.read.schema("title string, text string").json(path)
