@@ -147,11 +147,12 @@ def _sort_bucket(width, many):
         first[order] = np.append(True, ~same)[: len(keys)]
         starts = np.flatnonzero(np.append(True, ~same))[: len(keys)]
         holders = np.diff(np.append(starts, len(keys)))
-        hot = np.zeros(len(keys), bool)
-        hot[order] = np.repeat(holders >= many, holders) & bool(many)
+        heat = np.zeros(len(keys), np.uint8)
+        if many:
+            heat[order] = np.repeat(np.where(holders >= many, np.floor(np.log2(np.maximum(holders, many) / many)) + 1, 0), holders)
         ends = np.cumsum(size)
         bits = lambda x: [np.packbits(x[e - n : e]).tobytes() for e, n in zip(ends, size, strict=True)]
-        return pa.table([table["seg"].combine_chunks(), table["bucket"].combine_chunks(), pa.array(bits(again), pa.binary()), pa.array(bits(first), pa.binary()), pa.array(bits(hot) if many else [None] * len(size), pa.binary())], names=["seg", "bucket", "again", "first", "hot"])
+        return pa.table([table["seg"].combine_chunks(), table["bucket"].combine_chunks(), pa.array(bits(again), pa.binary()), pa.array(bits(first), pa.binary()), pa.array([K.packed(heat[e - n : e]) for e, n in zip(ends, size, strict=True)] if many else [None] * len(size), pa.binary())], names=["seg", "bucket", "again", "first", "hot"])
 
     return run
 
@@ -160,8 +161,8 @@ def repeats(segments: DataFrame, keys_of: Callable[[dict], np.ndarray], buckets:
     """(seg, replies): what repeat_flags() needs to flag the keys of keys_of(row) that occur more than once.
 
     width is the number of leading bytes compared: under 8 serves as a filter that
-    may flag a few keys too many, never too few. many: also tell the keys that so
-    many segments have, for hot_flags().
+    may flag a few keys too many, never too few. many: also tell how many times so
+    many segments have a key, for hot_levels().
     """
     sent = segments.mapInArrow(_send(keys_of, buckets, width), "bucket int, seg bigint, keys binary, twice binary")
     back = sent.groupBy("bucket").applyInArrow(_sort_bucket(width, many), "seg bigint, bucket int, again binary, first binary, hot binary")
@@ -198,7 +199,10 @@ def repeat_flags(keys: np.ndarray, replies: list[dict] | None, buckets: int) ->
     return again[back], leads
 
 
-def hot_flags(keys: np.ndarray, replies: list[dict] | None, buckets: int) -> np.ndarray:
-    """For every key whether many segments have it."""
+def hot_levels(keys: np.ndarray, replies: list[dict] | None, buckets: int) -> np.ndarray:
+    """For every key 0, or 1 where many segments have it, 2 where twice as many have it, 3 for four times, and so on."""
     unique, back = np.unique(keys, return_inverse=True)
-    return _told(unique, replies, buckets, "hot")[0][back] if len(keys) else np.zeros(0, bool)
+    cuts, out = _cuts(unique, buckets), np.zeros(len(unique), np.uint8)
+    for x in replies or ():
+        out[cuts[x["bucket"]] : cuts[x["bucket"] + 1]] = K.unpacked(x["hot"], np.uint8)
+    return out[back]
