@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from .api import Cutter
 from .operators import lexicon as L
 from .operators import segment as S
+from .operators.ordered import good_titles_in_order
 from .plans.build import build_lexicon
 from .plans.train import LEAST, SUB_ITERATIONS, VOCABULARY, train
 from .sources import dumps, files
@@ -104,7 +105,8 @@ def run(spark: SparkSession, argv: list[str]) -> None:
         return
     corpus = files.read_corpus(spark, a.input)
     if a.mode == "titles":
-        L.good_titles(corpus, "text", tables=tables).orderBy("title").write.text(a.output)
+        numbered = corpus.select(F.monotonically_increasing_id().alias("line"), F.col("text").alias("title"))
+        good_titles_in_order(numbered, tables=tables).orderBy("line").select("title").write.text(a.output)
         return
     if a.mode == "chars":
         L.char_counts(corpus).orderBy(F.desc("cnt"), "ch").write.csv(a.output, sep="\t", quote="")

@@ -16,6 +16,7 @@ from ..functions import convert
 from ..functions import text as T
 from ..operators import lexicon as L
 from ..operators import segment as S
+from ..operators.ordered import suppress_in_order
 from ..operators.select import best_k
 from ..sources import dumps
 from ..storage import materialise
@@ -119,6 +120,14 @@ def title_prefix_suppress(spark, sf_dir):
     return L.good_titles(_titles(spark, sf_dir), "word")
 
 
+def titles_in_order(spark, sf_dir):
+    """Beginnings of part types of several lengths, in an order in which some follow their own beginnings and others don't."""
+    letters = F.regexp_replace(T.hanify(F.col("p_type")), C.none_of(C.HAN), "")
+    title = F.substring(letters, F.lit(1), (F.pmod("p_partkey", F.lit(9)) + 3).cast("int"))
+    rows = _table(spark, sf_dir, "part").select("p_partkey", title.alias("title"), F.struct("p_type", "p_size", "p_partkey").alias("line"))
+    return suppress_in_order(rows).select("p_partkey", "title")
+
+
 def lattice_edges(spark, sf_dir):
     chunks, lexicon = _model(spark, sf_dir)
     edges = S.lattice(S.runs_of(chunks), L.word_scores(lexicon), 4)
@@ -258,7 +267,7 @@ def stream_cut(spark, sf_dir):
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     every = (
         normalize_spaces, pretokenize_counts, token_kind_counts, split_punct, split_han_runs, valid_word_count, clean_text, sentence_split, char_count, seed_lexicon,
-        lexicon_char_filter, lexicon_add_singles, lexicon_union_filter, constituent_chars, title_prefix_suppress, lattice_edges, viterbi_cut, viterbi_cut_native, cut_token_counts,
+        lexicon_char_filter, lexicon_add_singles, lexicon_union_filter, constituent_chars, title_prefix_suppress, titles_in_order, lattice_edges, viterbi_cut, viterbi_cut_native, cut_token_counts,
         cut_documents, longest_match_cut, segment_documents, cold_start_counts, word_loss, prune_keep, best_tokens, convert_documents, convert_documents_joined, cut_long_runs, em_one_iteration, em_train, mysql_tuple_parse, mysql_tuple_split, redirect_join, wikitext_words, stream_cut,
     )
     return {f.__name__: f for f in every}
@@ -390,6 +399,14 @@ def oracle_sql() -> dict[str, str]:
         "lexicon_union_filter": f"WITH {UNION} SELECT word FROM united",
         "constituent_chars": f"WITH {UNION} SELECT word FROM united UNION SELECT unnest(string_split(word, '')) FROM united WHERE length(word) > 1",
         "title_prefix_suppress": f"WITH {TITLES}, good AS (SELECT DISTINCT word AS title FROM titles WHERE regexp_full_match(word, '(?:{C.one(C.TITLE)}{C.one(C.VARIATION)}?)+') AND length(word) >= 2 AND NOT ends_with(word, '列表') AND NOT ends_with(word, '对照表')) SELECT title FROM good a WHERE NOT EXISTS (SELECT 1 FROM (SELECT DISTINCT g.title AS t FROM good g, unnest(range(4, length(g.title))) AS u(k) JOIN good p ON p.title = substr(g.title, 1, k)) x WHERE x.t = a.title)",
+        "titles_in_order": f"""WITH RECURSIVE numbered AS (
+            SELECT p_partkey, substr(regexp_replace(translate(p_type, '{T.LATIN}', '{T.HANIFIED * 2}'), '{C.none_of(C.HAN)}', '', 'g'), 1, (p_partkey % 9 + 3)::INT) AS title, row_number() OVER (ORDER BY p_type, p_size, p_partkey) AS i FROM part),
+            listed AS (SELECT list(title ORDER BY i) AS titles FROM numbered),
+            fold(i, before, stays) AS (
+              SELECT 0::BIGINT, ''::VARCHAR, false
+              UNION ALL
+              SELECT i + 1, CASE WHEN length(before) >= 4 AND starts_with(titles[i + 1], before) THEN before ELSE titles[i + 1] END, NOT (length(before) >= 4 AND starts_with(titles[i + 1], before)) FROM fold, listed WHERE i < len(titles))
+            SELECT p_partkey, title FROM numbered JOIN fold USING (i) WHERE stays""",
         "lattice_edges": f"WITH {EDGES} SELECT chunk, pos, len, round(lp, 6) AS lp FROM edges",
         "viterbi_cut": f"WITH RECURSIVE {BACK} SELECT chunk, array_to_string(tokens, ' ') AS tokens FROM cuts",
         "viterbi_cut_native": f"WITH RECURSIVE {BACK} SELECT chunk, array_to_string(tokens, ' ') AS tokens FROM cuts",

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import time
 from collections.abc import Sequence
 from datetime import datetime
@@ -59,19 +60,35 @@ def redirect_pairs(page_rows: DataFrame, redirect_rows: DataFrame, mapping=None,
     return converted(converted(pairs, "source", mapping, tables), "target", mapping, tables).orderBy("page_title", "rd_title").select("source", "target")
 
 
+_BRACES = re.compile(r"\{\{|\}\}")
+
+
+def without_templates(source: str) -> str:
+    """source without {{...}}, however deep they nest, in one pass over its braces; raises where they don't match."""
+    out, depth, done = [], 0, 0
+    for mark in _BRACES.finditer(source):
+        if mark[0] == "{{":
+            if not depth:
+                out.append(source[done : mark.start()])
+            depth += 1
+        else:
+            depth -= 1
+            done = mark.end()
+            if depth < 0:
+                break
+    if depth:
+        raise ValueError("unbalanced template in wikitext")
+    return "".join([*out, source[done:]])
+
+
 def trim_templates(wikitext: Column) -> Column:
-    """Text without {{...}}, however deep they nest; raises where braces don't match."""
-    # braces pair from the left of their run
-    innermost = r"(?<!\{)((?:\{\{)*)\{\{(?:[^{}]|\{(?!\{)|\}(?!\}))*+\}\}"
-
-    # each round takes the innermost templates, until one changes nothing
-    def round(state: Column, _: Column) -> Column:
-        left = F.when(state["more"], F.regexp_replace(state["text"], innermost, "$1")).otherwise(state["text"])
-        return F.struct(left.alias("text"), (F.char_length(left) < F.char_length(state["text"])).alias("more"))
-
-    rounds = F.sequence(F.lit(1), F.size(F.split(wikitext, r"\{\{")))
-    out = F.aggregate(rounds, F.struct(wikitext.alias("text"), F.lit(True).alias("more")), round, lambda s: s["text"])
-    return F.when(out.contains("{{") | out.contains("}}"), F.raise_error(F.lit("unbalanced template in wikitext"))).otherwise(out)
+    """Text without {{...}}; raises where braces don't match. Null stays null."""
+
+    @F.pandas_udf("string")
+    def trimmed(texts):
+        return texts.map(without_templates, na_action="ignore")
+
+    return F.when(wikitext.contains("{{") | wikitext.contains("}}"), trimmed(wikitext)).otherwise(wikitext)
 
 
 def bolds(line: Column) -> Column:
