@@ -17,7 +17,8 @@ third of all pages costs a row per distinct token and task.
    the template themselves: what stands on page after page in an article's box is
    no page's own.
 
-Tags and names that mark menus, forms, adverts and comments are never part of a slot.
+Titles of sections that many articles share (h1 to h6, th, dt and the like) stay where
+text of the page's own follows them. Tags and names that mark menus, forms, adverts and comments are never part of a slot.
 
 Defined results: null and empty html give an empty text; a page without an article
 slot gives its blocks outside marked parts; a null or unparsable url is a host of
@@ -52,8 +53,14 @@ BROADCAST_BYTES = 64 << 20
 
 # Names of HTML elements.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-RAW = set("script style noscript template svg iframe textarea select option button title math canvas object video audio".split())
-INLINE = set("a abbr b bdi bdo big cite code data del dfn em font i ins kbd mark q s samp small span strike strong sub sup time tt u var".split())
+RAW = set("script style template svg iframe textarea select option button title canvas video audio".split())
+INLINE = set("a abbr b bdi bdo big cite code data del dfn em font i ins kbd label mark math noscript object q rb rp rt rtc ruby s samp small span strike strong sub sup time tt u var".split())
+#: What starts a block of its own. All other elements, unknown ones too, are parts of a line.
+BLOCK = set(
+    "address article aside blockquote body caption center colgroup dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup html legend li listing main menu nav ol optgroup p plaintext pre search section summary table tbody td tfoot th thead tr ul xmp".split()
+)
+#: Elements whose text says what the next block is about.
+TITLES = set("h1 h2 h3 h4 h5 h6 th dt summary caption legend".split())
 TEXTUAL = set("p h1 h2 h3 h4 h5 h6 li dt dd blockquote pre td th figcaption caption summary".split())
 ASIDE = set("nav header footer aside form head dialog menu".split())
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
@@ -73,12 +80,12 @@ _attribute = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s
 
 
 class Block:
-    """A text block: its aside mark, the hash of its path and text, and the watched elements it lies in."""
+    """A text block: its aside mark, the hash of its path and text, the watched elements it lies in, and the name of its own."""
 
-    __slots__ = ("aside", "inside", "path", "place", "text")
+    __slots__ = ("aside", "inside", "name", "path", "place", "text")
 
-    def __init__(self, text, aside, path, inside, place):
-        self.text, self.aside, self.path, self.inside, self.place = text, aside, path, inside, place
+    def __init__(self, text, aside, path, inside, place, name):
+        self.text, self.aside, self.path, self.inside, self.place, self.name = text, aside, path, inside, place, name
 
 
 def _marks(names: str, inside: bool) -> list[str]:
@@ -141,7 +148,7 @@ def parse(page: str | None, watch=frozenset()) -> tuple[list[Block], list[tuple[
         text = " ".join("".join(held).split())
         held.clear()
         if text:
-            blocks.append(Block(text, False, stack[-1].path if stack else 0, stack[-1].watched if stack else (), place))
+            blocks.append(Block(text, False, stack[-1].path if stack else 0, stack[-1].watched if stack else (), place, stack[-1].name if stack else ""))
             place += 1
             name_of_block.append((asides > 0, named))
 
@@ -194,6 +201,8 @@ def parse(page: str | None, watch=frozenset()) -> tuple[list[Block], list[tuple[
             if name == "hr":
                 flush()
             continue
+        if name not in BLOCK and not (m[3] and _marks(" ".join(x or y or z for _, x, y, z in _attribute.findall(m[3])).lower(), heads > 0)):
+            continue
         flush()
         if name in TEXTUAL or name in ("div", "ul", "ol", "table", "section", "article"):
             shut = CLOSES.get(name, set()) | {"p"}
@@ -454,8 +463,12 @@ def extract(page: str | None, slot: int | None, texts: bytes = b"") -> str:
     free = [b for b in blocks if not b.aside]
     own = [b for b in free if slot in b.inside] if slot else free
     if common:
-        own = [b for b in own or free if _hash(b.text, b.path & 0xFFFFFFFFFFFFFFFF) not in common]
-        return "\n".join(b.text for b in own)
+        own, kept = own or free, []
+        for b in reversed(own):
+            # a title that many pages share belongs to the text of the page's own that follows it
+            stays = _hash(b.text, b.path & 0xFFFFFFFFFFFFFFFF) not in common or (b.name in TITLES and bool(kept) and kept[-1] is not None)
+            kept.append(b.text if stays else None)
+        return "\n".join(t for t in reversed(kept) if t is not None)
     return "\n".join(b.text for b in own or free)
 
 

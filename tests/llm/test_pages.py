@@ -89,3 +89,21 @@ def test_long_and_deep_pages(page):
     assert tracemalloc.get_traced_memory()[1] < 100e6
     tracemalloc.stop()
     assert blocks or page.startswith("<a ")
+
+
+def test_headings_that_articles_share_stay(spark):
+    """Twelve pages of a host, each with its own text under the same headings; those over nothing of the page's own go."""
+    word = lambda k, n: " ".join(f"w{k}x{i}" for i in range(n))
+    rows, wanted = [], {}
+    for k in range(12):
+        article = f"<h1>Title {k}</h1><h2>Introduction</h2><p>{word(k, 40)}</p><h2>Data</h2><h3>Table</h3><table><tr><th>Name</th></tr><tr><td>{word(k + 50, 9)}</td></tr></table><h2>Conclusion</h2><p>{word(k + 100, 30)}</p><h2>More to read</h2><p>The same on every page.</p>"
+        rows.append((k, f"http://one.example/{k}", f"<html><body><div class='menu'><a>Home</a></div><article>{article}</article><div class='footer'>All rights</div></body></html>"))
+        wanted[k] = "\n".join([f"Title {k}", "Introduction", word(k, 40), "Data", "Table", "Name", word(k + 50, 9), "Conclusion", word(k + 100, 30)])
+    got = htmltext.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert {r.page_id: r.text for r in got} == wanted
+
+
+def test_only_blocks_break_lines():
+    page = "<article><p>a <ruby>b<rt>c</rt></ruby> <label>d</label> <my-term>e</my-term><x-y z='1'>f</x-y> <math><mi>g</mi></math> <object>h</object> <noscript>i</noscript></p><app-box class='advert'><p>gone</p></app-box><center>j</center><p>k</article>"
+    blocks, _ = htmltext.parse(page)
+    assert [b.text for b in blocks if not b.aside] == ["a bc d ef g h i", "j", "k"]
