@@ -46,6 +46,8 @@ COLUMN_BLOCK = 8
 SIZE = 2.6
 BLOCK_ROWS = 16_384
 QUERY_ROWS = 4_096
+#: Distances or estimates held at a time where vectors are compared with lists: 8 MB of each kind.
+CELLS = 1 << 20
 #: Candidates and queries in one step of a task, and the share of pairs under which they are computed one by one.
 CHUNK_ROWS, QUERY_CHUNK, SPARSE = 2_048, 256, 0.05
 SEED = 7
@@ -62,12 +64,17 @@ def fit_centroids(sample: np.ndarray, lists: int, rounds: int = 12) -> np.ndarra
     """k-means on the sample; an empty list takes over the farthest vector."""
     rng = np.random.default_rng(SEED)
     centers = sample[rng.choice(len(sample), lists, replace=False)].copy()
+    step = max(1, CELLS // lists)
     for _ in range(rounds):
-        distance = (centers**2).sum(1)[None, :] - 2 * sample @ centers.T
-        near = distance.argmin(1)
-        for k in range(lists):
-            own = sample[near == k]
-            centers[k] = own.mean(0) if len(own) else sample[int((distance.min(1) + (sample**2).sum(1)).argmax())]
+        near, apart = np.zeros(len(sample), np.int64), np.zeros(len(sample))
+        for a in range(0, len(sample), step):
+            distance = (centers**2).sum(1)[None, :] - 2 * sample[a : a + step] @ centers.T
+            near[a : a + step], apart[a : a + step] = distance.argmin(1), distance.min(1)
+        order = np.argsort(near, kind="stable")
+        held, first = np.unique(near[order], return_index=True)
+        # the farthest vector, for lists without any
+        centers = np.repeat(sample[int((apart + (sample**2).sum(1)).argmax())][None], lists, axis=0)
+        centers[held] = np.add.reduceat(sample[order], first, axis=0) / np.diff(np.append(first, len(sample)))[:, None]
     return centers
 
 
@@ -147,10 +154,10 @@ def _choose(model, top, first, missed):
 
     def run(batches):
         moments = model.value
-        for batch in batches:
+        lists = len(np.asarray(moments[0]))
+        step = max(1, CELLS // lists)
+        for batch in (whole.slice(a, step) for whole in batches for a in range(0, len(whole), step)):
             vecs = batch.column(1)
-            if not len(vecs):
-                continue
             queries = np.asarray(vecs.flatten()).reshape(len(vecs), -1)
             bound = np.asarray(batch.column(2)).astype(float)
             # the first lists are those of no bound, so the second pass can tell them

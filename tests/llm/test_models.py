@@ -370,3 +370,18 @@ def test_language_stage_drops_only_what_is_no_language(spark):
     extra = spark.createDataFrame([(9001, "12345 --- 777", "en", "s", 13), (9002, None, None, "s", 0), (9003, "Oui.", "fr", "s", 4)], docs.schema)
     kept = {r.doc_id for r in corpus_pipeline.language_id(spark, docs.unionByName(extra), brute.SF).collect()}
     assert 9003 in kept and not kept & {9001, 9002} and len(kept) == docs.count() + 1
+
+
+def test_lists_are_fitted_piece_by_piece(monkeypatch):
+    """Distances come in pieces of bounded size; the lists don't depend on it, and none is lost to repeated vectors."""
+    rng = np.random.default_rng(3)
+    sample = np.concatenate([rng.normal(size=(900, 8)), np.repeat(rng.normal(size=(1, 8)), 300, axis=0)])
+    whole = ann.fit_centroids(sample, 40)
+    monkeypatch.setattr(ann, "CELLS", 70)
+    assert np.allclose(ann.fit_centroids(sample, 40), whole) and whole.shape == (40, 8) and np.isfinite(whole).all()
+    centers = ann.fit_centroids(sample, 40, rounds=1)
+    rng = np.random.default_rng(ann.SEED)
+    start = sample[rng.choice(len(sample), 40, replace=False)]
+    near = ((sample[:, None] - start[None]) ** 2).sum(2).argmin(1)
+    for k in np.unique(near):
+        assert np.allclose(centers[k], sample[near == k].mean(0))
