@@ -88,7 +88,8 @@ def _assign(model):
 
     def run(batches):
         centers = model.value
-        for batch in batches:
+        step = max(1, CELLS // len(centers))
+        for batch in (whole.slice(a, step) for whole in batches for a in range(0, max(1, len(whole)), step)):
             vecs = batch.column(1)
             matrix = np.asarray(vecs.flatten()).reshape(len(vecs), -1) if len(vecs) else np.zeros((0, centers.shape[1]))
             gap = (centers**2).sum(1)[None, :] - 2 * matrix @ centers.T
