@@ -51,6 +51,7 @@ def parser() -> argparse.ArgumentParser:
     sub.add_argument("--vocabulary", type=int, default=VOCABULARY)
     sub.add_argument("--sub-iterations", type=int, default=SUB_ITERATIONS)
     sub.add_argument("--min-count", type=int, default=LEAST)
+    sub.add_argument("--journal", help="a folder that keeps every table of the run; a run that was ended goes on there")
     sub = mode("build", "articles", "words", "folder", "output", lexicon="")
     sub.add_argument("--vocabulary", type=int, default=VOCABULARY)
     sub.add_argument("--sub-iterations", type=int, default=SUB_ITERATIONS)
@@ -115,9 +116,12 @@ def run(spark: SparkSession, argv: list[str]) -> None:
     elif a.mode == "count":
         files.write_counts(S.recount(corpus, files.read_words(spark, a.dict) if a.dict else None, "text"), a.output)
     elif a.mode == "prune":
-        files.write_losses(S.word_loss(S.chunk_counts(corpus), files.read_lexicon(spark, a.dict)), a.output)
+        losses, seen = files.counted(S.word_loss(S.chunk_counts(corpus), files.read_lexicon(spark, a.dict)), "losses", F.sum("cnt").alias("tokens"), F.sum("loss").alias("loss"))
+        files.write_losses(losses, a.output)
+        print(", ".join(f"{v} {k}" for k, v in seen.get.items()), file=sys.stderr)
     elif a.mode == "train":
-        files.write_counts(train(corpus, files.read_words(spark, a.dict), a.vocabulary, a.sub_iterations, a.min_count), a.output)
+        told = lambda number, counts: print(f"round {number}: " + ", ".join(f"{k} {v}" for k, v in counts.items()), file=sys.stderr, flush=True)
+        files.write_counts(train(corpus, files.read_words(spark, a.dict), a.vocabulary, a.sub_iterations, a.min_count, journal=a.journal, on_counts=told), a.output)
     else:
         rows = corpus.withColumn("doc_id", F.monotonically_increasing_id())
         # both keep the order of the lines where the lexicon is broadcast

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -49,10 +49,10 @@ def concat_corpora(*corpora: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, numbered)
 
 
-def counted(rows: DataFrame, name: str) -> tuple[DataFrame, Observation]:
-    """rows, and an observation whose get["rows"] tells how many passed once an action has run."""
+def counted(rows: DataFrame, name: str, *more: Column) -> tuple[DataFrame, Observation]:
+    """rows, and an observation whose get["rows"] tells how many passed once an action has run; more: other aggregates to tell."""
     seen = Observation(name)
-    return rows.observe(seen, F.count(F.lit(1)).alias("rows")), seen
+    return rows.observe(seen, F.count(F.lit(1)).alias("rows"), *more), seen
 
 
 def article_rows(lines: DataFrame, line_col: str = "value") -> DataFrame:

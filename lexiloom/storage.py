@@ -26,3 +26,9 @@ def materialise(df: DataFrame) -> DataFrame:
     """Write df to the checkpoint folder and cut its lineage."""
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def is_there(spark: SparkSession, path: str) -> bool:
+    """Whether a table has been written to path, in whatever store Spark reads."""
+    done = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    return done.getFileSystem(spark._jsc.hadoopConfiguration()).exists(done)
