@@ -16,6 +16,7 @@ from .plans.build import build_lexicon
 from .plans.train import LEAST, SUB_ITERATIONS, VOCABULARY, train
 from .sources import dumps, files
 from .sources.splits import PIECE
+from .streaming.lexicons import cut_batches, publish
 from .streaming.pipe import cut_to_lines
 
 
@@ -56,8 +57,12 @@ def parser() -> argparse.ArgumentParser:
     sub.add_argument("--vocabulary", type=int, default=VOCABULARY)
     sub.add_argument("--sub-iterations", type=int, default=SUB_ITERATIONS)
     sub.add_argument("--min-count", type=int, default=LEAST)
-    sub = mode("stream", "input", "output", lexicon="required")
+    sub = mode("stream", "input", "output", lexicon="")
+    given = sub.add_mutually_exclusive_group(required=True)
+    given.add_argument("--dict")
+    given.add_argument("--versions", help="a folder of published lexicons; each batch takes the newest one")
     sub.add_argument("--checkpoint", required=True)
+    mode("publish", "versions")
     mode("repl")
     return main
 
@@ -75,7 +80,15 @@ def run(spark: SparkSession, argv: list[str]) -> None:
         return
     if a.mode == "stream":
         lines = spark.readStream.text(a.input)
-        cut_to_lines(lines, files.read_lexicon(spark, a.dict)).writeStream.option("checkpointLocation", a.checkpoint).trigger(availableNow=True).start(a.output, format="text").awaitTermination()
+        lexicon = a.versions or files.read_lexicon(spark, a.dict)
+        if a.versions or lexicon.limit(S.BROADCAST_WORDS + 1).count() > S.BROADCAST_WORDS:
+            stream = cut_batches(lines, lexicon, a.output, a.checkpoint, form="text").trigger(availableNow=True).start()
+        else:
+            stream = cut_to_lines(lines, lexicon).writeStream.option("checkpointLocation", a.checkpoint).trigger(availableNow=True).start(a.output, format="text")
+        stream.awaitTermination()
+        return
+    if a.mode == "publish":
+        print(f"version {publish(files.read_lexicon(spark, a.dict), a.versions)}", file=sys.stderr)
         return
     if a.mode == "build":
         files.write_counts(build_lexicon(spark, files.read_articles(spark, a.articles), files.read_words(spark, a.words), a.folder, a.vocabulary, a.sub_iterations, a.min_count), a.output)

@@ -15,6 +15,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 from ..functions import charclass
 from ..functions import text as T
@@ -49,9 +50,17 @@ class Model:
         self.scores = {r["word"]: r["lp"] for r in rows} if self.small else {}
         self.unknown = rows[0]["unknown"] if rows else 0.0
         self.longest = max(map(len, self.scores), default=1) if self.small else int(self.frame.agg(F.max(F.char_length("word"))).first()[0])
+        self._shared = None
 
     def broadcast(self, spark: SparkSession):
-        return spark.sparkContext.broadcast((self.scores, self.unknown, self.longest))
+        if self._shared is None:
+            self._shared = spark.sparkContext.broadcast((self.scores, self.unknown, self.longest))
+        return self._shared
+
+    def release(self) -> None:
+        """Take the broadcast off the executors; a later use sends it again."""
+        if self._shared is not None:
+            self._shared.unpersist()
 
 
 def _mapped(model, function, kind: pa.DataType):
@@ -194,7 +203,7 @@ def _rows_mapped(rows: DataFrame, model, function, whole: str) -> DataFrame:
                 out.append(tokens)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.string()))], names=[batch.schema.names[0], "tokens"])
 
-    return rows.mapInArrow(run, f"`{rows.columns[0]}` {rows.schema[0].dataType.simpleString()}, tokens array<string>")
+    return rows.mapInArrow(run, StructType([rows.schema[0], StructField("tokens", ArrayType(StringType()))]))
 
 
 def _rows_joined(rows: DataFrame, whole: Column, cut_chunks) -> DataFrame:
@@ -209,10 +218,10 @@ def _rows_joined(rows: DataFrame, whole: Column, cut_chunks) -> DataFrame:
     return tokens.groupBy("_row").agg(F.first(id_col).alias(id_col), gathered.alias("tokens")).drop("_row")
 
 
-def cut(corpus: DataFrame, lexicon: DataFrame, id_col: str = "doc_id", text_col: str = "text", engine: str = "auto") -> DataFrame:
+def cut(corpus: DataFrame, lexicon: DataFrame | Model, id_col: str = "doc_id", text_col: str = "text", engine: str = "auto") -> DataFrame:
     """(id, tokens): every text cut into words, one row for each row of corpus, whatever its id. Texts without tokens have an empty array."""
     rows = corpus.select(F.col(id_col), T.pretokenize(T.normalize_spaces(F.col(text_col))).alias("chunks"))
-    model = Model(lexicon)
+    model = lexicon if isinstance(lexicon, Model) else Model(lexicon)
     if engine == "native" or not model.small:
         return _rows_joined(rows, ~T.is_han_run(F.col("chunk")), lambda runs: cut_native(runs, model.frame, model.longest))
     return _rows_mapped(rows, model.broadcast(corpus.sparkSession), kernels.best_path, charclass.python_class(charclass.HAN, inside=False))

@@ -20,7 +20,7 @@ from ..operators.ordered import suppress_in_order
 from ..operators.select import best_k
 from ..sources import dumps
 from ..storage import materialise
-from ..streaming import pipe
+from ..streaming import lexicons, pipe
 from . import train as training
 
 #: Least count of a seed word, and of an eligible word when pruning.
@@ -264,11 +264,25 @@ def stream_cut(spark, sf_dir):
     return spark.read.schema("item_id bigint, tokens string").parquet(f"{folder}/out")
 
 
+def stream_cut_joined(spark, sf_dir):
+    """The same stream cut batch by batch with the published version of the lexicon, which is joined as one over the limit is."""
+    import uuid
+
+    from ..storage import shared_folder
+
+    folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    lexicons.publish(_model(spark, sf_dir)[1], f"{folder}/lexicon")
+    source = spark.readStream.schema("item_id bigint, text string").parquet(f"{sf_dir}/benchmark*.parquet")
+    lines = source.select("item_id", T.hanify(F.col("text")).alias("value"))
+    lexicons.cut_batches(lines, f"{folder}/lexicon", f"{folder}/out", f"{folder}/log", engine="native").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema("item_id bigint, tokens array<string>").parquet(f"{folder}/out/batch=*").select("item_id", F.array_join("tokens", " ").alias("tokens"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     every = (
         normalize_spaces, pretokenize_counts, token_kind_counts, split_punct, split_han_runs, valid_word_count, clean_text, sentence_split, char_count, seed_lexicon,
         lexicon_char_filter, lexicon_add_singles, lexicon_union_filter, constituent_chars, title_prefix_suppress, titles_in_order, lattice_edges, viterbi_cut, viterbi_cut_native, cut_token_counts,
-        cut_documents, longest_match_cut, segment_documents, cold_start_counts, word_loss, prune_keep, best_tokens, convert_documents, convert_documents_joined, cut_long_runs, em_one_iteration, em_train, mysql_tuple_parse, mysql_tuple_split, redirect_join, wikitext_words, stream_cut,
+        cut_documents, longest_match_cut, segment_documents, cold_start_counts, word_loss, prune_keep, best_tokens, convert_documents, convert_documents_joined, cut_long_runs, em_one_iteration, em_train, mysql_tuple_parse, mysql_tuple_split, redirect_join, wikitext_words, stream_cut, stream_cut_joined,
     )
     return {f.__name__: f for f in every}
 
@@ -413,6 +427,7 @@ def oracle_sql() -> dict[str, str]:
         "cut_token_counts": f"WITH RECURSIVE {COUNTED} SELECT word, freq FROM counted",
         "cut_documents": _cut_rows("documents", "doc_id"),
         "stream_cut": _cut_rows("benchmark", "item_id"),
+        "stream_cut_joined": _cut_rows("benchmark", "item_id"),
         "segment_documents": f"{segmented} SELECT doc_id, string_agg(coalesce(array_to_string(tokens, ' '), chunk), ' ' ORDER BY i) AS tokens FROM d LEFT JOIN matches USING (chunk) GROUP BY doc_id",
         "longest_match_cut": f"WITH RECURSIVE {MATCHED} SELECT chunk, array_to_string(tokens, ' ') AS tokens FROM matches",
         "cold_start_counts": f"WITH RECURSIVE {MATCHED} SELECT word, sum(n)::BIGINT AS freq FROM (SELECT unnest(tokens) AS word, n FROM matches JOIN segs USING (chunk) UNION ALL SELECT chunk, n FROM segs WHERE delimiter) WHERE word IN (SELECT word FROM lex) GROUP BY word",

@@ -32,3 +32,11 @@ def is_there(spark: SparkSession, path: str) -> bool:
     """Whether a table has been written to path, in whatever store Spark reads."""
     done = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
     return done.getFileSystem(spark._jsc.hadoopConfiguration()).exists(done)
+
+
+def whole_versions(spark: SparkSession, folder: str) -> list[int]:
+    """The numbers n of the tables folder/version=n that are written as a whole."""
+    pattern = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/version=*/_SUCCESS")
+    found = pattern.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(pattern) or []
+    names = (status.getPath().getParent().getName().removeprefix("version=") for status in found)
+    return sorted(int(name) for name in names if name.isdigit())
