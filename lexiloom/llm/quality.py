@@ -9,7 +9,8 @@ product per text.
 
 Defined results: null and empty texts are scored with the bias alone; without any
 labelled row every score is 0.5; rows with a null label or doc_id aren't learned
-from; repeated labels of a document count once, as their maximum.
+from; repeated labels of a document count once, as their maximum; of several texts of
+one doc_id the one with the greatest list of (feature, value) is learned from.
 """
 
 from __future__ import annotations
@@ -98,7 +99,8 @@ def fit(documents: DataFrame, labels: DataFrame, label_col: str = "quality", row
     texts = documents.select(F.col("doc_id").alias("_id"), F.col("text").cast("string").alias("_text"))
     # one row per chosen document, however often its doc_id occurs
     given = texts.join(chosen, "_id").select(F.xxhash64(F.col("_id").cast("bigint")).alias("order"), "_text", F.col("_label").cast("double").alias("label"))
-    sparse = given.mapInArrow(_feature_batches, "order bigint, label double, at array<int>, value array<float>").dropDuplicates(["order"])
+    sparse = given.mapInArrow(_feature_batches, "order bigint, label double, at array<int>, value array<float>")
+    sparse = sparse.groupBy("order", "label").agg(F.max(F.struct("at", "value")).alias("one")).select("order", "label", "one.*")
     fitted = sparse.groupBy(F.lit(0).alias("one")).applyInArrow(_fit, "weights binary").collect()  # at most one row
     return np.frombuffer(fitted[0]["weights"], np.float32) if fitted else np.zeros((1 << BITS) + 1, np.float32)
 
