@@ -6,6 +6,7 @@ ASCII letters turned into ideographs, in both engines alike.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -356,6 +357,10 @@ alt AS (SELECT q.chunk, q.place, q.len, max(f[e.pos] + e.lp + s[e.pos + e.len])
 lost AS (SELECT substr(q.chunk, q.place, q.len) AS word, CASE WHEN q.len = 1 THEN e.lp - ln(1 / total) ELSE best.s[1] - alt.other END AS loss, n
          FROM path q JOIN runs ON runs.chunk = q.chunk JOIN best ON best.chunk = q.chunk JOIN tot ON true JOIN edges e ON e.chunk = q.chunk AND e.pos = q.place AND e.len = q.len LEFT JOIN alt ON alt.chunk = q.chunk AND alt.place = q.place),
 losses AS (SELECT word, coalesce(sum(n * loss), 0) AS loss, coalesce(sum(n), 0)::BIGINT AS cnt FROM lex LEFT JOIN lost USING (word) GROUP BY word)"""
+#: The tables of one step of training, and those of them that are read more than once.
+STEP, STEP_KEPT = "lex|runs|tot|scored|edges|bw|best|path|counted|fw|ends|alt|lost|losses", "tot|edges|best|ends|alt"
+#: Rounds of training in the SQL; rounds behind the one that reaches TARGET change nothing.
+ROUNDS = 10
 SEGMENTS = f"segs AS (SELECT chunk, count(*) AS n, regexp_matches(chunk, '^{C.one(C.PUNCT)}') AS delimiter FROM (SELECT unnest(regexp_extract_all({HAN_SQL}, {_quoted(C.PUNCT_SPLIT)}, 1)) AS chunk FROM documents) GROUP BY chunk)"
 MATCHED = f"""{LEXICON}, {SEGMENTS},
 longest AS (SELECT chunk, i, max(CASE WHEN word IS NULL THEN 1 ELSE k END) AS len
@@ -393,6 +398,24 @@ def _long_runs_sql() -> str:
     return BACK.replace("runs AS (SELECT chunk, n FROM chunks WHERE han)", f"all_runs AS (SELECT chunk, n FROM chunks WHERE han), runs AS (SELECT * FROM ({runs}) WHERE chunk <> '')").replace("AS freq FROM runs, unnest", "AS freq FROM all_runs, unnest")
 
 
+def _train_sql(rounds: int = ROUNDS) -> str:
+    """Rounds of training one behind the other: the tables of step n have n in their names, and lex_n is the lexicon it starts from."""
+    start = "SELECT word, sum(n)::BIGINT AS freq FROM (SELECT unnest(tokens) AS word, n FROM matches JOIN segs USING (chunk) UNION ALL SELECT chunk, n FROM segs WHERE delimiter) WHERE word IN (SELECT word FROM lex) GROUP BY word"
+    estimate = (COUNTED, "SELECT word, freq FROM counted WHERE word IN (SELECT word FROM lex)")
+    prune = (LOSS, f"""SELECT lex.* FROM lex WHERE length(word) = 1 OR word IN (
+        SELECT word FROM (SELECT word, row_number() OVER (ORDER BY loss / sqrt(cnt) / length(word) DESC, word DESC) AS r, count(*) OVER () AS size FROM losses WHERE length(word) > 1 AND cnt >= {LEAST})
+        WHERE r <= greatest({TARGET} - (SELECT count(*) FROM lex WHERE length(word) = 1), size * 75 // 100))""")
+    steps = [(step, 3 * k) for k in range(rounds) for step in (estimate, estimate, prune)] + [(estimate, None)] * 2
+    tables = [f"lex_0 AS MATERIALIZED ({start})"]
+    for n, ((own, result), first) in enumerate(steps):
+        goes_on = "true" if first is None else f"(SELECT count(*) FROM lex_{first}) > {TARGET}"
+        numbered = lambda sql, n=n: re.sub(rf"(?<![\w.'])({STEP})\b", rf"\1_{n}", sql)
+        own = re.sub(rf"\b((?:{STEP_KEPT})_{n}) AS \(", r"\1 AS MATERIALIZED (", numbered(own.removeprefix(LEXICON)))
+        tables.append(f"go_{n} AS MATERIALIZED (SELECT {goes_on} AS go), runs_{n} AS MATERIALIZED (SELECT runs.* FROM runs, go_{n} WHERE go){own}")
+        tables.append(f"lex_{n + 1} AS MATERIALIZED (SELECT word, freq FROM ({numbered(result)}), go_{n} WHERE go UNION ALL SELECT word, freq FROM lex_{n}, go_{n} WHERE NOT go)")
+    return f"WITH RECURSIVE {MATCHED}, {', '.join(tables)} SELECT word, freq FROM lex_{len(steps)}"
+
+
 def oracle_sql() -> dict[str, str]:
     segmented = f"WITH RECURSIVE {MATCHED}, d AS (SELECT doc_id, i, l[i] AS chunk FROM (SELECT doc_id, regexp_extract_all({HAN_SQL}, {_quoted(C.PUNCT_SPLIT)}, 1) AS l FROM documents), unnest(range(1, len(l) + 1)) AS u(i))"
     turned = f"{segmented}, t AS (SELECT doc_id, string_agg(coalesce(array_to_string(list_transform(tokens, lambda w: reverse(w)), ''), chunk), '' ORDER BY i) AS text FROM d LEFT JOIN matches USING (chunk) GROUP BY doc_id) SELECT doc_id, coalesce(t.text, documents.text) AS text FROM documents LEFT JOIN t USING (doc_id)"
@@ -438,6 +461,7 @@ def oracle_sql() -> dict[str, str]:
         "convert_documents_joined": turned,
         "cut_long_runs": f"WITH RECURSIVE {_long_runs_sql()} SELECT chunk, array_to_string(tokens, ' ') AS tokens FROM cuts",
         "em_one_iteration": f"WITH RECURSIVE {COUNTED} SELECT word, freq FROM counted WHERE word IN (SELECT word FROM lex)",
+        "em_train": _train_sql(),
         "mysql_tuple_parse": MYSQL_PAGES,
         "mysql_tuple_split": MYSQL_PAGES,
         "redirect_join": f"SELECT {PAGE_NAME} AS source, target FROM customer JOIN (SELECT o_custkey, max(o_orderpriority) AS target FROM orders WHERE o_orderkey % 2 = 0 GROUP BY 1) ON o_custkey = c_custkey WHERE c_custkey % 3 = 0",

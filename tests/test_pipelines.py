@@ -2,7 +2,6 @@
 
 import duckdb
 import pytest
-from pyspark.sql import functions as F
 
 from lexiloom import cli
 from lexiloom.operators import lexicon as L
@@ -140,10 +139,12 @@ def test_queries_against_sql(spark, duck, name):
     assert rows == sorted(repr(r) for r in duck.sql(f"SELECT {', '.join(columns)} FROM ({sql})").fetchall())
 
 
-def test_training_ends_at_the_target(spark):
-    got = catalog.em_train(spark, SF)
-    assert 0 < got.count() <= catalog.TARGET
-    assert got.where(F.col("freq") <= 0).count() == 0
+@pytest.mark.parametrize("target", [catalog.TARGET, 90])
+def test_training_against_sql(spark, duck, monkeypatch, target):
+    monkeypatch.setattr(catalog, "TARGET", target)  # of the smaller one several rounds are needed
+    got = sorted(tuple(r) for r in catalog.em_train(spark, SF).select("word", "freq").collect())
+    assert got == sorted(duck.sql(catalog.oracle_sql()["em_train"]).select("word, freq").fetchall())
+    assert 0 < len(got) <= target and min(n for _, n in got) > 0
 
 
 def test_command_line_for_lexicon_sources(spark, tmp_path):
