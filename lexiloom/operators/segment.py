@@ -28,6 +28,8 @@ from .occurring import free_pieces, longest_of, occurring
 BROADCAST_WORDS = 1_000_000
 #: Runs of over so many characters come in pieces where the lexicon is joined.
 LONG_RUN = 256
+#: Rows whose chunks and tokens a worker holds as Python strings at once.
+ROWS_AT_ONCE = 256
 
 
 def chunk_counts(corpus: DataFrame, text_col: str = "text") -> DataFrame:
@@ -192,16 +194,18 @@ def _rows_mapped(rows: DataFrame, model, function, whole: str) -> DataFrame:
         stays = re.compile(whole)
         for batch in batches:
             known: dict[str, list[str]] = {}
-            out = []
-            for chunks in batch.column(1).to_pylist():
-                tokens: list[str] = []
-                for c in chunks or ():
-                    own = known.get(c)
-                    if own is None:
-                        own = known[c] = [c] if stays.match(c) else function(c, *model.value)
-                    tokens += own
-                out.append(tokens)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.string()))], names=[batch.schema.names[0], "tokens"])
+            for start in range(0, batch.num_rows, ROWS_AT_ONCE):
+                part = batch.slice(start, ROWS_AT_ONCE)
+                out = []
+                for chunks in part.column(1).to_pylist():
+                    tokens: list[str] = []
+                    for c in chunks or ():
+                        own = known.get(c)
+                        if own is None:
+                            own = known[c] = [c] if stays.match(c) else function(c, *model.value)
+                        tokens += own
+                    out.append(tokens)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(out, pa.list_(pa.string()))], names=[batch.schema.names[0], "tokens"])
 
     return rows.mapInArrow(run, StructType([rows.schema[0], StructField("tokens", ArrayType(StringType()))]))
 
