@@ -9,7 +9,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import charclass
-from .operators import kernels
 from .operators import segment as S
 from .sources.files import read_lexicon
 
@@ -20,13 +19,15 @@ def _patterns() -> tuple[re.Pattern, re.Pattern]:
     return re.compile(token, re.S), re.compile(charclass.python_class(charclass.HAN))
 
 
-def cut_text(text: str | None, scores: dict[str, float], unknown: float, longest: int) -> list[str] | None:
-    """The words of one text, without Spark."""
+def cut_text(text: str | None, paths: S.Paths) -> list[str] | None:
+    """The words of one text, where paths cuts runs; without Spark."""
     if text is None:
         return None
     token, han = _patterns()
     text = re.sub(" +", charclass.SPACE_MARK, text.lstrip(" ")).removesuffix(charclass.SPACE_MARK)
-    return [w for m in token.finditer(text) for w in (kernels.best_path(m[0], scores, unknown, longest) if han.match(m[0]) else [m[0]])]
+    tokens = [m[0] for m in token.finditer(text)]
+    cuts = iter(paths([t for t in tokens if han.match(t)]))
+    return [w for t in tokens for w in (next(cuts) if han.match(t) else [t])]
 
 
 class Cutter:
@@ -38,27 +39,25 @@ class Cutter:
     def __init__(self, spark: SparkSession, lexicon: str | DataFrame):
         self.spark = spark
         self.lexicon = read_lexicon(spark, lexicon) if isinstance(lexicon, str) else lexicon
-        self._model = S.Model(self.lexicon)
-        if not self._model.small:
-            raise ValueError(f"a cutter takes lexicons of up to {S.BROADCAST_WORDS} words; cut() in operators.segment has no limit")
-        self._shared = self._model.broadcast(spark)
-        self._cut = S.cut_udf(spark, self.lexicon, self._shared)
+        model = S.Model(self.lexicon)
+        self._paths = S.row_paths(spark, model)
+        self._cut = S.cut_udf(spark, model)
 
     def column(self, text):
         return self._cut(text)
 
     def cut(self, sentence: str) -> list[str]:
-        return cut_text(sentence, self._model.scores, self._model.unknown, self._model.longest) or []
+        return cut_text(sentence, self._paths) or []
 
     def cut_df(self, df: DataFrame, text_col: str = "text", tokens_col: str = "tokens") -> DataFrame:
         return df.withColumn(tokens_col, self.column(F.col(text_col)))
 
     def register(self, name: str = "cut_words") -> None:
         """Make the cutter a SQL function over texts."""
-        shared = self._shared
+        paths = self._paths
 
         @F.pandas_udf("array<string>")
         def whole(texts):
-            return texts.map(lambda text: cut_text(text, *shared.value))
+            return texts.map(lambda text: cut_text(text, paths))
 
         self.spark.udf.register(name, whole)

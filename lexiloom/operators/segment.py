@@ -2,15 +2,16 @@
 
 Path search is a function of the run alone: counts and losses do it once per
 distinct run and weigh it by how often the run occurs; whole documents are cut
-where they are, without a shuffle. Two engines give the same words: "arrow" looks
-words up in a broadcast lexicon of checked size, "native" joins the lexicon and
-searches with higher-order functions.
+where they are, without a shuffle. Three engines give the same words: "arrow" looks
+words up in a broadcast lexicon of checked size, "index" in a sorted index of checked
+size that the workers of an executor share, "native" joins the lexicon and searches
+with higher-order functions.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -20,11 +21,11 @@ from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 from ..functions import charclass
 from ..functions import text as T
 from ..storage import materialise
-from . import kernels
+from . import index, kernels
 from .lexicon import word_scores
 from .occurring import free_pieces, longest_of, occurring
 
-#: Above this many words the lexicon isn't broadcast to Python; it is joined.
+#: Above this many words the lexicon isn't broadcast to Python; it is indexed or joined.
 BROADCAST_WORDS = 1_000_000
 #: Runs of over so many characters come in pieces where the lexicon is joined.
 LONG_RUN = 256
@@ -42,23 +43,43 @@ def runs_of(chunks: DataFrame) -> DataFrame:
     return chunks.where("han").select("chunk", "n")
 
 
+#: Cuts many runs.
+Paths = Callable[[list[str]], list[list[str]]]
+
+
 class Model:
     """A scored lexicon, collected for broadcast if it has at most BROADCAST_WORDS words."""
 
-    def __init__(self, lexicon: DataFrame, limit: int = BROADCAST_WORDS):
+    def __init__(self, lexicon: DataFrame, limit: int | None = None):
+        limit = BROADCAST_WORDS if limit is None else limit
         self.frame = word_scores(lexicon)
-        rows = self.frame.limit(limit + 1).collect()
-        self.small = len(rows) <= limit
-        self.scores = {r["word"]: r["lp"] for r in rows} if self.small else {}
-        self.unknown = rows[0]["unknown"] if rows else 0.0
-        self.longest = max(map(len, self.scores), default=1) if self.small else int(self.frame.agg(F.max(F.char_length("word"))).first()[0])
-        self._shared = None
+        rows = self.frame.limit(limit + 1).toArrow()
+        self.small = rows.num_rows <= limit
+        self.scores = dict(zip(rows["word"].to_pylist(), rows["lp"].to_pylist(), strict=True)) if self.small else {}
+        self.unknown = rows["unknown"][0].as_py() if rows.num_rows else 0.0
+        if self.small:
+            self.count, self.longest = len(self.scores), max(map(len, self.scores), default=1)
+        else:
+            self.count, self.longest = self.frame.agg(F.count("*"), F.max(F.char_length("word"))).first()
+        self._shared = self._files = None
 
     def broadcast(self, spark: SparkSession):
         if self._shared is None:
             self._shared = spark.sparkContext.broadcast((self.scores, self.unknown, self.longest))
         return self._shared
 
+    def paths(self, spark: SparkSession, engine: str = "auto") -> Paths | None:
+        """Cuts runs in tasks; None where the lexicon is to be joined. The index is written once a model."""
+        if engine == "native" or (self.count > index.INDEX_WORDS and not self.small):
+            return None
+        if self.small and engine != "index":
+            shared = self.broadcast(spark)
+            return lambda runs: [kernels.best_path(r, *shared.value) for r in runs]
+        if self._files is None:
+            self._files = index.write_index(self.frame, self.count)
+        files, unknown = self._files, self.unknown
+        return lambda runs: index.best_paths(runs, files.open(), unknown)
+
     def release(self) -> None:
         """Take the broadcast off the executors; a later use sends it again."""
         if self._shared is not None:
@@ -74,6 +95,15 @@ def _mapped(model, function, kind: pa.DataType):
     return run
 
 
+def _cut_column(paths: Paths):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = paths(batch.column(0).to_pylist())
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.list_(pa.string()))], names=[*batch.schema.names, "tokens"])
+
+    return run
+
+
 def lattice(runs: DataFrame, scores: DataFrame, longest: int) -> DataFrame:
     """(chunk, pos, len, lp): every lexicon word in every run, and a single character at every position."""
     places = runs.select("chunk").distinct().select("chunk", F.explode(F.sequence(F.lit(1), F.char_length("chunk"))).alias("pos"))
@@ -181,14 +211,23 @@ def match_native(segments: DataFrame, words: DataFrame) -> DataFrame:
 def cut_runs(runs: DataFrame, lexicon: DataFrame, engine: str = "auto") -> DataFrame:
     """(chunk, tokens) of distinct runs; a lexicon without words gives single characters."""
     model = Model(lexicon)
-    if engine == "native" or not model.small:
+    # training cuts with many lexicons, and the session would keep the files of each
+    paths = model.paths(runs.sparkSession, "native" if engine == "auto" and not model.small else engine)
+    if paths is None:
         return cut_native(runs, model.frame, model.longest)
-    shared = model.broadcast(runs.sparkSession)
-    return runs.select("chunk").mapInArrow(_mapped(shared, kernels.best_path, pa.list_(pa.string())), "chunk string, tokens array<string>")
+    return runs.select("chunk").mapInArrow(_cut_column(paths), "chunk string, tokens array<string>")
+
+
+def _learn(known: dict[str, list[str]], chunks: Iterable[str], paths: Paths, stays: re.Pattern) -> None:
+    """Put the words of all chunks into known, where those that match stays are one word."""
+    new = [c for c in dict.fromkeys(chunks) if c not in known]
+    known.update((c, [c]) for c in new if stays.match(c))
+    cut = [c for c in new if c not in known]
+    known.update(zip(cut, paths(cut), strict=True))
 
 
-def _rows_mapped(rows: DataFrame, model, function, whole: str) -> DataFrame:
-    """(id, tokens) of rows (id, chunks): chunks that match the pattern whole stay, the others go through function once a batch."""
+def _rows_mapped(rows: DataFrame, paths: Paths, whole: str) -> DataFrame:
+    """(id, tokens) of rows (id, chunks): chunks that match the pattern whole stay, the others go through paths once a batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         stays = re.compile(whole)
@@ -196,15 +235,9 @@ def _rows_mapped(rows: DataFrame, model, function, whole: str) -> DataFrame:
             known: dict[str, list[str]] = {}
             for start in range(0, batch.num_rows, ROWS_AT_ONCE):
                 part = batch.slice(start, ROWS_AT_ONCE)
-                out = []
-                for chunks in part.column(1).to_pylist():
-                    tokens: list[str] = []
-                    for c in chunks or ():
-                        own = known.get(c)
-                        if own is None:
-                            own = known[c] = [c] if stays.match(c) else function(c, *model.value)
-                        tokens += own
-                    out.append(tokens)
+                rows = part.column(1).to_pylist()
+                _learn(known, (c for chunks in rows for c in chunks or ()), paths, stays)
+                out = [[w for c in chunks or () for w in known[c]] for chunks in rows]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(out, pa.list_(pa.string()))], names=[batch.schema.names[0], "tokens"])
 
     return rows.mapInArrow(run, StructType([rows.schema[0], StructField("tokens", ArrayType(StringType()))]))
@@ -226,9 +259,10 @@ def cut(corpus: DataFrame, lexicon: DataFrame | Model, id_col: str = "doc_id", t
     """(id, tokens): every text cut into words, one row for each row of corpus, whatever its id. Texts without tokens have an empty array."""
     rows = corpus.select(F.col(id_col), T.pretokenize(T.normalize_spaces(F.col(text_col))).alias("chunks"))
     model = lexicon if isinstance(lexicon, Model) else Model(lexicon)
-    if engine == "native" or not model.small:
+    paths = model.paths(corpus.sparkSession, engine)
+    if paths is None:
         return _rows_joined(rows, ~T.is_han_run(F.col("chunk")), lambda runs: cut_native(runs, model.frame, model.longest))
-    return _rows_mapped(rows, model.broadcast(corpus.sparkSession), kernels.best_path, charclass.python_class(charclass.HAN, inside=False))
+    return _rows_mapped(rows, paths, charclass.python_class(charclass.HAN, inside=False))
 
 
 def token_counts(chunks: DataFrame, lexicon: DataFrame, only_lexicon: bool = False, engine: str = "auto") -> DataFrame:
@@ -259,32 +293,40 @@ def punct_segments(corpus: DataFrame, text_col: str = "text") -> DataFrame:
     return parts.groupBy("chunk").agg(F.count("*").alias("n")).withColumn("delimiter", T.is_punct(F.col("chunk")))
 
 
-def _known_words(words: DataFrame, engine: str):
-    """The broadcast words with their greatest length, or None where they are to be joined."""
-    rows = words.limit(BROADCAST_WORDS + 1).collect() if engine != "native" else ()
-    if engine == "native" or len(rows) > BROADCAST_WORDS:
+def _matches(words: DataFrame, engine: str) -> Paths | None:
+    """Cuts segments by longest match in tasks; None where the words are to be joined."""
+    if engine == "native":
         return None
-    known = {r["word"] for r in rows}
-    return words.sparkSession.sparkContext.broadcast((known, max(map(len, known), default=1)))
+    if engine != "index":
+        rows = words.limit(BROADCAST_WORDS + 1).toArrow()
+        if rows.num_rows <= BROADCAST_WORDS:
+            known = set(rows["word"].to_pylist())
+            shared = words.sparkSession.sparkContext.broadcast((known, max(map(len, known), default=1)))
+            return lambda segments: [kernels.longest_match(s, *shared.value) for s in segments]
+    count = words.count()
+    if count > index.INDEX_WORDS:
+        return None
+    files = index.write_index(words.select("word", F.lit(0.0).alias("lp")), count)
+    return lambda segments: index.longest_matches(segments, files.open())
 
 
 def match_segments(segments: DataFrame, lexicon: DataFrame, engine: str = "auto") -> DataFrame:
     """(chunk, tokens) of distinct segments by longest match."""
     words = lexicon.select("word").where("word <> ''").distinct()
-    shared = _known_words(words, engine)
-    if shared is None:
+    paths = _matches(words, engine)
+    if paths is None:
         return match_native(segments, words)
-    return segments.select("chunk").mapInArrow(_mapped(shared, kernels.longest_match, pa.list_(pa.string())), "chunk string, tokens array<string>")
+    return segments.select("chunk").mapInArrow(_cut_column(paths), "chunk string, tokens array<string>")
 
 
 def segment_longest_match(corpus: DataFrame, lexicon: DataFrame, id_col: str = "doc_id", text_col: str = "text", engine: str = "auto") -> DataFrame:
     """(id, tokens) by longest match between delimiters, one row for each row of corpus; blanks aren't normalised."""
     rows = corpus.select(F.col(id_col), T.split_punct(F.col(text_col)).alias("chunks"))
     words = lexicon.select("word").where("word <> ''").distinct()
-    shared = _known_words(words, engine)
-    if shared is None:
+    paths = _matches(words, engine)
+    if paths is None:
         return _rows_joined(rows, T.is_punct(F.col("chunk")), lambda segments: match_native(segments, words))
-    return _rows_mapped(rows, shared, kernels.longest_match, charclass.python_class(charclass.PUNCT))
+    return _rows_mapped(rows, paths, charclass.python_class(charclass.PUNCT))
 
 
 def match_counts(corpus: DataFrame, lexicon: DataFrame, text_col: str = "text") -> DataFrame:
@@ -331,18 +373,23 @@ def word_loss(chunks: DataFrame, lexicon: DataFrame, engine: str = "auto") -> Da
     return words.join(sums, "word", "left").fillna({"loss": 0.0, "cnt": 0})
 
 
-def cut_udf(spark: SparkSession, lexicon: DataFrame, shared=None):
-    """A Column function that cuts pre-tokens: for streams and single rows. shared is a model that is broadcast already."""
-    if shared is None:
-        model = Model(lexicon)
-        if not model.small:
-            raise ValueError(f"row-wise cutting takes lexicons of up to {BROADCAST_WORDS} words")
-        shared = model.broadcast(spark)
+def cut_udf(spark: SparkSession, lexicon: DataFrame | Model):
+    """A Column function that cuts pre-tokens: for streams and single rows."""
+    paths = row_paths(spark, lexicon)
 
     @F.pandas_udf("array<string>")
     def cut_chunks(chunks):
-        scores, unknown, longest = shared.value
-        han = re.compile(charclass.python_class(charclass.HAN))
-        return chunks.map(lambda own: [w for c in own for w in (kernels.best_path(c, scores, unknown, longest) if han.match(c) else [c])] if own is not None else None)
+        stays = re.compile(charclass.python_class(charclass.HAN, inside=False))
+        known: dict[str, list[str]] = {}
+        _learn(known, (c for own in chunks if own is not None for c in own), paths, stays)
+        return chunks.map(lambda own: [w for c in own for w in known[c]] if own is not None else None)
 
     return lambda text: cut_chunks(T.pretokenize(T.normalize_spaces(text)))
+
+
+def row_paths(spark: SparkSession, lexicon: DataFrame | Model) -> Paths:
+    """Cuts runs row by row; raises where the lexicon has too many words for an index."""
+    paths = (lexicon if isinstance(lexicon, Model) else Model(lexicon)).paths(spark)
+    if paths is None:
+        raise ValueError(f"row-wise cutting takes lexicons of up to {index.INDEX_WORDS} words; cut() has no limit")
+    return paths

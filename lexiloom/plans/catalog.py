@@ -154,6 +154,16 @@ def cut_documents(spark, sf_dir):
     return S.cut(docs, _model(spark, sf_dir)[1]).select("doc_id", F.array_join("tokens", " ").alias("tokens"))
 
 
+def cut_documents_indexed(spark, sf_dir):
+    docs = _han(spark, sf_dir)
+    return S.cut(docs, _model(spark, sf_dir)[1], engine="index").select("doc_id", F.array_join("tokens", " ").alias("tokens"))
+
+
+def segment_documents_indexed(spark, sf_dir):
+    words = _model(spark, sf_dir)[1]
+    return S.segment_longest_match(_han(spark, sf_dir), words, engine="index").select("doc_id", F.array_join("tokens", " ").alias("tokens"))
+
+
 def longest_match_cut(spark, sf_dir):
     segments = materialise(S.punct_segments(_han(spark, sf_dir)).where("not delimiter"))
     return S.match_segments(segments, _model(spark, sf_dir)[1]).select("chunk", F.array_join("tokens", " ").alias("tokens"))
@@ -283,7 +293,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     every = (
         normalize_spaces, pretokenize_counts, token_kind_counts, split_punct, split_han_runs, valid_word_count, clean_text, sentence_split, char_count, seed_lexicon,
         lexicon_char_filter, lexicon_add_singles, lexicon_union_filter, constituent_chars, title_prefix_suppress, titles_in_order, lattice_edges, viterbi_cut, viterbi_cut_native, cut_token_counts,
-        cut_documents, longest_match_cut, segment_documents, cold_start_counts, word_loss, prune_keep, best_tokens, convert_documents, convert_documents_joined, cut_long_runs, em_one_iteration, em_train, mysql_tuple_parse, mysql_tuple_split, redirect_join, wikitext_words, stream_cut, stream_cut_joined,
+        cut_documents, cut_documents_indexed, segment_documents_indexed, longest_match_cut, segment_documents, cold_start_counts, word_loss, prune_keep, best_tokens, convert_documents, convert_documents_joined, cut_long_runs, em_one_iteration, em_train, mysql_tuple_parse, mysql_tuple_split, redirect_join, wikitext_words, stream_cut, stream_cut_joined,
     )
     return {f.__name__: f for f in every}
 
@@ -448,10 +458,10 @@ def oracle_sql() -> dict[str, str]:
         "viterbi_cut": f"WITH RECURSIVE {BACK} SELECT chunk, array_to_string(tokens, ' ') AS tokens FROM cuts",
         "viterbi_cut_native": f"WITH RECURSIVE {BACK} SELECT chunk, array_to_string(tokens, ' ') AS tokens FROM cuts",
         "cut_token_counts": f"WITH RECURSIVE {COUNTED} SELECT word, freq FROM counted",
-        "cut_documents": _cut_rows("documents", "doc_id"),
+        **dict.fromkeys(("cut_documents", "cut_documents_indexed"), _cut_rows("documents", "doc_id")),
         "stream_cut": _cut_rows("benchmark", "item_id"),
         "stream_cut_joined": _cut_rows("benchmark", "item_id"),
-        "segment_documents": f"{segmented} SELECT doc_id, string_agg(coalesce(array_to_string(tokens, ' '), chunk), ' ' ORDER BY i) AS tokens FROM d LEFT JOIN matches USING (chunk) GROUP BY doc_id",
+        **dict.fromkeys(("segment_documents", "segment_documents_indexed"), f"{segmented} SELECT doc_id, string_agg(coalesce(array_to_string(tokens, ' '), chunk), ' ' ORDER BY i) AS tokens FROM d LEFT JOIN matches USING (chunk) GROUP BY doc_id"),
         "longest_match_cut": f"WITH RECURSIVE {MATCHED} SELECT chunk, array_to_string(tokens, ' ') AS tokens FROM matches",
         "cold_start_counts": f"WITH RECURSIVE {MATCHED} SELECT word, sum(n)::BIGINT AS freq FROM (SELECT unnest(tokens) AS word, n FROM matches JOIN segs USING (chunk) UNION ALL SELECT chunk, n FROM segs WHERE delimiter) WHERE word IN (SELECT word FROM lex) GROUP BY word",
         "word_loss": f"WITH RECURSIVE {LOSS} SELECT word, round(loss, 4) + 0.0 AS loss, cnt FROM losses",

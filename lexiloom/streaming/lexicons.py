@@ -65,7 +65,8 @@ def cut_batches(lines: DataFrame, lexicon: DataFrame | str, output: str, checkpo
             return
         version, model = newest.get(spark)
         rows = batch.select(F.struct(*(F.col(f"`{c}`") for c in kept), F.col(text_col).isNull().alias("_null")).alias("_line"), F.col(text_col).alias("_text"))
-        tokens = S.cut(rows, model, "_line", "_text", engine)
+        # a session keeps the files of every index, so versions that are too large for a broadcast are joined
+        tokens = S.cut(rows, model, "_line", "_text", "native" if engine == "auto" and not model.small else engine)
         if form == "text":
             tokens.select(F.array_join("tokens", " ").alias("value")).write.mode("overwrite").text(folder)
             return

@@ -53,6 +53,7 @@ def test_losses_of_a_joined_lexicon(spark):
 
 def test_a_lexicon_too_large_for_a_cutter_raises(spark, monkeypatch):
     monkeypatch.setattr(S.Model.__init__, "__defaults__", (1,))
+    monkeypatch.setattr(S.index, "INDEX_WORDS", 1)
     with pytest.raises(ValueError, match="up to"):
         Cutter(spark, frame(spark, G1))
 
