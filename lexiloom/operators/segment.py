@@ -13,6 +13,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,8 +30,10 @@ from .occurring import free_pieces, longest_of, occurring
 BROADCAST_WORDS = 1_000_000
 #: Runs of over so many characters come in pieces where the lexicon is joined.
 LONG_RUN = 256
-#: Rows whose chunks and tokens a worker holds as Python strings at once.
+#: Rows whose distinct chunks a worker holds as Python strings at once.
 ROWS_AT_ONCE = 256
+#: Chunks whose words a worker remembers.
+CHUNKS_KNOWN = 50_000
 
 
 def chunk_counts(corpus: DataFrame, text_col: str = "text") -> DataFrame:
@@ -227,7 +230,7 @@ def _learn(known: dict[str, list[str]], chunks: Iterable[str], paths: Paths, sta
 
 
 def _rows_mapped(rows: DataFrame, paths: Paths, whole: str) -> DataFrame:
-    """(id, tokens) of rows (id, chunks): chunks that match the pattern whole stay, the others go through paths once a batch."""
+    """(id, tokens) of rows (id, chunks): chunks that match the pattern whole stay, the others go through paths, seldom more than once a batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         stays = re.compile(whole)
@@ -235,10 +238,17 @@ def _rows_mapped(rows: DataFrame, paths: Paths, whole: str) -> DataFrame:
             known: dict[str, list[str]] = {}
             for start in range(0, batch.num_rows, ROWS_AT_ONCE):
                 part = batch.slice(start, ROWS_AT_ONCE)
-                rows = part.column(1).to_pylist()
-                _learn(known, (c for chunks in rows for c in chunks or ()), paths, stays)
-                out = [[w for c in chunks or () for w in known[c]] for chunks in rows]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(out, pa.list_(pa.string()))], names=[batch.schema.names[0], "tokens"])
+                # only distinct chunks become Python strings
+                chunks = part.column(1).flatten().dictionary_encode()
+                distinct = chunks.dictionary.to_pylist()
+                if len(known) > CHUNKS_KNOWN:
+                    known.clear()
+                _learn(known, distinct, paths, stays)
+                cuts = pa.array([known[c] for c in distinct], pa.list_(pa.string())).take(chunks.indices)
+                ends = np.concatenate([[0], np.cumsum(cuts.value_lengths().to_numpy(zero_copy_only=False), dtype=np.int64)])
+                rows = np.cumsum(part.column(1).value_lengths().fill_null(0).to_numpy(zero_copy_only=False), dtype=np.int64)
+                out = pa.ListArray.from_arrays(pa.array(ends[np.concatenate([[0], rows])], pa.int32()), cuts.flatten())
+                yield pa.RecordBatch.from_arrays([part.column(0), out], names=[batch.schema.names[0], "tokens"])
 
     return rows.mapInArrow(run, StructType([rows.schema[0], StructField("tokens", ArrayType(StringType()))]))
 
