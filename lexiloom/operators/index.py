@@ -4,7 +4,8 @@ Spark sorts the lexicon and writes it to the checkpoint folder; executors fetch
 parts once, as files of the session, and the first worker that needs them lays the
 words out as arrays in the executor's own folder, which all workers map into memory.
 An executor that is lost takes its copy with it, its successor fetches and lays out
-anew. The driver holds no words.
+anew. The driver has the files on its disk, as addFile does it, and no words in memory
+but where it cuts single sentences itself, with the same mapped arrays.
 """
 
 from __future__ import annotations
