@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from functools import reduce
 
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import charclass as C
 from ..functions import text as T
 from ..functions.convert import converted
+from ..functions.spans import letters_counted, substrings_counted
 from .select import best_k
 
 
@@ -57,8 +59,8 @@ def good_titles(titles: DataFrame, title_col: str = "title", mapping=None, table
 
 def char_counts(corpus: DataFrame, text_col: str = "text") -> DataFrame:
     """(ch, cnt) of lexicon characters in the corpus."""
-    chars = corpus.select(F.explode(T.split_chars(F.col(text_col))).alias("ch"))
-    return chars.where(T.is_pure(F.col("ch"))).groupBy("ch").agg(F.count("*").alias("cnt"))
+    chars = corpus.select(F.make_valid_utf8(F.col(text_col))).mapInArrow(letters_counted, "ch string, n bigint")
+    return chars.groupBy("ch").agg(F.sum("n").alias("cnt")).where(T.is_pure(F.col("ch")))
 
 
 def filter_by_chars(words: DataFrame, counts: DataFrame, least: int = 2) -> DataFrame:
@@ -83,7 +85,7 @@ def filtered_in_order(words: DataFrame, counts: DataFrame, least: int = 2) -> Da
 
 def seed_lexicon(runs: DataFrame, least: int, longest: int = 4) -> DataFrame:
     """Substrings of runs (chunk, n) of up to longest characters with a weighted count of least, and all single characters."""
-    cut = runs.select("chunk", "n", F.explode(F.sequence(F.lit(1), F.char_length("chunk"))).alias("pos")).select("n", F.explode(F.transform(F.sequence(F.lit(1), F.least(F.lit(longest), F.char_length("chunk") - F.col("pos") + 1)), lambda k: F.substring("chunk", F.col("pos"), k))).alias("word"))
+    cut = runs.select("chunk", "n").mapInArrow(substrings_counted(longest), "word string, n bigint")
     return cut.groupBy("word").agg(F.sum("n").alias("freq")).where((F.col("freq") >= least) | (F.char_length("word") == 1))
 
 
@@ -98,7 +100,13 @@ def word_scores(lexicon: DataFrame) -> DataFrame:
     total = F.greatest(F.coalesce(F.col("total"), F.lit(0)), F.lit(1)).cast("double")
     sums = checked.agg(F.sum("freq").alias("total"))  # one row
     single = checked.groupBy("word").agg(F.max("freq").alias("freq")).crossJoin(F.broadcast(sums))
-    return single.select("word", F.log(F.greatest("freq", F.lit(1)) / total).alias("lp"), F.log(1 / total).alias("unknown"))
+
+    @F.pandas_udf("double")
+    def ln(values):
+        # the C library's; the JVM's differs in the last bit of some, and that decides between equal paths
+        return values.map(math.log)
+
+    return single.select("word", ln(F.greatest("freq", F.lit(1)) / total).alias("lp"), ln(1 / total).alias("unknown"))
 
 
 def keep_by_loss(losses: DataFrame, lexicon: DataFrame, vocabulary: int, least: int, share: int = 75) -> DataFrame:

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
-from ..functions import charclass
+from ..functions import charclass, spans
 from ..functions import text as T
 from ..storage import materialise
 from . import index, kernels
@@ -38,8 +38,13 @@ CHUNKS_KNOWN = 50_000
 
 def chunk_counts(corpus: DataFrame, text_col: str = "text") -> DataFrame:
     """(chunk, n, han): distinct pre-tokens of the corpus and how often they occur."""
-    chunks = corpus.select(F.explode(T.pretokenize(T.normalize_spaces(F.col(text_col)))).alias("chunk"))
-    return chunks.groupBy("chunk").agg(F.count("*").alias("n")).withColumn("han", T.is_han_run(F.col("chunk")))
+    return _counted(corpus, text_col, lambda texts: (spans.named(spans.pretokens(texts)[0]),)).withColumn("han", T.is_han_run(F.col("chunk")))
+
+
+def _counted(corpus: DataFrame, text_col: str, split: Callable) -> DataFrame:
+    """(chunk, n): the distinct pieces of all texts, counted in the tasks before they are shuffled."""
+    pieces = corpus.select(F.make_valid_utf8(F.col(text_col))).mapInArrow(spans.counted(split), "chunk string, n bigint")
+    return pieces.groupBy("chunk").agg(F.sum("n").alias("n"))
 
 
 def runs_of(chunks: DataFrame) -> DataFrame:
@@ -122,9 +127,7 @@ def _by_pieces(runs: DataFrame, words: DataFrame, longest: int, cut_pieces: Call
     """(chunk, tokens) of distinct runs by cut_pieces, a function of (chunk) to (chunk, tokens).
 
     Runs of over LONG_RUN characters are cut in pieces at places over which no word
-    stands: what is best for the run is best for each piece. Of paths with the same
-    score that a kernel tells apart only by how its sums over the whole run are
-    rounded, another may be taken here.
+    stands: the longest match of the run is that of each piece.
     """
     short, long = runs.where(F.char_length("chunk") <= LONG_RUN).select("chunk"), runs.where(F.char_length("chunk") > LONG_RUN).select("chunk")
     if long.isEmpty():
@@ -156,16 +159,13 @@ def cut_native(runs: DataFrame, scores: DataFrame, longest: int) -> DataFrame:
     """(chunk, tokens) of distinct runs with a join of the lexicon.
 
     Higher-order functions search the lattice. Their arrays cost the square of a run's
-    length, so long runs come in pieces; a piece in which words stand over every
-    place is searched by the kernel with the words that it has.
+    length, so a long run is searched by the kernel with the words that it has: as a
+    whole, since which of two equal paths is taken depends on how sums over it round.
     """
 
-    def cut_pieces(pieces: DataFrame) -> DataFrame:
-        small, large = pieces.where(F.char_length("chunk") <= LONG_RUN), pieces.where(F.char_length("chunk") > LONG_RUN)
-        out = _searched(small, scores, longest)
-        return out if large.isEmpty() else out.unionByName(_with_own_words(large, scores, longest, kernels.best_path))
-
-    return _by_pieces(runs, scores, longest, cut_pieces)
+    short, long = runs.where(F.char_length("chunk") <= LONG_RUN), runs.where(F.char_length("chunk") > LONG_RUN)
+    out = _searched(short, scores, longest)
+    return out if long.isEmpty() else out.unionByName(_with_own_words(long, scores, longest, kernels.best_path))
 
 
 def _searched(runs: DataFrame, scores: DataFrame, longest: int) -> DataFrame:
@@ -229,26 +229,26 @@ def _learn(known: dict[str, list[str]], chunks: Iterable[str], paths: Paths, sta
     known.update(zip(cut, paths(cut), strict=True))
 
 
-def _rows_mapped(rows: DataFrame, paths: Paths, whole: str) -> DataFrame:
-    """(id, tokens) of rows (id, chunks): chunks that match the pattern whole stay, the others go through paths, seldom more than once a batch."""
+def _rows_mapped(rows: DataFrame, paths: Paths, whole: str, split: Callable, named: Callable = lambda chunks: chunks) -> DataFrame:
+    """(id, tokens) of rows (id, text), which split cuts into chunks, called as named tells: those that match the pattern whole stay, the others go through paths, seldom more than once a batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         stays = re.compile(whole)
+        known: dict[str, list[str]] = {}
         for batch in batches:
-            known: dict[str, list[str]] = {}
             for start in range(0, batch.num_rows, ROWS_AT_ONCE):
-                part = batch.slice(start, ROWS_AT_ONCE)
-                # only distinct chunks become Python strings
-                chunks = part.column(1).flatten().dictionary_encode()
-                distinct = chunks.dictionary.to_pylist()
-                if len(known) > CHUNKS_KNOWN:
-                    known.clear()
-                _learn(known, distinct, paths, stays)
-                cuts = pa.array([known[c] for c in distinct], pa.list_(pa.string())).take(chunks.indices)
-                ends = np.concatenate([[0], np.cumsum(cuts.value_lengths().to_numpy(zero_copy_only=False), dtype=np.int64)])
-                rows = np.cumsum(part.column(1).value_lengths().fill_null(0).to_numpy(zero_copy_only=False), dtype=np.int64)
-                out = pa.ListArray.from_arrays(pa.array(ends[np.concatenate([[0], rows])], pa.int32()), cuts.flatten())
-                yield pa.RecordBatch.from_arrays([part.column(0), out], names=[batch.schema.names[0], "tokens"])
+                for part in spans.parts(batch.slice(start, ROWS_AT_ONCE), 1):
+                    chunks, before = split(part.column(1))
+                    # only distinct chunks become Python strings
+                    chunks = chunks.dictionary_encode()
+                    distinct = named(chunks.dictionary).to_pylist()
+                    if len(known) > CHUNKS_KNOWN:
+                        known.clear()
+                    _learn(known, distinct, paths, stays)
+                    cuts = pa.array([known[c] for c in distinct], pa.list_(pa.string())).take(chunks.indices)
+                    ends = np.concatenate([[0], np.cumsum(cuts.value_lengths().to_numpy(zero_copy_only=False), dtype=np.int64)])
+                    out = pa.ListArray.from_arrays(pa.array(ends[before], pa.int32()), cuts.flatten())
+                    yield pa.RecordBatch.from_arrays([part.column(0), out], names=[batch.schema.names[0], "tokens"])
 
     return rows.mapInArrow(run, StructType([rows.schema[0], StructField("tokens", ArrayType(StringType()))]))
 
@@ -267,12 +267,13 @@ def _rows_joined(rows: DataFrame, whole: Column, cut_chunks) -> DataFrame:
 
 def cut(corpus: DataFrame, lexicon: DataFrame | Model, id_col: str = "doc_id", text_col: str = "text", engine: str = "auto") -> DataFrame:
     """(id, tokens): every text cut into words, one row for each row of corpus, whatever its id. Texts without tokens have an empty array."""
-    rows = corpus.select(F.col(id_col), T.pretokenize(T.normalize_spaces(F.col(text_col))).alias("chunks"))
     model = lexicon if isinstance(lexicon, Model) else Model(lexicon)
     paths = model.paths(corpus.sparkSession, engine)
     if paths is None:
+        rows = corpus.select(F.col(id_col), T.pretokenize(T.normalize_spaces(F.col(text_col))).alias("chunks"))
         return _rows_joined(rows, ~T.is_han_run(F.col("chunk")), lambda runs: cut_native(runs, model.frame, model.longest))
-    return _rows_mapped(rows, paths, charclass.python_class(charclass.HAN, inside=False))
+    rows = corpus.select(F.col(id_col), F.make_valid_utf8(F.col(text_col)).alias("text"))
+    return _rows_mapped(rows, paths, charclass.python_class(charclass.HAN, inside=False), spans.pretokens, spans.named)
 
 
 def token_counts(chunks: DataFrame, lexicon: DataFrame, only_lexicon: bool = False, engine: str = "auto") -> DataFrame:
@@ -299,8 +300,7 @@ def recount(lines: DataFrame, lexicon: DataFrame | None = None, line_col: str =
 
 def punct_segments(corpus: DataFrame, text_col: str = "text") -> DataFrame:
     """(chunk, n, delimiter): distinct delimiters and what stands between them."""
-    parts = corpus.select(F.explode(T.split_punct(F.col(text_col))).alias("chunk"))
-    return parts.groupBy("chunk").agg(F.count("*").alias("n")).withColumn("delimiter", T.is_punct(F.col("chunk")))
+    return _counted(corpus, text_col, spans.segments).withColumn("delimiter", T.is_punct(F.col("chunk")))
 
 
 def _matches(words: DataFrame, engine: str) -> Paths | None:
@@ -331,12 +331,13 @@ def match_segments(segments: DataFrame, lexicon: DataFrame, engine: str = "auto"
 
 def segment_longest_match(corpus: DataFrame, lexicon: DataFrame, id_col: str = "doc_id", text_col: str = "text", engine: str = "auto") -> DataFrame:
     """(id, tokens) by longest match between delimiters, one row for each row of corpus; blanks aren't normalised."""
-    rows = corpus.select(F.col(id_col), T.split_punct(F.col(text_col)).alias("chunks"))
     words = lexicon.select("word").where("word <> ''").distinct()
     paths = _matches(words, engine)
     if paths is None:
+        rows = corpus.select(F.col(id_col), T.split_punct(F.col(text_col)).alias("chunks"))
         return _rows_joined(rows, T.is_punct(F.col("chunk")), lambda segments: match_native(segments, words))
-    return _rows_mapped(rows, paths, charclass.python_class(charclass.PUNCT))
+    rows = corpus.select(F.col(id_col), F.make_valid_utf8(F.col(text_col)).alias("text"))
+    return _rows_mapped(rows, paths, charclass.python_class(charclass.PUNCT), spans.segments)
 
 
 def match_counts(corpus: DataFrame, lexicon: DataFrame, text_col: str = "text") -> DataFrame:

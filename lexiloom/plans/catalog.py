@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import charclass as C
-from ..functions import convert
+from ..functions import convert, spans
 from ..functions import text as T
 from ..operators import lexicon as L
 from ..operators import segment as S
@@ -41,7 +41,8 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _han(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _documents(spark, sf_dir).withColumn("text", T.hanify(F.col("text")))
+    rows = _documents(spark, sf_dir)
+    return rows.mapInArrow(spans.translated(dict(zip(T.LATIN, T.HANIFIED * 2, strict=True)), rows.columns), rows.schema)
 
 
 def _model(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
