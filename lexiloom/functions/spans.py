@@ -39,12 +39,13 @@ def _punct_table() -> np.ndarray:
     return 1 - table_of(C.PUNCT)
 
 
-def parts(batch: pa.RecordBatch, at: int = 0) -> Iterator[pa.RecordBatch]:
-    """batch in slices of about PART bytes in its text column, of one row at least."""
+def parts(batch: pa.RecordBatch, at: int = 0, size: int | None = None) -> Iterator[pa.RecordBatch]:
+    """batch in slices of about size (or else PART) bytes in its text column, of one row at least."""
+    size = PART if size is None else size
     ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(at)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
     start = 0
     while start < batch.num_rows:
-        end = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + PART, side="right")))
+        end = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + size, side="right")))
         yield batch.slice(start, end - start)
         start = end
 
@@ -95,6 +96,22 @@ def segments(texts: pa.Array) -> tuple[pa.StringArray, np.ndarray]:
     return letters.pieces(_punct_table()[letters.points])[1:]
 
 
+def rewritten(texts: pa.Array, kinds: np.ndarray, rewrite) -> pa.Array:
+    """texts with their pieces of kind 1 rewritten, of which rewrite gets each distinct one once, as a list; null stays null. kinds has no OTHER."""
+    letters = Letters(texts)
+    _, pieces, before = letters.pieces(kinds[letters.points])
+    pieces = pieces.dictionary_encode()
+    distinct = pieces.dictionary.to_pylist()
+    own = [i for i, piece in enumerate(distinct) if kinds[ord(piece[0])] == 1]
+    for i, new in zip(own, rewrite([distinct[i] for i in own]), strict=True):
+        distinct[i] = new
+    # what belongs to a text stands together again
+    whole = pa.array(distinct, pa.string()).take(pieces.indices)
+    offsets = np.frombuffer(whole.buffers()[1], np.int32, len(whole) + 1) if len(whole) else np.zeros(1, np.int32)
+    out = pa.StringArray.from_buffers(len(texts), pa.py_buffer(offsets[before]), whole.buffers()[2] or pa.py_buffer(b""))
+    return pc.if_else(texts.is_valid(), out, None)
+
+
 def named(pieces: pa.StringArray) -> pa.StringArray:
     """Pieces as they are called: a run of blanks is one mark."""
     return pc.if_else(pc.starts_with(pieces, " "), C.SPACE_MARK, pieces)

@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from lexiloom.functions import spans
+from lexiloom.functions import convert, spans
 from lexiloom.functions import text as T
 from lexiloom.operators import lexicon as L
 from lexiloom.operators import segment as S
@@ -72,3 +72,20 @@ def test_substrings_and_translation(spark, texts, part, monkeypatch):
     assert {r.word: r.freq for r in got} == wanted and len(got) == len(wanted)
     turned = valid.select("doc_id", "text").mapInArrow(spans.translated(dict(zip(T.LATIN, T.HANIFIED * 2)), ["doc_id", "text"]), "doc_id bigint, text string")
     assert {r[0]: r[1] for r in turned.collect()} == {r[0]: r[1] for r in valid.select("doc_id", T.hanify(F.col("text"))).collect()}
+
+
+def test_conversion_of_pieces(spark, monkeypatch):
+    """Small groups and parts; entries of letters that texts have between others, of longer and of no letters."""
+    monkeypatch.setattr(spans, "PART", 16)
+    monkeypatch.setattr(convert, "GROUP", 64)
+    rng = random.Random(9)
+    entries = {"".join(rng.choices("abc '𠀀", k=rng.randrange(1, 5))): rng.choice(["", "x", "éé", "b𠀀c", "longer than it"]) for _ in range(40)}
+    rows = [None, "", "zz"] + ["".join(rng.choices("abcdez '𠀀é", k=rng.randrange(60))) for _ in range(400)]
+    one = convert.Automaton(entries)
+    wanted = sorted((i % 7, one.convert(r) if r is not None else None) for i, r in enumerate(rows) if r is not None)
+    df = spark.createDataFrame([(i % 7, r, "kept") for i, r in enumerate(rows)], "id int, text string, `a.b` string").repartition(3)
+    table = spark.createDataFrame(list(entries.items()), "source string, target string")
+    for engine in ("auto", "join"):
+        got = convert.convert(df, "text", table, engine=engine).collect()
+        assert sorted((r[0], r[1]) for r in got if r[1] is not None) == wanted and len(got) == len(rows)
+        assert all(r["a.b"] == "kept" for r in got)
