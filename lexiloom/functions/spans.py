@@ -39,6 +39,11 @@ def _punct_table() -> np.ndarray:
     return 1 - table_of(C.PUNCT)
 
 
+@cache
+def _blank_table() -> np.ndarray:
+    return 2 - table_of(((0x0A, 0x0A), (0x20, 0x20)))
+
+
 def parts(batch: pa.RecordBatch, at: int = 0, size: int | None = None) -> Iterator[pa.RecordBatch]:
     """batch in slices of about size (or else PART) bytes in its text column, of one row at least."""
     size = PART if size is None else size
@@ -129,6 +134,16 @@ def counted(split):
     return run
 
 
+def words_between_blanks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(word) of the texts of batches: what stands between blanks and line ends; a word may come several times."""
+    for batch in batches:
+        for part in parts(batch):
+            letters = Letters(part.column(0))
+            kinds = _blank_table()[letters.points]
+            begin, pieces, _ = letters.pieces(kinds)
+            yield pa.RecordBatch.from_arrays([pieces.filter(pa.array(kinds[begin] == 2)).unique()], names=["word"])
+
+
 def letters_counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(ch, n) of the texts of batches; a letter may come several times."""
     for batch in batches:

@@ -19,12 +19,12 @@ from .select import best_k
 def pure_words(words: DataFrame, longest: int, word_col: str = "word") -> DataFrame:
     """Distinct stripped words of lexicon characters only, up to a length."""
     word = T.strip(F.col(word_col))
-    return words.select(word.alias("word")).where(T.is_pure(F.col("word")) & (F.char_length("word") <= longest)).distinct()
+    return words.select(word_col).distinct().select(word.alias("word")).where(T.is_pure(F.col("word")) & (F.char_length("word") <= longest)).distinct()
 
 
 def title_words(titles: DataFrame, title_col: str = "word") -> DataFrame:
     """Titles of up to three characters; of titles with middle dots the parts of up to four."""
-    parts = titles.select(F.explode(F.split(T.strip(F.col(title_col)), "·")).alias("word"), F.col(title_col).contains("·").alias("dotted"))
+    parts = titles.select(title_col).distinct().select(F.explode(F.split(T.strip(F.col(title_col)), "·")).alias("word"), F.col(title_col).contains("·").alias("dotted"))
     return parts.where(T.is_pure(F.col("word")) & (F.char_length("word") <= F.when(F.col("dotted"), 4).otherwise(3))).select("word").distinct()
 
 
@@ -51,7 +51,7 @@ def good_titles(titles: DataFrame, title_col: str = "title", mapping=None, table
     more" is the same as "some good title is a proper prefix of four characters or
     more": what it starts with was accepted, or was itself suppressed by a prefix.
     """
-    good = converted(titles.select(T.strip(F.col(title_col)).alias("title")), "title", mapping, tables).where(T.is_good_title(F.col("title"))).distinct()
+    good = converted(titles.select(title_col).distinct().select(T.strip(F.col(title_col)).alias("title")), "title", mapping, tables).where(T.is_good_title(F.col("title"))).distinct()
     prefixes = good.where(F.char_length("title") > 4).select("title", F.explode(F.transform(F.sequence(F.lit(4), F.char_length("title") - 1), lambda n: F.substring("title", F.lit(1), n))).alias("prefix"))
     covered = prefixes.join(good.select(F.col("title").alias("prefix")), "prefix", "left_semi").select("title").distinct()
     return good.join(covered, "title", "left_anti")

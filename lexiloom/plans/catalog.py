@@ -104,7 +104,9 @@ def lexicon_add_singles(spark, sf_dir):
 
 
 def _titles(spark, sf_dir):
-    return _documents(spark, sf_dir).select(F.explode(F.split(T.hanify(F.translate("text", ",.", "·")), "[ \n]+")).alias("word"))
+    """The words between blanks, each once, but empty ones, which are no titles."""
+    words = _documents(spark, sf_dir).select("text").mapInArrow(spans.words_between_blanks, "word string").distinct()
+    return words.select(T.hanify(F.translate("word", ",.", "·")).alias("word"))
 
 
 def lexicon_union_filter(spark, sf_dir):

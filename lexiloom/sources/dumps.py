@@ -63,32 +63,34 @@ def redirect_pairs(page_rows: DataFrame, redirect_rows: DataFrame, mapping=None,
 _BRACES = re.compile(r"\{\{|\}\}")
 
 
-def without_templates(source: str) -> str:
-    """source without {{...}}, however deep they nest, in one pass over its braces; raises where they don't match."""
-    out, depth, done = [], 0, 0
-    for mark in _BRACES.finditer(source):
-        if mark[0] == "{{":
-            if not depth:
-                out.append(source[done : mark.start()])
-            depth += 1
-        else:
-            depth -= 1
-            done = mark.end()
-            if depth < 0:
-                break
+def _outside(marks: list[str]) -> list[bool]:
+    """For the parts before, between and behind marks whether they stand outside of all templates; raises where the marks don't match."""
+    out, depth = [True], 0
+    for mark in marks:
+        depth += 1 if mark == "{{" else -1
+        if depth < 0:
+            break
+        out.append(not depth)
     if depth:
         raise ValueError("unbalanced template in wikitext")
-    return "".join([*out, source[done:]])
+    return out
+
+
+def without_templates(source: str) -> str:
+    """source without {{...}}, however deep they nest, in one pass over its braces; raises where they don't match."""
+    return "".join(part for part, kept in zip(_BRACES.split(source), _outside(_BRACES.findall(source)), strict=True) if kept)
 
 
 def trim_templates(wikitext: Column) -> Column:
-    """Text without {{...}}; raises where braces don't match. Null stays null."""
+    """Text without {{...}}; raises where braces don't match. Null stays null. Only the braces go to Python, the text doesn't."""
 
-    @F.pandas_udf("string")
-    def trimmed(texts):
-        return texts.map(without_templates, na_action="ignore")
+    @F.pandas_udf("array<boolean>")
+    def outside(marks):
+        return marks.map(lambda m: _outside([m[i : i + 2] for i in range(0, len(m), 2)]), na_action="ignore")
 
-    return F.when(wikitext.contains("{{") | wikitext.contains("}}"), trimmed(wikitext)).otherwise(wikitext)
+    marks = F.array_join(F.regexp_extract_all(wikitext, F.lit(f"({_BRACES.pattern})"), F.lit(1)), "")
+    parts = F.zip_with(F.split(wikitext, _BRACES.pattern, -1), outside(marks), lambda part, kept: F.when(kept, part))
+    return F.when(wikitext.contains("{{") | wikitext.contains("}}"), F.array_join(parts, "")).otherwise(wikitext)
 
 
 def bolds(line: Column) -> Column:
@@ -116,7 +118,7 @@ def list_words(wiki_pages: DataFrame, source_col: str = "source") -> DataFrame:
     lines = lines.withColumn("cut", cut)
     before, after = F.expr("substr(line, 1, cut + 3)"), F.expr("substr(line, cut + 4)")
     taken = F.concat(bolds(before), F.filter(bolds(after), lambda b: F.char_length(b) > 2))
-    words = lines.select(F.explode(taken).alias("bold")).select(F.explode(F.split("bold", SEPARATORS)).alias("word"))
+    words = lines.select(F.explode(taken).alias("bold")).distinct().select(F.explode(F.split("bold", SEPARATORS)).alias("word")).distinct()
     word = T.strip(F.col("word"))
     for g in GARBAGE:
         word = F.replace(word, F.lit(g), F.lit(""))

@@ -10,6 +10,7 @@ from lexiloom.functions import convert, spans
 from lexiloom.functions import text as T
 from lexiloom.operators import lexicon as L
 from lexiloom.operators import segment as S
+from lexiloom.sources import dumps
 
 ALPHABET = " ' ▁ab的一12Ａ９ﾞ。，\n\té̀𠀀😀\U000323af　'"
 
@@ -89,3 +90,20 @@ def test_conversion_of_pieces(spark, monkeypatch):
         got = convert.convert(df, "text", table, engine=engine).collect()
         assert sorted((r[0], r[1]) for r in got if r[1] is not None) == wanted and len(got) == len(rows)
         assert all(r["a.b"] == "kept" for r in got)
+
+
+def test_only_braces_of_templates_go_to_python(spark):
+    """The Python step gets the marks alone, so its memory doesn't follow the pages' text."""
+    rows = ["a{{b{{c}}d}}e{{f}}", "{{}}", "{{{x}}}y", "no marks", "", None, "é{{𠀀}}\n{{b}}的"]
+    df = spark.createDataFrame([(r,) for r in rows], "source string").repartition(1)
+    trimmed = df.select("source", dumps.trim_templates(F.col("source")).alias("t"))
+    assert {r.source: r.t for r in trimmed.collect()} == {r: r and dumps.without_templates(r) for r in rows}
+    plan = df.select(dumps.trim_templates(F.col("source")))._jdf.queryExecution().optimizedPlan().toString()
+    udf = plan[plan.index("outside(") :]
+    assert udf.startswith("outside(array_join(regexp_extract_all(")
+
+
+def test_title_words_are_those_between_blanks(spark, texts):
+    got = texts.select(F.make_valid_utf8("text").alias("text")).mapInArrow(spans.words_between_blanks, "word string").distinct()
+    wanted = texts.select(F.explode(F.split(F.make_valid_utf8("text"), "[ \n]+")).alias("word")).where("word <> ''").distinct()
+    assert sorted(got.collect()) == sorted(wanted.collect())
