@@ -63,6 +63,12 @@ def char_counts(corpus: DataFrame, text_col: str = "text") -> DataFrame:
     return chars.groupBy("ch").agg(F.sum("n").alias("cnt")).where(T.is_pure(F.col("ch")))
 
 
+def char_counts_of(chunks: DataFrame) -> DataFrame:
+    """char_counts of a corpus from its chunk counts (chunk, n)."""
+    chars = chunks.select("chunk", "n").mapInArrow(substrings_counted(1), "ch string, n bigint")
+    return chars.groupBy("ch").agg(F.sum("n").alias("cnt")).where(T.is_pure(F.col("ch")))
+
+
 def filter_by_chars(words: DataFrame, counts: DataFrame, least: int = 2) -> DataFrame:
     """Words whose characters all have a count of least or more."""
     chars = words.select("word").where("word <> ''").distinct().select("word", F.explode(F.array_distinct(T.split_chars(F.col("word")))).alias("ch"))

@@ -95,12 +95,19 @@ def seed_lexicon(spark, sf_dir):
     return L.seed_lexicon(S.runs_of(S.chunk_counts(_han(spark, sf_dir))), SEED)
 
 
+def _seeds_and_chars(spark, sf_dir):
+    """The seed lexicon and the counts of characters, kept: the texts are read once, for the chunk counts that both come from."""
+    chunks, words = _model(spark, sf_dir)
+    return words, materialise(L.char_counts_of(chunks))
+
+
 def lexicon_char_filter(spark, sf_dir):
-    return L.filter_by_chars(seed_lexicon(spark, sf_dir), char_count(spark, sf_dir), CHAR_LEAST)
+    return L.filter_by_chars(*_seeds_and_chars(spark, sf_dir), CHAR_LEAST)
 
 
 def lexicon_add_singles(spark, sf_dir):
-    return L.add_single_chars(lexicon_char_filter(spark, sf_dir), char_count(spark, sf_dir))
+    words, counts = _seeds_and_chars(spark, sf_dir)
+    return L.add_single_chars(L.filter_by_chars(words, counts, CHAR_LEAST), counts)
 
 
 def _titles(spark, sf_dir):
@@ -168,8 +175,8 @@ def segment_documents_indexed(spark, sf_dir):
 
 
 def longest_match_cut(spark, sf_dir):
-    segments = materialise(S.punct_segments(_han(spark, sf_dir)).where("not delimiter"))
-    return S.match_segments(segments, _model(spark, sf_dir)[1]).select("chunk", F.array_join("tokens", " ").alias("tokens"))
+    segments = S.punct_segments(_han(spark, sf_dir)).where("not delimiter")
+    return S.match_segments(segments, materialise(seed_lexicon(spark, sf_dir))).select("chunk", F.array_join("tokens", " ").alias("tokens"))
 
 
 def segment_documents(spark, sf_dir):
@@ -224,7 +231,7 @@ def em_one_iteration(spark, sf_dir):
 
 
 def em_train(spark, sf_dir):
-    return training.train(_han(spark, sf_dir), _model(spark, sf_dir)[1].select("word"), TARGET, 2, LEAST)
+    return training.train(_han(spark, sf_dir), materialise(seed_lexicon(spark, sf_dir)).select("word"), TARGET, 2, LEAST)
 
 
 def _dumps(spark, sf_dir):
