@@ -22,7 +22,7 @@ from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 from ..functions import charclass, spans
 from ..functions import text as T
 from ..storage import materialise
-from . import index, kernels
+from . import index, kernels, vector
 from .lexicon import word_scores
 from .occurring import free_pieces, longest_of, occurring
 
@@ -69,13 +69,19 @@ class Model:
             self.count, self.longest = len(self.scores), max(map(len, self.scores), default=1)
         else:
             self.count, self.longest = self.frame.agg(F.count("*"), F.max(F.char_length("word"))).first()
-        self._shared = self._files = None
+        self._shared = self._files = self._trie = None
 
     def broadcast(self, spark: SparkSession):
         if self._shared is None:
             self._shared = spark.sparkContext.broadcast((self.scores, self.unknown, self.longest))
         return self._shared
 
+    def trie(self, spark: SparkSession):
+        """The words for vector.py, where the lexicon is small."""
+        if self._trie is None:
+            self._trie = spark.sparkContext.broadcast(vector.Trie(self.scores, self.unknown))
+        return self._trie
+
     def paths(self, spark: SparkSession, engine: str = "auto") -> Paths | None:
         """Cuts runs in tasks; None where the lexicon is to be joined. The index is written once a model."""
         if engine == "native" or (self.count > index.INDEX_WORDS and not self.small):
@@ -90,17 +96,9 @@ class Model:
 
     def release(self) -> None:
         """Take the broadcast off the executors; a later use sends it again."""
-        if self._shared is not None:
-            self._shared.unpersist()
-
-
-def _mapped(model, function, kind: pa.DataType):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = [function(c, *model.value) for c in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, kind)], names=[*batch.schema.names, "tokens"])
-
-    return run
+        for shared in (self._shared, self._trie):
+            if shared is not None:
+                shared.unpersist()
 
 
 def _cut_column(paths: Paths):
@@ -214,6 +212,8 @@ def match_native(segments: DataFrame, words: DataFrame) -> DataFrame:
 def cut_runs(runs: DataFrame, lexicon: DataFrame, engine: str = "auto") -> DataFrame:
     """(chunk, tokens) of distinct runs; a lexicon without words gives single characters."""
     model = Model(lexicon)
+    if model.small and engine not in ("native", "index"):
+        return runs.select("chunk").mapInArrow(vector.cut_column(model.trie(runs.sparkSession)), "chunk string, tokens array<string>")
     # training cuts with many lexicons, and the session would keep the files of each
     paths = model.paths(runs.sparkSession, "native" if engine == "auto" and not model.small else engine)
     if paths is None:
@@ -278,6 +278,11 @@ def cut(corpus: DataFrame, lexicon: DataFrame | Model, id_col: str = "doc_id", t
 
 def token_counts(chunks: DataFrame, lexicon: DataFrame, only_lexicon: bool = False, engine: str = "auto") -> DataFrame:
     """(word, freq) of the cut corpus, from its chunk counts. only_lexicon keeps words of the lexicon; an empty one keeps all."""
+    model = Model(lexicon) if engine not in ("native", "index") else None
+    if model and model.small:
+        # words are counted where their runs are cut, and no run is shuffled
+        own = runs_of(chunks).mapInArrow(vector.counted_tokens(model.trie(chunks.sparkSession)), "word string, n bigint")
+        return count_words(own.unionByName(chunks.where("not han").select(F.col("chunk").alias("word"), "n")), lexicon if only_lexicon else None)
     cuts = cut_runs(runs_of(chunks), lexicon, engine)
     tokens = chunks.join(cuts, "chunk", "left").select("n", F.explode(F.coalesce("tokens", F.array("chunk"))).alias("word"))
     return count_words(tokens, lexicon if only_lexicon else None)
@@ -320,9 +325,20 @@ def _matches(words: DataFrame, engine: str) -> Paths | None:
     return lambda segments: index.longest_matches(segments, files.open())
 
 
+def _match_trie(words: DataFrame):
+    """The words for vector.py; None where they are too many."""
+    rows = words.limit(BROADCAST_WORDS + 1).toArrow()
+    if rows.num_rows > BROADCAST_WORDS:
+        return None
+    return words.sparkSession.sparkContext.broadcast(vector.Trie(dict.fromkeys(rows["word"].to_pylist(), 0.0)))
+
+
 def match_segments(segments: DataFrame, lexicon: DataFrame, engine: str = "auto") -> DataFrame:
     """(chunk, tokens) of distinct segments by longest match."""
     words = lexicon.select("word").where("word <> ''").distinct()
+    trie = _match_trie(words) if engine not in ("native", "index") else None
+    if trie:
+        return segments.select("chunk").mapInArrow(vector.cut_column(trie, match=True), "chunk string, tokens array<string>")
     paths = _matches(words, engine)
     if paths is None:
         return match_native(segments, words)
@@ -343,6 +359,13 @@ def segment_longest_match(corpus: DataFrame, lexicon: DataFrame, id_col: str = "
 def match_counts(corpus: DataFrame, lexicon: DataFrame, text_col: str = "text") -> DataFrame:
     """(word, freq) of longest-match tokens that the lexicon has: the start of training."""
     parts = punct_segments(corpus, text_col)
+    words = lexicon.select("word").where("word <> ''").distinct()
+    trie = _match_trie(words)
+    if trie:
+        # words are counted where their segments are cut, also of segments that come several times
+        pieces = corpus.select(F.make_valid_utf8(F.col(text_col))).mapInArrow(spans.counted(spans.segments), "chunk string, n bigint")
+        longest = pieces.where(~T.is_punct(F.col("chunk"))).mapInArrow(vector.counted_tokens(trie, match=True), "word string, n bigint")
+        return count_words(longest.unionByName(pieces.where(T.is_punct(F.col("chunk"))).select(F.col("chunk").alias("word"), "n")), lexicon)
     cuts = match_segments(parts.where("not delimiter"), lexicon)
     tokens = parts.join(cuts, "chunk", "left").select("n", F.explode(F.coalesce("tokens", F.array("chunk"))).alias("word"))
     return count_words(tokens, lexicon)
@@ -360,7 +383,8 @@ def word_loss(chunks: DataFrame, lexicon: DataFrame, engine: str = "auto") -> Da
     schema = "chunk string, n bigint, tokens array<struct<word:string,loss:double>>"
     as_rows = lambda c, *m: [{"word": w, "loss": x} for w, x in kernels.path_losses(c, *m)]
     if model.small and engine != "join":
-        found = runs.mapInArrow(_mapped(model.broadcast(runs.sparkSession), as_rows, kind), schema)
+        summed = runs.mapInArrow(vector.summed_losses(model.trie(runs.sparkSession)), "word string, loss double, cnt bigint")
+        sums = summed.groupBy("word").agg(F.sum("loss").alias("loss"), F.sum("cnt").alias("cnt"))
     else:
         unknown, longest = model.unknown, model.longest
 
@@ -379,7 +403,7 @@ def word_loss(chunks: DataFrame, lexicon: DataFrame, engine: str = "auto") -> Da
         keyed = materialise(runs.select(F.monotonically_increasing_id().alias("run"), "chunk", "n"))
         words = occurring(keyed, "run", "chunk", model.frame.select("word", "lp"), longest)
         found = keyed.join(words, "run", "left").select("chunk", "n", F.col("found").alias("words")).mapInArrow(own_words, schema)
-    sums = found.select("n", F.explode("tokens").alias("t")).groupBy("t.word").agg(F.sum(F.col("n") * F.col("t.loss")).alias("loss"), F.sum("n").alias("cnt"))
+        sums = found.select("n", F.explode("tokens").alias("t")).groupBy("t.word").agg(F.sum(F.col("n") * F.col("t.loss")).alias("loss"), F.sum("n").alias("cnt"))
     words = lexicon.select("word").where("word <> ''").distinct()
     return words.join(sums, "word", "left").fillna({"loss": 0.0, "cnt": 0})
 
