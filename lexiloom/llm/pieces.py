@@ -22,7 +22,9 @@ one, whatever their ids; an empty table gives no rows; other columns stay.
 
 from __future__ import annotations
 
+import hashlib
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -82,8 +84,9 @@ class PieceModel:
         for i, piece in self.text.items():
             begins = [(own, k) for k in range(len(piece), 0, -1) if (own := self.id.get(piece[:k])) is not None]
             self.tries[i] = tuple(begins if begins[-1][1] == 1 else [*begins, (self._single(piece[0]), 1)])
+        self.steps: dict[int, tuple[tuple, tuple, tuple] | None] = {}
         self.fits: dict[tuple[int, int], bool] = {}
-        self.known: dict[bytes, list[int]] = {}
+        self.known: dict[bytes, tuple[int, ...]] = {}
 
     def _single(self, char: str) -> int:
         """The id of a character; one that is no piece has a negative one."""
@@ -92,26 +95,50 @@ class PieceModel:
     def _text(self, i: int) -> str:
         return self.text[i] if i >= 0 else chr(-1 - i)
 
-    def merged(self, text: str, border: int = 0) -> list[str]:
-        """The symbols that merging leaves of a short text; none where a merge crosses the border, if that isn't 0."""
-        symbols, rank = list(text), self.rank
-        costs = [rank.get(a + b, NEVER) for a, b in zip(text, text[1:])]
-        while costs:
-            least = min(costs)
-            if least == NEVER:
-                break
-            k = costs.index(least)  # the leftmost
-            own = symbols[k] = symbols[k] + symbols.pop(k + 1)
-            del costs[k]
-            if border:
-                at = sum(map(len, symbols[:k]))
-                if at < border < at + len(own):
-                    return []
-            if k:
-                costs[k - 1] = rank.get(symbols[k - 1] + own, NEVER)
-            if k < len(costs):
-                costs[k] = rank.get(own + symbols[k + 1], NEVER)
-        return symbols
+    def merges(self, i: int) -> tuple[tuple, tuple, tuple] | None:
+        """What merging a piece's text goes through: the rank of each next merge (NEVER at the end), and the first and the last symbol before it. None where it doesn't give the piece."""
+        if i not in self.steps:
+            rank, symbols = self.rank, list(self._text(i))
+            costs = [rank.get(a + b, NEVER) for a, b in zip(symbols, symbols[1:])]
+            ranks, firsts, lasts = [], [], []
+            while True:
+                least = min(costs, default=NEVER)
+                ranks.append(least)
+                firsts.append(symbols[0])
+                lasts.append(symbols[-1])
+                if least == NEVER:
+                    break
+                k = costs.index(least)  # the leftmost
+                own = symbols[k] + symbols.pop(k + 1)
+                own = symbols[k] = self.text[self.id[own]]  # not one more string for each
+                del costs[k]
+                if k:
+                    costs[k - 1] = rank.get(symbols[k - 1] + own, NEVER)
+                if k < len(costs):
+                    costs[k] = rank.get(own + symbols[k + 1], NEVER)
+            self.steps[i] = (tuple(ranks), tuple(firsts), tuple(lasts)) if len(symbols) == 1 else None
+        return self.steps[i]
+
+    def _apart(self, before: int, piece: int) -> bool:
+        """Whether merging the texts of both in a row gives the two: no merge over the border comes before those on its sides.
+
+        Each side goes through what it goes through alone, the lower rank first, the left one of equal ranks.
+        """
+        one, two = self.merges(before), self.merges(piece)
+        if one is None or two is None:
+            return False
+        (left, _, lasts), (right, firsts, _), over = one, two, self.rank.get
+        x = y = 0
+        while True:
+            own, a, b = over(lasts[x] + firsts[y], NEVER), left[x], right[y]
+            if own < a and own <= b and own != NEVER:
+                return False
+            if a <= b:
+                if a == NEVER:
+                    return True
+                x += 1
+            else:
+                y += 1
 
     def compatible(self, before: int, piece: int) -> bool:
         """Whether the two come out of merging their texts; before is START at the start of a text."""
@@ -120,13 +147,7 @@ class PieceModel:
         if own is None:
             if len(self.fits) >= CACHED:
                 self.fits.clear()
-            text = self._text(piece)
-            if before == START:
-                own = len(self.merged(text)) == 1
-            else:
-                first = self._text(before)
-                own = len(self.merged(first + text, len(first))) == 2
-            self.fits[key] = own
+            own = self.fits[key] = self.merges(piece) is not None if before == START else self._apart(before, piece)
         return own
 
     def longest(self, text: str) -> list[int]:
@@ -170,10 +191,10 @@ class PieceModel:
             return out
         return [j for i in out for j in ([i] if i >= 0 else [self.bytes[b] for b in chr(-1 - i).encode("utf-8", "surrogatepass")])]
 
-    def chunk_ids(self, chunk: bytes) -> list[int]:
+    def chunk_ids(self, chunk: bytes) -> tuple[int, ...]:
         own = self.known.get(chunk)
         if own is None:
-            own = self.encode(chunk.decode().replace(" ", BLANK))
+            own = tuple(self.encode(chunk.decode().replace(" ", BLANK)))
             if len(chunk) <= 32:
                 if len(self.known) >= CACHED:
                     self.known.clear()
@@ -201,9 +222,10 @@ class PieceModel:
         end = np.append(start[1:], n)[: len(start)]
         hashes = K.span_hash(K.prefix_hash(buf), start, end) + (end - start).astype(np.uint64)
         _, where, back = np.unique(hashes, return_index=True, return_inverse=True)
-        new = [self.chunk_ids(raw[a:b]) for a, b in zip(start[where].tolist(), end[where].tolist(), strict=True)]
+        known = self.known.get
+        new = [known(raw[a:b]) or self.chunk_ids(raw[a:b]) for a, b in zip(start[where].tolist(), end[where].tolist(), strict=True)]
         size = np.fromiter(map(len, new), np.int64, len(new))
-        flat = np.fromiter((i for x in new for i in x), np.int32, int(size.sum()))
+        flat = np.fromiter(chain.from_iterable(new), np.int32, int(size.sum()))
         per_chunk = size[back]
         ids = flat[K.spread((np.cumsum(size) - size)[back], per_chunk)]
         total = np.concatenate([[0], np.cumsum(per_chunk)])
@@ -243,6 +265,13 @@ def _encoded(path: str, at: int, name: str):
     return run
 
 
+def _id_lists(column: pa.ListArray):
+    """The ids of each row as Python numbers, a row at a time."""
+    values, offsets = column.values.to_numpy(), column.offsets.to_numpy().tolist()
+    for k, (a, b) in enumerate(zip(offsets[:-1], offsets[1:], strict=True)):
+        yield values[a:b].tolist() if column[k].is_valid else None
+
+
 def _decoded(path: str, at: int, name: str):
     def run(batches):
         model = processor(path)
@@ -252,7 +281,7 @@ def _decoded(path: str, at: int, name: str):
             step = max(1, int(len(ids) * 200_000 // max(1, len(ids.flatten()))))
             for k in range(0, len(ids), step):
                 rows = batch.slice(k, step)
-                texts = [model.decode(x) if x is not None else None for x in rows.column(at).to_pylist()]
+                texts = [model.decode(x) if x is not None else None for x in _id_lists(rows.column(at))]
                 yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, name])
 
     return run
@@ -272,10 +301,26 @@ def decode(rows: DataFrame, model: str, ids_col: str = "ids", text_col: str = "d
     return kept.mapInArrow(_decoded(model, kept.columns.index(ids_col), text_col), schema)
 
 
+DIGEST_SCHEMA = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
+
+
+def _round_trips(path: str):
+    """encode and decode of (doc_id, text) in one task: neither ids nor texts leave it, only their digests."""
+    encoded = _encoded(path, 1, "ids")
+
+    def run(batches):
+        model = processor(path)
+        number = [str(i) for i in range(model.vocab_size())].__getitem__
+        digest = lambda text: hashlib.sha256(text.encode()).hexdigest()
+        for batch in encoded(batches):
+            out = [(len(x), digest(" ".join(map(number, x))), digest(model.decode(x))) for x in _id_lists(batch.column(2))]
+            columns = zip(*out, strict=True) if out else ((), (), ())
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.string(), pa.string()), strict=True))], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    return run
+
+
 def round_trip(documents: DataFrame, model: str) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) of every text, encoded and decoded again."""
     texts = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    ids = encode(texts, model).drop("text")
-    joined = F.array_join(F.transform("ids", lambda i: i.cast("string")), " ")
-    rows = decode(ids, model).select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), F.sha2(joined, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
-    return rows
+    return texts.mapInArrow(_round_trips(model), DIGEST_SCHEMA)
